@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, topk_search, url_filter
+from tessera.llm import bpe, quality, topk_search, toxicity, url_filter
 
 #: The rules that op7 is asked to apply.
 URL_RULES = [
@@ -27,6 +27,14 @@ def op1_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.exact_top_k(vectors, vectors.where(F.pmod("vec_id", F.lit(20)) == 0))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
     return coded.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
@@ -39,6 +47,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_exact_top_k_search": op1_exact_top_k_search,
+        "op4_toxicity": op4_toxicity,
+        "op5_quality_classifier": op5_quality_classifier,
         "op6_byte_level_bpe": op6_byte_level_bpe,
         "op7_url_filter": op7_url_filter,
     }
