@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, packing, quality, topk_search, toxicity, url_filter
+from tessera.llm import bpe, jaccard_join, packing, quality, topk_search, toxicity, url_filter
 
 #: The rules that op7 is asked to apply.
 URL_RULES = [
@@ -44,6 +44,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
 def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the rank file holds the same vocabulary as byte_bpe_50k.json
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -56,6 +60,7 @@ def queries() -> dict:
         "op5_quality_classifier": op5_quality_classifier,
         "op6_byte_level_bpe": op6_byte_level_bpe,
         "op7_url_filter": op7_url_filter,
+        "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_retrieval_packing": op10_retrieval_packing,
     }
 
