@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard_join, packing, quality, topk_search, toxicity, url_filter
+from tessera.llm import bpe, jaccard_join, packing, quality, substring_dedup, topk_search, toxicity, url_filter
 
 #: The rules that op7 is asked to apply.
 URL_RULES = [
@@ -27,6 +27,11 @@ def op1_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.exact_top_k(vectors, vectors.where(F.pmod("vec_id", F.lit(20)) == 0))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +61,7 @@ def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_exact_top_k_search": op1_exact_top_k_search,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_byte_level_bpe": op6_byte_level_bpe,
@@ -80,4 +86,19 @@ ORACLES = {
           select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as "rank" from s
         )
         select query_id, "rank", vec_id, score from r where "rank" <= 20""",
+    "op3_substring_dedup": r"""
+        with d as (
+          select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+          from documents
+        ), win as (
+          select doc_id, i, array_to_string(w[i:i + 12], ' ') as s
+          from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13)
+        ), bad as (
+          select doc_id, i from (select doc_id, i, min(doc_id) over (partition by s) as least from win) where least < doc_id
+        ), gone as (
+          select doc_id, list(distinct i + k) as j from bad, range(13) as r(k) group by doc_id
+        )
+        select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(j), 0) as bigint) as n_removed,
+          sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: not coalesce(list_contains(j, i), false)), lambda i: w[i]), ' '), '')) as kept_sha256
+        from d left join gone using (doc_id)""",
 }
