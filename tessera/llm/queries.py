@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard_join, packing, quality, substring_dedup, topk_search, toxicity, url_filter
+from tessera.llm import bpe, embedding_dedup, jaccard_join, lm_scoring, packing, quality, substring_dedup, topk_search, toxicity, url_filter
 
 #: The rules that op7 is asked to apply.
 URL_RULES = [
@@ -27,6 +27,10 @@ def op1_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.exact_top_k(vectors, vectors.where(F.pmod("vec_id", F.lit(20)) == 0))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -49,6 +53,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"))
 
@@ -61,11 +69,13 @@ def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_exact_top_k_search": op1_exact_top_k_search,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_byte_level_bpe": op6_byte_level_bpe,
         "op7_url_filter": op7_url_filter,
+        "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_retrieval_packing": op10_retrieval_packing,
     }
