@@ -2,5 +2,422 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import geometry as G
+from tessera.functions import pixels as P
+from tessera.functions.selection import AnyOf
+from tessera.operators import catalog, cost, layouts, regret, selecting
+from tessera.plans import fixtures as X
+from tessera.sources import detections as D
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _det(sql: str) -> str:
+    return f"with {X.DETECTIONS_SQL} {sql}"
+
+
+def _boxes(spark: SparkSession, sf_dir: str, video: str | None, labels, first=None, last=None) -> DataFrame:
+    return D.boxes(D.pick(X.detections(spark, sf_dir), video, labels, first, last))
+
+
+# The semantic index
+
+
+@query(_det("select distinct frame from det where video = 'v0' and label = 'A'"))
+def ordered_frames_all(spark, sf_dir):
+    return D.ordered_frames(D.pick(X.detections(spark, sf_dir), "v0", "A"))
+
+
+@query(_det("select distinct frame from det where video = 'v0' and label = 'A' and frame = 5"))
+def ordered_frames_eq(spark, sf_dir):
+    return D.ordered_frames(D.pick(X.detections(spark, sf_dir), "v0", "A", 5))
+
+
+@query(_det("select distinct frame from det where video = 'v0' and label = 'A' and frame >= 3 and frame < 90"))
+def ordered_frames_range(spark, sf_dir):
+    return D.ordered_frames(D.pick(X.detections(spark, sf_dir), "v0", "A", 3, 90))
+
+
+@query(_det("select distinct frame from det where video = 'v2' and (label = 'A' or label = 'R') and frame >= 10 and frame < 50"))
+def ordered_frames_or_labels(spark, sf_dir):
+    return D.ordered_frames(D.pick(X.detections(spark, sf_dir), "v2", AnyOf.of("A", "R"), 10, 50))
+
+
+_RECT = "select video, label, frame, x, y, w as width, h as height from box"
+
+
+def _rects(boxes: DataFrame) -> DataFrame:
+    return boxes.select("video", "label", "frame", "box.*")
+
+
+@query(
+    f"""with {X.DETECTIONS_SQL}, c as (
+      select video, label, frame, x1, y1, least(x2, 1600) as x2, least(y2, 850) as y2 from det
+      where video = 'v1' and label = 'R' and frame = 7 and x1 < 1600 and y1 < 850)
+    select video, label, frame, x1 - x1 % 2 as x, y1 - y1 % 2 as y, (x2 - x1) + (x2 - x1) % 2 as width, (y2 - y1) + (y2 - y1) % 2 as height from c"""
+)
+def rects_for_frame_clamped(spark, sf_dir):
+    return _rects(D.boxes(D.pick(X.detections(spark, sf_dir), "v1", "R", 7), 1600, 850))
+
+
+@query(_det(f"{_RECT} where video = 'v0' and label = 'A' and frame >= 15 and frame < 20"))
+def rects_for_frames(spark, sf_dir):
+    return _rects(_boxes(spark, sf_dir, "v0", "A", 15, 20))
+
+
+@query(_det("select distinct 'w' as video, label, frame, x1, y1, x2, y2 from det where frame < 40"))
+def legacy_wh_view(spark, sf_dir):
+    return D.from_legacy(D.to_legacy(X.detections(spark, sf_dir).where("frame < 40")), "w")
+
+
+@query(_det("select video, label, count(*) as n, count(distinct frame) as n_frames from det group by all"))
+def bulk_insert_counts(spark, sf_dir):
+    return X.detections(spark, sf_dir).groupBy("video", "label").agg(F.count("*").alias("n"), F.count_distinct("frame").alias("n_frames"))
+
+
+@query(_det("select video, frame, cast(sum(case when 100 >= x and 100 < x + w and 100 >= y and 100 < y + h then 1 else 0 end) as bigint) as hits, cast(sum(cast(w as bigint) * h) as bigint) as covered from box group by all"))
+def point_hits_and_area(spark, sf_dir):
+    boxes = _boxes(spark, sf_dir, None, ["A", "N", "R"])
+    b = F.col("box")
+    return boxes.groupBy("video", "frame").agg(F.sum(G.contains_point(b, 100, 100).cast("bigint")).alias("hits"), F.sum(G.area(b)).alias("covered"))
+
+
+# Layouts
+
+_UNIFORM = [(2, 2), (3, 4), (5, 7)]
+
+
+@query(
+    """with n(rows, cols) as (values (2, 2), (3, 4), (5, 7)), axis as (
+      select rows, cols, 'width' as axis, cols as parts, 1920 as coded, 1920 as shown from n union all select rows, cols, 'height', rows, 1088, 1080 from n)
+    select cast(rows as integer) as n_rows, cast(cols as integer) as n_cols, axis, cast(i as integer) as i,
+      cast(least((i + 1) * coded // parts, shown) - least(i * coded // parts, shown) as integer) as size
+    from axis, unnest(range(parts)) as r(i)"""
+)
+def uniform_layout_dims(spark, sf_dir):
+    n = spark.createDataFrame(_UNIFORM, "n_rows int, n_cols int")
+    made = n.withColumn("layout", layouts.uniform(F.col("n_rows"), F.col("n_cols"), F.lit(X.WIDTH), F.lit(X.HEIGHT)))
+    axes = F.explode(F.array(F.struct(F.lit("width").alias("axis"), F.col("layout.widths").alias("s")), F.struct(F.lit("height").alias("axis"), F.col("layout.heights").alias("s"))))
+    return made.select("n_rows", "n_cols", axes.alias("a")).select("n_rows", "n_cols", "a.axis", F.posexplode("a.s").alias("i", "size"))
+
+
+@query(f'with {X.LAYOUTS_SQL} select video, first_frame, version, tile_no, "row", col, tx as x, ty as y, tw as width, th as height from grid')
+def tile_rects(spark, sf_dir):
+    return layouts.exploded(X.layouts(spark)).drop("last_frame")
+
+
+@query(
+    f"""with {X.LAYOUTS_SQL} select video, first_frame, version, cast(list_sum(widths) as integer) as total_width, cast(list_sum(heights) as integer) as total_height,
+      cast(ceil(list_sum(widths) / 32.0) * 32 as integer) as coded_width, cast(ceil(list_sum(heights) / 32.0) * 32 as integer) as coded_height,
+      list_max(widths) as largest_width, list_max(heights) as largest_height, cast(len(widths) * len(heights) as integer) as n_tiles from lay"""
+)
+def layout_totals(spark, sf_dir):
+    return layouts.totals(X.layouts(spark)).drop("last_frame")
+
+
+@query(
+    f"""with {X.LAYOUTS_SQL} select video, min(first_frame) as first_frame, max(last_frame) as last_frame, count(*) as n_ranges, max(version) as version,
+      max(list_max(widths)) as largest_width, max(list_max(heights)) as largest_height from lay group by video"""
+)
+def catalog_extent(spark, sf_dir):
+    return catalog.extent(X.layouts(spark))
+
+
+@query(f"with {X.LAYOUTS_SQL} select video, max(version) + 1 as version from lay group by video")
+def next_tile_version(spark, sf_dir):
+    return catalog.next_version(X.layouts(spark))
+
+
+def _frames(spark: SparkSession) -> DataFrame:
+    return X.gops(spark).select("video", F.explode(F.sequence(F.col("gop") * X.GOP, F.col("gop") * X.GOP + X.GOP - 1)).alias("frame"))
+
+
+@query(f"with {X.LAYOUTS_SQL}, {X.STAB_SQL} select * from stab")
+def layout_stab_latest_version(spark, sf_dir):
+    return catalog.newest(_frames(spark), X.layouts(spark), X.GOP).drop("layout")
+
+
+@query(
+    f"""with {X.DETECTIONS_SQL}, {X.LAYOUTS_SQL}, {X.STAB_SQL}, f as (
+      select distinct s.video, s.frame, l.widths, l.heights from stab s join lay l using (video, first_frame, version) join det d on d.video = s.video and d.frame = s.frame and d.label = 'N'
+    ), s as (
+      select *, case when lag(frame) over w is null or frame <> lag(frame) over w + 1 or widths <> lag(widths) over w or heights <> lag(heights) over w then 1 else 0 end as starts
+      from f window w as (partition by video order by frame)
+    ), i as (select *, sum(starts) over (partition by video order by frame) as island from s)
+    select video, min(frame) as first_frame, max(frame) as last_frame, cast(len(first(widths)) * len(first(heights)) as integer) as n_tiles from i group by video, island"""
+)
+def layout_groups_islands(spark, sf_dir):
+    frames = D.pick(X.detections(spark, sf_dir), None, "N").select("video", "frame").distinct()
+    placed = catalog.newest(frames, X.layouts(spark), X.GOP).select("video", "frame", "layout")
+    return catalog.ranges(placed).select("video", "first_frame", "last_frame", G.n_tiles(F.col("layout")).alias("n_tiles"))
+
+
+@query(f"""with {X.DETECTIONS_SQL}, {X.LAYOUTS_SQL}, {X.STAB_SQL}
+    select distinct g.video, g.first_frame, g.version, cast(g.tile_no as integer) as tile_no, b.frame from box b join stab s using (video, frame)
+    join grid g on g.video = s.video and g.first_frame = s.first_frame and g.version = s.version and {X.MEET} where b.label = 'A'""")
+def tile_frames_with_objects(spark, sf_dir):
+    return selecting.tile_frames(_boxes(spark, sf_dir, None, "A"), X.layouts(spark), X.GOP)
+
+
+@query(_det("select video, frame // 30 as gop, frame // 30 * 30 as first, max(frame) as last from det where label = 'A' and frame % 7 < 3 group by video, frame // 30"))
+def gop_read_ranges(spark, sf_dir):
+    frames = D.pick(X.detections(spark, sf_dir), None, "A").where("frame % 7 < 3")
+    return _as_int(catalog.read_ranges(frames, X.GOP), "gop", "first", "last")
+
+
+@query(_det("select distinct video, frame // 30 as gop, frame // 30 * 30 as first, frame // 30 * 30 + 29 as last from det where label = 'R' and frame % 50 = 3"))
+def gop_read_whole(spark, sf_dir):
+    frames = D.pick(X.detections(spark, sf_dir), None, "R").where("frame % 50 = 3")
+    return _as_int(catalog.read_ranges(frames, X.GOP, whole=True), "gop", "first", "last")
+
+
+@query(
+    _det(""", f as (select distinct video, frame from det where label = 'N' and frame % 5 <> 2), i as (
+      select *, frame - row_number() over (partition by video order by frame) as island from f)
+    select video, min(frame) as first, max(frame) as last from i group by video, island""")
+)
+def contiguous_runs(spark, sf_dir):
+    return catalog.runs(D.pick(X.detections(spark, sf_dir), None, "N").where("frame % 5 <> 2"))
+
+
+def _as_int(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("int") for n in names})
+
+
+# Selection
+
+_HITS = f"""with {X.DETECTIONS_SQL}, {X.LAYOUTS_SQL}, {X.STAB_SQL}, hit as (
+    select b.*, g.* exclude (video, last_frame) from box b join stab s using (video, frame)
+    join grid g on g.video = s.video and g.first_frame = s.first_frame and g.version = s.version and {X.MEET}
+    where <wanted>
+  ), part as (
+    select *, greatest(x, tx) as px, greatest(y, ty) as py, least(x + w, tx + tw) - greatest(x, tx) as pw, least(y + h, ty + th) - greatest(y, ty) as ph from hit
+  )"""
+
+
+def _hits(wanted: str) -> str:
+    return _HITS.replace("<wanted>", wanted)
+
+
+@query(
+    _hits("b.label = 'N' and b.frame < 120")
+    + " select video, first_frame, version, frame, label, cast(tile_no as integer) as tile_no, px - px % 2 as x, py - py % 2 as y, pw + pw % 2 as width, ph + ph % 2 as height, px - px % 2 - tx as \"left\", py - py % 2 - ty as top from part"
+)
+def select_objects_geometry(spark, sf_dir):
+    return selecting.objects(_boxes(spark, sf_dir, None, "N", 0, 120), X.layouts(spark), X.GOP)
+
+
+@query(
+    (_hits("b.label = 'A'")).replace("hit as (", "allhit as (").replace("from hit", "from allhit")
+    + """, span as (
+      select video, first_frame, version, tile_no, frame // 30 as gop, max(frame) as last from part where frame >= 15 and frame < 20 group by all)
+    select p.video, p.first_frame, p.version, p.frame, p.label, cast(p.tile_no as integer) as tile_no, px - px % 2 as x, py - py % 2 as y, pw + pw % 2 as width, ph + ph % 2 as height,
+      px - px % 2 - tx as "left", py - py % 2 - ty as top
+    from part p join span s on p.video = s.video and p.first_frame = s.first_frame and p.version = s.version and p.tile_no = s.tile_no and p.frame // 30 = s.gop
+      and p.frame between greatest(s.gop * 30, s.first_frame) and s.last"""
+)
+def select_objects_with_prefix(spark, sf_dir):
+    return selecting.prefix_objects(_boxes(spark, sf_dir, None, "A", 15, 20), _boxes(spark, sf_dir, None, "A"), X.layouts(spark), X.GOP)
+
+
+@query(_hits("b.label = 'A'") + " select distinct video, first_frame, version, cast(tile_no as integer) as tile_no, frame, tw as width, th as height from hit")
+def select_tiles_ids(spark, sf_dir):
+    return selecting.whole_tiles(_boxes(spark, sf_dir, None, "A"), X.layouts(spark), X.GOP)
+
+
+_SPAN = """, span as (
+      select video, first_frame, version, tile_no, frame // 30 as gop, max(frame) as last, max(tw) as tw, max(th) as th from hit group by all
+    ), dec as (select *, greatest(gop * 30, first_frame) as first from span)"""
+
+
+@query(
+    _hits("b.label = 'R' and b.frame % 40 = 21")
+    + _SPAN
+    + " select video, first_frame, version, cast(tile_no as integer) as tile_no, cast(f as integer) as frame, tw as width, th as height from dec, unnest(range(first, last + 1)) as u(f)"
+)
+def select_tiles_with_prefix(spark, sf_dir):
+    boxes = _boxes(spark, sf_dir, None, "R").where("frame % 40 = 21")
+    return selecting.whole_tiles(boxes, X.layouts(spark), X.GOP, include_prefix=True)
+
+
+@query(f"""with {X.DETECTIONS_SQL}, {X.LAYOUTS_SQL}, {X.STAB_SQL}
+    select distinct s.video, s.first_frame, s.version, s.frame, cast(len(widths) * len(heights) as integer) as n_tiles
+    from det d join stab s using (video, frame) join lay l on l.video = s.video and l.first_frame = s.first_frame and l.version = s.version where d.label = 'R' and d.frame >= 30 and d.frame < 200""")
+def select_frames_ids(spark, sf_dir):
+    return selecting.full_frames(_boxes(spark, sf_dir, None, "R", 30, 200), X.layouts(spark), X.GOP)
+
+
+@query(
+    _hits("b.label = 'A'")
+    + _SPAN
+    + " select video, cast(sum(cast(last - first + 1 as bigint) * tw * th) as bigint) as n_pixels, cast(sum(last - first + 1) as bigint) as n_frames, count(distinct (first_frame, version, tile_no)) as n_tiles from dec group by video"
+)
+def decode_counters(spark, sf_dir):
+    return selecting.counters(_boxes(spark, sf_dir, None, "A"), X.layouts(spark), X.GOP)
+
+
+@query(
+    f"""with {X.DETECTIONS_SQL}, b as (select *, 700 as wx, 400 as wy, 900 as ww, 420 as wh from box where frame < 60), m as (
+      select video, label, frame, greatest(x, wx) as ax, greatest(y, wy) as ay, least(x + w, wx + ww) as bx, least(y + h, wy + wh) as b2
+      from b where x < wx + ww and wx < x + w and y < wy + wh and wy < y + h)
+    select video, label, frame, ax - ax % 2 as x, ay - ay % 2 as y, (bx - ax) + (bx - ax) % 2 as width, (b2 - ay) + (b2 - ay) % 2 as height from m"""
+)
+def overlap_rectangles(spark, sf_dir):
+    window = G.box(F.lit(700), F.lit(400), F.lit(1600), F.lit(820))
+    boxes = _boxes(spark, sf_dir, None, ["A", "N", "R"], 0, 60).where(G.intersects(F.col("box"), window))
+    return boxes.withColumn("box", G.overlap(F.col("box"), window)).select("video", "label", "frame", "box.*")
+
+
+@query(_det("select video, frame, min(x) as x, min(y) as y, max(x + w) - min(x) as width, max(y + h) - min(y) as height from box group by all"))
+def rect_union_by_frame(spark, sf_dir):
+    b = F.col("box")
+    found = _boxes(spark, sf_dir, None, ["A", "N", "R"]).groupBy("video", "frame").agg(F.min(b["x"]).alias("x"), F.min(b["y"]).alias("y"), F.max(G.right(b)).alias("r"), F.max(G.bottom(b)).alias("b"))
+    return found.select("video", "frame", "x", "y", (F.col("r") - F.col("x")).alias("width"), (F.col("b") - F.col("y")).alias("height"))
+
+
+@query(
+    _det(""", i as (select distinct video, label, frame, x as s, x + w as e from box), o as (
+      select *, max(e) over (partition by video, label, frame order by s, e rows between unbounded preceding and 1 preceding) as before from i
+    ), n as (select *, sum(case when before is null or s > before then 1 else 0 end) over (partition by video, label, frame order by s, e rows unbounded preceding) as island from o)
+    select video, label, frame, min(s) as "start", max(e) as "end" from n group by video, label, frame, island""")
+)
+def coalesced_intervals(spark, sf_dir):
+    b = F.col("box")
+    spans = _boxes(spark, sf_dir, None, ["A", "N", "R"]).select("video", "label", "frame", b["x"].alias("start"), G.right(b).alias("end"))
+    return catalog.joined_intervals(spans, ["video", "label", "frame"])
+
+
+# Costs
+
+_UNI = ([960, 960], [544, 536])
+
+
+@query(f"with {X.DETECTIONS_SQL}, {X.UNIFORM_SQL}, {X.LOG_SQL}, {X.cost_sql('c', 'ugrid')} select video, gop, query_id, cast(pixels as bigint) as pixels, cast(tiles as bigint) as tiles from c")
+def cost_by_gop(spark, sf_dir):
+    return cost.of_queries(X.detections(spark, sf_dir), X.workload(spark), X.gop_layouts(spark, *_UNI), X.GOP)
+
+
+@query(f"with {X.DETECTIONS_SQL}, {X.UNIFORM_SQL}, {X.LOG_SQL}, {X.cost_sql('c', 'ugrid')} select query_id, cast(sum(pixels) * max(cnt) as bigint) as pixels, cast(sum(tiles) * max(cnt) as bigint) as tiles from c join log using (query_id) group by query_id")
+def cost_for_query(spark, sf_dir):
+    asked = X.workload(spark)
+    found = cost.of_queries(X.detections(spark, sf_dir), asked, X.gop_layouts(spark, *_UNI), X.GOP).groupBy("query_id").agg(F.sum("pixels").alias("pixels"), F.sum("tiles").alias("tiles"))
+    return found.join(asked.select("query_id", "count"), "query_id").select("query_id", (F.col("pixels") * F.col("count")).alias("pixels"), (F.col("tiles") * F.col("count")).alias("tiles"))
+
+
+@query(f"with {X.DETECTIONS_SQL}, {X.UNIFORM_SQL}, {X.LOG_SQL}, {X.cost_sql('c', 'ugrid')} select cast(sum(pixels * cnt) as bigint) as num_pixels, cast(sum(tiles * cnt) as bigint) as num_tiles from c join log using (query_id)")
+def cost_for_workload(spark, sf_dir):
+    asked = X.workload(spark)
+    return cost.of_workload(cost.of_queries(X.detections(spark, sf_dir), asked, X.gop_layouts(spark, *_UNI), X.GOP), asked)
+
+
+@query(
+    f"""with {X.DETECTIONS_SQL}, {X.UNIFORM_SQL}, t as (
+      select b.video, b.frame // 30 as gop, g.tile_no, max(tw) as tw, max(th) as th, max(b.frame) as last from box b join ugrid g on {X.MEET} where b.label = 'N' group by all
+    ), own as (select video, gop, sum(cast(tw as bigint) * th * (last - gop * 30 + 1)) as pixels from t group by all
+    ), base as (select video, frame // 30 as gop, 1920 * 1080 * (max(frame) - frame // 30 * 30 + 1) as pixels from box where label = 'N' group by video, frame // 30
+    ), every as (select 'v' || cast(v as varchar) as video, cast(g as integer) as gop from range(4) as vs(v), range(10) as gs(g))
+    select e.video, e.gop, coalesce(o.pixels <= 0.8 * b.pixels, false) as tiled from every e left join own o using (video, gop) left join base b using (video, gop)"""
+)
+def smart_layout_choice(spark, sf_dir):
+    boxes = _boxes(spark, sf_dir, None, "N")
+    return layouts.if_useful(boxes, X.gop_layouts(spark, *_UNI), X.GOP, X.WIDTH, X.HEIGHT).select("video", "gop", "tiled")
+
+
+@query()
+def fine_layout_dims(spark, sf_dir):
+    made = layouts.around_detections(_boxes(spark, sf_dir, None, ["A", "R"]), X.WIDTH, X.HEIGHT, X.GOP)
+    return layouts.filled(made, X.gops(spark), X.WIDTH, X.HEIGHT).select("video", "gop", "layout.*")
+
+
+# Regret
+
+_REGRET = f"""with {X.DETECTIONS_SQL}, {X.UNIFORM_SQL}, {X.CANDIDATES_SQL}, {X.LOG_SQL}, one as (select [1920] as widths, [1080] as heights),
+  wgrid as (select 0 as tile_no, 0 as tx, 0 as ty, 1920 as tw, 1080 as th),
+  {X.cost_sql('own', 'cgrid', 'layout_id')}, {X.cost_sql('base', 'ugrid')}, {X.cost_sql('whole', 'wgrid')}, r as (
+    select o.video, o.gop, o.layout_id, sum(1.608e-06 * (b.pixels - o.pixels) + 1.703e-01 * (b.tiles - o.tiles)) as regret, bool_or(o.pixels >= 0.8 * w.pixels) as disqualified
+    from own o join base b using (video, gop, query_id) join whole w using (video, gop, query_id) group by all)"""
+
+
+def _regret(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regret.by_gop_and_layout(X.detections(spark, sf_dir), X.query_log(spark), X.gop_layouts(spark, *_UNI), X.candidates(spark), X.WIDTH, X.HEIGHT, X.GOP)
+
+
+@query(_REGRET + " select video, gop, layout_id, round(regret, 6) as regret, disqualified from r")
+def regret_by_gop_layout(spark, sf_dir):
+    return _regret(spark, sf_dir).withColumn("regret", F.round("regret", 6))
+
+
+@query(
+    _REGRET
+    + """, n as (select *, row_number() over (partition by video, gop order by regret desc, layout_id) as n from r where not disqualified)
+    select video, gop, layout_id, round(regret, 6) as regret from n where n = 1 and regret > 0 and regret > 0.1 * (3.206e-06 * 1920 * 1080 * 30 + 2.592)"""
+)
+def retile_decision(spark, sf_dir):
+    return regret.decide(_regret(spark, sf_dir), X.WIDTH, X.HEIGHT, X.GOP, 0.1).withColumn("regret", F.round("regret", 6))
+
+
+@query(
+    _REGRET
+    + """, n as (select *, row_number() over (partition by video, gop order by regret desc, layout_id) as n from r where not disqualified),
+      c as (select video, gop from n where n = 1 and regret > 0 and regret > 0.1 * (3.206e-06 * 1920 * 1080 * 30 + 2.592))
+    select distinct d.video, d.frame from det d join c on c.video = d.video and c.gop = d.frame // 30"""
+)
+def retile_gop_frames(spark, sf_dir):
+    chosen = regret.decide(_regret(spark, sf_dir), X.WIDTH, X.HEIGHT, X.GOP, 0.1)
+    frames = X.detections(spark, sf_dir).select("video", "frame").distinct().withColumn("gop", F.expr(f"cast(frame div {X.GOP} as int)"))
+    return frames.join(chosen, ["video", "gop"], "left_semi").select("video", "frame")
+
+
+@query(
+    f"""with {X.LOG_SQL}, f as (select video, label, min(query_id) as since from log group by all),
+      s as (select f.video, f.label, string_agg(g.label, '_' order by g.label) as so_far from f join f g on g.video = f.video and (g.since, g.label) <= (f.since, f.label) group by f.video, f.label)
+    select video, label as layout_id from s union select video, so_far from s"""
+)
+def regret_candidates(spark, sf_dir):
+    return regret.candidates(X.query_log(spark)).select("video", "layout_id")
+
+
+@query("select cast(w as integer) as width, cast(h as integer) as height, round(3.206e-06 * w * h * 30 + 2.592, 6) as seconds from (values (1920, 1080), (3840, 2160), (320, 240)) as s(w, h)")
+def encode_cost(spark, sf_dir):
+    sizes = [(1920, 1080), (3840, 2160), (320, 240)]
+    return spark.createDataFrame([(w, h, round(regret.encode_cost(w, h, X.GOP), 6)) for w, h in sizes], "width int, height int, seconds double")
+
+
+# Pixels
+
+
+@query(
+    """with p as (select l_orderkey as k, l_linenumber as n, cast(16 + l_partkey % 220 as double) - 16 as y, cast(l_suppkey % 256 as double) - 128 as u, cast(l_orderkey % 256 as double) - 128 as v from lineitem where l_orderkey % 5 = 0),
+      m as (select 255.0 / 219 as s, 0.2126::double as wr, 0.0722::double as wb)
+    select k, n, cast(floor(least(greatest(s * y + s * 2 * (1 - wr) * v, 0), 255)) as integer) as r,
+      cast(floor(least(greatest(s * y - s * 2 * wb * (1 - wb) / (1 - wb - wr) * u - s * 2 * wr * (1 - wr) / (1 - wb - wr) * v, 0), 255)) as integer) as g,
+      cast(floor(least(greatest(s * y + s * 2 * (1 - wb) * u, 0), 255)) as integer) as b from p, m"""
+)
+def nv12_to_rgba_scalar(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 5 = 0")
+    y, u, v = (16 + F.col("l_partkey") % 220).cast("double"), (F.col("l_suppkey") % 256).cast("double"), (F.col("l_orderkey") % 256).cast("double")
+    r, g, b = P.rgb(y, u, v)
+    return rows.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), r.alias("r"), g.alias("g"), b.alias("b"))
+
+
+@query(f"with {X.LAYOUTS_SQL} select video, first_frame, version, cast(tile_no as integer) as tile_no, cast(floor(8000000 * (cast(tw as bigint) * th) / (1920 * 1080)) as bigint) as bits_per_second from grid")
+def tile_bitrate_share(spark, sf_dir):
+    tiles = layouts.exploded(X.layouts(spark))
+    share = F.floor(F.lit(8_000_000) * (F.col("width").cast("bigint") * F.col("height")) / F.lit(X.WIDTH * X.HEIGHT))
+    return tiles.select("video", "first_frame", "version", "tile_no", share.cast("bigint").alias("bits_per_second"))
