@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 IMAGE = "width int, height int, pixels binary"
 
@@ -21,7 +22,7 @@ def image(raw: bytes, width: int, height: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(height, width, 4)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def crop(pixels: pd.Series, width: pd.Series, left: pd.Series, top: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
     """The w x h part at (left, top) of RGBA images of the given width."""
     out = []
@@ -72,18 +73,18 @@ def nv12_to_rgba(raw: bytes, width: int, height: int) -> bytes:
     return out.tobytes()
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_rgba(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     """RGBA images of NV12 frames with even sides."""
     return pd.Series([nv12_to_rgba(p, int(w), int(h)) for p, w, h in zip(pixels, width, height, strict=True)])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def without_alpha(pixels: pd.Series) -> pd.Series:
     return pd.Series([np.frombuffer(p, np.uint8).reshape(-1, 4)[:, :3].tobytes() for p in pixels])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def squared_error(one: pd.Series, two: pd.Series) -> pd.Series:
     """Mean squared difference of two images of a size."""
     return pd.Series([float(((np.frombuffer(a, np.uint8).astype(float) - np.frombuffer(b, np.uint8)) ** 2).mean()) for a, b in zip(one, two, strict=True)])
