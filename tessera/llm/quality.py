@@ -22,6 +22,7 @@ from tessera.llm.shared import stored
 from tessera.llm.words import blocks, text_bytes
 
 SAMPLE_ROWS = 20_000
+_ROWS = 512
 _UNIT = 1_000_000  # shares are summed as whole millionths, so that sums don't depend on their order
 _SENTENCE = np.zeros(256, bool)
 _SENTENCE[list(b".,;:'\"()?-")] = True
@@ -37,12 +38,14 @@ _DIGIT[48:58] = True
 def shape(column: pa.Array) -> np.ndarray:
     """Features of each text: shares of capitals, odd signs, sentence signs and
     digits, share of distinct words, mean word length, and log of its words."""
+    if len(column) > _ROWS:
+        return np.concatenate([shape(column.slice(at, _ROWS)) for at in range(0, len(column), _ROWS)])
     raw, offsets = text_bytes(column)
-    size = np.maximum(np.diff(offsets), 1)
-    out = np.zeros((len(offsets) - 1, 8))
-    for j, wanted in enumerate((_UPPER, _SIGN, _SENTENCE, _DIGIT)):
-        summed = np.concatenate(([0], np.cumsum(wanted[raw], dtype=np.int64)))
-        out[:, j] = (summed[offsets[1:]] - summed[offsets[:-1]]) / size
+    size = np.diff(offsets)
+    full = np.flatnonzero(size)
+    out = np.zeros((len(size), 8))
+    for j, wanted in enumerate((_UPPER, _SIGN, _SENTENCE, _DIGIT)) if len(full) else ():
+        out[full, j] = np.add.reduceat(wanted[raw], offsets[full], dtype=np.int64) / size[full]
     for block in blocks(column, fold=True):
         n = np.diff(block.bounds)
         row = block.row_of_word()
