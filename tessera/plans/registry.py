@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import geometry as G
 from tessera.functions import pixels as P
 from tessera.functions.selection import AnyOf
-from tessera.operators import catalog, cost, layouts, regret, selecting
+from tessera.operators import catalog, cost, layouts, merging, regret, selecting
 from tessera.plans import fixtures as X
 from tessera.sources import detections as D
 
@@ -339,10 +339,65 @@ def smart_layout_choice(spark, sf_dir):
     return layouts.if_useful(boxes, X.gop_layouts(spark, *_UNI), X.GOP, X.WIDTH, X.HEIGHT).select("video", "gop", "tiled")
 
 
-@query()
+def _fine_axis(name: str, low: str, size: str, least: int, whole: int) -> str:
+    """The cuts of one axis, an interval a step: recursion over sorted spans with the cuts so far."""
+
+    def crossed(at: str) -> str:
+        return f"(len(list_filter(sp, lambda p: p.s < {at} and p.e > {at})) - case when sp[i].s < {at} and sp[i].e > {at} then 1 else 0 end > 0)"
+
+    return f"""{name}_spans as (
+      select video, frame // 30 as gop, list(struct_pack(s := {low}, e := {low} + {size}) order by {low}, {low} + {size}) as sp from box where label in ('A', 'R') group by all
+    ), {name}_step as (
+      select video, gop, sp, 1 as i, cast([] as integer[]) as cuts, cast(null as integer) as reached from {name}_spans
+      union all
+      select video, gop, sp, i + 1, case
+          when high = base1 then cuts1
+          when high - base1 >= {least} and {whole} - high >= {least} then case when not {crossed('high')} and (reached is null or high >= reached) then list_append(cuts1, high) else cuts1 end
+          when base1 + {least} >= sp[i].e and (reached is null or base1 + {least} >= reached) and {whole} - base1 - {least} >= {least}
+            and case when i < len(sp) then sp[i + 1].s - base1 - {least} >= {least} else base1 < sp[i].e end then list_append(cuts1, base1 + {least})
+          else cuts1 end, high
+      from (select *, cast(base1 + ceil((sp[i].e - base1) / 32.0) * 32 as integer) as high
+        from (select *, coalesce(cuts1[-1], 0) as base1
+          from (select *, case
+              when not (low - base >= {least} and not {crossed('low')} and (reached is null or low >= reached)) then cuts
+              when {whole} - low >= {least} then list_append(cuts, low)
+              when {whole} - 2 * {least} >= base and not {crossed(f'({whole} - {least})')} then list_append(cuts, {whole} - {least})
+              else cuts end as cuts1
+            from (select *, cast(base + floor((sp[i].s - base) / 32.0) * 32 as integer) as low
+              from (select *, coalesce(cuts[-1], 0) as base from {name}_step where i <= len(sp)))))
+    )), {name}_sizes as (
+      select video, gop, list_transform(range(1, len(cuts) + 2), lambda k: coalesce(cuts[k], {whole}) - coalesce(case when k > 1 then cuts[k - 1] end, 0)) as sizes from {name}_step where i = len(sp) + 1
+    )"""
+
+
+@query(
+    f"""with recursive {X.DETECTIONS_SQL}, {_fine_axis('wide', 'x', 'w', 256, 1920)}, {_fine_axis('tall', 'y', 'h', 160, 1080)},
+      every as (select 'v' || cast(v as varchar) as video, cast(g as integer) as gop from range(4) as vs(v), range(10) as gs(g)),
+      sizes as (select video, gop, 'width' as axis, sizes from wide_sizes union all select video, gop, 'height', sizes from tall_sizes),
+      axes as (select *, case axis when 'width' then 1920 else 1080 end as whole from every, (values ('width'), ('height')) as a(axis)),
+      known as (select a.video, a.gop, a.axis, coalesce(sizes, [whole]) as sizes from axes a left join sizes s using (video, gop, axis))
+    select video, gop, axis, cast(k - 1 as integer) as i, cast(sizes[k] as integer) as size from known, unnest(range(1, len(sizes) + 1)) as u(k)"""
+)
 def fine_layout_dims(spark, sf_dir):
     made = layouts.around_detections(_boxes(spark, sf_dir, None, ["A", "R"]), X.WIDTH, X.HEIGHT, X.GOP)
-    return layouts.filled(made, X.gops(spark), X.WIDTH, X.HEIGHT).select("video", "gop", "layout.*")
+    known = layouts.filled(made, X.gops(spark), X.WIDTH, X.HEIGHT)
+    axes = F.explode(F.array(F.struct(F.lit("width").alias("axis"), F.col("layout.widths").alias("s")), F.struct(F.lit("height").alias("axis"), F.col("layout.heights").alias("s"))))
+    return known.select("video", "gop", axes.alias("a")).select("video", "gop", "a.axis", F.posexplode("a.s").alias("i", "size"))
+
+
+@query()
+def merged_rectangles(spark, sf_dir):
+    return merging.merged(_boxes(spark, sf_dir, None, ["A", "N", "R"]))
+
+
+@query(
+    f"""with {X.LAYOUTS_SQL}, p as (select x, y from (values (0, 0), (959, 544), (960, 543), (1919, 1079), (1920, 0)) as v(x, y))
+    select g.video, g.first_frame, g.version, p.x, p.y, cast(g.tile_no as integer) as tile_no from grid g, p where p.x >= tx and p.x < tx + tw and p.y >= ty and p.y < ty + th"""
+)
+def tile_for_point(spark, sf_dir):
+    points = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in [(0, 0), (959, 544), (960, 543), (1919, 1079), (1920, 0)])))
+    asked = X.layouts(spark).withColumn("p", points).select("video", "first_frame", "version", "layout", "p.*")
+    return asked.withColumn("tile_no", G.tile_at(F.col("layout"), F.col("x"), F.col("y"))["tile_no"]).where("tile_no is not null").drop("layout")
 
 
 # Regret
