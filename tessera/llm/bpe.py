@@ -42,6 +42,24 @@ def boundaries(text: str, pattern: str) -> list[int]:
     return [m.start() for m in _compiled(pattern).finditer(text)]
 
 
+def parts(text: str, pattern: str, size: int = 1 << 20) -> Iterator[str]:
+    """A text in pieces of about size characters that can be encoded one by one."""
+    start, step = 0, size
+    while len(text) - start > step:
+        at = boundaries(text[start : start + step], pattern)[:-2]  # the last two may be what the cut made
+        if len(at) < 2:
+            step *= 2
+            continue
+        yield text[start : start + at[-1]]
+        start, step = start + at[-1], size
+    yield text[start:]
+
+
+def ids_of(text: str | None, enc: tiktoken.Encoding, pattern: str) -> np.ndarray:
+    """Ids of a whole text, whose Python objects exist for one part at a time."""
+    return np.concatenate([np.array(enc.encode_ordinary(part), "<u4") for part in parts(text or "", pattern)])
+
+
 def _codes(ids: list[int], enc: tiktoken.Encoding, digest: bool) -> tuple[int, bytes, bytes]:
     raw, back = np.array(ids, dtype="<u4").tobytes(), enc.decode_bytes(ids)
     if digest:

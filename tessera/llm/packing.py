@@ -36,9 +36,7 @@ def _tokenised(ranks_path: str, pattern: str, window: int, end_id: int, shards:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows: list[tuple] = []
             for doc_id, text in zip(ids_of, texts, strict=True):
-                ids = enc.encode_ordinary(text or "")
-                ids.append(end_id)
-                codes = np.array(ids, "<u4")
+                codes = np.append(bpe.ids_of(text, enc, pattern), np.array([end_id], "<u4"))
                 raw = memoryview(codes.tobytes())
                 full = len(codes) // window * window
                 crcs = [zlib.crc32(raw[i * 4 : (i + window) * 4]) for i in range(0, full, window)]
