@@ -25,16 +25,22 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import components, stored
 from tessera.llm.words import Block, blocks, mix, sequences
 
-CELLS = 1 << 14
+CELLS = 1 << 20
+SEGMENT = 1 << 14
 SHORT = 16
 PIVOTS = 4
-ROUNDS = 3
+ROUNDS = 2
+BLOCK = 512
+PAIRED = 256  # pairs a row of long postings may make on average before pivots thin them out
 BITS = 1 << 26
+BINS = 128
+MOST_SENT = 1 << 20  # endpoints of pairs that may be broadcast (24 bytes each); beyond, both sides are shuffled
 _FLUSH = 1 << 20
 _NONE = -(1 << 63)
 _U = np.uint64
-_ENTRY = "bucket int, kind int, a binary, b binary, c binary, d binary"
-_FOUND = "kind int, a long, b long, n int, doc long"
+_ENTRY = "bucket int, kind int, a binary, b binary, c binary, d binary, bins binary"
+_ENTRY_NAMES = [c.split()[0] for c in _ENTRY.split(", ")]
+_FOUND = "kind int, a long, b long, n int, doc long, bins binary"
 
 
 def row_sets(block: Block, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -66,12 +72,34 @@ def _count(k: int):
             for block in blocks(batch.column(0), fold=True):
                 h, ok = sequences(block, k)
                 total += np.bincount((h[ok] % _U(CELLS)).astype(np.int64), minlength=CELLS)
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
+        parts = np.minimum(total, 65535).astype("<u2").reshape(-1, SEGMENT)
+        used = np.flatnonzero(parts.any(axis=1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["segment", "counts"])
 
     return count
 
 
+def _sum(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    total = np.zeros(SEGMENT, np.int64)
+    for counts in table.column("counts"):
+        total += np.frombuffer(counts.as_buffer(), "<u2")
+    return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())})
+
+
+def _weights(texts: DataFrame, k: int) -> np.ndarray:
+    """How often the shingles of each of CELLS hash cells occur in all texts: rare ones come first."""
+    counted = texts.select("text").mapInArrow(_count(k), "segment int, counts binary").groupBy("segment").applyInArrow(_sum, "segment int, counts binary")
+    weight = np.zeros((CELLS // SEGMENT, SEGMENT), np.int32)
+    for row in counted.collect():
+        weight[row["segment"]] = np.frombuffer(row["counts"], "<i4")
+    return weight.ravel()
+
+
+def histogram(own: np.ndarray) -> bytes:
+    """Counts of a set's members by BINS cells, up to 255 each."""
+    return np.minimum(np.bincount((own >> _U(56) & _U(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def _entries(k: int, percent: int, order, buckets: int):
     """Prefix entries (token, group, size), one for each group of a task, and a profile of each row."""
 
@@ -92,15 +120,17 @@ def _entries(k: int, percent: int, order, buckets: int):
             cut = np.searchsorted(place[by], np.arange(buckets + 1))
             used = [b for b in range(buckets) if cut[b] < cut[b + 1]]
             parts = [[x[by[cut[b] : cut[b + 1]]].tobytes() for b in used] for x in (token, group, size)]
-            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([1] * len(used), pa.int32()), *(pa.array(p, pa.binary()) for p in parts), pa.nulls(len(used), pa.binary())], names=["bucket", "kind", "a", "b", "c", "d"])
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([1] * len(used), pa.int32()), *(pa.array(p, pa.binary()) for p in parts), pa.nulls(len(used), pa.binary()), pa.nulls(len(used), pa.binary())], names=_ENTRY_NAMES)
 
         for batch in batches:
             docs = batch.column(0).fill_null(_NONE).to_numpy()
             for block in blocks(batch.column(1), fold=True):
                 ids, groups, sizes = np.zeros(block.rows, _U), np.zeros(block.rows, _U), np.zeros(block.rows, np.int32)
+                bins = []
                 for row, own in row_sets(block, k):
                     n = len(own)
                     ids[row], sizes[row] = set_id(own), n
+                    bins.append(histogram(own))
                     if not n:
                         continue
                     prefix = own[np.argsort(weight[(own % _U(CELLS)).astype(np.int64)], kind="stable")[: n - (n * percent + 99) // 100 + 1]]
@@ -112,9 +142,9 @@ def _entries(k: int, percent: int, order, buckets: int):
                         owners.append((group, n, len(prefix)))
                         held += len(prefix)
                 own_docs = docs[block.first : block.first + block.rows]
-                parts = [x.tobytes() for x in (own_docs, ids, groups, sizes)]
+                parts = [*(x.tobytes() for x in (own_docs, ids, groups, sizes)), b"".join(bins)]
                 bucket = int(own_docs[0] % buckets) if block.rows else 0
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([0], pa.int32()), *(pa.array([p], pa.binary()) for p in parts)], names=["bucket", "kind", "a", "b", "c", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([0], pa.int32()), *(pa.array([p], pa.binary()) for p in parts)], names=_ENTRY_NAMES)
                 if held >= _FLUSH:
                     yield flush()
                     tokens.clear()
@@ -130,10 +160,10 @@ def _joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, dtype) for x in column.to_pylist()] or [np.zeros(0, dtype)])
 
 
-def _rows(kind: int, a, b, n, doc) -> pa.RecordBatch:
+def _rows(kind: int, a, b, n, doc, bins: list | None = None) -> pa.RecordBatch:
     as_long = [np.asarray(x).view(np.int64) if np.asarray(x).dtype == _U else np.asarray(x, np.int64) for x in (a, b, doc)]
     count = len(as_long[0])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(count, kind, np.int32)), pa.array(as_long[0]), pa.array(as_long[1]), pa.array(np.asarray(n, np.int32)), pa.array(as_long[2])], names=["kind", "a", "b", "n", "doc"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(count, kind, np.int32)), pa.array(as_long[0]), pa.array(as_long[1]), pa.array(np.asarray(n, np.int32)), pa.array(as_long[2]), pa.array(bins or [None] * count, pa.binary())], names=["kind", "a", "b", "n", "doc", "bins"])
 
 
 def _postings(percent: int):
@@ -141,7 +171,8 @@ def _postings(percent: int):
 
     def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         profile = table.filter(pc.equal(table.column("kind"), 0))
-        out = [_rows(0, _joined(profile.column("b"), _U), _joined(profile.column("c"), _U), _joined(profile.column("d"), np.int32), _joined(profile.column("a"), np.int64))]
+        bins = [x[i : i + BINS] for x in profile.column("bins").to_pylist() for i in range(0, len(x), BINS)]
+        out = [_rows(0, _joined(profile.column("b"), _U), _joined(profile.column("c"), _U), _joined(profile.column("d"), np.int32), _joined(profile.column("a"), np.int64), bins)]
         entry = table.filter(pc.equal(table.column("kind"), 1))
         token, group, size = _joined(entry.column("a"), _U), _joined(entry.column("b"), _U), _joined(entry.column("c"), np.int32)
         by = np.lexsort((group, token))
@@ -184,6 +215,55 @@ def _sets(k: int, wanted):
     return gather
 
 
+def _likely(percent: int):
+    """Pairs whose histograms leave similarity possible: they differ by no more than the sets may."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            n, x, y = (batch.column(batch.schema.names.index(c)) for c in ("both", "x", "y"))
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in (x, y))
+            apart = np.abs(x - y).sum(axis=1).astype(np.int64)
+            ok = apart * (100 + percent) <= (100 - percent) * n.to_numpy()  # |difference| <= (1 - t) / (1 + t) of both sizes
+            yield batch.filter(pa.array(ok)).select(["u1", "u2", "r1", "r2"])
+
+    return keep
+
+
+def _crossing(percent: int):
+    """Of a long posting, or two of its blocks: likely pairs of different components,
+    each in the least of the long postings that it shares only."""
+
+    def cross(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        token, one, two = (k.as_py() for k in key)
+        u, n, rep, component, block = (table.column(c).to_numpy() for c in ("u", "n", "rep", "component", "block"))
+        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        tokens = table.column("tokens").combine_chunks()
+        owner, flat = np.repeat(np.arange(len(u)), np.diff(tokens.offsets.to_numpy())), tokens.flatten().to_numpy()
+        known, place = np.unique(flat[flat < token], return_inverse=True)
+        lower = np.zeros((len(u), len(known)), np.float32)
+        lower[owner[flat < token], place] = 1
+        left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+        found = [np.zeros((0, 2), np.int64)]
+        for at in range(0, len(left), 64):
+            i = left[at : at + 64]
+            low, high = np.minimum(n[i, None], n[right]).astype(np.int64), np.maximum(n[i, None], n[right]).astype(np.int64)
+            ok = (component[i, None] != component[right]) & (low * 100 >= high * percent) & (lower[i] @ lower[right].T == 0)
+            if one == two:
+                ok &= i[:, None] < right
+            x, y = np.nonzero(ok)
+            apart = np.abs(bins[i[x]] - bins[right[y]]).sum(axis=1).astype(np.int64)
+            fits = apart * (100 + percent) <= (100 - percent) * (n[i[x]].astype(np.int64) + n[right[y]])
+            found.append(np.stack((i[x[fits]], right[y[fits]]), axis=1))
+        pair = np.concatenate(found)
+        swap = rep[pair[:, 0]] > rep[pair[:, 1]]
+        pair[swap] = pair[swap][:, ::-1]
+        return pa.table({"u1": u[pair[:, 0]], "u2": u[pair[:, 1]], "r1": rep[pair[:, 0]], "r2": rep[pair[:, 1]]})
+
+    return cross
+
+
 def _similar(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,26 +298,28 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     buckets = max(128, -(-texts.count() // 2000))
-    cells = texts.select("text").mapInArrow(_count(k), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    weight = np.zeros(CELLS, np.int64)
-    weight[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    order = spark.sparkContext.broadcast(weight)  # CELLS values, whatever the input
+    order = spark.sparkContext.broadcast(_weights(texts, k))  # CELLS values, whatever the input
 
     found = texts.mapInArrow(_entries(k, percent, order, buckets), _ENTRY).groupBy("bucket").applyInArrow(_postings(percent), _FOUND)
     found = stored(found, "postings")
-    profiles = found.where("kind = 0").select(F.when(F.col("doc") != _NONE, F.col("doc")).alias("doc_id"), F.col("a").alias("u"), F.col("b").alias("g"), "n")
-    units = stored(profiles.where("n > 0 and doc_id is not null").groupBy("u").agg(F.min("g").alias("g"), F.min("n").alias("n"), F.min("doc_id").alias("rep")), "units")
+    profiles = found.where("kind = 0").select(F.when(F.col("doc") != _NONE, F.col("doc")).alias("doc_id"), F.col("a").alias("u"), F.col("b").alias("g"), "n", "bins")
+    units = stored(profiles.where("n > 0 and doc_id is not null").groupBy("u").agg(F.min("g").alias("g"), F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.min("bins").alias("bins")), "units")
     groups = units.groupBy("g").agg(F.count("*").alias("members"))
     plain, crowded = units.join(groups.where(F.col("members") <= SHORT), "g"), units.join(groups.where(F.col("members") > SHORT), "g", "left_semi")
 
     def side(members: DataFrame, i: int) -> DataFrame:
-        return members.select(F.col("g").alias(f"g{i}"), F.col("u").alias(f"u{i}"), F.col("n").alias(f"n{i}"), F.col("rep").alias(f"r{i}"))
+        return members.select(*(F.col(c).alias(f"{a}{i}") for c, a in (("g", "g"), ("u", "u"), ("n", "n"), ("rep", "r"), ("bins", "bins"))))
+
+    def likely(candidates: DataFrame) -> DataFrame:
+        kept = candidates.where(_sized(percent)).select("u1", "u2", "r1", "r2", (F.col("n1") + F.col("n2")).cast("long").alias("both"), F.col("bins1").alias("x"), F.col("bins2").alias("y"))
+        return kept.mapInArrow(_likely(percent), "u1 long, u2 long, r1 long, r2 long")
 
-    pairs = found.where("kind = 1").select(F.col("a").alias("g1"), F.col("b").alias("g2")).distinct()
+    pairs = stored(found.where("kind = 1").select(F.col("a").alias("g1"), F.col("b").alias("g2")).distinct(), "groups")
     big = crowded.select("g").distinct()
-    across = pairs.join(side(plain, 1), "g1").join(side(plain, 2), "g2").select("u1", "u2", "r1", "r2")
-    within = side(plain.where("members > 1"), 1).join(side(plain.where("members > 1"), 2), (F.col("g1") == F.col("g2")) & (F.col("u1") < F.col("u2"))).select("u1", "u2", "r1", "r2")
-    first = stored(across.union(within), "pairs")
+    across = pairs.join(side(plain, 1), "g1").join(side(plain, 2), "g2")
+    several = plain.where("members > 1")
+    within = side(several, 1).join(side(several, 2), (F.col("g1") == F.col("g2")) & (F.col("u1") < F.col("u2")))
+    first = stored(likely(across.unionByName(within)), "pairs")
     mixed = pairs.join(big.withColumnRenamed("g", "g1"), "g1", "left_semi").union(pairs.join(big.withColumnRenamed("g", "g2"), "g2", "left_semi").select("g1", "g2")).distinct()
     token = F.xxhash64("g1", "g2").alias("token")
     runs = [
@@ -246,7 +328,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
         mixed.select(token, F.col("g1").alias("g")),
         mixed.select(token, F.col("g2").alias("g")),
     ]
-    long = stored(reduce(DataFrame.union, runs).join(units, "g").select("token", "u", "n", "rep"), "long")
+    long = stored(reduce(DataFrame.union, runs).distinct().join(units.select("g", "u", "n", "rep"), "g").select("token", "u", "n", "rep"), "long")
 
     wanted = first.select(F.col("r1").alias("rep")).union(first.select("r2")).union(long.select("rep")).distinct()
     cell = _bit(F.col("rep"))
@@ -256,13 +338,15 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
         bitmap[(row["at"] - 1) * 4096 : row["at"] * 4096] = row["bits"]
     marked = spark.sparkContext.broadcast(bytes(bitmap))
     candidates = texts.where("doc_id is not null").select(_bit(F.col("doc_id")).alias("h"), "text")
-    sets = candidates.mapInArrow(_sets(k, marked), "u long, own binary").groupBy("u").agg(F.first("own").alias("own"))
+    sets = candidates.mapInArrow(_sets(k, marked), "u long, own binary")
     sets = stored(sets.join(units.join(wanted, "rep", "left_semi").select("u"), "u", "left_semi"), "sets")
 
     def verified(candidates: DataFrame) -> DataFrame:
-        both = candidates.select("u1", "u2", "r1", "r2").join(sets.select(F.col("u").alias("u1"), F.col("own").alias("x")), "u1")
-        both = both.join(sets.select(F.col("u").alias("u2"), F.col("own").alias("y")), "u2")
-        return stored(both.select("r1", "r2", "x", "y").mapInArrow(_similar(percent), "src long, dst long"), "links")
+        ends = candidates.select("r1", "r2", F.explode(F.array(F.struct(F.col("u1").alias("u"), F.lit(1).alias("end")), F.struct(F.col("u2").alias("u"), F.lit(2).alias("end")))).alias("e")).select("r1", "r2", "e.*")
+        if candidates.count() * 2 <= MOST_SENT:
+            ends = F.broadcast(ends)
+        met = sets.join(ends, "u").groupBy("r1", "r2").agg(F.max(F.when(F.col("end") == 1, F.col("own"))).alias("x"), F.max(F.when(F.col("end") == 2, F.col("own"))).alias("y"))
+        return stored(met.mapInArrow(_similar(percent), "src long, dst long"), "links")
 
     links = verified(first)
     for turn in range(ROUNDS + 1):
@@ -273,19 +357,31 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
         long = long.select("token", "u", "n", "rep", F.coalesce("component", "rep").alias("component"))
         split = long.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
         long = stored(long.join(split, "token", "left_semi"), "long")
-        left = long.select("token", F.col("u").alias("u1"), F.col("n").alias("n1"), F.col("rep").alias("r1"), F.col("component").alias("c1"))
-        member = F.struct("u", "n", "rep", "component")
-        if turn < ROUNDS:
+        runs = long.groupBy("token", "component").count().groupBy("token").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own"))
+        rows, crossings = runs.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.col("m") * F.col("m") - F.col("own")), F.lit(0))).first()
+        last = turn == ROUNDS or crossings <= 2 * PAIRED * rows
+        if last:
+            blocks_of = long.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+            dealt = long.join(blocks_of, "token").join(units.select("u", "bins"), "u").withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
+            dealt = dealt.join(long.groupBy("u").agg(F.collect_set("token").alias("tokens")), "u")
+            dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+            dealt = dealt.select("token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "u", "n", "rep", "component", "bins", "tokens")
+            fresh = dealt.groupBy("token", "one", "two").applyInArrow(_crossing(percent), "u1 long, u2 long, r1 long, r2 long").distinct()
+        else:
+            member = F.struct("u", "n", "rep", "component")
             picks = [F.min(F.struct(F.xxhash64(F.col("u"), F.lit(turn * PIVOTS + i)).alias("h"), member.alias("m"))).alias(f"p{i}") for i in range(PIVOTS)]
             right = long.groupBy("token").agg(*picks).select("token", F.explode(F.array(*(F.col(f"p{i}.m") for i in range(PIVOTS)))).alias("m")).distinct()
             right = right.select("token", F.col("m.u").alias("u2"), F.col("m.n").alias("n2"), F.col("m.rep").alias("r2"), F.col("m.component").alias("c2"))
-        else:
-            right = long.select("token", F.col("u").alias("u2"), F.col("n").alias("n2"), F.col("rep").alias("r2"), F.col("component").alias("c2"))
-        crossing = left.join(right, "token").where((F.col("c1") != F.col("c2")) & _sized(percent))
-        if turn == ROUNDS:
-            crossing = crossing.where("c1 < c2")
-        ordered = crossing.select(F.when(F.col("r1") < F.col("r2"), F.struct("u1", "u2", "r1", "r2")).otherwise(F.struct(F.col("u2").alias("u1"), F.col("u1").alias("u2"), F.col("r2").alias("r1"), F.col("r1").alias("r2"))).alias("p"))
-        links = links.union(verified(ordered.select("p.*").distinct()))
+            left = long.select("token", F.col("u").alias("u1"), F.col("n").alias("n1"), F.col("rep").alias("r1"), F.col("component").alias("c1"))
+            crossing = left.join(right, "token").where((F.col("c1") != F.col("c2")) & _sized(percent))
+            ordered = crossing.select(F.when(F.col("r1") < F.col("r2"), F.struct("u1", "u2", "r1", "r2")).otherwise(F.struct(F.col("u2").alias("u1"), F.col("u1").alias("u2"), F.col("r2").alias("r1"), F.col("r1").alias("r2"))).alias("p"))
+            ordered = ordered.select("p.*").distinct()
+            for i in (1, 2):
+                ordered = ordered.join(units.select(F.col("u").alias(f"u{i}"), F.col("n").alias(f"n{i}"), F.col("bins").alias(f"bins{i}")), f"u{i}")
+            fresh = likely(ordered)
+        links = links.union(verified(stored(fresh, "pairs")))
+        if last:
+            break
 
     label = components(links).select(F.col("node").alias("rep"), "component")
     reps = units.join(label, "rep", "left").select("u", F.coalesce("component", "rep").alias("component"))

@@ -34,20 +34,19 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     comes to the driver.  Self-loops, repeated edges and nulls are allowed.
     """
     low, high = F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")
-    left = stored(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(low, high).distinct(), "edges")
-    node_type = left.schema["a"].dataType
-    label = stored(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().withColumn("component", F.col("node").cast(node_type)), "labels")
-    left = left.where("a < b")
+    edges = stored(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(low, high).distinct(), "edges")
+    left, moves = edges.where("a < b"), []
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
         to = both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
-        to = stored(to, "to")
         for _ in range(2):
             step = to.select(F.col("a").alias("p"), F.col("p").alias("q"))
             to = to.join(step, "p").select("a", F.col("q").alias("p"))
-        to = stored(to, "to")
-        label = stored(label.join(to, F.col("component") == F.col("a"), "left").select("node", F.coalesce("p", "component").alias("component")), "labels")
-        of_a, of_b = to.select("a", F.col("p").alias("x")), to.select(F.col("a").alias("b"), F.col("p").alias("y"))
+        moves.append(stored(to, "moves"))
+        of_a, of_b = moves[-1].select("a", F.col("p").alias("x")), moves[-1].select(F.col("a").alias("b"), F.col("p").alias("y"))
         moved = left.join(of_a, "a").join(of_b, "b").where("x <> y")
         left = stored(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-    return label
+    label = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node"))
+    for to in moves:
+        label = label.join(to, F.col("component") == F.col("a"), "left").select("node", F.coalesce("p", "component").alias("component"))
+    return stored(label, "labels")
