@@ -348,11 +348,18 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
         met = sets.join(ends, "u").groupBy("r1", "r2").agg(F.max(F.when(F.col("end") == 1, F.col("own"))).alias("x"), F.max(F.when(F.col("end") == 2, F.col("own"))).alias("y"))
         return stored(met.mapInArrow(_similar(percent), "src long, dst long"), "links")
 
-    links = verified(first)
+    # each member and its least likely partner first: what these links join needs no other pair
+    ordered = first.select(*(F.when(F.col("r1") < F.col("r2"), F.col(f"{c}{i}")).otherwise(F.col(f"{c}{3 - i}")).alias(f"{c}{i}") for c in "ur" for i in (1, 2)))
+    star = ordered.groupBy("u2", "r2").agg(F.min(F.struct("r1", "u1")).alias("p")).select("p.u1", "u2", "p.r1", "r2")
+    links = verified(star)
+    known = components(links)
+    of = [known.select(F.col("node").alias(f"r{i}"), F.col("component").alias(f"c{i}")) for i in (1, 2)]
+    rest = ordered.distinct().join(of[0], "r1", "left").join(of[1], "r2", "left").where(F.coalesce("c1", "r1") != F.coalesce("c2", "r2"))
+    links = links.union(verified(stored(rest.join(star, ["r1", "r2"], "left_anti").select("u1", "u2", "r1", "r2"), "pairs")))
     for turn in range(ROUNDS + 1):
         if long.isEmpty():
             break
-        known = components(links)
+        known = components(links) if turn else known
         long = long.select("token", "u", "n", "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left")
         long = long.select("token", "u", "n", "rep", F.coalesce("component", "rep").alias("component"))
         split = long.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
