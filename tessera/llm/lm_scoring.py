@@ -3,14 +3,17 @@
 The network sees the words on both sides of a masked position, never the word
 itself: learned rows for (word, offset) are summed and squashed into a hidden
 vector, from which a two-level softmax (class, then place within the class)
-gives the word's probability.  Every task trains a copy, in numpy, on its share
-of all documents; Spark averages the copies.  A document's score is the sum of
-its words' conditional log-probabilities.
+gives the word's probability.  Every word that is frequent enough has an id of
+its own, so the vocabulary grows with the corpus; a rarer word is spelled by
+pieces of up to three characters, and a rare piece by its UTF-8 bytes, so that
+no two words share their ids.  Every task trains a copy, in numpy, on all
+positions of its share of the documents; Spark averages the copies.  A
+document's score is the sum of the conditional log-probabilities of its words
+and, where they are rare, of each of their pieces.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,44 +23,91 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CLASSES = PLACES = 32
-TOKENS = CLASSES * PLACES
-OTHERS = 64  # ids that words outside the vocabulary share
-PAD = TOKENS
+from tessera.llm.shared import stored
+
+PLACES = 256
+TOKENS = 512  # ids that always exist: bytes within a word, then bytes at a word's end
+PAD = -1  # the last row
+PIECE = 3
 HIDDEN = 16
 OFFSETS = (-2, -1, 1, 2)
-BATCH = 1024
+BATCH, FIRST, LARGE = 1024, 1 << 17, 8192  # positions a step: until FIRST are trained, and from there on
 BLOCK_TOKENS = 1 << 17
 RATE = 0.2
-_FIXED = 1 << 24  # parameters are averaged as fixed-point numbers, so that sums don't depend on their order
-_SHARE = 1 << 17
+_FIXED = 1 << 20  # parameters are averaged as fixed-point numbers, so that sums don't depend on their order
+_CHUNK = 1 << 13  # parameters in a row
+_HELD = 500_000  # words that a task counts at once, or whose spelling it remembers
 
 
 def words_of(text: str | None) -> list[str]:
     return text.lower().replace(".", " ").replace(",", " ").split() if text else []
 
 
+def pieces_of(word: str) -> list[str]:
+    """What a rare word is spelled by, as keys of the vocabulary that are no words; the last one is marked."""
+    return ["\n" + word[i : i + PIECE] + ("\n" if i + PIECE >= len(word) else "") for i in range(0, len(word), PIECE)]
+
+
+def _counted(counts: Counter[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's counts of words that are at least one in _SHARE of its words."""
+    """A task's counts of all of its words; a word may come several times."""
+    counts: Counter[str] = Counter()
+    for batch in batches:
+        for at in range(0, len(batch), 512):
+            for text in batch.column(0).slice(at, 512).to_pylist():
+                counts.update(words_of(text))
+            if len(counts) > _HELD:
+                yield _counted(counts)
+                counts = Counter()
+    yield _counted(counts)
+
+
+def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of the pieces of counted words."""
     counts: Counter[str] = Counter()
-    total = 0
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            own = words_of(text)
-            total += len(own)
-            counts.update(own)
-        if len(counts) > 1_000_000:  # what can't reach its share any more
-            counts = Counter({w: n for w, n in counts.items() if n * _SHARE >= total})
-    kept = sorted((w, n) for w, n in counts.items() if n * _SHARE >= total)
-    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
+        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for piece in pieces_of(word):
+                counts[piece] += n
+        if len(counts) > _HELD:
+            yield _counted(counts)
+            counts = Counter()
+    yield _counted(counts)
+
+
+def spelled(word: str, vocabulary: dict[str, int]) -> list[int]:
+    """The ids of a word outside the vocabulary."""
+    out: list[int] = []
+    for piece in pieces_of(word):
+        own = vocabulary.get(piece)
+        if own is not None:
+            out.append(own)
+            continue
+        out += piece.strip("\n").encode("utf-8", "surrogatepass")
+        if piece[-1] == "\n":
+            out[-1] += 256
+    return out
 
 
-def token_ids(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
-    own = words_of(text)
-    found = np.fromiter((vocabulary.get(w, -1) for w in own), np.int32, len(own))
-    for i in np.flatnonzero(found < 0).tolist():
-        found[i] = TOKENS - OTHERS + zlib.crc32(own[i][-3:].encode()) % OTHERS  # by its ending
-    return found
+def token_ids(text: str | None, vocabulary: dict[str, int], rare: dict[str, list[int]] | None = None) -> np.ndarray:
+    """Ids of a text; rare remembers how words outside the vocabulary are spelled."""
+    rare = {} if rare is None else rare
+    out: list[int] = []
+    for word in words_of(text):
+        own = vocabulary.get(word)
+        if own is not None:
+            out.append(own)
+            continue
+        found = rare.get(word)
+        if found is None:
+            if len(rare) >= _HELD:
+                rare.clear()
+            found = rare[word] = spelled(word, vocabulary)
+        out += found
+    return np.array(out, np.int32)
 
 
 @dataclass
@@ -68,13 +118,15 @@ class Network:
     places: np.ndarray  # class, place, hidden + 1
 
     @staticmethod
-    def start(seed: int = 7) -> Network:
+    def start(tokens: int, seed: int = 7) -> Network:
+        """A network for ids below tokens."""
         draw = np.random.default_rng(seed)
+        classes = -(-tokens // PLACES)
         return Network(
-            draw.normal(0, 0.1, (len(OFFSETS), TOKENS + 1, HIDDEN)).astype(np.float32),
+            draw.normal(0, 0.1, (len(OFFSETS), tokens + 1, HIDDEN)).astype(np.float32),
             np.zeros(HIDDEN, np.float32),
-            draw.normal(0, 0.1, (CLASSES, HIDDEN + 1)).astype(np.float32),
-            draw.normal(0, 0.1, (CLASSES, PLACES, HIDDEN + 1)).astype(np.float32),
+            draw.normal(0, 0.1, (classes, HIDDEN + 1)).astype(np.float32),
+            draw.normal(0, 0.1, (classes, PLACES, HIDDEN + 1)).astype(np.float32),
         )
 
     def parts(self) -> list[np.ndarray]:
@@ -105,12 +157,8 @@ class Network:
         cls, place = np.divmod(token, PLACES)
         h = self.hidden(context)
         out = _log_soft(h @ self.classes.T, cls)
-        order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[edge[c] : edge[c + 1]]
-            if len(own):
-                out[own] += _log_soft(h[own] @ self.places[c].T, place[own])
+        for c, own in _by_class(cls):
+            out[own] += _log_soft(h[own] @ self.places[c].T, place[own])
         return out
 
     def step(self, context: np.ndarray, token: np.ndarray, seen: Network) -> None:
@@ -122,15 +170,12 @@ class Network:
         g[np.arange(n), cls] -= 1
         back = g @ self.classes
         _adagrad(self.classes, seen.classes, g.T @ h / n)
-        order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[edge[c] : edge[c + 1]]
-            if len(own):
-                g = _soft(h[own] @ self.places[c].T)
-                g[np.arange(len(own)), place[own]] -= 1
-                back[own] += g @ self.places[c]
-                _adagrad(self.places[c], seen.places[c], g.T @ h[own] / n)
+        for c, own in _by_class(cls):
+            near = h[own]
+            g = _soft(near @ self.places[c].T)
+            g[np.arange(len(own)), place[own]] -= 1
+            back[own] += g @ self.places[c]
+            _adagrad(self.places[c], seen.places[c], g.T @ near / n)
         inner = back[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2) / n
         _adagrad(self.bias, seen.bias, inner.sum(axis=0))
         for j in range(len(OFFSETS)):
@@ -143,6 +188,14 @@ class Network:
             self.rows[j][who] -= RATE * grad / (np.sqrt(seen.rows[j][who]) + 1e-6)
 
 
+def _by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each class that occurs, and where."""
+    order = np.argsort(cls, kind="stable")
+    at = np.flatnonzero(np.diff(cls[order], prepend=-1))
+    for c, own in zip(cls[order[at]].tolist(), np.split(order, at[1:]), strict=True):
+        yield c, own
+
+
 def _adagrad(value: np.ndarray, seen: np.ndarray, grad: np.ndarray) -> None:
     seen += grad * grad
     value -= RATE * grad / (np.sqrt(seen) + 1e-6)
@@ -174,12 +227,12 @@ def contexts(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _blocks(texts: list[str | None], vocabulary: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _blocks(texts: list[str | None], vocabulary: dict[str, int], rare: dict[str, list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(tokens, bounds) of runs of documents of about BLOCK_TOKENS tokens."""
     held: list[np.ndarray] = []
     total = 0
     for text in texts:
-        held.append(token_ids(text, vocabulary))
+        held.append(token_ids(text, vocabulary, rare))
         total += len(held[-1])
         if total >= BLOCK_TOKENS:
             yield np.concatenate(held), np.concatenate(([0], np.cumsum([len(x) for x in held])))
@@ -188,60 +241,76 @@ def _blocks(texts: list[str | None], vocabulary: dict[str, int]) -> Iterator[tup
         yield np.concatenate(held), np.concatenate(([0], np.cumsum([len(x) for x in held])))
 
 
-def fit(docs: DataFrame, text_col: str = "text", stride: int = 4) -> tuple[dict[str, int], Network]:
+def vocabulary_of(texts: DataFrame, floor: int) -> dict[str, int]:
+    """Ids of all words that occur at least floor times, and of the pieces of rarer ones that do.
+
+    The counts of all words are a stored table.  What comes to the driver are
+    the entries of the vocabulary, of which there can't be more than a floor-th
+    of the corpus's words and pieces.
+    """
+    counts = stored(texts.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    common = counts.where(F.col("n") >= floor)
+    pieces = counts.where(F.col("n") < floor).mapInArrow(_count_pieces, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
+    found = common.union(pieces).toArrow()
+    order = sorted(zip(found.column("n").to_pylist(), found.column("word").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
+    return {word: TOKENS + i for i, (_, word) in enumerate(order)}
+
+
+def fit(docs: DataFrame, text_col: str = "text", floor: int = 256) -> tuple[dict[str, int], Network]:
     """The vocabulary and the averaged network, from every document.
 
-    Word counts cover all words that are frequent in some task; each task
-    trains on every stride-th position of each of its documents and its
+    Each task trains on every position of each of its documents and its
     parameters weigh as many positions as it trained on.  Vocabulary and
-    parameters have a fixed size.
+    parameters grow with the words that occur at least floor times.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"))
-    common = texts.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(TOKENS - OTHERS).collect()
-    words = {r["word"]: i for i, r in enumerate(common)}
-    held = spark.sparkContext.broadcast(words)  # TOKENS words, whatever the input
+    words = vocabulary_of(texts, floor)
+    size = TOKENS + len(words)
+    held = spark.sparkContext.broadcast(words)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, seen = Network.start(), Network.start()
+        network, seen = Network.start(size), Network.start(size)
         for p in seen.parts():
             p[...] = 1e-8
         trained = 0
         kept_c, kept_t, waiting = [], [], 0
+        rare: dict[str, list[int]] = {}
         for batch in batches:
             for at in range(0, len(batch), 512):
-                for tokens, bounds in _blocks(batch.column(0).slice(at, 512).to_pylist(), held.value):
-                    place = np.arange(len(tokens)) - np.repeat(bounds[:-1], np.diff(bounds))
-                    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                    own = np.flatnonzero((place + row) % stride == 0)
-                    kept_c.append(contexts(tokens, bounds)[own])
-                    kept_t.append(tokens[own])
-                    waiting += len(own)
-                    if waiting >= 16 * BATCH:
-                        trained += _train(network, seen, kept_c, kept_t)
+                for tokens, bounds in _blocks(batch.column(0).slice(at, 512).to_pylist(), held.value, rare):
+                    kept_c.append(contexts(tokens, bounds))
+                    kept_t.append(tokens)
+                    waiting += len(tokens)
+                    if waiting >= 1 << 16:
+                        trained += _train(network, seen, kept_c, kept_t, trained)
                         kept_c, kept_t, waiting = [], [], 0
-        trained += _train(network, seen, kept_c, kept_t)
+        trained += _train(network, seen, kept_c, kept_t, trained)
         if trained:
-            flat = np.round(network.flat().astype(np.float64) * _FIXED).astype(np.int64) * trained
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1)), pa.array(np.concatenate((flat, [trained])))], names=["place", "value"])
+            flat = np.append(np.round(network.flat().astype(np.float64) * _FIXED).astype(np.int64) * trained, trained)
+            chunks = [flat[i : i + _CHUNK].tobytes() for i in range(0, len(flat), _CHUNK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int64()), pa.array(chunks, pa.binary())], names=["chunk", "value"])
+
+    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("value"))
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "value"])
 
-    summed = texts.mapInArrow(train, "place long, value long")
-    total = summed.groupBy("place").agg(F.sum(F.col("value").cast("decimal(30,0)")).cast("double").alias("value")).toArrow()
-    network = Network.start()
+    total = texts.mapInArrow(train, "chunk long, value binary").groupBy("chunk").applyInArrow(add, "chunk long, value binary").toArrow().sort_by("chunk")
+    network = Network.start(size)
     if len(total):
-        flat = np.zeros(len(total))
-        flat[total.column("place").to_numpy()] = total.column("value").to_numpy()
+        flat = np.frombuffer(b"".join(total.column("value").to_pylist()), np.int64)
         network.load(flat[:-1] / flat[-1] / _FIXED)
     return words, network
 
 
-def _train(network: Network, seen: Network, kept_c: list[np.ndarray], kept_t: list[np.ndarray]) -> int:
+def _train(network: Network, seen: Network, kept_c: list[np.ndarray], kept_t: list[np.ndarray], before: int) -> int:
     if not kept_t:
         return 0
     context, token = np.concatenate(kept_c), np.concatenate(kept_t)
     order = np.random.default_rng(len(token)).permutation(len(token))
-    for at in range(0, len(order), BATCH):
-        own = order[at : at + BATCH]
+    step = BATCH if before < FIRST else LARGE
+    for at in range(0, len(order), step):
+        own = order[at : at + step]
         network.step(context[own], token[own], seen)
     return len(token)
 
@@ -249,8 +318,9 @@ def _train(network: Network, seen: Network, kept_c: list[np.ndarray], kept_t: li
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **fitting) -> DataFrame:
     """(doc_id, n_tokens, log_prob, mean_log_prob) of every row.
 
-    log_prob is the pseudo-likelihood: the sum over all words of the log of
-    their probability given both sides.  A text without words, or a null one,
+    log_prob is the pseudo-likelihood: the sum over all words, or the pieces of
+    rare ones, of the log of their probability given both sides; n_tokens counts
+    words.  A text without words, or a null one,
     has 0 tokens, a log_prob of 0 and a null mean; null ids and repeated rows
     are scored like others; other columns are not read.
     """
@@ -259,21 +329,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **fit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, net = held.value
+        rare: dict[str, list[int]] = {}
         for batch in batches:
             for at in range(0, len(batch), 512):
                 rows = batch.slice(at, 512)
-                sizes, sums = [], []
-                for tokens, bounds in _blocks(rows.column(1).to_pylist(), vocabulary):
+                texts, sums = rows.column(1).to_pylist(), []
+                for tokens, bounds in _blocks(texts, vocabulary, rare):
                     logs = np.concatenate([net.log_p(c, t) for c, t in _pieces(contexts(tokens, bounds), tokens)] or [np.zeros(0)])
                     run_sum = np.concatenate(([0.0], np.cumsum(logs)))
-                    sizes.append(np.diff(bounds))
                     sums.append(run_sum[bounds[1:]] - run_sum[bounds[:-1]])
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(sums))], names=["doc_id", "n_tokens", "log_prob"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(words_of(x)) for x in texts], pa.int64()), pa.array(np.concatenate(sums))], names=["doc_id", "n_tokens", "log_prob"])
 
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_prob double")
     return scored.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
 
 
-def _pieces(context: np.ndarray, token: np.ndarray, size: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pieces(context: np.ndarray, token: np.ndarray, size: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for at in range(0, len(token), size):
         yield context[at : at + size], token[at : at + size]

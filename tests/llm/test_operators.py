@@ -125,6 +125,19 @@ def test_lm_scores(spark):
     assert lm_scoring.score(df.limit(0)).isEmpty()
 
 
+def test_lm_vocabulary_grows_and_rare_words_differ(spark):
+    docs = [(i, f"{'a b c d ' * 40}w{i % 20}") for i in range(400)] + [(1000, "zqxing"), (1001, "abcing"), (1002, "\ud55c\uae00 zqxing")]
+    df = table(spark, docs)
+    small, network = lm_scoring.fit(df, floor=30)
+    assert {"a", "b", "c", "d"} <= set(small) and "w3" not in small
+    large, grown = lm_scoring.fit(df, floor=20)
+    assert {f"w{i}" for i in range(20)} <= set(large) and grown.rows.shape[1] > network.rows.shape[1]
+    ids = {w: tuple(lm_scoring.token_ids(w, small)) for w in ["zqxing", "abcing", "\ud55c\uae00", "ing", "g", "w3"]}
+    assert len(set(ids.values())) == len(ids)
+    by = {r["doc_id"]: r for r in lm_scoring.score(df, floor=30).collect()}
+    assert by[1000]["n_tokens"] == 1 and by[1000]["log_prob"] != by[1001]["log_prob"]
+
+
 # 3
 
 
