@@ -46,18 +46,30 @@ def parts(text: str, pattern: str, size: int = 1 << 20) -> Iterator[str]:
     """A text in pieces of about size characters that can be encoded one by one."""
     start, step = 0, size
     while len(text) - start > step:
-        at = boundaries(text[start : start + step], pattern)[:-2]  # the last two may be what the cut made
-        if len(at) < 2:
+        at = boundaries(text[start : start + step], pattern)[1:-2]  # the last two may be what the cut made
+        cut = next((x for x in reversed(at) if not text[start + x - 1].isspace()), 0)  # spaces at a piece's end would join
+        if not cut:
             step *= 2
             continue
-        yield text[start : start + at[-1]]
-        start, step = start + at[-1], size
+        yield text[start : start + cut]
+        start, step = start + cut, size
     yield text[start:]
 
 
-def ids_of(text: str | None, enc: tiktoken.Encoding, pattern: str) -> np.ndarray:
-    """Ids of a whole text, whose Python objects exist for one part at a time."""
-    return np.concatenate([np.array(enc.encode_ordinary(part), "<u4") for part in parts(text or "", pattern)])
+def ids_of(text: str | None, enc: tiktoken.Encoding, pattern: str, added: dict[str, int] | None = None) -> np.ndarray:
+    """Ids of a whole text, whose Python objects exist for one part at a time.
+
+    A string of added has its own id wherever it occurs, and what is before and
+    after it is encoded by itself.
+    """
+    found: list[np.ndarray] = []
+    between = [text or ""] if not added else regex.split("(" + "|".join(map(regex.escape, added)) + ")", text or "")
+    for i, piece in enumerate(between):
+        if i % 2:
+            found.append(np.array([added[piece]], "<u4"))
+        else:
+            found += [np.array(enc.encode_ordinary(part), "<u4") for part in parts(piece, pattern)]
+    return np.concatenate(found)
 
 
 def _codes(ids: list[int], enc: tiktoken.Encoding, digest: bool) -> tuple[int, bytes, bytes]:

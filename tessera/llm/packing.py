@@ -24,6 +24,7 @@ from tessera.llm import bpe
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 K1, B = 1.2, 0.75
+ADDED = {"<|endoftext|>": 50256}  # the added token of byte_bpe_50k.json, which the rank file lacks
 
 
 def _tokenised(ranks_path: str, pattern: str, window: int, end_id: int, shards: int):
@@ -31,12 +32,12 @@ def _tokenised(ranks_path: str, pattern: str, window: int, end_id: int, shards:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.encoding(ranks_path, pattern)
-        kind = _kind(max(enc.max_token_value, end_id))
+        kind = _kind(max(enc.max_token_value, end_id, *ADDED.values()))
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows: list[tuple] = []
             for doc_id, text in zip(ids_of, texts, strict=True):
-                codes = np.append(bpe.ids_of(text, enc, pattern), np.array([end_id], "<u4"))
+                codes = np.append(bpe.ids_of(text, enc, pattern, ADDED), np.array([end_id], "<u4"))
                 raw = memoryview(codes.tobytes())
                 full = len(codes) // window * window
                 crcs = [zlib.crc32(raw[i * 4 : (i + window) * 4]) for i in range(0, full, window)]
@@ -181,7 +182,8 @@ def _packed(window: int, query_terms: int, least_gap: int, kind: str):
 def pack(docs: DataFrame, ranks_path: str, pattern: str, window: int = 1024, end_id: int = 0, shard_rows: int = 1000, query_terms: int = 32, least_gap: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents.
 
-    A document is its ids and end_id; a null text counts as empty and so has
+    A document is its ids, with those of ADDED where their strings occur, and
+    end_id; a null text counts as empty and so has
     one token.  Full windows are cut from a document's start; gaps of up to
     least_gap tokens stay.  Repeated rows and null ids are packed like others;
     other columns are not read.  A shard holds about shard_rows documents; a
@@ -190,5 +192,5 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, window: int = 1024, end
     shards = max(64, -(-docs.count() // shard_rows))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = texts.mapInArrow(_tokenised(ranks_path, pattern, window, end_id, shards), "shard int, doc_id long, tokens long, crcs binary, rest binary")
-    kind = _kind(max(bpe.encoding(ranks_path, pattern).max_token_value, end_id))
+    kind = _kind(max(bpe.encoding(ranks_path, pattern).max_token_value, end_id, *ADDED.values()))
     return rows.groupBy("shard").applyInArrow(_packed(window, query_terms, least_gap, kind), PIECES)

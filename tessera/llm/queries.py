@@ -62,7 +62,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the rank file holds the same vocabulary as byte_bpe_50k.json
+    # the rank file and packing.ADDED hold the same vocabulary as byte_bpe_50k.json
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -407,6 +407,22 @@ def test_packing(spark):
     assert packing.pack(table(spark, docs).limit(0), RANKS_ONE, public_tokenizers.PATTERN).isEmpty()
 
 
+def test_packing_ids_are_those_of_the_json(spark):
+    text = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x\n\n<|endoftext|>\n\nword <|endoftext", "plain  text"]
+    text.append("word\n\n" * 40 + "<|endoftext|>" + "two  words " * 30)
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.pack(table(spark, list(enumerate(text))), RANKS_ONE, public_tokenizers.PATTERN).collect()
+    want = {i: own.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(text)}
+    assert 50256 in want[0] and {p["doc_id"] for p in pieces} == set(want)
+    for p in pieces:
+        part = want[p["doc_id"]][p["start"] : p["start"] + p["length"]]
+        assert p["doc_tokens"] == len(want[p["doc_id"]]) and zlib.crc32(np.array(part, "<u4").tobytes()) == p["ids_crc32"]
+    enc = bpe.encoding(RANKS_ONE, public_tokenizers.PATTERN)
+    for size in range(8, 40):  # wherever the cuts fall
+        for t in text:
+            assert sum((enc.encode_ordinary(x) for x in bpe.parts(t, public_tokenizers.PATTERN, size)), []) == enc.encode_ordinary(t)
+
+
 def test_packing_prefers_neighbours():
     draw = random.Random(4)
     topics = [[f"{t}{i}" for i in range(40)] for t in "abcdefgh"]
