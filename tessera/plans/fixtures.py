@@ -86,6 +86,28 @@ LAYOUTS_SQL = (
     + _grid_sql("grid", "lay", "video, first_frame, last_frame, version")
 )
 
+
+
+def all_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layout of every row of lineitem: an order is a video, a line a version."""
+    first, wide, tall = 30 * (F.col("l_partkey") % 10), 64 + 32 * (F.col("l_partkey") % 50), 64 + 32 * (F.col("l_suppkey") % 30)
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("video"),
+        first.cast("int").alias("first_frame"),
+        (first + 30 * (1 + F.col("l_suppkey") % 5) - 1).cast("int").alias("last_frame"),
+        (F.col("l_linenumber") - 1).cast("int").alias("version"),
+        F.struct(F.array(wide.cast("int"), (WIDTH - wide).cast("int")).alias("widths"), F.array(tall.cast("int"), (HEIGHT - tall).cast("int")).alias("heights")).alias("layout"),
+    )
+
+
+ALL_LAYOUTS_SQL = """lay as (
+  select 'o' || cast(l_orderkey as varchar) as video, cast(30 * (l_partkey % 10) as integer) as first_frame,
+    cast(30 * (l_partkey % 10) + 30 * (1 + l_suppkey % 5) - 1 as integer) as last_frame, cast(l_linenumber - 1 as integer) as version,
+    [cast(64 + 32 * (l_partkey % 50) as integer), cast(1920 - 64 - 32 * (l_partkey % 50) as integer)] as widths,
+    [cast(64 + 32 * (l_suppkey % 30) as integer), cast(1080 - 64 - 32 * (l_suppkey % 30) as integer)] as heights
+  from lineitem
+), """ + _grid_sql("grid", "lay", "video, first_frame, last_frame, version")
+
 #: The newest range of each frame of each video.
 STAB_SQL = """stab as (
   select video, frame, first_frame, version from (

@@ -450,8 +450,8 @@ def regret_candidates(spark, sf_dir):
 
 @query("select cast(w as integer) as width, cast(h as integer) as height, round(3.206e-06 * w * h * 30 + 2.592, 6) as seconds from (values (1920, 1080), (3840, 2160), (320, 240)) as s(w, h)")
 def encode_cost(spark, sf_dir):
-    sizes = [(1920, 1080), (3840, 2160), (320, 240)]
-    return spark.createDataFrame([(w, h, round(regret.encode_cost(w, h, X.GOP), 6)) for w, h in sizes], "width int, height int, seconds double")
+    sizes = spark.createDataFrame([(1920, 1080), (3840, 2160), (320, 240)], "width int, height int")
+    return sizes.withColumn("seconds", F.round(regret.encode_cost(F.col("width"), F.col("height"), X.GOP), 6))
 
 
 # Pixels
@@ -476,3 +476,119 @@ def tile_bitrate_share(spark, sf_dir):
     tiles = layouts.exploded(X.layouts(spark))
     share = F.floor(F.lit(8_000_000) * (F.col("width").cast("bigint") * F.col("height")) / F.lit(X.WIDTH * X.HEIGHT))
     return tiles.select("video", "first_frame", "version", "tile_no", share.cast("bigint").alias("bits_per_second"))
+
+
+# The same over all rows of the tables: no rows are left out, and layouts grow with lineitem
+
+
+@query(_det("select distinct 'w' as video, label, frame, x1, y1, x2, y2 from det"))
+def legacy_wh_view_all(spark, sf_dir):
+    return D.from_legacy(D.to_legacy(X.detections(spark, sf_dir)), "w")
+
+
+@query(_det("select video, frame // 30 as gop, frame // 30 * 30 as first, max(frame) as last from det where label = 'A' group by video, frame // 30"))
+def gop_read_ranges_all(spark, sf_dir):
+    return _as_int(catalog.read_ranges(D.pick(X.detections(spark, sf_dir), None, "A"), X.GOP), "gop", "first", "last")
+
+
+@query(_det("select distinct video, frame // 30 as gop, frame // 30 * 30 as first, frame // 30 * 30 + 29 as last from det where label = 'R'"))
+def gop_read_whole_all(spark, sf_dir):
+    return _as_int(catalog.read_ranges(D.pick(X.detections(spark, sf_dir), None, "R"), X.GOP, whole=True), "gop", "first", "last")
+
+
+# Each line shows one, two or three frames of every three, which leaves gaps without leaving out rows
+@query(
+    """with f as (select distinct 'o' || cast(l_orderkey as varchar) as video, cast(3 * l_linenumber + k as integer) as frame from lineitem, range(3) as r(k) where k < case l_returnflag when 'R' then 3 when 'A' then 2 else 1 end),
+      i as (select *, frame - row_number() over (partition by video order by frame) as island from f)
+    select video, min(frame) as first, max(frame) as last from i group by video, island"""
+)
+def contiguous_runs_all(spark, sf_dir):
+    shown = F.when(F.col("l_returnflag") == "R", 3).when(F.col("l_returnflag") == "A", 2).otherwise(1)
+    frames = F.explode(F.sequence(3 * F.col("l_linenumber"), 3 * F.col("l_linenumber") + shown - 1).cast("array<int>"))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return catalog.runs(rows.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("video"), frames.alias("frame")))
+
+
+@query(
+    _hits("b.label = 'R'")
+    + _SPAN
+    + " select video, first_frame, version, cast(tile_no as integer) as tile_no, cast(f as integer) as frame, tw as width, th as height from dec, unnest(range(first, last + 1)) as u(f)"
+)
+def select_tiles_with_prefix_all(spark, sf_dir):
+    return selecting.whole_tiles(_boxes(spark, sf_dir, None, "R"), X.layouts(spark), X.GOP, include_prefix=True)
+
+
+@query(
+    """with p as (select l_orderkey as k, l_linenumber as n, cast(16 + l_partkey % 220 as double) - 16 as y, cast(l_suppkey % 256 as double) - 128 as u, cast(l_orderkey % 256 as double) - 128 as v from lineitem),
+      m as (select 255.0 / 219 as s, 0.2126::double as wr, 0.0722::double as wb)
+    select k, n, cast(floor(least(greatest(s * y + s * 2 * (1 - wr) * v, 0), 255)) as integer) as r,
+      cast(floor(least(greatest(s * y - s * 2 * wb * (1 - wb) / (1 - wb - wr) * u - s * 2 * wr * (1 - wr) / (1 - wb - wr) * v, 0), 255)) as integer) as g,
+      cast(floor(least(greatest(s * y + s * 2 * (1 - wb) * u, 0), 255)) as integer) as b from p, m"""
+)
+def nv12_to_rgba_all(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    y, u, v = (16 + F.col("l_partkey") % 220).cast("double"), (F.col("l_suppkey") % 256).cast("double"), (F.col("l_orderkey") % 256).cast("double")
+    r, g, b = P.rgb(y, u, v)
+    return rows.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), r.alias("r"), g.alias("g"), b.alias("b"))
+
+
+@query(f"with {X.ALL_LAYOUTS_SQL} select video, first_frame, version, cast(tile_no as integer) as tile_no, tw as width, th as height, 3.206e-06 * tw * th * 30 + 2.592 as seconds from grid")
+def encode_cost_all(spark, sf_dir):
+    tiles = layouts.exploded(X.all_layouts(spark, sf_dir))
+    return tiles.select("video", "first_frame", "version", "tile_no", "width", "height", regret.encode_cost(F.col("width"), F.col("height"), X.GOP).alias("seconds"))
+
+
+@query(f'with {X.ALL_LAYOUTS_SQL} select video, first_frame, version, tile_no, "row", col, tx as x, ty as y, tw as width, th as height from grid')
+def tile_rects_all(spark, sf_dir):
+    return layouts.exploded(X.all_layouts(spark, sf_dir)).drop("last_frame")
+
+
+@query(
+    f"""with {X.ALL_LAYOUTS_SQL} select video, first_frame, version, cast(list_sum(widths) as integer) as total_width, cast(list_sum(heights) as integer) as total_height,
+      cast(ceil(list_sum(widths) / 32.0) * 32 as integer) as coded_width, cast(ceil(list_sum(heights) / 32.0) * 32 as integer) as coded_height,
+      list_max(widths) as largest_width, list_max(heights) as largest_height, cast(len(widths) * len(heights) as integer) as n_tiles from lay"""
+)
+def layout_totals_all(spark, sf_dir):
+    return layouts.totals(X.all_layouts(spark, sf_dir)).drop("last_frame")
+
+
+@query(
+    f"""with {X.ALL_LAYOUTS_SQL} select video, min(first_frame) as first_frame, max(last_frame) as last_frame, count(*) as n_ranges, max(version) as version,
+      max(list_max(widths)) as largest_width, max(list_max(heights)) as largest_height from lay group by video"""
+)
+def catalog_extent_all(spark, sf_dir):
+    return catalog.extent(X.all_layouts(spark, sf_dir))
+
+
+@query(f"with {X.ALL_LAYOUTS_SQL} select video, max(version) + 1 as version from lay group by video")
+def next_tile_version_all(spark, sf_dir):
+    return catalog.next_version(X.all_layouts(spark, sf_dir))
+
+
+@query(
+    f"""with {X.ALL_LAYOUTS_SQL}, f as (select distinct video, first_frame + version as frame from lay), s as (
+      select f.video, f.frame, l.first_frame, l.version, row_number() over (partition by f.video, f.frame order by l.version desc, l.first_frame desc) as n
+      from f join lay l on l.video = f.video and f.frame between l.first_frame and l.last_frame)
+    select video, frame, first_frame, version from s where n = 1"""
+)
+def layout_stab_latest_version_all(spark, sf_dir):
+    known = X.all_layouts(spark, sf_dir)
+    frames = known.select("video", (F.col("first_frame") + F.col("version")).alias("frame")).distinct()
+    return catalog.newest(frames, known, X.GOP).drop("layout")
+
+
+@query(
+    f"""with {X.ALL_LAYOUTS_SQL}, p as (select x, y from (values (0, 0), (959, 544), (960, 543), (1919, 1079), (1920, 0)) as v(x, y))
+    select g.video, g.first_frame, g.version, p.x, p.y, cast(g.tile_no as integer) as tile_no from grid g, p where p.x >= tx and p.x < tx + tw and p.y >= ty and p.y < ty + th"""
+)
+def tile_for_point_all(spark, sf_dir):
+    points = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in [(0, 0), (959, 544), (960, 543), (1919, 1079), (1920, 0)])))
+    asked = X.all_layouts(spark, sf_dir).withColumn("p", points).select("video", "first_frame", "version", "layout", "p.*")
+    return asked.withColumn("tile_no", G.tile_at(F.col("layout"), F.col("x"), F.col("y"))["tile_no"]).where("tile_no is not null").drop("layout")
+
+
+@query(f"with {X.ALL_LAYOUTS_SQL} select video, first_frame, version, cast(tile_no as integer) as tile_no, cast(floor(8000000 * (cast(tw as bigint) * th) / (1920 * 1080)) as bigint) as bits_per_second from grid")
+def tile_bitrate_share_all(spark, sf_dir):
+    tiles = layouts.exploded(X.all_layouts(spark, sf_dir))
+    share = F.floor(F.lit(8_000_000) * (F.col("width").cast("bigint") * F.col("height")) / F.lit(X.WIDTH * X.HEIGHT))
+    return tiles.select("video", "first_frame", "version", "tile_no", share.cast("bigint").alias("bits_per_second"))

@@ -29,6 +29,11 @@ def test_query_matches_sql(spark, duck, name):
     assert rows(got.columns, map(tuple, got.collect())) == rows(columns, answer.fetchall())
 
 
+@pytest.mark.parametrize("name", ["nv12_to_rgba_all", "layout_totals_all"])
+def test_all_rows_have_a_result(spark, name):
+    assert registry.QUERIES[name](spark, DATA).count() == spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+
+
 def test_every_query_runs(spark):
     for name in set(registry.QUERIES) - set(registry.ORACLES):
         assert registry.QUERIES[name](spark, DATA).count() > 0
