@@ -342,10 +342,12 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     sets = stored(sets.join(units.join(wanted, "rep", "left_semi").select("u"), "u", "left_semi"), "sets")
 
     def verified(candidates: DataFrame) -> DataFrame:
-        ends = candidates.select("r1", "r2", F.explode(F.array(F.struct(F.col("u1").alias("u"), F.lit(1).alias("end")), F.struct(F.col("u2").alias("u"), F.lit(2).alias("end")))).alias("e")).select("r1", "r2", "e.*")
+        ends = candidates.select("u1", "u2", "r1", "r2", F.explode(F.array(F.struct(F.col("u1").alias("u"), F.lit(1).alias("end")), F.struct(F.col("u2").alias("u"), F.lit(2).alias("end")))).alias("e")).select("u1", "u2", "r1", "r2", "e.*")
         if candidates.count() * 2 <= MOST_SENT:
             ends = F.broadcast(ends)
-        met = sets.join(ends, "u").groupBy("r1", "r2").agg(F.max(F.when(F.col("end") == 1, F.col("own"))).alias("x"), F.max(F.when(F.col("end") == 2, F.col("own"))).alias("y"))
+        # by unit: the texts of one id are several units of one rep
+        met = sets.join(ends, "u").groupBy("u1", "u2", "r1", "r2").agg(F.max(F.when(F.col("end") == 1, F.col("own"))).alias("x"), F.max(F.when(F.col("end") == 2, F.col("own"))).alias("y"))
+        met = met.select("r1", "r2", "x", "y")
         return stored(met.mapInArrow(_similar(percent), "src long, dst long"), "links")
 
     # each member and its least likely partner first: what these links join needs no other pair
@@ -355,7 +357,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     known = components(links)
     of = [known.select(F.col("node").alias(f"r{i}"), F.col("component").alias(f"c{i}")) for i in (1, 2)]
     rest = ordered.distinct().join(of[0], "r1", "left").join(of[1], "r2", "left").where(F.coalesce("c1", "r1") != F.coalesce("c2", "r2"))
-    links = links.union(verified(stored(rest.join(star, ["r1", "r2"], "left_anti").select("u1", "u2", "r1", "r2"), "pairs")))
+    links = links.union(verified(stored(rest.join(star, ["u1", "u2"], "left_anti").select("u1", "u2", "r1", "r2"), "pairs")))
     for turn in range(ROUNDS + 1):
         if long.isEmpty():
             break

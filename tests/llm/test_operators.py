@@ -375,6 +375,18 @@ def test_jaccard_awkward(spark):
     assert jaccard_join.link(df.limit(0)).isEmpty()
 
 
+def test_jaccard_ids_of_two_texts(spark):
+    draw, docs = random.Random(12), []
+    for i in range(24):
+        base = [f"p{draw.randrange(10**6)}" for _ in range(104)]
+        other = list(base)
+        for at in (20, 45, 70):  # of 100 shingles 15 are others: under 80 of 100 in common
+            other[at] = f"q{draw.randrange(10**6)}"
+        docs += [(100 * i, " ".join(base)), (100 * i, " ".join(other)), (100 * i + 9, " ".join([*base, "end"]))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link(table(spark, docs)).collect()}
+    assert {i: c for i, c in got.items() if i % 100} == {100 * i + 9: 100 * i for i in range(24)}
+
+
 # 10
 
 
