@@ -28,19 +28,23 @@ from tessera.llm.words import Block, blocks, mix, sequences
 CELLS = 1 << 20
 SEGMENT = 1 << 14
 SHORT = 16
-PIVOTS = 4
-ROUNDS = 2
+PIVOTS = 2
+ROUNDS = 4
 BLOCK = 512
-PAIRED = 256  # pairs a row of long postings may make on average before pivots thin them out
+PAIRED = 4  # pairs a row of long postings may make on average before pivots thin them out
+SALTS = 16  # parts of one token's rows
+PIVOT_BYTES = 16 << 20  # of pivots' sets that may be broadcast; beyond, both sides of a pair are shuffled
 BITS = 1 << 26
 BINS = 128
 MOST_SENT = 1 << 20  # endpoints of pairs that may be broadcast (24 bytes each); beyond, both sides are shuffled
 _FLUSH = 1 << 20
 _NONE = -(1 << 63)
+_PAIR = ["u1", "u2", "r1", "r2"]
+_PAIRS = "u1 long, u2 long, r1 long, r2 long"
 _U = np.uint64
-_ENTRY = "bucket int, kind int, a binary, b binary, c binary, d binary, bins binary"
+_ENTRY = "bucket int, kind int, a binary, b binary, c binary, d binary, key binary, bins binary"
 _ENTRY_NAMES = [c.split()[0] for c in _ENTRY.split(", ")]
-_FOUND = "kind int, a long, b long, n int, doc long, bins binary"
+_FOUND = "kind int, a long, b long, n int, doc long, key long, bins binary"
 
 
 def row_sets(block: Block, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -120,10 +124,10 @@ def _entries(k: int, percent: int, order, buckets: int):
             cut = np.searchsorted(place[by], np.arange(buckets + 1))
             used = [b for b in range(buckets) if cut[b] < cut[b + 1]]
             parts = [[x[by[cut[b] : cut[b + 1]]].tobytes() for b in used] for x in (token, group, size)]
-            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([1] * len(used), pa.int32()), *(pa.array(p, pa.binary()) for p in parts), pa.nulls(len(used), pa.binary()), pa.nulls(len(used), pa.binary())], names=_ENTRY_NAMES)
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([1] * len(used), pa.int32()), *(pa.array(p, pa.binary()) for p in parts), *(pa.nulls(len(used), pa.binary()) for _ in range(3))], names=_ENTRY_NAMES)
 
         for batch in batches:
-            docs = batch.column(0).fill_null(_NONE).to_numpy()
+            docs, keys = batch.column(0).fill_null(_NONE).to_numpy(), batch.column(2).to_numpy()
             for block in blocks(batch.column(1), fold=True):
                 ids, groups, sizes = np.zeros(block.rows, _U), np.zeros(block.rows, _U), np.zeros(block.rows, np.int32)
                 bins = []
@@ -141,8 +145,8 @@ def _entries(k: int, percent: int, order, buckets: int):
                         tokens.append(prefix)
                         owners.append((group, n, len(prefix)))
                         held += len(prefix)
-                own_docs = docs[block.first : block.first + block.rows]
-                parts = [*(x.tobytes() for x in (own_docs, ids, groups, sizes)), b"".join(bins)]
+                own_docs, own_keys = (x[block.first : block.first + block.rows] for x in (docs, keys))
+                parts = [*(x.tobytes() for x in (own_docs, ids, groups, sizes, own_keys)), b"".join(bins)]
                 bucket = int(own_docs[0] % buckets) if block.rows else 0
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([0], pa.int32()), *(pa.array([p], pa.binary()) for p in parts)], names=_ENTRY_NAMES)
                 if held >= _FLUSH:
@@ -160,10 +164,12 @@ def _joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, dtype) for x in column.to_pylist()] or [np.zeros(0, dtype)])
 
 
-def _rows(kind: int, a, b, n, doc, bins: list | None = None) -> pa.RecordBatch:
-    as_long = [np.asarray(x).view(np.int64) if np.asarray(x).dtype == _U else np.asarray(x, np.int64) for x in (a, b, doc)]
-    count = len(as_long[0])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(count, kind, np.int32)), pa.array(as_long[0]), pa.array(as_long[1]), pa.array(np.asarray(n, np.int32)), pa.array(as_long[2]), pa.array(bins or [None] * count, pa.binary())], names=["kind", "a", "b", "n", "doc", "bins"])
+def _rows(kind: int, a, b, n=None, doc=None, key=None, bins: list | None = None) -> pa.RecordBatch:
+    none = np.zeros(len(a), np.int64)
+    long = [np.asarray(none if x is None else x).astype(np.int64, copy=False) for x in (a, b, doc, key)]  # hashes wrap around
+    n = np.asarray(none if n is None else n, np.int32)
+    columns = [pa.array(np.full(len(a), kind, np.int32)), pa.array(long[0]), pa.array(long[1]), pa.array(n), pa.array(long[2]), pa.array(long[3]), pa.array(bins or [None] * len(a), pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _FOUND.split(", ")])
 
 
 def _postings(percent: int):
@@ -172,7 +178,7 @@ def _postings(percent: int):
     def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         profile = table.filter(pc.equal(table.column("kind"), 0))
         bins = [x[i : i + BINS] for x in profile.column("bins").to_pylist() for i in range(0, len(x), BINS)]
-        out = [_rows(0, _joined(profile.column("b"), _U), _joined(profile.column("c"), _U), _joined(profile.column("d"), np.int32), _joined(profile.column("a"), np.int64), bins)]
+        out = [_rows(0, *(_joined(profile.column(c), kind) for c, kind in (("b", _U), ("c", _U), ("d", np.int32), ("a", np.int64), ("key", np.int64))), bins)]
         entry = table.filter(pc.equal(table.column("kind"), 1))
         token, group, size = _joined(entry.column("a"), _U), _joined(entry.column("b"), _U), _joined(entry.column("c"), np.int32)
         by = np.lexsort((group, token))
@@ -191,10 +197,9 @@ def _postings(percent: int):
                 fits = np.minimum(size[x], size[y]).astype(np.int64) * 100 >= percent * np.maximum(size[x], size[y]).astype(np.int64)
                 pairs.append(np.stack((group[x[fits]], group[y[fits]]), axis=1))
         found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), _U)
-        zero = np.zeros(len(found), np.int64)
-        out.append(_rows(1, found[:, 0].copy(), found[:, 1].copy(), zero, zero))
+        out.append(_rows(1, found[:, 0], found[:, 1]))
         long = np.repeat(many > SHORT, many)
-        out.append(_rows(2, token[long], group[long], size[long], np.zeros(int(long.sum()), np.int64)))
+        out.append(_rows(2, token[long], group[long], size[long]))
         return pa.Table.from_batches(out)
 
     return meet
@@ -226,7 +231,7 @@ def _likely(percent: int):
             x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in (x, y))
             apart = np.abs(x - y).sum(axis=1).astype(np.int64)
             ok = apart * (100 + percent) <= (100 - percent) * n.to_numpy()  # |difference| <= (1 - t) / (1 + t) of both sizes
-            yield batch.filter(pa.array(ok)).select(["u1", "u2", "r1", "r2"])
+            yield batch.filter(pa.array(ok)).select(_PAIR)
 
     return keep
 
@@ -237,7 +242,7 @@ def _crossing(percent: int):
 
     def cross(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         token, one, two = (k.as_py() for k in key)
-        u, n, rep, component, block = (table.column(c).to_numpy() for c in ("u", "n", "rep", "component", "block"))
+        u, n, rep, component, block = (table.column(c).to_numpy() for c in ("u", "n", "r", "component", "block"))
         bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
         tokens = table.column("tokens").combine_chunks()
         owner, flat = np.repeat(np.arange(len(u)), np.diff(tokens.offsets.to_numpy())), tokens.flatten().to_numpy()
@@ -268,15 +273,14 @@ def _similar(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
                 a, b = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
                 if len(a) > len(b):
                     a, b = b, a
                 at = np.searchsorted(b, a)
                 common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
                 keep.append(100 * common >= percent * (len(a) + len(b) - common))
-            batch = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["src", "dst"])
+            yield batch.filter(pa.array(keep, pa.bool_())).select(_PAIR)
 
     return verify
 
@@ -285,34 +289,49 @@ def _sized(percent: int) -> Column:
     return F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
 
 
-def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row.
+def _node(i: int | str = "") -> Column:
+    """A unit as a node of the graph: ordered by its least document first."""
+    return F.struct(F.col(f"r{i}").alias("r"), F.col(f"u{i}").alias("u"))
+
+
+def _of_token(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """rows (token, u, ...) with the columns of tokens (token, ...), a frequent token's rows in SALTS parts."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)))
+    copies = tokens.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, ["token", "salt"]).drop("salt")
+
+
+def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_key: Column | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, set_id, row_key, kept) of every row.
 
     Words are runs of other than ASCII white space with A-Z lower-cased; two
     documents link when 100 * common >= percent * union.  component_id is the
     least doc_id reachable by links.  An empty or null text has an empty set
     and links with nothing; rows of one id are one document if their sets are
-    equal and linked as any others if not; a null id has a null component and
-    takes no part.  Other columns are not read.
+    equal (equal set_id) and linked as any others if not; a null id has a null
+    component and takes no part.  kept is true for rows of the least document
+    of a component, and for those that take no part; row_key, a column of docs
+    that is carried along, tells the rows of one id apart.  Other columns are
+    not read.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.lit(0) if row_key is None else row_key, F.lit(0)).cast("long").alias("key"))
     buckets = max(128, -(-texts.count() // 2000))
     order = spark.sparkContext.broadcast(_weights(texts, k))  # CELLS values, whatever the input
 
     found = texts.mapInArrow(_entries(k, percent, order, buckets), _ENTRY).groupBy("bucket").applyInArrow(_postings(percent), _FOUND)
     found = stored(found, "postings")
-    profiles = found.where("kind = 0").select(F.when(F.col("doc") != _NONE, F.col("doc")).alias("doc_id"), F.col("a").alias("u"), F.col("b").alias("g"), "n", "bins")
-    units = stored(profiles.where("n > 0 and doc_id is not null").groupBy("u").agg(F.min("g").alias("g"), F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.min("bins").alias("bins")), "units")
+    profiles = found.where("kind = 0").select(F.when(F.col("doc") != _NONE, F.col("doc")).alias("doc_id"), F.col("a").alias("u"), F.col("b").alias("g"), "n", "key", "bins")
+    units = stored(profiles.where("n > 0 and doc_id is not null").groupBy("u").agg(F.min("g").alias("g"), F.min("n").alias("n"), F.min("doc_id").alias("r"), F.min("bins").alias("bins")), "units")
     groups = units.groupBy("g").agg(F.count("*").alias("members"))
     plain, crowded = units.join(groups.where(F.col("members") <= SHORT), "g"), units.join(groups.where(F.col("members") > SHORT), "g", "left_semi")
 
     def side(members: DataFrame, i: int) -> DataFrame:
-        return members.select(*(F.col(c).alias(f"{a}{i}") for c, a in (("g", "g"), ("u", "u"), ("n", "n"), ("rep", "r"), ("bins", "bins"))))
+        return members.select(*(F.col(c).alias(f"{c}{i}") for c in ("g", "u", "n", "r", "bins")))
 
     def likely(candidates: DataFrame) -> DataFrame:
-        kept = candidates.where(_sized(percent)).select("u1", "u2", "r1", "r2", (F.col("n1") + F.col("n2")).cast("long").alias("both"), F.col("bins1").alias("x"), F.col("bins2").alias("y"))
-        return kept.mapInArrow(_likely(percent), "u1 long, u2 long, r1 long, r2 long")
+        kept = candidates.where(_sized(percent)).select(*_PAIR, (F.col("n1") + F.col("n2")).cast("long").alias("both"), F.col("bins1").alias("x"), F.col("bins2").alias("y"))
+        return kept.mapInArrow(_likely(percent), _PAIRS)
 
     pairs = stored(found.where("kind = 1").select(F.col("a").alias("g1"), F.col("b").alias("g2")).distinct(), "groups")
     big = crowded.select("g").distinct()
@@ -328,75 +347,93 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
         mixed.select(token, F.col("g1").alias("g")),
         mixed.select(token, F.col("g2").alias("g")),
     ]
-    long = stored(reduce(DataFrame.union, runs).distinct().join(units.select("g", "u", "n", "rep"), "g").select("token", "u", "n", "rep"), "long")
+    long = stored(reduce(DataFrame.union, runs).distinct().join(units.select("g", "u", "n", "r"), "g").select("token", "u", "n", "r"), "long")
 
-    wanted = first.select(F.col("r1").alias("rep")).union(first.select("r2")).union(long.select("rep")).distinct()
-    cell = _bit(F.col("rep"))
+    wanted = first.select(F.col("u1").alias("u"), F.col("r1").alias("r")).union(first.select("u2", "r2")).union(long.select("u", "r")).distinct()
+    wanted = stored(wanted, "wanted")
+    cell = _bit(F.col("r"))
     marks = wanted.select(cell.alias("h")).groupBy(F.expr("bitmap_bucket_number(h + 1)").alias("at")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h + 1))").alias("bits")).collect()
     bitmap = bytearray(BITS // 8)  # 8 MB, whatever the input
     for row in marks:
         bitmap[(row["at"] - 1) * 4096 : row["at"] * 4096] = row["bits"]
     marked = spark.sparkContext.broadcast(bytes(bitmap))
     candidates = texts.where("doc_id is not null").select(_bit(F.col("doc_id")).alias("h"), "text")
-    sets = candidates.mapInArrow(_sets(k, marked), "u long, own binary")
-    sets = stored(sets.join(units.join(wanted, "rep", "left_semi").select("u"), "u", "left_semi"), "sets")
+    asked = wanted.select("u")
+    if wanted.count() <= MOST_SENT:
+        asked = F.broadcast(asked)
+    sets = stored(candidates.mapInArrow(_sets(k, marked), "u long, own binary").join(asked, "u", "left_semi"), "sets")
 
     def verified(candidates: DataFrame) -> DataFrame:
-        ends = candidates.select("u1", "u2", "r1", "r2", F.explode(F.array(F.struct(F.col("u1").alias("u"), F.lit(1).alias("end")), F.struct(F.col("u2").alias("u"), F.lit(2).alias("end")))).alias("e")).select("u1", "u2", "r1", "r2", "e.*")
+        """Links among pairs: both sets of a pair are shuffled."""
+        ends = candidates.select(*_PAIR, F.explode(F.array(F.struct(F.col("u1").alias("u"), F.lit(1).alias("end")), F.struct(F.col("u2").alias("u"), F.lit(2).alias("end")))).alias("e")).select(*_PAIR, "e.*")
         if candidates.count() * 2 <= MOST_SENT:
             ends = F.broadcast(ends)
-        # by unit: the texts of one id are several units of one rep
-        met = sets.join(ends, "u").groupBy("u1", "u2", "r1", "r2").agg(F.max(F.when(F.col("end") == 1, F.col("own"))).alias("x"), F.max(F.when(F.col("end") == 2, F.col("own"))).alias("y"))
-        met = met.select("r1", "r2", "x", "y")
-        return stored(met.mapInArrow(_similar(percent), "src long, dst long"), "links")
+        met = sets.join(ends, "u").groupBy(*_PAIR).agg(F.max(F.when(F.col("end") == 1, F.col("own"))).alias("x"), F.max(F.when(F.col("end") == 2, F.col("own"))).alias("y"))
+        return linked(met)
+
+    def linked(met: DataFrame) -> DataFrame:
+        return stored(met.mapInArrow(_similar(percent), _PAIRS).select(_node(1).alias("src"), _node(2).alias("dst")), "links")
+
+    def verified_with(candidates: DataFrame) -> DataFrame:
+        """verified for pairs of which few units are u1: their sets are broadcast if they take PIVOT_BYTES at most."""
+        pivots = sets.join(F.broadcast(candidates.select(F.col("u1").alias("u")).distinct()), "u", "left_semi") if candidates.count() <= MOST_SENT else None
+        if pivots is None or (pivots.agg(F.sum(F.octet_length("own"))).first()[0] or 0) > PIVOT_BYTES:
+            return verified(candidates)
+        own = sets.select(F.col("u").alias("u2"), F.col("own").alias("y")).join(F.broadcast(candidates), "u2")
+        return linked(own.join(F.broadcast(pivots.select(F.col("u").alias("u1"), F.col("own").alias("x"))), "u1").select(*_PAIR, "x", "y"))
 
     # each member and its least likely partner first: what these links join needs no other pair
-    ordered = first.select(*(F.when(F.col("r1") < F.col("r2"), F.col(f"{c}{i}")).otherwise(F.col(f"{c}{3 - i}")).alias(f"{c}{i}") for c in "ur" for i in (1, 2)))
-    star = ordered.groupBy("u2", "r2").agg(F.min(F.struct("r1", "u1")).alias("p")).select("p.u1", "u2", "p.r1", "r2")
-    links = verified(star)
+    ordered = first.select(*(F.when(_node(1) < _node(2), F.col(f"{c}{i}")).otherwise(F.col(f"{c}{3 - i}")).alias(f"{c}{i}") for c in "ur" for i in (1, 2))).distinct()
+    star = ordered.groupBy("u2", "r2").agg(F.min(_node(1)).alias("p")).select("p.u", "u2", "p.r", "r2").toDF(*_PAIR)
+    links = verified(stored(star, "star"))
     known = components(links)
-    of = [known.select(F.col("node").alias(f"r{i}"), F.col("component").alias(f"c{i}")) for i in (1, 2)]
-    rest = ordered.distinct().join(of[0], "r1", "left").join(of[1], "r2", "left").where(F.coalesce("c1", "r1") != F.coalesce("c2", "r2"))
-    links = links.union(verified(stored(rest.join(star, ["u1", "u2"], "left_anti").select("u1", "u2", "r1", "r2"), "pairs")))
+
+    def component(i: int | str) -> DataFrame:
+        return known.select("node.*", F.col("component").alias(f"c{i}")).select(F.col("u").alias(f"u{i}"), f"c{i}")
+
+    rest = ordered.join(component(1), "u1", "left").join(component(2), "u2", "left").where(F.coalesce("c1", _node(1)) != F.coalesce("c2", _node(2)))
+    links = links.union(verified(stored(rest.join(star, ["u1", "u2"], "left_anti").select(_PAIR), "pairs")))
+    worth = True  # whether the round before linked a fair part of its pairs
     for turn in range(ROUNDS + 1):
         if long.isEmpty():
             break
         known = components(links) if turn else known
-        long = long.select("token", "u", "n", "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left")
-        long = long.select("token", "u", "n", "rep", F.coalesce("component", "rep").alias("component"))
-        split = long.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        long = stored(long.join(split, "token", "left_semi"), "long")
-        runs = long.groupBy("token", "component").count().groupBy("token").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own"))
+        long = long.select("token", "u", "n", "r").join(component(""), "u", "left").withColumn("c", F.coalesce("c", _node()))
+        split = long.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
+        long = stored(_of_token(long, split), "long")
+        runs = long.groupBy("token", "c").count().groupBy("token").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own"))
         rows, crossings = runs.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.col("m") * F.col("m") - F.col("own")), F.lit(0))).first()
-        last = turn == ROUNDS or crossings <= 2 * PAIRED * rows
+        last = turn == ROUNDS or not worth or crossings <= 2 * PAIRED * rows
         if last:
             blocks_of = long.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-            dealt = long.join(blocks_of, "token").join(units.select("u", "bins"), "u").withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
+            dealt = _of_token(long, blocks_of).join(units.select("u", "bins"), "u").withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
             dealt = dealt.join(long.groupBy("u").agg(F.collect_set("token").alias("tokens")), "u")
             dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-            dealt = dealt.select("token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "u", "n", "rep", "component", "bins", "tokens")
-            fresh = dealt.groupBy("token", "one", "two").applyInArrow(_crossing(percent), "u1 long, u2 long, r1 long, r2 long").distinct()
-        else:
-            member = F.struct("u", "n", "rep", "component")
-            picks = [F.min(F.struct(F.xxhash64(F.col("u"), F.lit(turn * PIVOTS + i)).alias("h"), member.alias("m"))).alias(f"p{i}") for i in range(PIVOTS)]
-            right = long.groupBy("token").agg(*picks).select("token", F.explode(F.array(*(F.col(f"p{i}.m") for i in range(PIVOTS)))).alias("m")).distinct()
-            right = right.select("token", F.col("m.u").alias("u2"), F.col("m.n").alias("n2"), F.col("m.rep").alias("r2"), F.col("m.component").alias("c2"))
-            left = long.select("token", F.col("u").alias("u1"), F.col("n").alias("n1"), F.col("rep").alias("r1"), F.col("component").alias("c1"))
-            crossing = left.join(right, "token").where((F.col("c1") != F.col("c2")) & _sized(percent))
-            ordered = crossing.select(F.when(F.col("r1") < F.col("r2"), F.struct("u1", "u2", "r1", "r2")).otherwise(F.struct(F.col("u2").alias("u1"), F.col("u1").alias("u2"), F.col("r2").alias("r1"), F.col("r1").alias("r2"))).alias("p"))
-            ordered = ordered.select("p.*").distinct()
-            for i in (1, 2):
-                ordered = ordered.join(units.select(F.col("u").alias(f"u{i}"), F.col("n").alias(f"n{i}"), F.col("bins").alias(f"bins{i}")), f"u{i}")
-            fresh = likely(ordered)
-        links = links.union(verified(stored(fresh, "pairs")))
-        if last:
+            dealt = dealt.select("token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "u", "n", "r", F.col("c.u").alias("component"), "bins", "tokens")
+            fresh = dealt.groupBy("token", "one", "two").applyInArrow(_crossing(percent), _PAIRS).distinct()
+            links = links.union(verified(stored(fresh, "pairs")))
             break
-
-    label = components(links).select(F.col("node").alias("rep"), "component")
-    reps = units.join(label, "rep", "left").select("u", F.coalesce("component", "rep").alias("component"))
-    out = profiles.join(reps, "u", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+        # pivots are picked by a hash of the unit, so that tokens of the same members pick the same
+        member = F.struct("u", "n", "r", "c")
+        picks = [F.min(F.struct(F.xxhash64(F.col("u"), F.lit(turn * PIVOTS + i)).alias("h"), member.alias("m"))).alias(f"p{i}") for i in range(PIVOTS)]
+        pivots = long.groupBy("token").agg(*picks).select("token", F.explode(F.array(*(F.col(f"p{i}.m") for i in range(PIVOTS)))).alias("m")).distinct()
+        pivots = pivots.select("token", *(F.col(f"m.{c}").alias(f"{c}1") for c in ("u", "n", "r", "c")))
+        crossing = _of_token(long, pivots).withColumnsRenamed({c: f"{c}2" for c in ("u", "n", "r", "c")}).where((F.col("c1") != F.col("c2")) & _sized(percent))
+        fresh = crossing.select("u1", "u2", "r1", "r2", "n1", "n2").distinct()
+        for i in (1, 2):
+            fresh = fresh.join(units.select(F.col("u").alias(f"u{i}"), F.col("bins").alias(f"bins{i}")), f"u{i}")
+        fresh = stored(likely(fresh), "pairs")
+        new = verified_with(fresh)
+        worth = new.count() * 5 >= fresh.count()
+        links = links.union(new)
+
+    label = components(links).select("node.*", F.col("component.r").alias("least"), (F.col("node") == F.col("component")).alias("first"))
+    named = units.select("u", "r").join(label.select("u", "least", "first"), "u", "left")
+    out = profiles.join(named, "u", "left")
+    takes_part = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    kept = ~takes_part | ((F.col("doc_id") == F.col("r")) & F.coalesce("first", F.lit(True)))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "r", "doc_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(takes_part, own).otherwise(F.col("doc_id")).alias("component_id"), F.col("u").alias("set_id"), F.col("key").alias("row_key"), F.coalesce(kept, F.lit(True)).alias("kept"))
 
 
 def _bit(doc_id: Column) -> Column:

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+ROW_GROUP = 16 << 20  # bytes that a Parquet writer holds
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a new one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a new one in
+    a session on one machine, and an error on a cluster."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         shared_dir.own = at
     return at.rstrip("/")
@@ -21,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, what: str = "stage") -> DataFrame:
     """df written as Parquet to the shared folder and read again, which cuts its lineage."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -50,3 +60,20 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     for to in moves:
         label = label.join(to, F.col("component") == F.col("a"), "left").select("node", F.coalesce("p", "component").alias("component"))
     return stored(label, "labels")
+
+
+def with_values(docs: DataFrame, column: str, values, text_col: str = "text", slice_rows: int = 256) -> DataFrame:
+    """docs and a column of doubles, values(array of texts) of every row.
+
+    Rows go through Python in slices of Arrow buffers, so that never more than
+    slice_rows texts are Python objects.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), slice_rows):
+                rows = batch.slice(at, slice_rows)
+                found = values(rows.column(rows.schema.names.index(text_col)))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, pa.float64())], names=[*rows.schema.names, column])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))

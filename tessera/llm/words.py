@@ -14,8 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
-_PIECE = 2 << 20
+BLOCK_BYTES = 1 << 20
+_PIECE = 1 << 18
 _U = np.uint64
 
 

@@ -349,9 +349,11 @@ def test_embedding_recall(spark, block, monkeypatch):
 # 9
 
 
-@pytest.mark.parametrize("short", [16, 2])
-def test_jaccard_join(spark, short, monkeypatch):
+@pytest.mark.parametrize("short, paired, sent", [(16, 4, 1 << 20), (2, 0, 1 << 20), (2, 4, 0)])
+def test_jaccard_join(spark, short, paired, sent, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SHORT", short)
+    monkeypatch.setattr(jaccard_join, "PAIRED", paired)
+    monkeypatch.setattr(jaccard_join, "MOST_SENT", sent)
     draw = random.Random(9)
     base = [f"t{i}" for i in range(80)]
     near = []
@@ -372,6 +374,8 @@ def test_jaccard_awkward(spark):
     rows = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard_join.link(df).collect())
     assert [r[:2] for r in rows] == [(0, 2), (2, 2), (5, 2), (5, 2), (9, 0)]
     assert [r[2] for r in rows] == [None, 2, 2, 2, 9]
+    kept = sorted((r["doc_id"] or 0, r["kept"]) for r in jaccard_join.link(df).collect())
+    assert kept == [(0, True), (2, True), (5, False), (5, False), (9, True)]
     assert jaccard_join.link(df.limit(0)).isEmpty()
 
 

@@ -56,6 +56,40 @@ def test_without_repeats(spark, docs):
             assert r["text"] == text[r["doc_id"]]
 
 
+def rows_of(spark, rows):
+    """Documents with further columns of names that the operators use themselves."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words long, n_removed int, passages string, set_id string, row_key string, score string, u string"
+    return spark.createDataFrame([(i, t, "en", None, len(t or ""), "mine", 77, 5, "p", "s", "k", "x", "y") for i, t in rows], kind)
+
+
+def test_stages_judge_rows_and_not_ids(spark):
+    t, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(2, t), (5, t), (5, other), (7, "x y z " * 9), (7, "x y z " * 9), (8, None), (8, None), (9, ""), (None, t), (None, t), (11, "p  q r s t u"), (11, "p q r s t u")]
+    docs = rows_of(spark, rows)
+    kept = P.one_of_each_group(spark, docs, DATA)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()))
+    assert [i for i, _ in got] == [0, 0, 2, 5, 7, 8, 9, 11] and (5, other) in got and got.count((2, t)) == 1
+    assert all(r["kept"] == "mine" and r["n_words"] == 77 and r["score"] == "x" for r in kept.collect())
+
+
+def test_awkward_rows_through_every_stage(spark):
+    long = " ".join(f"z{i % 9000}" for i in range(60_000))
+    t = " ".join(f"w{i}" for i in range(40))
+    docs = rows_of(spark, [(1, t), (2, "pre " + t), (3, None), (4, ""), (5, long), (6, long + " end"), (6, t), (None, t), (7, "a"), (7, "a")])
+    step = docs
+    for name, stage in P.STAGES:
+        step = stage(spark, step, LABELLED)
+        if name != "packing":
+            assert step.columns == docs.columns, name
+            assert all(r["kept"] == "mine" and r["n_words"] == 77 and r["passages"] == "p" for r in step.collect()), name
+    cut = P.without_repeats(spark, docs, DATA).collect()
+    assert {r["text"] for r in cut if r["doc_id"] == 2} == {"pre"} and {r["text"] for r in cut if r["doc_id"] is None} == {t}
+    assert [r["text"] for r in cut if r["doc_id"] == 3] == [None]
+    pieces = P.packed(spark, docs, DATA).collect()
+    assert sum(p["length"] for p in pieces if p["doc_id"] == 3) == 1 and {p["doc_id"] for p in pieces} == {1, 2, 3, 4, 5, 6, 7, None}
+
+
 def test_run_joins_the_stages(spark, docs):
     assert [name for name, _ in P.STAGES] == ["quality classifier", "toxicity", "n-gram Jaccard join", "substring dedup", "packing"]
     step = docs
