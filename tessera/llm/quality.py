@@ -13,12 +13,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import stored
+from tessera.llm.shared import stored, with_values
 from tessera.llm.words import blocks, text_bytes
 
 SAMPLE_ROWS = 20_000
@@ -76,7 +75,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
-    """Column function of the text: log-odds of quality, fitted on the sample_rows
+    """Function of an array of texts: their log-odds of quality, fitted on the sample_rows
     labelled rows of least hash (0 throughout without labels of both kinds)."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("long").alias("label")).where("id is not null and label in (0, 1)")
     known = known.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
@@ -92,10 +91,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
     order = np.lexsort((*x.T, y))
     mean, scale, w = logistic(x[order], y[order])
 
-    @F.pandas_udf("double")
-    def log_odds(text: pd.Series) -> pd.Series:
-        x = shape(pa.array(text, pa.string(), from_pandas=True))
-        return pd.Series(np.clip(w[0] + ((x - mean) / scale) @ w[1:], -30, 30), index=text.index)
+    def log_odds(texts: pa.Array) -> np.ndarray:
+        return np.clip(w[0] + ((shape(texts) - mean) / scale) @ w[1:], -30, 30)
 
     return log_odds
 
@@ -136,24 +133,30 @@ def site_posteriors(evidence: DataFrame) -> DataFrame:
     return stored(paths.join(of_host, "host").select("host", "path", (_logit(of_path) - float(np.log(m / (1 - m)))).alias("shift")), "sites")
 
 
-def with_posterior(docs: DataFrame, labels: DataFrame, column: str, host: str = "source", path: str = "lang", **fitting) -> DataFrame:
+def with_posterior(docs: DataFrame, labels: DataFrame, column: str, host: str = "source", path: str = "lang", text_col: str = "text", keep_text: bool = True, **fitting) -> DataFrame:
     """docs and a column with the posterior probability that the document is good.
 
     Null hosts and paths form a group of their own, null texts count as empty,
-    repeated rows count each.  Every column of docs is kept as it is.
+    repeated rows count each.  Every column of docs is kept as it is (without
+    keep_text, all but the text).  Each text is measured once: rows and their
+    evidence are a stored table, of which the sites' sums read three columns.
     """
-    log_odds = fit(docs, labels, **fitting)
-    host_key, path_key, own = (f"__{x}_{column}" for x in ("host", "path", "log_odds"))
-    keyed = docs.withColumns({host_key: F.coalesce(F.col(host).cast("string"), F.lit("\0")), path_key: F.coalesce(F.col(path).cast("string"), F.lit("\0")), own: log_odds(F.col("text"))})
-    sites = site_posteriors(keyed.select(F.col(host_key).alias("host"), F.col(path_key).alias("path"), F.col(own).alias("log_odds")))
-    sites = sites.select(F.col("host").alias(host_key), F.col("path").alias(path_key), F.col("shift").alias(f"__shift_{column}"))
-    joined = keyed.join(sites, [host_key, path_key], "left")
+    log_odds = fit(docs.select("doc_id", F.col(text_col).alias("text")), labels, **fitting)
+    own = f"__log_odds_{column}"
+    measured = with_values(docs, own, log_odds, text_col)
+    kept = [c for c in docs.columns if keep_text or c != text_col]
+    measured = stored(measured.select(*kept, own), "evidence")
+    keys = {f"__{level}_{column}": F.coalesce(F.col(c).cast("string"), F.lit("\0")) for level, c in (("host", host), ("path", path))}
+    keyed = measured.withColumns(keys)
+    sites = site_posteriors(keyed.select(*(F.col(k).alias(level) for k, level in zip(keys, ("host", "path"), strict=True)), F.col(own).alias("log_odds")))
+    sites = sites.select(F.col("host").alias(f"__host_{column}"), F.col("path").alias(f"__path_{column}"), F.col("shift").alias(f"__shift_{column}"))
+    joined = keyed.join(sites, list(keys), "left")
     total = F.col(own) + F.coalesce(F.col(f"__shift_{column}"), F.lit(0.0))
-    return joined.select(*docs.columns, (1 / (1 + F.exp(-total))).alias(column))
+    return joined.select(*kept, (1 / (1 + F.exp(-total))).alias(column))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """(doc_id, score, keep) of every row: keep where the posterior is at least threshold."""
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in (options.get("host", "source"), options.get("path", "lang"))))
-    scored = with_posterior(thin, labels, "score", **options)
+    scored = with_posterior(thin, labels, "score", keep_text=False, **options)
     return scored.select("doc_id", "score", (F.col("score") >= threshold).alias("keep"))

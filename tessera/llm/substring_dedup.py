@@ -270,7 +270,7 @@ def _remove(window: int, columns: list[str], rejoin: bool):
     return remove
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", rejoin: bool = True, group_rows: int = 2000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", rejoin: bool = True, group_rows: int = 2000, group_bytes: int = 4 << 20) -> DataFrame:
     """docs' columns and n_words, n_removed, kept and passages.
 
     Words are runs of other than ASCII white space.  Every word is removed that
@@ -284,8 +284,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", "passages")]
-    n = docs.count()
-    groups, parts = max(128, -(-n // group_rows)), max(256, -(-n // 1000))
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    groups, parts = max(128, -(-n // group_rows), -(-size // group_bytes)), max(256, -(-n // 1000), -(-size // (group_bytes // 2)))
     own = [f"c{i}" for i in range(len(columns))]
     doc_id = F.col(id_col).cast("long")
     keyed = docs.select(

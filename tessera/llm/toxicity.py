@@ -13,11 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import stored, with_values
+
 # Common insults, second-person words and look-alike characters.
 SEED = "bastard clown crap creep disgusting dumb dumbass fool idiot imbecile jerk loser lowlife moron pathetic pig scum shit stupid trash ugly worthless".split()
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch sie tu toi te ton ta tes vous votre vos tú ti usted ustedes vosotros tuyo".split())
@@ -215,12 +216,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexi
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     # the sample is bounded by sample_rows rows of two integers
-    sample = texts.join(F.broadcast(known), "id").select("text", "label", F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(3)).alias("part"))
-    total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("t")).first()
+    sample = texts.join(F.broadcast(known), "id").select("text", "label", F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(5)).alias("part"))
+    sample = stored(sample, "labelled")  # read three times
+    taught = sample.where("part <> 0")  # what calibration uses must not shape the features
+    total = taught.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("t")).first()
     n, toxic = total["n"], total["t"]
     lexicon: list[str] = []
     if 0 < toxic < n:
-        seen = sample.select("text", "label").mapInArrow(_unit_rows, "unit string, label long").groupBy("unit").agg(F.count("*").alias("n"), F.sum("label").alias("t"))
+        seen = taught.select("text", "label").mapInArrow(_unit_rows, "unit string, label long").groupBy("unit").agg(F.count("*").alias("n"), F.sum("label").alias("t"))
         share, a, b = toxic / n, F.col("t"), F.col("n") - F.col("t")
         ratio = 2 * (a * F.log(F.greatest(a, F.lit(1)) / F.col("n") / share) + b * F.log(F.greatest(b, F.lit(1)) / F.col("n") / (1 - share)))
         picked = seen.where((F.col("t") >= 3) & (F.col("t") > F.col("n") * max(0.6, share))).withColumn("g", ratio).where(F.col("g") >= evidence)
@@ -245,14 +248,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexi
     return Model(features, trees, at, value)
 
 
-def scorer(model: Model):
-    """A column function of the text: the calibrated probability of toxicity."""
-
-    @F.pandas_udf("double")
-    def toxic_score(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score(text.tolist()), index=text.index)
-
-    return toxic_score
+def with_score(docs: DataFrame, model: Model, column: str, text_col: str = "text") -> DataFrame:
+    """docs and a column with the calibrated probability that the text is toxic."""
+    return with_values(docs, column, lambda texts: model.score(texts.to_pylist()), text_col)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **fitting) -> DataFrame:
@@ -262,6 +260,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, *
     stays null; repeated rows give repeated results.  Only the text enters the
     score: columns of other names are not read.
     """
-    score = scorer(fit(docs, labels, **fitting))
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumn("score", score("text"))
+    scored = with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), fit(docs, labels, **fitting), "score")
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
