@@ -28,38 +28,64 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier finds rather good than bad."""
+    """Documents that the quality classifier finds rather good than bad.
+
+    Null texts are judged as empty ones; rows of one id are judged each.
+    """
     score = _fresh(docs, "quality_score")
     return quality.with_posterior(docs, _labels(spark, sf_dir), score).where(F.col(score) >= 0.5).drop(score)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of being toxic is below 0.7."""
+    """Documents whose probability of being toxic is below 0.7; null texts are judged as empty ones."""
     score = _fresh(docs, "toxic_score")
-    scored = docs.withColumn(score, toxicity.scorer(toxicity.fit(docs, _labels(spark, sf_dir)))("text"))
-    return scored.where(F.col(score) < 0.7).drop(score)
+    return toxicity.with_score(docs, toxicity.fit(docs, _labels(spark, sf_dir)), score).where(F.col(score) < 0.7).drop(score)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links join, the one of least id (null ids stay)."""
+    """Of documents that near-duplicate links join, the one of least id.
+
+    Rows are judged, not ids: of rows of one id with different texts each
+    belongs to the group of its own text, and of several rows of the least id
+    in one group the one whose text has the least hash stays.  Rows with a null
+    id, and texts without words, are in no group and stay, but of rows of the
+    same id and text one.
+    """
     ship(spark)
-    links = stored(jaccard_join.link(docs), "components")
-    gone = links.where("component_id <> doc_id").select("doc_id").distinct()
-    if gone.count() <= MOST_SENT:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    key = _fresh(docs, "text_key")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    found = stored(jaccard_join.link(keyed, row_key=F.col(key)), "components").where("doc_id is not null")
+    rows = found.groupBy("doc_id", "row_key").agg(F.bool_and("kept").alias("kept"), F.min("n_shingles").alias("n"), F.min("set_id").alias("set_id"), F.count("*").alias("copies"))
+    # texts that differ and have equal sets, of one id: one of them
+    least = rows.where("kept and n > 0").groupBy("doc_id", "set_id").agg(F.min("row_key").alias("least"), F.count("*").alias("texts")).where("texts > 1").select("doc_id", "set_id", "least")
+    rows = rows.join(least, ["doc_id", "set_id"], "left")
+    stays = F.col("kept") & (F.col("least").isNull() | (F.col("least") == F.col("row_key")))
+    marks = stored(rows.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), stays.alias("__stays"), (F.col("copies") > 1).alias("__repeated")).where("not __stays or __repeated"), "marks")
+
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= MOST_SENT else df
+
+    of_row = (F.col("doc_id").cast("long") == F.col("__id")) & (F.col(key) == F.col("__key"))
+    plain = keyed.join(sent(marks), of_row, "left_anti")
+    repeated = keyed.join(sent(marks.where("__stays")), of_row, "left_semi").dropDuplicates(["doc_id", key])
+    return plain.union(repeated).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has."""
+    """Documents without the passages that an earlier one has.
+
+    A null text stays null; rows with a null id keep everything; columns
+    other than text and n_chars are kept whatever their names.
+    """
     ship(spark)
-    cleaned = substring_dedup.remove_repeats(docs, rejoin=False)
-    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return cleaned.select(*(new[c].alias(c) if c in new else c for c in docs.columns))
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}  # names that the operator doesn't use
+    cleaned = substring_dedup.remove_repeats(docs.withColumnsRenamed(own), rejoin=False, id_col=own["doc_id"], text_col=own["text"])
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in own else None}
+    return cleaned.select(*((new[c] if c in new else F.col(o)).alias(c) for c, o in own.items()))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 1024 tokens."""
+    """Pieces of all documents in sequences of at most 1024 tokens; a null text has its end token only."""
     ship(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
