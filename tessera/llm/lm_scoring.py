@@ -2,19 +2,18 @@
 
 The network sees the words on both sides of a masked position, never the word
 itself: learned rows for (word, offset) are summed and squashed into a hidden
-vector, from which a two-level softmax (class, then place within the class)
-gives the word's probability.  Every word that is frequent enough has an id of
-its own, so the vocabulary grows with the corpus; a rarer word is spelled by
-pieces of up to three characters, and a rare piece by its UTF-8 bytes, so that
-no two words share their ids.  Every task trains a copy, in numpy, on all
-positions of its share of the documents; Spark averages the copies.  A
-document's score is the sum of the conditional log-probabilities of its words
-and, where they are rare, of each of their pieces.
+vector, which is asked at every node from the root of a binary tree down to the
+word's leaf.  Words that are frequent enough have a leaf and rows of their own,
+and more of them are the larger the corpus is; the others share one leaf, below
+which a byte model, counted on all of their occurrences, spells them out to the
+end of the word.  So every word's probability given both sides is normalised.
+Every task trains a copy, in numpy, on all positions of its share of the
+documents; Spark averages the copies, and a further round goes on from there.
+A document's score is the sum of its words' conditional log-probabilities.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,113 +23,141 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import stored
+from tessera.llm.words import PLAIN, Block, blocks
 
-PLACES = 256
-TOKENS = 512  # ids that always exist: bytes within a word, then bytes at a word's end
-PAD = -1  # the last row
-PIECE = 3
+OTHERS = 1024  # rows that the rarer words share, as neighbours
 HIDDEN = 16
 OFFSETS = (-2, -1, 1, 2)
-BATCH, FIRST, LARGE = 1024, 1 << 17, 8192  # positions a step: until FIRST are trained, and from there on
-BLOCK_TOKENS = 1 << 17
+SIDE = 2
+FIRST, SMALL, LARGE = 1 << 17, 1024, 8192  # positions a step: until FIRST are trained, and from there on
+HELD = 1 << 16  # positions that are shuffled among each other
 RATE = 0.2
-_FIXED = 1 << 20  # parameters are averaged as fixed-point numbers, so that sums don't depend on their order
-_CHUNK = 1 << 13  # parameters in a row
-_HELD = 500_000  # words that a task counts at once, or whose spelling it remembers
+AFTER = 50  # steps that the first positions of a later round stand for in their sums of squared gradients
+ROUNDS = 2
+END = 32  # the byte before and after a word
+SMOOTH = 2.0
+_FIXED = 1 << 11  # parameters are averaged as 16-bit fixed-point numbers, so that sums don't depend on their order
+_CHUNK = 1 << 14  # parameters in a row
+_BUCKETS = 256
+_MERGE = 1 << 20  # distinct words that a task counts at once
+_U = np.uint64
 
 
-def words_of(text: str | None) -> list[str]:
-    return text.lower().replace(".", " ").replace(",", " ").split() if text else []
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, in order, and the sums of their counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts, first)
 
 
-def pieces_of(word: str) -> list[str]:
-    """What a rare word is spelled by, as keys of the vocabulary that are no words; the last one is marked."""
-    return ["\n" + word[i : i + PIECE] + ("\n" if i + PIECE >= len(word) else "") for i in range(0, len(word), PIECE)]
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, in order, and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
-def _counted(counts: Counter[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+def _order(ids: np.ndarray) -> np.ndarray:
+    """A stable order of ids from -1 on; small ones fit 16 bits, which sort faster."""
+    shifted = ids + 1
+    return np.argsort(shifted.astype(np.uint16) if shifted.max(initial=0) < 1 << 16 else shifted, kind="stable")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's counts of all of its words; a word may come several times."""
-    counts: Counter[str] = Counter()
-    for batch in batches:
-        for at in range(0, len(batch), 512):
-            for text in batch.column(0).slice(at, 512).to_pylist():
-                counts.update(words_of(text))
-            if len(counts) > _HELD:
-                yield _counted(counts)
-                counts = Counter()
-    yield _counted(counts)
-
-
-def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The counts of the pieces of counted words."""
-    counts: Counter[str] = Counter()
+    """A task's counts of its words, by bucket; a word may come several times."""
+    keys, counts = np.zeros(0, _U), np.zeros(0, np.int64)
+    waiting: list[np.ndarray] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        own = counted(np.concatenate([keys[:0], *waiting]))
+        return summed(np.concatenate((keys, own[0])), np.concatenate((counts, own[1])))
+
+    def flush() -> pa.RecordBatch:
+        place = (keys >> _U(56)).astype(np.int64)  # keys are in order, and so are buckets
+        cut = np.searchsorted(place, np.arange(_BUCKETS + 1))
+        used = [b for b in range(_BUCKETS) if cut[b] < cut[b + 1]]
+        parts = [[x[cut[b] : cut[b + 1]].tobytes() for b in used] for x in (keys, counts)]
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(p, pa.binary()) for p in parts)], names=["bucket", "words", "counts"])
+
     for batch in batches:
-        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for piece in pieces_of(word):
-                counts[piece] += n
-        if len(counts) > _HELD:
-            yield _counted(counts)
-            counts = Counter()
-    yield _counted(counts)
-
-
-def spelled(word: str, vocabulary: dict[str, int]) -> list[int]:
-    """The ids of a word outside the vocabulary."""
-    out: list[int] = []
-    for piece in pieces_of(word):
-        own = vocabulary.get(piece)
-        if own is not None:
-            out.append(own)
-            continue
-        out += piece.strip("\n").encode("utf-8", "surrogatepass")
-        if piece[-1] == "\n":
-            out[-1] += 256
-    return out
-
-
-def token_ids(text: str | None, vocabulary: dict[str, int], rare: dict[str, list[int]] | None = None) -> np.ndarray:
-    """Ids of a text; rare remembers how words outside the vocabulary are spelled."""
-    rare = {} if rare is None else rare
-    out: list[int] = []
-    for word in words_of(text):
-        own = vocabulary.get(word)
-        if own is not None:
-            out.append(own)
-            continue
-        found = rare.get(word)
-        if found is None:
-            if len(rare) >= _HELD:
-                rare.clear()
-            found = rare[word] = spelled(word, vocabulary)
-        out += found
-    return np.array(out, np.int32)
+        for block in blocks(batch.column(0), fold=True, apart=PLAIN):
+            waiting.append(block.hashes)
+            if sum(map(len, waiting)) >= _MERGE:
+                keys, counts = merged()
+                waiting.clear()
+        if len(keys) > _MERGE:
+            yield flush()
+            keys, counts = keys[:0], counts[:0]
+    keys, counts = merged()
+    yield flush()
+
+
+def _add_counts(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    parts = [np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("words", _U), ("counts", np.int64))]
+    words, counts = summed(*parts)
+    return pa.table({"word": words.view(np.int64), "n": counts})
+
+
+@dataclass
+class Vocabulary:
+    """Hashes of words in order, and their ids: 1 for the most frequent one; 0 is any other word."""
+
+    hashes: np.ndarray
+    ids: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def look(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.ids[at], 0).astype(np.int32)
+
+
+def vocabulary_of(texts: DataFrame, floor: int | None = None) -> Vocabulary:
+    """All words that occur at least floor times; by default an eighth of the root
+    of the corpus's words, so that the vocabulary grows with about that root.
+
+    The counts of all words are a stored table; only the vocabulary comes to
+    the driver, of which there can't be more than 8 times that root.
+    """
+    counts = texts.mapInArrow(_count, "bucket int, words binary, counts binary").groupBy("bucket").applyInArrow(_add_counts, "word long, n long")
+    counts = stored(counts, "words")
+    if floor is None:
+        floor = max(4, int((counts.agg(F.sum("n")).first()[0] or 0) ** 0.5 / 8))
+    found = counts.where(F.col("n") >= floor).toArrow()
+    words, n = found.column("word").to_numpy().view(_U), found.column("n").to_numpy()
+    order = np.lexsort((words, -n))
+    ids = np.empty(len(words), np.int32)
+    ids[order] = np.arange(1, len(words) + 1)
+    by = np.argsort(words)
+    return Vocabulary(words[by], ids[by])
 
 
 @dataclass
 class Network:
-    rows: np.ndarray  # offset, token, hidden
+    rows: np.ndarray  # offset, word or shared row or edge of a document, hidden
     bias: np.ndarray
-    classes: np.ndarray  # class, hidden + 1
-    places: np.ndarray  # class, place, hidden + 1
+    nodes: np.ndarray  # node of the tree (its children are 2 i and 2 i + 1), hidden + 1
 
     @staticmethod
-    def start(tokens: int, seed: int = 7) -> Network:
-        """A network for ids below tokens."""
+    def start(words: int, seed: int = 7) -> Network:
+        """A network for a vocabulary of so many words."""
         draw = np.random.default_rng(seed)
-        classes = -(-tokens // PLACES)
-        return Network(
-            draw.normal(0, 0.1, (len(OFFSETS), tokens + 1, HIDDEN)).astype(np.float32),
-            np.zeros(HIDDEN, np.float32),
-            draw.normal(0, 0.1, (classes, HIDDEN + 1)).astype(np.float32),
-            draw.normal(0, 0.1, (classes, PLACES, HIDDEN + 1)).astype(np.float32),
-        )
+        depth = max(1, int(words).bit_length())
+        rows = draw.normal(0, 0.1, (len(OFFSETS), words + 1 + OTHERS + 1, HIDDEN)).astype(np.float32)
+        return Network(rows, np.zeros(HIDDEN, np.float32), np.zeros((1 << depth, HIDDEN + 1), np.float32))
+
+    @property
+    def depth(self) -> int:
+        return len(self.nodes).bit_length() - 1
 
     def parts(self) -> list[np.ndarray]:
-        return [self.rows, self.bias, self.classes, self.places]
+        return [self.rows, self.bias, self.nodes]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts()])
@@ -143,207 +170,246 @@ class Network:
         return self
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.bias + self.rows[0][context[:, 0]]
+        total = self.bias + self.rows[0].take(context[:, 0], axis=0)
         for j in range(1, len(OFFSETS)):
-            total += self.rows[j][context[:, j]]
+            total += self.rows[j].take(context[:, j], axis=0)
         out = np.ones((len(context), HIDDEN + 1), np.float32)
         np.tanh(total, out=out[:, :HIDDEN])
         return out
 
     def log_p(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         """log P(token | the words around it)."""
-        if not len(token):
-            return np.zeros(0)
-        cls, place = np.divmod(token, PLACES)
+        out = np.zeros(len(token))
         h = self.hidden(context)
-        out = _log_soft(h @ self.classes.T, cls)
-        for c, own in _by_class(cls):
-            out[own] += _log_soft(h[own] @ self.places[c].T, place[own])
+        leaf = token.astype(np.int64) + len(self.nodes)
+        for up in range(1, self.depth + 1):
+            z = np.einsum("ij,ij->i", self.nodes.take(leaf >> up, axis=0), h)
+            z *= 1 - 2 * ((leaf >> (up - 1)) & 1).astype(np.float32)
+            out -= np.log1p(np.exp(np.clip(z, -80, 80)))  # -log of the chance to go the leaf's way
         return out
 
-    def step(self, context: np.ndarray, token: np.ndarray, seen: Network) -> None:
-        """One Adagrad step on a batch; seen holds the sums of squared gradients."""
+    def step(self, context: np.ndarray, token: np.ndarray, seen: Network, move: bool = True) -> None:
+        """One Adagrad step on a batch in order of its tokens; seen holds the sums of
+        squared gradients.  Without move only those are added up."""
         n = len(token)
-        cls, place = np.divmod(token, PLACES)
         h = self.hidden(context)
-        g = _soft(h @ self.classes.T)
-        g[np.arange(n), cls] -= 1
-        back = g @ self.classes
-        _adagrad(self.classes, seen.classes, g.T @ h / n)
-        for c, own in _by_class(cls):
-            near = h[own]
-            g = _soft(near @ self.places[c].T)
-            g[np.arange(len(own)), place[own]] -= 1
-            back[own] += g @ self.places[c]
-            _adagrad(self.places[c], seen.places[c], g.T @ near / n)
-        inner = back[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2) / n
-        _adagrad(self.bias, seen.bias, inner.sum(axis=0))
+        back = np.zeros_like(h)
+        leaf = token.astype(np.int64) + len(self.nodes)
+        for up in range(1, self.depth + 1):
+            node = leaf >> up
+            own = self.nodes.take(node, axis=0)
+            g = 1 / (1 + np.exp(np.clip(-np.einsum("ij,ij->i", own, h), -80, 80)))
+            g -= ((leaf >> (up - 1)) & 1).astype(np.float32)
+            g = g[:, None]
+            back += g * own
+            _adagrad(self.nodes, seen.nodes, node, g * h, n, move)
+        inner = back[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
+        grad = inner.sum(axis=0) / n
+        seen.bias += grad * grad
+        if move:
+            self.bias -= RATE * grad / (np.sqrt(seen.bias) + 1e-6)
         for j in range(len(OFFSETS)):
-            order = np.argsort(context[:, j], kind="stable")
-            at = context[order, j]
-            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            grad = np.add.reduceat(inner[order], first, axis=0)
-            who = at[first]
-            seen.rows[j][who] += grad * grad
-            self.rows[j][who] -= RATE * grad / (np.sqrt(seen.rows[j][who]) + 1e-6)
-
-
-def _by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each class that occurs, and where."""
-    order = np.argsort(cls, kind="stable")
-    at = np.flatnonzero(np.diff(cls[order], prepend=-1))
-    for c, own in zip(cls[order[at]].tolist(), np.split(order, at[1:]), strict=True):
-        yield c, own
-
-
-def _adagrad(value: np.ndarray, seen: np.ndarray, grad: np.ndarray) -> None:
-    seen += grad * grad
-    value -= RATE * grad / (np.sqrt(seen) + 1e-6)
-
-
-def _soft(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
-
-
-def _log_soft(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    own = z[np.arange(len(z)), at].astype(np.float64)
-    return own - np.log(np.exp(z).sum(axis=1, dtype=np.float64))
-
-
-def contexts(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The tokens around each position, PAD beyond its document's ends."""
-    n = len(tokens)
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    out = np.full((n, len(OFFSETS)), PAD, np.int32)
-    for j, offset in enumerate(OFFSETS):
-        at = np.arange(n) + offset
-        ok = (at >= 0) & (at < n)
-        ok[ok] = row[at[ok]] == row[ok]
-        out[ok, j] = tokens[at[ok]]
-    return out
-
-
-def _blocks(texts: list[str | None], vocabulary: dict[str, int], rare: dict[str, list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(tokens, bounds) of runs of documents of about BLOCK_TOKENS tokens."""
-    held: list[np.ndarray] = []
-    total = 0
-    for text in texts:
-        held.append(token_ids(text, vocabulary, rare))
-        total += len(held[-1])
-        if total >= BLOCK_TOKENS:
-            yield np.concatenate(held), np.concatenate(([0], np.cumsum([len(x) for x in held])))
-            held, total = [], 0
-    if held:
-        yield np.concatenate(held), np.concatenate(([0], np.cumsum([len(x) for x in held])))
-
-
-def vocabulary_of(texts: DataFrame, floor: int) -> dict[str, int]:
-    """Ids of all words that occur at least floor times, and of the pieces of rarer ones that do.
-
-    The counts of all words are a stored table.  What comes to the driver are
-    the entries of the vocabulary, of which there can't be more than a floor-th
-    of the corpus's words and pieces.
-    """
-    counts = stored(texts.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    common = counts.where(F.col("n") >= floor)
-    pieces = counts.where(F.col("n") < floor).mapInArrow(_count_pieces, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
-    found = common.union(pieces).toArrow()
-    order = sorted(zip(found.column("n").to_pylist(), found.column("word").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
-    return {word: TOKENS + i for i, (_, word) in enumerate(order)}
+            order = _order(context[:, j])
+            _adagrad(self.rows[j], seen.rows[j], context[:, j].take(order), inner.take(order, axis=0), n, move)
+
+
+def _adagrad(value: np.ndarray, seen: np.ndarray, at: np.ndarray, grad: np.ndarray, n: int, move: bool) -> None:
+    """Move the rows of value named by at, which is in order, by the sums of their gradients."""
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    who, total = at[first], np.add.reduceat(grad, first, axis=0)
+    total /= n
+    squares = seen.take(who, axis=0) + total * total
+    seen[who] = squares
+    if move:
+        value[who] -= RATE * total / (np.sqrt(squares) + 1e-6)
+
+
+def positions(block: Block, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, contexts): of each word its id, and the rows of the words around it, -1 beyond its document."""
+    token = vocabulary.look(block.hashes)
+    shared = len(vocabulary) + 1 + (block.hashes % _U(OTHERS)).astype(np.int32)
+    at = np.arange(len(token)) + SIDE * (block.row_of_word() + 1)
+    spaced = np.full(len(token) + SIDE * (block.rows + 1), -1, np.int32)
+    spaced[at] = np.where(token > 0, token, shared)
+    return token, np.stack([spaced[at + offset] for offset in OFFSETS], axis=1)
+
+
+def spelling(block: Block, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, before, byte) of each byte of the words at which, and of their ends:
+    before holds the two bytes before it, of the word or END."""
+    start, size = block.start[which], block.end[which] - block.start[which] + 1
+    owner = np.repeat(np.arange(len(which)), size)
+    place = np.arange(int(size.sum())) - np.repeat(np.concatenate(([0], np.cumsum(size)[:-1])), size)
+    at = start[owner] + place
+
+    def byte(back: int) -> np.ndarray:
+        own = block.data.take(at - back, mode="clip").astype(np.int32)
+        own[place < back] = END
+        return own
+
+    here = byte(0)
+    here[place == size[owner] - 1] = END
+    return owner, byte(2) << 8 | byte(1), here
+
+
+class Speller:
+    """log P(byte | the two before), from counts of before << 8 | byte; each order is smoothed by the one below."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        three = np.zeros((65536, 1), np.int32)
+        used = np.unique(keys >> 8)
+        three[used, 0] = np.arange(1, len(used) + 1)
+        self.row = three[:, 0]  # 0: not seen
+        two = np.zeros((256, 256))
+        np.add.at(two, (keys >> 8 & 255, keys & 255), counts)
+        one = (two.sum(axis=0) + 1) / (two.sum() + 256)
+        two = (two + SMOOTH * one) / (two.sum(axis=1, keepdims=True) + SMOOTH)
+        full = np.zeros((len(used) + 1, 256))
+        full[self.row[keys >> 8], keys & 255] = counts
+        full[1:] = (full[1:] + SMOOTH * two[used & 255]) / (full[1:].sum(axis=1, keepdims=True) + SMOOTH)
+        full[0] = 1
+        self.full, self.two = np.log(full).astype(np.float32), np.log(two).astype(np.float32)
+
+    def log_p(self, before: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        row = self.row[before]
+        return np.where(row > 0, self.full[row, byte], self.two[before & 255, byte]).astype(np.float64)
 
 
-def fit(docs: DataFrame, text_col: str = "text", floor: int = 256) -> tuple[dict[str, int], Network]:
-    """The vocabulary and the averaged network, from every document.
+@dataclass
+class Model:
+    vocabulary: Vocabulary
+    network: Network
+    speller: Speller
+
+    def word_scores(self, block: Block) -> np.ndarray:
+        """log P of each word of a block given the words around it."""
+        token, context = positions(block, self.vocabulary)
+        out = np.concatenate([self.network.log_p(context[i : i + (1 << 14)], token[i : i + (1 << 14)]) for i in range(0, len(token), 1 << 14)] or [np.zeros(0)])
+        rare = np.flatnonzero(token == 0)
+        for i in range(0, len(rare), 1 << 16):
+            owner, before, byte = spelling(block, rare[i : i + (1 << 16)])
+            out[rare[i : i + (1 << 16)]] += np.bincount(owner, self.speller.log_p(before, byte))
+        return out
 
-    Each task trains on every position of each of its documents and its
-    parameters weigh as many positions as it trained on.  Vocabulary and
-    parameters grow with the words that occur at least floor times.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(text_col).alias("text"))
-    words = vocabulary_of(texts, floor)
-    size = TOKENS + len(words)
-    held = spark.sparkContext.broadcast(words)
+
+def _trained(held, later: bool):
+    """A copy's parameters (chunk, value, weight) after all positions of a task, and the
+    counts of its rare words' bytes (chunk below 0)."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, seen = Network.start(size), Network.start(size)
+        vocabulary, flat = held.value
+        network, seen = Network.start(len(vocabulary)), Network.start(len(vocabulary))
+        if later:
+            network.load(flat)
         for p in seen.parts():
             p[...] = 1e-8
-        trained = 0
-        kept_c, kept_t, waiting = [], [], 0
-        rare: dict[str, list[int]] = {}
+        trained, waiting = 0, 0
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def learn() -> int:
+            token, context = (np.concatenate(x) for x in zip(*kept, strict=True))
+            order = np.random.default_rng(len(token)).permutation(len(token))
+            size = SMALL if trained < FIRST and not later else LARGE
+            for warm in (True, False) if later and not trained else (False,):
+                for at in range(0, len(order), size):
+                    own = order[at : at + size]
+                    own = own[_order(token[own])]
+                    network.step(context[own], token[own], seen, move=not warm)
+                if warm:
+                    for p in seen.parts():
+                        p *= AFTER * size / max(size, len(order))
+            return len(token)
+
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                for tokens, bounds in _blocks(batch.column(0).slice(at, 512).to_pylist(), held.value, rare):
-                    kept_c.append(contexts(tokens, bounds))
-                    kept_t.append(tokens)
-                    waiting += len(tokens)
-                    if waiting >= 1 << 16:
-                        trained += _train(network, seen, kept_c, kept_t, trained)
-                        kept_c, kept_t, waiting = [], [], 0
-        trained += _train(network, seen, kept_c, kept_t, trained)
-        if trained:
-            flat = np.append(np.round(network.flat().astype(np.float64) * _FIXED).astype(np.int64) * trained, trained)
-            chunks = [flat[i : i + _CHUNK].tobytes() for i in range(0, len(flat), _CHUNK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int64()), pa.array(chunks, pa.binary())], names=["chunk", "value"])
-
-    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("value"))
-        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "value"])
-
-    total = texts.mapInArrow(train, "chunk long, value binary").groupBy("chunk").applyInArrow(add, "chunk long, value binary").toArrow().sort_by("chunk")
-    network = Network.start(size)
-    if len(total):
-        flat = np.frombuffer(b"".join(total.column("value").to_pylist()), np.int64)
-        network.load(flat[:-1] / flat[-1] / _FIXED)
-    return words, network
-
-
-def _train(network: Network, seen: Network, kept_c: list[np.ndarray], kept_t: list[np.ndarray], before: int) -> int:
-    if not kept_t:
-        return 0
-    context, token = np.concatenate(kept_c), np.concatenate(kept_t)
-    order = np.random.default_rng(len(token)).permutation(len(token))
-    step = BATCH if before < FIRST else LARGE
-    for at in range(0, len(order), step):
-        own = order[at : at + step]
-        network.step(context[own], token[own], seen)
-    return len(token)
+            for block in blocks(batch.column(0), fold=True, apart=PLAIN):
+                if not len(block.hashes):
+                    continue
+                kept.append(positions(block, vocabulary))
+                rare = np.flatnonzero(kept[-1][0] == 0)
+                waiting += len(block.hashes)
+                for i in range(0, len(rare), HELD):
+                    _, before, byte = spelling(block, rare[i : i + HELD])
+                    own = counted((before << 8 | byte).astype(np.uint32))
+                    keys, counts = summed(np.concatenate((keys, own[0])), np.concatenate((counts, own[1])))
+                if waiting >= HELD:
+                    trained += learn()
+                    kept, waiting = [], 0
+        if kept:
+            trained += learn()
+        if not trained:
+            return
+        limit = (1 << 15) - 1
+        values = np.clip(np.round(network.flat() * _FIXED), -limit, limit).astype("<i2")
+        rows = [(i // _CHUNK, values[i : i + _CHUNK].tobytes(), trained) for i in range(0, len(values), _CHUNK)]
+        for part in np.unique(keys >> 20).tolist():
+            own = keys >> 20 == part
+            rows.append((-1 - part, np.concatenate((keys[own], counts[own])).astype("<i8").tobytes(), 0))
+        chunk, value, weight = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(value, pa.binary()), pa.array(weight, pa.int64())], names=["chunk", "value", "weight"])
+
+    return train
+
+
+def _averaged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    chunk, values, weights = key[0].as_py(), table.column("value").to_pylist(), table.column("weight").to_pylist()
+    if chunk < 0:
+        both = [np.frombuffer(v, "<i8").reshape(2, -1) for v in values]
+        total = np.concatenate(summed(np.concatenate([b[0] for b in both]), np.concatenate([b[1] for b in both])))
+    else:
+        total = sum(np.frombuffer(v, "<i2").astype(np.int64) * w for v, w in zip(values, weights, strict=True)) / (sum(weights) * _FIXED)
+    return pa.table({"chunk": pa.array([chunk], pa.int64()), "value": pa.array([total.tobytes()], pa.binary()), "weight": pa.array([sum(weights)], pa.int64())})
+
+
+def fit(docs: DataFrame, text_col: str = "text", floor: int | None = None, rounds: int = ROUNDS) -> Model:
+    """The model of all documents.
+
+    Each round has its share of the documents, by a hash of the text, and
+    starts from the average of the round before; so every position is trained
+    on once.  A copy weighs as many positions as it trained on.  Without words
+    the network is the untrained one.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(text_col).alias("text"))
+    vocabulary = vocabulary_of(texts, floor)
+    flat = Network.start(len(vocabulary)).flat()
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    done = False
+    for turn in range(rounds):
+        held = spark.sparkContext.broadcast((vocabulary, flat))  # grows with the root of the corpus
+        share = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn)
+        copies = share.mapInArrow(_trained(held, done), "chunk long, value binary, weight long")
+        found = copies.groupBy("chunk").applyInArrow(_averaged, "chunk long, value binary, weight long").toArrow().sort_by("chunk")
+        values: list[np.ndarray] = []
+        for chunk, value in zip(found.column("chunk").to_pylist(), found.column("value").to_pylist(), strict=True):
+            if chunk < 0:
+                own = np.frombuffer(value, np.int64).reshape(2, -1)
+                keys, counts = summed(np.concatenate((keys, own[0])), np.concatenate((counts, own[1])))
+            else:
+                values.append(np.frombuffer(value, np.float64))
+        if values:
+            flat, done = np.concatenate(values).astype(np.float32), True
+    return Model(vocabulary, Network.start(len(vocabulary)).load(flat), Speller(keys, counts))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **fitting) -> DataFrame:
     """(doc_id, n_tokens, log_prob, mean_log_prob) of every row.
 
-    log_prob is the pseudo-likelihood: the sum over all words, or the pieces of
-    rare ones, of the log of their probability given both sides; n_tokens counts
-    words.  A text without words, or a null one,
-    has 0 tokens, a log_prob of 0 and a null mean; null ids and repeated rows
-    are scored like others; other columns are not read.
+    A token is a run of other than ASCII white space, full stops and commas,
+    with A-Z lower-cased; log_prob is the pseudo-likelihood, the sum of the log
+    of each token's probability given both sides.  A text without tokens, or a
+    null one, has 0 tokens, a log_prob of 0 and a null mean; null ids and
+    repeated rows are scored like others; other columns are not read.
     """
-    words, network = fit(docs, text_col, **fitting)
-    held = docs.sparkSession.sparkContext.broadcast((words, network))
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col, **fitting))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, net = held.value
-        rare: dict[str, list[int]] = {}
+        model = held.value
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                rows = batch.slice(at, 512)
-                texts, sums = rows.column(1).to_pylist(), []
-                for tokens, bounds in _blocks(texts, vocabulary, rare):
-                    logs = np.concatenate([net.log_p(c, t) for c, t in _pieces(contexts(tokens, bounds), tokens)] or [np.zeros(0)])
-                    run_sum = np.concatenate(([0.0], np.cumsum(logs)))
-                    sums.append(run_sum[bounds[1:]] - run_sum[bounds[:-1]])
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(words_of(x)) for x in texts], pa.int64()), pa.array(np.concatenate(sums))], names=["doc_id", "n_tokens", "log_prob"])
+            for block in blocks(batch.column(1), fold=True, apart=PLAIN):
+                total = np.concatenate(([0.0], np.cumsum(model.word_scores(block))))
+                own = total[block.bounds[1:]] - total[block.bounds[:-1]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array(np.diff(block.bounds), pa.int64()), pa.array(own)], names=["doc_id", "n_tokens", "log_prob"])
 
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_prob double")
     return scored.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
-
-
-def _pieces(context: np.ndarray, token: np.ndarray, size: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for at in range(0, len(token), size):
-        yield context[at : at + size], token[at : at + size]

@@ -40,6 +40,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+PLAIN = _SPACE.copy()  # white space, full stops and commas
+PLAIN[[44, 46]] = True
 _STEP = _stream(64, 2) | _U(1)
 _BASE = _U(0xD6E8FEB86659FD93)
 _powers = np.ones(1, dtype=_U)
@@ -113,8 +115,8 @@ def _hash_span(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix(out)
 
 
-def blocks(column: pa.Array, fold: bool = False, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Blocks of a text column; fold lower-cases A-Z before hashing."""
+def blocks(column: pa.Array, fold: bool = False, block_bytes: int = BLOCK_BYTES, apart: np.ndarray = _SPACE) -> Iterator[Block]:
+    """Blocks of a text column; fold lower-cases A-Z before hashing, apart marks the bytes between words."""
     raw, offsets = text_bytes(column)
     n, row = len(offsets) - 1, 0
     while row < n:
@@ -123,7 +125,7 @@ def blocks(column: pa.Array, fold: bool = False, block_bytes: int = BLOCK_BYTES)
         data = raw[lo:hi]
         if fold:
             data = _FOLD[data]
-        inside = ~_SPACE[data]
+        inside = ~apart[data]
         begins = np.zeros(len(data) + 1, dtype=bool)
         begins[offsets[row : to + 1] - lo] = True  # a row's start ends the word before it
         starts = inside.copy()
