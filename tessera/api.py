@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import wraps
+from numbers import Integral
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from tessera.functions import pixels as P
 from tessera.functions.selection import as_labels
 from tessera.operators import catalog, cost, layouts, regret, selecting
 from tessera.operators.storage import Catalog
+from tessera.package import ship
 from tessera.sources import detections
 
 DEFAULTS = {"default_db_path": "labels.parquet", "catalog_path": "resources"}
@@ -143,17 +146,29 @@ class WorkloadCostEstimator:
     def estimate_cost(workload: Workload, video: TiledVideo, store: TileStore) -> CostElements:
         """What the workload decodes of a video under its newest layouts."""
         asked = workload.frame(store.spark, video.metadata_id)
-        rows, gop_len = store.index.rows(), video.gop_length()
+        rows, gop_len = store.index.of(video.metadata_id), video.gop_length()
         current = store.gop_layouts(video.video).withColumn("video", F.lit(video.metadata_id))
         found = cost.of_workload(cost.of_queries(rows, asked, current, gop_len), asked).first()
         return CostElements(found["num_pixels"], found["num_tiles"])
 
 
+def _overloaded(method):
+    """Selections also by position with a metadata id before the label: (video, metadata_id, label, ...)."""
+
+    @wraps(method)
+    def call(self, video: str, *asked, **options):
+        if len(asked) > 1 and asked[1] is not None and not isinstance(asked[1], Integral):
+            options["metadata_id"], asked = asked[0], asked[1:]
+        return method(self, video, *asked, **options)
+
+    return call
+
+
 class TileStore:
     """Store videos as tiles, index detections, and select pixels by label and frame."""
 
     def __init__(self, spark: SparkSession, kind: str = "xy", path: str | None = None, catalog_path: str | None = None):
-        self.spark = spark
+        self.spark = ship(spark)
         self.index = detections.open_index(spark, kind, path or DEFAULTS["default_db_path"])
         self.catalog = Catalog(spark, catalog_path or DEFAULTS["catalog_path"])
         self.policies: dict[str, dict] = {}
@@ -188,7 +203,7 @@ class TileStore:
         """Tiles around a label's detections; without force only where that saves enough."""
 
         def layout_of(gops: DataFrame, w: int, h: int) -> DataFrame:
-            found = detections.boxes(detections.pick(self.index.rows(), metadata_id, label)).withColumn("video", F.lit(video))
+            found = detections.boxes(detections.pick(self.index.of(metadata_id), metadata_id, label)).withColumn("video", F.lit(video))
             made = layouts.filled(layouts.around_detections(found, w, h, frame_rate), gops, w, h)
             return made if force else layouts.if_useful(found, made, frame_rate, w, h).drop("tiled")
 
@@ -205,7 +220,7 @@ class TileStore:
 
     def _wanted(self, video: str, metadata_id: str | None, label, first, last) -> DataFrame:
         size = self.catalog.videos().where(F.col("video") == video).first()
-        rows = detections.pick(self.index.rows(), metadata_id or video, label, first, last)
+        rows = detections.pick(self.index.of(metadata_id or video), metadata_id or video, label, first, last)
         boxes = detections.boxes(rows, size["width"], size["height"]).withColumn("video", F.lit(video))
         if video in self.policies:
             self._log(video, label, first, last)
@@ -214,23 +229,27 @@ class TileStore:
     def _own(self, video: str) -> tuple[DataFrame, int]:
         return self.catalog.layouts().where(F.col("video") == video), self.catalog.gop_len(video)
 
+    @_overloaded
     def select_places(self, video: str, label, first: int | None = None, last: int | None = None, metadata_id: str | None = None, include_gop_prefix: bool = False) -> DataFrame:
         """Where the wanted objects are, without reading pixels."""
         boxes, own = self._wanted(video, metadata_id, label, first, last), self._own(video)
         if not include_gop_prefix:
             return selecting.objects(boxes, *own)
-        every = detections.boxes(detections.pick(self.index.rows(), metadata_id or video, label)).withColumn("video", F.lit(video))
+        every = detections.boxes(detections.pick(self.index.of(metadata_id or video), metadata_id or video, label)).withColumn("video", F.lit(video))
         return selecting.prefix_objects(boxes, every, *own)
 
+    @_overloaded
     def select(self, video: str, label, first: int | None = None, last: int | None = None, metadata_id: str | None = None, include_gop_prefix: bool = False) -> DataFrame:
         """Objects: (video, frame, label, tile_no, x, y, width, height, pixels) of each box and tile."""
         met = self.catalog.tile_pixels(self.select_places(video, label, first, last, metadata_id, include_gop_prefix))
         return met.select("video", "frame", "label", "tile_no", "x", "y", "width", "height", P.crop("pixels", "tile_width", "left", "top", "width", "height").alias("pixels"))
 
+    @_overloaded
     def select_tiles(self, video: str, label, first: int | None = None, last: int | None = None, metadata_id: str | None = None, include_gop_prefix: bool = False) -> DataFrame:
         boxes = self._wanted(video, metadata_id, label, first, last)
         return self.catalog.tile_pixels(selecting.whole_tiles(boxes, *self._own(video), include_gop_prefix)).select("video", "frame", "tile_no", "width", "height", "pixels")
 
+    @_overloaded
     def select_frames(self, video: str, label, first: int | None = None, last: int | None = None, metadata_id: str | None = None) -> DataFrame:
         return self.catalog.frames(video, self._wanted(video, metadata_id, label, first, last))
 
@@ -252,7 +271,7 @@ class TileStore:
         policy, size = self.policies[video], self.catalog.videos().where(F.col("video") == video).first()
         w, h, gop_len = size["width"], size["height"], size["gop_len"]
         log = self.spark.createDataFrame([(i, video, label, a, b) for i, label, a, b in policy["log"]], "iteration int, video string, label string, first int, last int")
-        rows = self.index.rows().where(F.col("video") == policy["metadata_id"]).withColumn("video", F.lit(video))
+        rows = self.index.of(policy["metadata_id"]).withColumn("video", F.lit(video))
         current = self.gop_layouts(video)
         made = regret.candidate_layouts(detections.boxes(rows), regret.candidates(log), current.select("video", "gop"), w, h, gop_len)
         cleared = self.spark.createDataFrame([(video, g, i) for g, i in policy["cleared"].items()], "video string, gop int, iteration int")

@@ -102,9 +102,30 @@ def tiles(g: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n_tiles(g) - 1), tile)
 
 
+def with_edges(g: Column) -> Column:
+    """A grid with its edges, worked out once for tiles_hit."""
+    return F.struct(g["widths"].alias("widths"), g["heights"].alias("heights"), edges(g["widths"]).alias("xs"), edges(g["heights"]).alias("ys"))
+
+
 def tiles_hit(b: Column, g: Column) -> Column:
-    """The tiles of a grid that a box intersects; no join, so nothing multiplies but true hits."""
-    return F.filter(tiles(g), lambda t: intersects(b, t))
+    """The tiles that a box intersects, of a grid with_edges.
+
+    The rows and columns that it covers are found from the edges, so that only
+    tiles that are hit are made, however many the grid has.
+    """
+
+    def covered(at: Column, start: Column, end: Column) -> Column:
+        first = F.greatest(F.size(F.filter(at, lambda e: e <= start)) - 1, F.lit(0))
+        beyond = F.least(F.size(F.filter(at, lambda e: e < end)), F.size(at) - 1)
+        return F.when(beyond > first, F.sequence(first, beyond - 1)).otherwise(F.array().cast("array<int>"))
+
+    def tile(row: Column, col: Column) -> Column:
+        return F.struct(
+            (row * F.size(g["widths"]) + col).alias("tile_no"), row.alias("row"), col.alias("col"), F.get(g["xs"], col).alias("x"), F.get(g["ys"], row).alias("y"), F.get(g["widths"], col).alias("width"), F.get(g["heights"], row).alias("height")
+        )
+
+    columns = covered(g["xs"], b["x"], right(b))
+    return F.flatten(F.transform(covered(g["ys"], b["y"], bottom(b)), lambda row: F.transform(columns, lambda col: tile(row, col))))
 
 
 def tile_at(g: Column, x, y) -> Column:

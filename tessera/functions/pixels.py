@@ -111,3 +111,23 @@ def synthetic(frames: DataFrame, width: int, height: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([width] * n, pa.int32()), pa.array([height] * n, pa.int32()), pa.array(out, pa.binary())], names=[*batch.schema.names, "width", "height", "pixels"])
 
     return frames.mapInArrow(draw, f"{fields}, {IMAGE}")
+
+
+_CUT = "video string, first_frame int, gop int, frame int, tile_no int, x int, y int, width int, height int, pixels binary"
+
+
+def cut(frames: DataFrame) -> DataFrame:
+    """A row for each tile of frames (video, first_frame, gop, frame, width, pixels, tiles): a frame goes to Python once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = batch.slice(i, 1)
+                *own, width, pixels, tiles = (row.column(c)[0].as_py() for c in range(7))
+                raw = np.frombuffer(pixels, np.uint8).reshape(-1, width, 4)
+                out = [(*own, t["tile_no"], t["x"], t["y"], t["width"], t["height"], raw[t["y"] : t["y"] + t["height"], t["x"] : t["x"] + t["width"]].tobytes()) for t in tiles]
+                fields = [c.split() for c in _CUT.split(", ")]
+                kind = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind[k]) for x, (_, k) in zip(zip(*out, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+    return frames.mapInArrow(run, _CUT)

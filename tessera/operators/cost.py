@@ -20,7 +20,8 @@ def touched(boxes: DataFrame, layouts: DataFrame, gop_len: int, keys: tuple[str,
     """
     own = [c for c in keys if c in boxes.columns]
     at = boxes.select("video", F.expr(f"frame div {gop_len}").cast("int").alias("gop"), "frame", "box", *own)
-    hits = at.join(layouts, ["video", "gop"]).select("video", "gop", *keys, "frame", F.explode(G.tiles_hit(F.col("box"), F.col("layout"))).alias("t"))
+    grids = layouts.withColumn("layout", G.with_edges(F.col("layout")))
+    hits = at.join(grids, ["video", "gop"]).select("video", "gop", *keys, "frame", F.explode(G.tiles_hit(F.col("box"), F.col("layout"))).alias("t"))
     return hits.groupBy("video", "gop", *keys, F.col("t.tile_no").alias("tile_no")).agg(F.max("frame").alias("last"), F.first("t.width").alias("width"), F.first("t.height").alias("height"))
 
 

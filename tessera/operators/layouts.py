@@ -122,8 +122,10 @@ def if_useful(boxes: DataFrame, layouts: DataFrame, gop_len: int, width: int, he
 
 
 def by_gop(frames: DataFrame, layouts: DataFrame, gop_len: int) -> DataFrame:
-    """frames (video, frame, ...) with the layout of their group; frames of no known group drop out."""
-    return frames.withColumn("gop", F.expr(f"frame div {gop_len}").cast("int")).join(layouts, ["video", "gop"])
+    """frames (video, frame, ...) with the layout of their group; a frame of no known group is an error."""
+    met = frames.withColumn("gop", F.expr(f"frame div {gop_len}").cast("int")).join(layouts, ["video", "gop"], "left")
+    missing = F.raise_error(F.concat(F.lit("no layout for group "), F.col("gop"), F.lit(" of "), F.col("video")))
+    return met.withColumn("layout", F.when(F.col("layout").isNull(), missing.cast(layouts.schema["layout"].dataType)).otherwise(F.col("layout")))
 
 
 def exploded(layouts: DataFrame) -> DataFrame:

@@ -55,12 +55,18 @@ def by_gop_and_layout(detections: DataFrame, log: DataFrame, current: DataFrame,
     disqualified for the group.
     """
     asked = log.withColumnRenamed("iteration", "query_id")
-    untiled = current.select("video", "gop", layouts.single(F.lit(width), F.lit(height)).alias("layout"))
-
-    def costs(of: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
-        return cost.of_queries(detections, asked, of, gop_len, keys).withColumnsRenamed({"pixels": f"{name}_pixels", "tiles": f"{name}_tiles"})
-
-    met = costs(candidate, "own", ("layout_id",)).join(costs(current, "base"), ["video", "gop", "query_id"]).join(costs(untiled, "whole"), ["video", "gop", "query_id"])
+    # all layouts in one pass over the detections: 0 the candidates, 1 the current one, 2 a single tile
+    untiled = current.select("video", "gop", F.lit("").alias("layout_id"), F.lit(2).alias("kind"), layouts.single(F.lit(width), F.lit(height)).alias("layout"))
+    known = current.select("video", "gop", F.lit("").alias("layout_id"), F.lit(1).alias("kind"), "layout")
+    scored = candidate.select("video", "gop", "layout_id", F.lit(0).alias("kind"), "layout").union(known).union(untiled)
+    costs = cost.of_queries(detections, asked, scored, gop_len, ("layout_id", "kind"))
+    query = Window.partitionBy("video", "gop", "query_id")  # a row for each layout
+
+    def of(kind: int, what: str) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.col(what))).over(query)
+
+    met = costs.withColumns({"base_pixels": of(1, "pixels"), "base_tiles": of(1, "tiles"), "whole_pixels": of(2, "pixels")}).withColumnsRenamed({"pixels": "own_pixels", "tiles": "own_tiles"})
+    met = met.where("kind = 0 and base_pixels is not null and whole_pixels is not null")
     if cleared is not None:
         old = cleared.select("video", "gop", F.col("iteration").alias("cleared"))
         met = met.join(old, ["video", "gop"], "left").where(F.col("cleared").isNull() | (F.col("query_id") > F.col("cleared")))

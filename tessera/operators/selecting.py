@@ -17,7 +17,7 @@ RANGE = ["video", "first_frame", "version"]
 def hits(boxes: DataFrame, layouts: DataFrame, gop_len: int) -> DataFrame:
     """boxes with a row for each tile of their frame's newest layout that they touch."""
     placed = placed_frames(boxes.select("video", "frame").distinct(), layouts, gop_len)
-    met = boxes.join(placed, ["video", "frame"])
+    met = boxes.join(placed.withColumn("layout", G.with_edges(F.col("layout"))), ["video", "frame"])
     return met.withColumn("t", F.explode(G.tiles_hit(F.col("box"), F.col("layout")))).withColumn("n_tiles", G.n_tiles(F.col("layout"))).drop("layout")
 
 

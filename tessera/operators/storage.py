@@ -1,11 +1,16 @@
 """Videos on disk: append-only tables of layouts and of tile pixels.
 
-Tiles are written first and the layout rows last, so a version shows only once
-it is whole.  Tiles are partitioned by video and version.
+Every write has an id.  Its tiles are written first and its layout rows, which
+name that id, last; tiles of an id that no layout names are not read.  So a
+version shows only once it is whole, and what a failed write left behind never
+shows, though the next write takes the same version.  Tiles are partitioned by
+video, version and write.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +19,9 @@ from tessera.functions import pixels as P
 from tessera.operators import catalog, selecting
 
 LAYOUTS = "video string, first_frame int, last_frame int, version int, layout struct<widths:array<int>,heights:array<int>>"
-TILES = "video string, version int, first_frame int, gop int, tile_no int, frame int, x int, y int, width int, height int, pixels binary"
+WRITTEN = LAYOUTS + ", write_id string"
+TILES = "video string, version int, write_id string, first_frame int, gop int, tile_no int, frame int, x int, y int, width int, height int, pixels binary"
+ROW_GROUP = 16 << 20
 VIDEOS = "video string, metadata_id string, width int, height int, frame_rate int, gop_len int, n_frames long"
 
 
@@ -34,10 +41,12 @@ class Catalog:
         return self._read("videos", VIDEOS)
 
     def layouts(self) -> DataFrame:
-        return self._read("layouts", LAYOUTS)
+        return self._read("layouts", WRITTEN).drop("write_id")
 
     def tiles(self) -> DataFrame:
-        return self._read("tiles", TILES)
+        """The tiles of all whole writes."""
+        whole = self._read("layouts", WRITTEN).select("video", "version", "write_id").distinct()
+        return self._read("tiles", TILES).join(whole, ["video", "version", "write_id"], "left_semi")
 
     def version(self, video: str) -> int:
         """The version that the next write of a video gets."""
@@ -61,12 +70,15 @@ class Catalog:
         spans = spans.join(last, "video").withColumn("last_frame", F.least("last_frame", "last")).drop("last").withColumn("version", F.lit(version))
         spans = spans.select("video", *(F.col(c).cast("int").alias(c) for c in ("first_frame", "last_frame", "version")), "layout")
         placed = catalog.newest(frames.select("video", "frame"), spans, gop_len)
-        cut = frames.withColumnsRenamed({"width": "full", "height": "tall"}).join(placed, ["video", "frame"]).withColumn("t", F.explode(G.tiles(F.col("layout"))))
-        tiles = cut.select(
-            "video", F.lit(version).alias("version"), "first_frame", F.expr(f"cast(frame div {gop_len} as int)").alias("gop"), F.col("t.tile_no").alias("tile_no"), "frame",
-            *(F.col(f"t.{c}").alias(c) for c in ("x", "y", "width", "height")), P.crop("pixels", "full", "t.x", "t.y", "t.width", "t.height").alias("pixels"),
-        )
-        tiles.write.mode("append").partitionBy("video", "version").parquet(f"{self.path}/tiles")
+        write_id = uuid.uuid4().hex
+        whole = frames.join(placed, ["video", "frame"]).select("video", "first_frame", F.expr(f"cast(frame div {gop_len} as int)").alias("gop"), "frame", "width", "pixels", G.tiles(F.col("layout")).alias("tiles"))
+        tiles = P.cut(whole).select("video", F.lit(version).alias("version"), F.lit(write_id).alias("write_id"), "first_frame", "gop", "tile_no", "frame", "x", "y", "width", "height", "pixels")
+        # in order of tiles, so that statistics of row groups prune the read of some tiles
+        tiles = tiles.sortWithinPartitions("video", "first_frame", "tile_no", "frame")
+        tiles.write.mode("append").partitionBy("video", "version", "write_id").option("parquet.block.size", ROW_GROUP).parquet(f"{self.path}/tiles")
+        self._commit(spans.withColumn("write_id", F.lit(write_id)))
+
+    def _commit(self, spans: DataFrame) -> None:
         spans.write.mode("append").parquet(f"{self.path}/layouts")
 
     def frames(self, video: str, wanted: DataFrame | None = None) -> DataFrame:

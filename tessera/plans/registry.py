@@ -592,3 +592,18 @@ def tile_bitrate_share_all(spark, sf_dir):
     tiles = layouts.exploded(X.all_layouts(spark, sf_dir))
     share = F.floor(F.lit(8_000_000) * (F.col("width").cast("bigint") * F.col("height")) / F.lit(X.WIDTH * X.HEIGHT))
     return tiles.select("video", "first_frame", "version", "tile_no", share.cast("bigint").alias("bits_per_second"))
+
+
+# A layout of many tiles
+
+_FINE = ([96] * 20, [54] * 20)
+
+
+@query(
+    f"""with {X.DETECTIONS_SQL}, fine as (select {X._ints(_FINE[0])} as widths, {X._ints(_FINE[1])} as heights), {X._grid_sql("fgrid", "fine", "0 as one")}
+    select b.video, cast(b.frame // 30 as integer) as gop, cast(g.tile_no as integer) as tile_no, max(b.frame) as last, max(g.tw) as width, max(g.th) as height
+    from box b join fgrid g on {X.MEET} group by all"""
+)
+def tiles_touched_in_fine_grid(spark, sf_dir):
+    boxes = _boxes(spark, sf_dir, None, ["A", "N", "R"])
+    return cost.touched(boxes, X.gop_layouts(spark, *_FINE), X.GOP)

@@ -7,6 +7,7 @@ prune scans the way a tree index would.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,8 @@ def boxes(rows: DataFrame, max_width: int = 0, max_height: int = 0) -> DataFrame
 class DetectionIndex:
     """Detections stored as Parquet."""
 
+    schema = SCHEMA
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
@@ -64,8 +67,12 @@ class DetectionIndex:
         """All detections; none before the first write."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def of(self, video: str) -> DataFrame:
+        """The detections of a video."""
+        return self.rows().where(F.col("video") == video)
 
     def add(self, video: str, label: str, frame: int, x1: int, y1: int, x2: int, y2: int) -> None:
         self.add_bulk([(video, label, frame, x1, y1, x2, y2)])
@@ -75,32 +82,49 @@ class DetectionIndex:
         if not isinstance(rows, DataFrame):
             rows = self.spark.createDataFrame(list(rows), SCHEMA)
         rows = rows.select(*(F.col(f.name).cast(f.dataType) for f in SCHEMA))
-        rows.repartition("video").sortWithinPartitions("label", "frame").write.mode("append").partitionBy("video").parquet(self.path)
+        rows.repartitionByRange("video", "label", "frame").sortWithinPartitions("video", "label", "frame").write.mode("append").partitionBy("video").parquet(self.path)
 
 
 class MemoryIndex:
     """Detections of this session only; no files are made."""
 
     def __init__(self, spark: SparkSession, *_):
-        self.spark, self._rows = spark, spark.createDataFrame([], SCHEMA)
+        self.spark, self._frames, self._single = spark, [], []
 
     def rows(self) -> DataFrame:
-        return self._rows
+        """All detections; rows added one by one are one table, however many they are."""
+        return reduce(DataFrame.union, self._frames, self.spark.createDataFrame(self._single, SCHEMA))
+
+    def of(self, video: str) -> DataFrame:
+        return self.rows().where(F.col("video") == video)
 
     def add(self, video: str, label: str, frame: int, x1: int, y1: int, x2: int, y2: int) -> None:
         self.add_bulk([(video, label, frame, x1, y1, x2, y2)])
 
     def add_bulk(self, rows: DataFrame | Iterable[tuple]) -> None:
-        if not isinstance(rows, DataFrame):
-            rows = self.spark.createDataFrame(list(rows), SCHEMA)
-        self._rows = self._rows.union(rows.select(COLUMNS))
+        if isinstance(rows, DataFrame):
+            self._frames.append(rows.select(COLUMNS))
+        else:
+            self._single += [tuple(r) for r in rows]
 
 
 class LegacyIndex(DetectionIndex):
-    """Distinct (label, frame, x, y, width, height) rows of one unnamed video."""
+    """Distinct (label, frame, x, y, width, height) rows, which name no video: they are any video's."""
+
+    schema = LEGACY
 
     def rows(self) -> DataFrame:
-        return super().rows().dropDuplicates()
+        """All detections, of a video of no name."""
+        return self.of("")
+
+    def of(self, video: str) -> DataFrame:
+        return from_legacy(DetectionIndex.rows(self), video)
+
+    def add_bulk(self, rows: DataFrame | Iterable[tuple]) -> None:
+        """Append rows given by two corners as corner and size; their video is not kept."""
+        if not isinstance(rows, DataFrame):
+            rows = self.spark.createDataFrame(list(rows), SCHEMA)
+        to_legacy(rows).repartitionByRange("label", "frame").sortWithinPartitions("label", "frame").write.mode("append").parquet(self.path)
 
 
 KINDS = {"xy": DetectionIndex, "memory": MemoryIndex, "legacy": LegacyIndex}

@@ -31,7 +31,7 @@ def gop_activity(stream: DataFrame, gop_len: int) -> DataFrame:
 
 
 def label_extent(stream: DataFrame) -> DataFrame:
-    """(video, label, frame_count, x1, y1, x2, y2): running bounding boxes of labels (update mode)."""
+    """(video, label, boxes, x1, y1, x2, y2): running bounding boxes of labels (update mode)."""
     return stream.groupBy("video", "label").agg(
         F.count("*").alias("boxes"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")
     )

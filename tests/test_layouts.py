@@ -1,7 +1,7 @@
-"""Fine layouts: known answers, a plain mirror of the rules, and properties."""
+"""Fine layouts: answers worked by hand, and properties."""
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -12,51 +12,76 @@ from tessera.sources import detections as D
 SPANS = st.lists(st.tuples(st.integers(0, 900), st.integers(0, 400)).map(lambda p: (p[0] * 2, p[0] * 2 + p[1] * 2)), max_size=12)
 
 
-def mirror(spans, least, whole):
-    """The rules of cut_around, one comparison at a time over plain lists."""
-    spans, cuts, tails = sorted(spans), [], []
-
-    def strictly_inside(at, own):
-        return any(s < at < e for j, (s, e) in enumerate(spans) if j != own)
-
-    def attempt(at, back, own):
-        if tails and at < tails[-1]:
-            return
-        base = cuts[-1] if cuts else 0
-        if whole - at >= least:
-            cuts.append(at)
-        elif back and whole - least - base >= least and not strictly_inside(whole - least, own):
-            cuts.append(whole - least)
-
-    for i, (s, e) in enumerate(spans):
-        base = cuts[-1] if cuts else 0
-        low = base + (s - base) // 32 * 32
-        if low - base >= least and not strictly_inside(low, i):
-            attempt(low, True, i)
-        base = cuts[-1] if cuts else 0
-        high = base + -((base - e) // 32) * 32
-        if high != base:
-            if high - base >= least and whole - high >= least:
-                if not strictly_inside(high, i):
-                    attempt(high, False, i)
-            elif i < len(spans) - 1:
-                if base + least >= e and spans[i + 1][0] - (base + least) >= least:
-                    attempt(base + least, False, i)
-            elif base < e <= base + least and whole - (base + least) >= least:
-                attempt(base + least, False, i)
-        tails.append(high)
-    edges = [0, *cuts, whole]
-    return [b - a for a, b in zip(edges, edges[1:])]
+@pytest.mark.parametrize(
+    "spans, least, whole, sizes",
+    [
+        ([], 256, 1920, [1920]),  # nothing to cut around
+        ([(4, 260)], 256, 1920, [288, 1632]),  # the end rounded up to a step
+        ([(640, 900)], 256, 1920, [640, 288, 992]),  # before and after
+        ([(650, 900)], 256, 1920, [640, 288, 992]),  # the start rounded down
+        ([(100, 130)], 256, 1920, [256, 1664]),  # too near the edge for a tile of its own: a least one clears it
+        ([(1800, 1916)], 256, 1920, [1664, 256]),  # the cut before moves back to leave a least tile
+        ([(640, 1280), (800, 900)], 256, 1920, [640, 640, 640]),  # no cut through the longer one
+        ([(640, 900), (640, 900)], 256, 1920, [640, 288, 992]),  # repeated intervals cut once
+        ([(800, 1070)], 160, 1080, [800, 280]),  # an end too near the edge is no cut
+    ],
+)
+def test_cuts_worked_by_hand(spans, least, whole, sizes):
+    assert layouts.cut_around(spans, least, whole) == sizes
 
 
 @settings(max_examples=400, deadline=None)
 @given(SPANS)
-def test_cuts_follow_the_rules(spans):
+def test_cuts_keep_to_the_whole_and_to_least_sizes(spans):
     for least, whole in ((256, 1920), (160, 1080)):
-        inside = [(s, e) for s, e in spans if e <= whole]
-        sizes = layouts.cut_around(inside, least, whole)
-        assert sizes == mirror(inside, least, whole)
-        assert sum(sizes) == whole
+        sizes = layouts.cut_around([(s, e) for s, e in spans if e <= whole], least, whole)
+        assert sum(sizes) == whole and (len(sizes) == 1 or min(sizes) >= least)
+
+
+@settings(max_examples=200, deadline=None)
+@given(SPANS)
+def test_cuts_do_not_cross_lone_intervals(spans):
+    apart, end = [], -1
+    for s, e in sorted(spans):  # intervals that don't overlap
+        if s > end and e <= 1920:
+            apart.append((s, e))
+            end = e
+    edges = [0]
+    for size in layouts.cut_around(apart, 256, 1920):
+        edges.append(edges[-1] + size)
+    assert not any(s < c < e for c in edges for s, e in apart)
+
+
+def test_frames_without_a_layout_fail(spark):
+    known = spark.createDataFrame([("v", 0, ([64], [48]))], "video string, gop int, layout struct<widths:array<int>,heights:array<int>>")
+    frames = spark.createDataFrame([("v", 3), ("v", 9)], "video string, frame int")
+    assert layouts.by_gop(frames, known, 10).count() == 2
+    with pytest.raises(Exception, match="no layout for group 1 of v"):
+        layouts.by_gop(frames.union(spark.createDataFrame([("v", 10)], "video string, frame int")), known, 10).collect()
+
+
+def test_cleared_groups(spark):
+    cleared = spark.createDataFrame([("v", 0, 2)], "video string, gop int, iteration int")
+    again = regret.clear(cleared, spark.createDataFrame([("v", 0), ("v", 1)], "video string, gop int"), 5)
+    assert sorted(tuple(r) for r in again.collect()) == [("v", 0, 5), ("v", 1, 5)]
+    log = spark.createDataFrame([(i, "v", "fish") for i in (1, 2, 3)], "iteration int, video string, label string")
+    touched = spark.createDataFrame([("v", i, g) for i in (1, 2, 3) for g in (0,)] + [("v", 1, 1)], "video string, query_id int, gop int")
+    assert sorted(r["iteration"] for r in regret.still_counting(log, touched, cleared).collect()) == [1, 3]
+
+
+def test_intervals(spark):
+    met = spark.createDataFrame([(0, 5, 5, 9), (0, 4, 5, 9), (3, 3, 0, 9)], "a int, b int, c int, d int")
+    assert [r["m"] for r in met.select(G.intervals_meet("a", "b", "c", "d").alias("m")).collect()] == [True, False, True]
+    assert [r["m"] for r in met.select(G.interval_contains("a", "b", "c").alias("m")).collect()] == [True, False, False]
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=6), st.lists(st.integers(1, 40), min_size=1, max_size=6), st.lists(st.tuples(*[st.integers(0, 120)] * 4), min_size=1, max_size=8))
+def test_tiles_hit_are_those_that_intersect(spark, widths, heights, corners):
+    boxes = spark.createDataFrame([(i, min(a, c), min(b, d), max(a, c), max(b, d)) for i, (a, b, c, d) in enumerate(corners)], "i int, x1 int, y1 int, x2 int, y2 int")
+    g = G.with_edges(G.grid(widths, heights))
+    rows = boxes.withColumn("box", G.box("x1", "y1", "x2", "y2")).select(G.tiles_hit(F.col("box"), g).alias("hit"), F.filter(G.tiles(g), lambda t: G.intersects(F.col("box"), t)).alias("all")).collect()
+    assert all([tuple(t) for t in r["hit"]] == [tuple(t) for t in r["all"]] for r in rows)
 
 
 def test_known_layouts(spark):

@@ -29,7 +29,7 @@ def store(spark, tmp_path):
 def check_pixels(row):
     raw = np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"], 4)
     assert tuple(raw[0, 0]) == (row["x"] % 256, row["y"] % 256, row["frame"] % 256, 255)
-    assert tuple(raw[-1, -1]) == (row["x"] + row["width"] - 1, row["y"] + row["height"] - 1, row["frame"], 255)
+    assert tuple(raw[-1, -1]) == ((row["x"] + row["width"] - 1) % 256, (row["y"] + row["height"] - 1) % 256, row["frame"], 255)
 
 
 def test_select_objects_and_frames(store, frames):
@@ -75,6 +75,55 @@ def test_retile(spark, store, frames):
         check_pixels(r)
 
 
+def test_a_failed_write_leaves_no_rows(store, frames, monkeypatch):
+    with monkeypatch.context() as m:
+        m.setattr(type(store.catalog), "_commit", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.store_with_uniform_layout(frames, "cam", 2, 2, GOP)
+    assert store.catalog.tiles().isEmpty()
+    store.store_with_uniform_layout(frames, "cam", 2, 2, GOP)
+    assert store.select("cam", "it's").count() == 4 and store.catalog.tiles().count() == 30 * 4
+    assert store.select_frames("cam", "fish", 8).first()["pixels"] == frames.where("frame = 8").first()["pixels"]
+
+
+def test_selections_by_position(store, frames):
+    store.store_with_uniform_layout(frames, "other", 2, 2, GOP, metadata_id="cam")
+    n = lambda df: sorted(r["frame"] for r in df.collect())
+    assert n(store.select("other", "cam", "fish")) == list(range(5, 25))
+    assert n(store.select("other", "cam", "fish", 8)) == [8] == n(store.select_frames("other", "cam", "fish", 8))
+    assert n(store.select("other", "cam", "fish", 8, 11)) == [8, 9, 10] == n(store.select_tiles("other", "cam", "fish", 8, 11))
+    assert n(store.select("other", "fish")) == [] == n(store.select("other", "fish", 8, 11))
+
+
+@pytest.mark.parametrize("force", [True, False])
+def test_nonuniform_layouts(spark, tmp_path, force):
+    big = TileStore(spark, "memory", catalog_path=f"{tmp_path}/v")
+    video = P.synthetic(spark.range(4).select(F.col("id").cast("int").alias("frame")), 640, 480)
+    big.add_bulk_metadata([("v", "fish", f, 4, 4, 60, 60) for f in range(2)] + [("v", "whale", f, 2, 2, 638, 478) for f in range(2, 4)])
+    big.add_metadata("v", "whale", 0, 2, 2, 638, 478)
+    big.store_with_nonuniform_layout(video, "v", "v", "fish", force=force, frame_rate=2)
+    assert TiledVideo(big, "v").layout_for_frame(0).widths_of_cols == [256, 384] and TiledVideo(big, "v").layout_for_frame(2).num_cols == 1
+    for r in big.select("v", "fish").collect():
+        check_pixels(r)
+    again = TileStore(spark, "memory", catalog_path=f"{tmp_path}/w{force}")
+    again.add_bulk_metadata([("v", "edge", f, 200, 150, 440, 330) for f in range(2)])
+    again.store_with_nonuniform_layout(video.where("frame < 2"), "v", "v", "edge", force=force, frame_rate=2)
+    for r in again.select("v", "edge").collect():
+        check_pixels(r)
+
+
+def test_legacy_index(spark, tmp_path, frames):
+    spark.createDataFrame([("fish", f, 4, 6, 16, 12) for f in range(3)] * 2, D.LEGACY).write.parquet(f"{tmp_path}/old")
+    old = TileStore(spark, "legacy", f"{tmp_path}/old", f"{tmp_path}/videos")
+    assert sorted(tuple(r) for r in old.index.of("any").collect()) == [("any", "fish", f, 4, 6, 20, 18) for f in range(3)]
+    old.add_metadata("ignored", "fish", 7, 30, 10, 50, 40)
+    old.store_with_uniform_layout(frames, "cam", 2, 2, GOP)
+    got = old.select("cam", "fish").collect()
+    assert {r["frame"] for r in got} == {0, 1, 2, 7} and all(r["video"] == "cam" for r in got)
+    for r in got:
+        check_pixels(r)
+
+
 def test_regret_loop(spark, tmp_path):
     big = TileStore(spark, "memory", catalog_path=f"{tmp_path}/v")
     w, h = 640, 480
