@@ -53,12 +53,18 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def url_rule_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 takes from the rules alone."""
+    judged = url_filter.ruled(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "ruled")
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.link(table(spark, sf_dir, "documents"))
+    return jaccard_join.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +84,7 @@ def queries() -> dict:
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_retrieval_packing": op10_retrieval_packing,
+        "url_rule_columns": url_rule_columns,
     }
 
 
@@ -111,4 +118,43 @@ ORACLES = {
         select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(j), 0) as bigint) as n_removed,
           sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: not coalesce(list_contains(j, i), false)), lambda i: w[i]), ' '), '')) as kept_sha256
         from d left join gone using (doc_id)""",
+    "op9_ngram_jaccard_join": r"""
+        with recursive d as (
+          select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+          from documents
+        ), s as (
+          select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+            else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as own from d
+        ), member as (
+          select doc_id, len(own) as n, unnest(own) as shingle from s
+        ), pair as (
+          select a.doc_id as x, b.doc_id as y, a.n as nx, b.n as ny, count(*) as common
+          from member a join member b on a.shingle = b.shingle and a.doc_id < b.doc_id
+            and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by all
+        ), link as (
+          select x, y from pair where 100 * common >= 80 * (nx + ny - common)
+        ), way as (
+          select x, y from link union all select y, x from link
+        ), reach(doc_id, other) as (
+          select x, x from way union select r.doc_id, b.y from reach r join way b on r.other = b.x
+        ), least_of as (
+          select doc_id, min(other) as component_id from reach group by doc_id
+        )
+        select s.doc_id, cast(len(own) as bigint) as n_shingles, coalesce(component_id, s.doc_id) as component_id
+        from s left join least_of using (doc_id)""",
+    "url_rule_columns": """
+        with p as (
+          select page_id, case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+        ), h as (
+          select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from p
+        ), u as (
+          select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+            regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from h
+        ), r(verdict, rule, on_host, tail) as (
+          values """ + ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in URL_RULES) + """
+        ), fit as (
+          select page_id, max({'size': length(rule), 'rule': rule, 'verdict': verdict}) as best
+          from u join r on (host = on_host or ends_with(host, '.' || on_host)) and starts_with(path, tail) group by page_id
+        )
+        select page_id, host, path, best.rule as rule, best.verdict as ruled from u left join fit using (page_id)""",
 }

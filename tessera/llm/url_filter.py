@@ -47,6 +47,14 @@ def matched_rule(host: str, path: str, rules: Sequence[tuple[str, str]]) -> Colu
     return F.array_max(F.array_compact(F.array(*fits))) if fits else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
 
 
+def ruled(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(page_id, host, path, rule, ruled): the longest rule that fits and its verdict, or nulls."""
+    urls = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"))
+    host, path = url_parts("url")
+    urls = urls.select("page_id", host.alias("host"), path.alias("path")).withColumn("fit", matched_rule("host", "path", rules))
+    return urls.select("page_id", "host", "path", "fit.rule", F.col("fit.verdict").alias("ruled"))
+
+
 def _cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(gram cells, context cells) of each order and byte, and the rows' offsets; digits count as 0."""
     from tessera.llm.words import mix, text_bytes
@@ -108,10 +116,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str
     come to the driver as tables of a fixed size (some 10 MB).
     """
     spark = pages.sparkSession
-    urls = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"))
-    host, path = url_parts("url")
-    urls = urls.select("page_id", host.alias("host"), path.alias("path")).withColumn("fit", matched_rule("host", "path", rules))
-    urls = urls.select("page_id", "host", "path", F.concat("host", "path").alias("chars"), "fit.rule", F.col("fit.verdict").alias("ruled"))
+    urls = ruled(pages, rules, id_col, url_col).select("page_id", "host", "path", F.concat("host", "path").alias("chars"), "rule", "ruled")
     half = F.pmod(F.xxhash64("chars"), F.lit(2))
     decided = urls.where(F.col("ruled").isNotNull()).select("chars", half.alias("half"), (F.col("ruled") == "allow").cast("long").alias("accepted"))
     cells = decided.mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()

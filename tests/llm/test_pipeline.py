@@ -102,7 +102,7 @@ def test_run_joins_the_stages(spark, docs):
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     answer = con.execute(Q.ORACLES[name])
     columns = [d[0] for d in answer.description]
