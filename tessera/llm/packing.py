@@ -1,7 +1,11 @@
 """Lexical retrieval packing of token sequences.
 
 Every document is tokenised once; its full windows are sequences of their own
-and what remains is dealt to a shard.  Each shard builds a BM25 inverted index
+and what remains is dealt to a shard by content: by the least hash of its
+tokens, so that two remainders meet with the chance that is their token sets'
+Jaccard similarity.  The documents of a frequent least hash are dealt by a second one as
+well, and those of a frequent pair by their ids, so no shard is crowded.  Each
+shard builds a BM25 inverted index
 over the remainders' tokens.  Seeds, longest first, ask it for neighbours; the
 unused ones that fit fill the seed's window best first, and the longest unused
 remainders that fit close the gap that is left; a gap that none fits takes the
@@ -21,14 +25,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe
+from tessera.llm.shared import stored
+from tessera.llm.words import mix
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 K1, B = 1.2, 0.75
+MOST_SENT = 1 << 20  # crowded keys that may be broadcast
 ADDED = {"<|endoftext|>": 50256}  # the added token of byte_bpe_50k.json, which the rank file lacks
 
 
-def _tokenised(ranks_path: str, pattern: str, window: int, end_id: int, shards: int):
-    """(shard, doc_id, tokens, crcs, rest): the checksum of each full window, and the ids of the rest."""
+def least_hashes(rest: np.ndarray) -> tuple[int, int]:
+    """The least of a remainder's tokens under either of two hashes; 0 for none."""
+    if not len(rest):
+        return 0, 0
+    own = rest.astype(np.uint64)
+    return tuple(int(mix(own + np.uint64(seed << 32)).min() >> np.uint64(1)) for seed in (1, 2))
+
+
+def _tokenised(ranks_path: str, pattern: str, window: int, end_id: int):
+    """(one, two, doc_id, tokens, crcs, rest): least hashes, the checksum of each full window, and the ids of the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.encoding(ranks_path, pattern)
@@ -41,12 +56,11 @@ def _tokenised(ranks_path: str, pattern: str, window: int, end_id: int, shards:
                 raw = memoryview(codes.tobytes())
                 full = len(codes) // window * window
                 crcs = [zlib.crc32(raw[i * 4 : (i + window) * 4]) for i in range(0, full, window)]
-                shard = zlib.crc32(raw if doc_id is None else str(doc_id).encode()) % shards
-                rows.append((shard, doc_id, len(codes), np.array(crcs, "<u4").tobytes(), codes[full:].astype(kind).tobytes()))
+                rows.append((*least_hashes(codes[full:-1]), doc_id, len(codes), np.array(crcs, "<u4").tobytes(), codes[full:].astype(kind).tobytes()))
             if rows:
                 cols = list(zip(*rows, strict=True))
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["shard", "doc_id", "tokens", "crcs", "rest"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["one", "two", "doc_id", "tokens", "crcs", "rest"])
 
     return run
 
@@ -189,8 +203,26 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, window: int = 1024, end
     other columns are not read.  A shard holds about shard_rows documents; a
     seed asks its query_terms terms of highest weight.
     """
-    shards = max(64, -(-docs.count() // shard_rows))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.mapInArrow(_tokenised(ranks_path, pattern, window, end_id, shards), "shard int, doc_id long, tokens long, crcs binary, rest binary")
+    rows = texts.mapInArrow(_tokenised(ranks_path, pattern, window, end_id), "one long, two long, doc_id long, tokens long, crcs binary, rest binary")
+    rows = stored(rows, "tokens")
     kind = _kind(max(bpe.encoding(ranks_path, pattern).max_token_value, end_id, *ADDED.values()))
-    return rows.groupBy("shard").applyInArrow(_packed(window, query_terms, least_gap, kind), PIECES)
+    return sharded(rows, shard_rows).groupBy("shard").applyInArrow(_packed(window, query_terms, least_gap, kind), PIECES)
+
+
+def sharded(rows: DataFrame, shard_rows: int) -> DataFrame:
+    """rows (one, two, doc_id, tokens, crcs, rest) with the shard that they are dealt to instead of their hashes."""
+    shards = max(64, -(-rows.count() // shard_rows))
+    most = max(1, shard_rows // 4)  # rows of one key
+    pairs = stored(rows.groupBy("one", "two").agg(F.count("*").alias("pair")), "pairs")
+    crowded = pairs.groupBy("one").agg(F.sum("pair").alias("single")).where(F.col("single") > most)
+    # there are at most rows / most crowded hashes, and as many crowded pairs
+    parts = pairs.where(F.col("pair") > most).select("one", "two", F.ceil(F.col("pair") / most).alias("parts"))
+
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= MOST_SENT else df
+
+    met = rows.join(sent(crowded), "one", "left").join(sent(parts), ["one", "two"], "left")
+    spread = F.pmod(F.xxhash64("doc_id", "tokens", "rest"), F.coalesce("parts", F.lit(1)))
+    key = F.xxhash64("one", F.when(F.col("single").isNotNull(), F.col("two")).otherwise(0), spread)
+    return met.select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), "doc_id", "tokens", "crcs", "rest")

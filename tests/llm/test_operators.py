@@ -482,6 +482,41 @@ def test_packing_ids_are_those_of_the_json(spark):
             assert sum((enc.encode_ordinary(x) for x in bpe.parts(t, public_tokenizers.PATTERN, size)), []) == enc.encode_ordinary(t)
 
 
+def test_bm25_scores(spark):
+    draw = random.Random(8)
+    docs = [[draw.randrange(60) for _ in range(draw.randrange(1, 90))] for _ in range(50)]
+    found = [np.unique(np.array(d, np.uint32), return_counts=True) for d in docs]
+    index = packing.Index([f[0] for f in found], [f[1] for f in found], np.array([len(d) for d in docs], float))
+    mean = sum(map(len, docs)) / len(docs)
+    idf = {t: max(0.0, math.log((len(docs) - n + 0.5) / (n + 0.5))) for t in range(60) if (n := sum(t in d for d in docs))}
+    for seed in range(50):
+        score = [sum(idf[t] * d.count(t) * (packing.K1 + 1) / (d.count(t) + packing.K1 * (1 - packing.B + packing.B * len(d) / mean)) for t in set(docs[seed]) if t in d) for d in docs]
+        ranked = index.neighbours(seed, 1000).tolist()
+        assert sorted(ranked) == [i for i, x in enumerate(score) if x > 0]
+        assert all(score[a] >= score[b] - 1e-9 for a, b in zip(ranked, ranked[1:]))
+
+
+def test_packing_shards_by_content_and_not_crowded(spark):
+    draw = random.Random(5)
+    rows, n = [], 4000
+    for i in range(n):
+        if i % 3 == 0:  # one text makes up a third of all
+            tokens = list(range(100, 160))
+        else:  # pairs of near copies
+            own = random.Random(i // 6)
+            tokens = [own.randrange(50_000) for _ in range(60)]
+            tokens[draw.randrange(60)] = draw.randrange(50_000)
+        one, two = packing.least_hashes(np.array(tokens, np.uint32))
+        rows.append((one, two, i, len(tokens) + 1, b"", np.array(tokens, "<u2").tobytes()))
+    df = spark.createDataFrame(rows, "one long, two long, doc_id long, tokens long, crcs binary, rest binary")
+    got = {r["doc_id"]: r["shard"] for r in packing.sharded(df, 200).collect()}
+    sizes = Counter(got.values())
+    assert len(got) == n and max(sizes.values()) < 3 * 200
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, min(n, i // 6 * 6 + 6)) if i % 3 and j % 3]
+    assert sum(got[i] == got[j] for i, j in pairs) / len(pairs) > 0.85
+    assert packing.least_hashes(np.zeros(0, np.uint32)) == (0, 0)
+
+
 def test_packing_prefers_neighbours():
     draw = random.Random(4)
     topics = [[f"{t}{i}" for i in range(40)] for t in "abcdefgh"]
