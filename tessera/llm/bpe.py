@@ -92,6 +92,43 @@ def _short(ranks_path: str, pattern: str, digest: bool):
     return encode
 
 
+def _chunks(size: int, overlap: int):
+    """Each text's chunks of size characters and the overlap with the next, 64 a batch."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row, doc_id, text = (batch.column(c)[i].as_py() for c in range(3))
+                begins = range(0, max(1, len(text)), size)
+                for at in range(0, len(begins), 64):
+                    own = begins[at : at + 64]
+                    n = len(own)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([row] * n, pa.int64()), pa.array([doc_id] * n, pa.int64()), pa.array(range(at, at + n), pa.int32()), pa.array(own, pa.int64()), pa.array([size] * n, pa.int64()),
+                            pa.array([b + size + overlap >= len(text) for b in own]), pa.array([text[b : b + size + overlap] for b in own], pa.string()),
+                        ],
+                        names=["row", "doc_id", "part", "begin", "size", "last", "chunk"],
+                    )
+
+    return cut
+
+
+def _glued(digest: bool):
+    """The codes of a text's pieces, in order, as one."""
+
+    def glue(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        pieces = table.sort_by("part")
+        joined = [b"".join(pieces.column(c).to_pylist()) for c in ("ids", "decoded")]
+        if digest:
+            joined = [hashlib.sha256(x).hexdigest().encode() for x in joined]
+        ends = [pa.array([x], pa.binary()) for x in joined]
+        keys = [pa.array([k.as_py()], pa.int64()) for k in key]
+        return pa.table([*keys, pa.array([sum(pieces.column("n_tokens").to_pylist())], pa.int64()), *ends], names=["row", "doc_id", "n_tokens", "ids", "decoded"])
+
+    return glue
+
+
 def _marks(pattern: str, overlap: int):
     """Boundaries near each chunk's ends, as places in the whole text."""
 
@@ -138,14 +175,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     whole = texts.where(is_long).withColumn("row", F.xxhash64("doc_id", "text"))
     whole = whole.groupBy("row", "doc_id", "text").agg(F.count("*").alias("copies"))
-    parts = whole.withColumn("total", F.length("text")).withColumn("part", F.explode(F.expr(f"sequence(0, cast((length(text) - 1) div {chunk_chars} as int))")))
-    parts = parts.select(
-        "row", "doc_id", "part",
-        (F.col("part") * chunk_chars).cast("long").alias("begin"),
-        F.lit(chunk_chars).cast("long").alias("size"),
-        ((F.col("part") + 1) * chunk_chars + overlap >= F.col("total")).alias("last"),
-        F.expr(f"substring(text, part * {chunk_chars} + 1, {chunk_chars + overlap})").alias("chunk"),
-    ).repartition("row", "part")
+    parts = whole.select("row", "doc_id", "text").mapInArrow(_chunks(chunk_chars, overlap), "row long, doc_id long, part int, begin long, size long, last boolean, chunk string").repartition("row", "part")
     marked = parts.mapInArrow(_marks(pattern, overlap), "row long, doc_id long, part int, begin long, size long, last boolean, chunk string, head array<long>, tail array<long>")
     order = Window.partitionBy("row", "doc_id").orderBy("part")
     start = F.when(F.col("part") == 0, F.lit(0).cast("long")).otherwise(F.array_min(F.array_intersect("head", F.lag("tail").over(order))))
@@ -154,12 +184,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     cut = cut.withColumn("joined", F.min(F.col("start").isNotNull()).over(Window.partitionBy("row", "doc_id")))
     coded = cut.where("joined").mapInArrow(_pieces(ranks_path, pattern), "row long, doc_id long, part int, n_tokens long, ids binary, decoded binary")
 
-    def in_order(c: str):
-        return F.expr(f"aggregate(transform(array_sort(collect_list(struct(part, {c}))), x -> x.{c}), cast('' as binary), (a, x) -> concat(a, x))")
-
-    glued = coded.groupBy("row", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), in_order("ids").alias("ids"), in_order("decoded").alias("decoded"))
-    if digest:
-        glued = glued.withColumn("ids", F.sha2("ids", 256).cast("binary")).withColumn("decoded", F.sha2("decoded", 256).cast("binary"))
+    glued = coded.groupBy("row", "doc_id").applyInArrow(_glued(digest), "row long, doc_id long, n_tokens long, ids binary, decoded binary")
     done = glued.join(whole.select("row", F.col("doc_id").alias("doc"), "copies"), ["row"]).where(F.col("doc_id").eqNullSafe(F.col("doc")))
     done = done.withColumn("copy", F.explode(F.expr("sequence(1, cast(copies as int))"))).select("doc_id", "n_tokens", "ids", "decoded")
     rest = whole.join(cut.where(~F.col("joined")).select("row").distinct(), "row", "left_semi")

@@ -248,6 +248,14 @@ def test_quality(spark):
     assert all(r["keep"] for r in rows if r["quality"]) or sum(not r["keep"] for r in rows if r["quality"]) <= 2
 
 
+def test_quality_held_out(spark):
+    docs, known = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scored = quality.classify(docs, known.where("doc_id % 2 = 0")).join(known.where("doc_id % 2 = 1"), "doc_id")
+    found = {(r["quality"], r["keep"]): r["count"] for r in scored.groupBy("quality", "keep").count().collect()}
+    good, bad = (found.get((q, True), 0) / sum(n for (x, _), n in found.items() if x == q) for q in (1, 0))
+    assert good > 0.97 and bad < 0.1
+
+
 def test_quality_awkward(spark):
     docs = awkward() + [(None, "words"), (10, "again")]
     df = table(spark, docs).withColumn("source", F.when(F.col("doc_id") > 5, F.col("source")))
