@@ -1,13 +1,15 @@
-"""Removal of passages that an earlier document has, by prefix-partitioned suffix trees.
+"""Removal of passages that an earlier document has, by prefix-partitioned suffixes.
 
 A suffix starts at every word.  Only suffixes whose first `window` words occur
 in two documents matter, and all of them hold a common anchor: the least of the
 window's hashed word runs.  Anchors are exchanged first, so that of all other
 suffixes nothing is.  The suffixes left are dealt into memory-sized groups by
 prefixes of variable length: one word where few suffixes start with it, more
-where many do.  A group's sorted suffixes are its subtree, and an internal node
-at the window's depth is a passage that repeats; the least document below it
-keeps it.  Removed windows that touch are one maximal passage.
+where many do.  Within a group suffixes of an equal 64-bit hash of their first
+`window` words stand for the leaves below one node of a suffix tree at that
+depth; the least document among them keeps the passage.  No tree is built and
+nothing deeper is looked at, so the passages reported are runs of removed words
+and need not be maximal repeats.
 """
 
 from __future__ import annotations
@@ -125,7 +127,7 @@ def _answers(groups: int, first_keeps: bool):
         if part < 0:
             grp = np.full(len(h), -1 - part)
         else:
-            h, doc, first = _unique(h, doc)  # the subtree: equal suffixes are the leaves below one node
+            h, doc, first = _unique(h, doc)  # equal suffixes: the leaves below one node
             told = ~first
             if not first_keeps:
                 told[:-1] |= first[:-1] & ~first[1:]
@@ -277,8 +279,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     a window of `window` consecutive words covers whose sequence also starts in
     a document of a smaller id, windows being judged on the input.  kept is the
     rest, joined by one space (without rejoin, a text that loses nothing is kept as
-    it is); passages are the removed ranges of words, the
-    maximal repeats.  A null text has no words; a null id is no document's
+    it is); passages are the removed ranges of words.  A null text has no words; a null id is no document's
     neighbour and keeps everything; rows of one id are parts of one document.
     Columns of docs that have the names of the new ones are replaced.
     """
