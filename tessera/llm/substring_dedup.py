@@ -1,15 +1,19 @@
-"""Removal of passages that an earlier document has, by prefix-partitioned suffixes.
+"""Removal of passages that an earlier document has, by prefix-partitioned suffix trees.
 
 A suffix starts at every word.  Only suffixes whose first `window` words occur
 in two documents matter, and all of them hold a common anchor: the least of the
 window's hashed word runs.  Anchors are exchanged first, so that of all other
-suffixes nothing is.  The suffixes left are dealt into memory-sized groups by
-prefixes of variable length: one word where few suffixes start with it, more
-where many do.  Within a group suffixes of an equal 64-bit hash of their first
-`window` words stand for the leaves below one node of a suffix tree at that
-depth; the least document among them keeps the passage.  No tree is built and
-nothing deeper is looked at, so the passages reported are runs of removed words
-and need not be maximal repeats.
+suffixes nothing is.  The suffixes left are dealt into memory-sized groups by a
+prefix of variable length, which ends with the anchor: all prefixes that end
+with the same run of words are of one group, so suffixes that start at adjacent
+words mostly travel together, as one segment of text.  Where many suffixes hold
+an anchor, the prefix is lengthened to `window` words.  Each group sorts its
+suffixes by prefix doubling and takes the common prefixes of neighbours in that
+order; the intervals of neighbours with `window` common words or more are the
+deep internal nodes of the group's tree, and of the documents below such a node
+the least keeps the passage.  Segments end where the anchor changes, so a long
+repeat is a chain of nodes, put together again in the rows: the passages
+reported are maximal runs of words below such nodes.
 """
 
 from __future__ import annotations
@@ -24,13 +28,13 @@ from pyspark.sql import functions as F
 from tessera.llm.words import Block, blocks, mix, sequences, sliding_min
 
 ANCHOR = 5
-LEVELS = (1, 2, 4, 8)
-CELLS = 1 << 14
+LEAST_CELLS, MOST_CELLS = 1 << 14, 1 << 22  # of counted anchors; 8 bytes each
 _FLUSH = 1 << 20
 _NONE = -(1 << 63)
 _U = np.uint64
 _PART = "part int, h binary, doc binary"
 _REPLY = "grp int, h binary, doc binary"
+_SEGMENTS = "part int, h binary, doc binary, size binary, words binary, bytes long"
 
 
 def _group(doc: np.ndarray, groups: int) -> np.ndarray:
@@ -64,30 +68,25 @@ def _unique(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 class _Mail:
-    """Collects (hash, document) entries of a task and sends them off in parcels:
+    """Collects (anchor, document) entries of a task and sends them off in parcels:
     questions by part, and answers that the task itself can give by -1 - group."""
 
-    def __init__(self, groups: int, part_of, keep_two: bool):
-        self.groups, self.part_of, self.keep_two, self.held = groups, part_of, keep_two, 0
-        self.entries: list[tuple[np.ndarray, ...]] = []
+    def __init__(self, groups: int, parts: int):
+        self.groups, self.parts, self.held = groups, parts, 0
+        self.entries: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(self, h: np.ndarray, doc: np.ndarray, prefix: np.ndarray) -> None:
-        self.entries.append((h, doc, prefix))
+    def add(self, h: np.ndarray, doc: np.ndarray) -> None:
+        self.entries.append((h, doc))
         self.held += len(h)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
             return
-        h, doc, prefix = (np.concatenate(x) for x in zip(*self.entries, strict=True))
+        h, doc, first = _unique(*(np.concatenate(x) for x in zip(*self.entries, strict=True)))
         self.entries, self.held = [], 0
-        at = np.argsort(h, kind="stable")
-        hashes, once = np.unique(h[at], return_index=True)
-        prefix = prefix[at[once]]  # equal suffixes have equal prefixes
-        h, doc, first = _unique(h, doc)
-        part = self.part_of(prefix)[np.searchsorted(hashes, h)]
+        part = ((h >> _U(24)) % _U(self.parts)).astype(np.int64)
         asks = first.copy()
-        if self.keep_two:  # two documents of a task tell the others that they share; the rest is answered here
-            asks[1:] |= first[:-1] & ~first[1:]
+        asks[1:] |= first[:-1] & ~first[1:]  # two documents of a task tell the others that they share; the rest is answered here
         yield _parcels(np.where(asks, part, -1 - _group(doc, self.groups)), h, doc)
 
 
@@ -118,31 +117,93 @@ def _open(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 _EMPTY = {"h": pa.array([], pa.binary()), "doc": pa.array([], pa.binary())}
 
 
-def _answers(groups: int, first_keeps: bool):
-    """Of a part's entries the documents to tell: all that share a hash, or all but the least."""
+def _told(grp: np.ndarray, h: np.ndarray, doc: np.ndarray) -> pa.Table:
+    if not len(h):
+        return pa.table({"grp": pa.array([], pa.int32())} | _EMPTY)
+    return pa.Table.from_batches([_parcels(grp, h, doc)]).rename_columns(["grp", "h", "doc"])
+
+
+def _sharing(groups: int):
+    """Of a part's anchors the documents to tell: all that share one."""
 
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         h, doc = _open(table)
         part = key[0].as_py()
         if part < 0:
-            grp = np.full(len(h), -1 - part)
-        else:
-            h, doc, first = _unique(h, doc)  # equal suffixes: the leaves below one node
-            told = ~first
-            if not first_keeps:
-                told[:-1] |= first[:-1] & ~first[1:]
-            h, doc = h[told], doc[told]
-            grp = _group(doc, groups)
-        if not len(h):
-            return pa.table({"grp": pa.array([], pa.int32())} | _EMPTY)
-        return pa.Table.from_batches([_parcels(grp, h, doc)]).rename_columns(["grp", "h", "doc"])
+            return _told(np.full(len(h), -1 - part), h, doc)
+        h, doc, first = _unique(h, doc)
+        shared = ~first
+        shared[:-1] |= first[:-1] & ~first[1:]
+        return _told(_group(doc[shared], groups), h[shared], doc[shared])
+
+    return answer
+
+
+def suffix_tree(words: np.ndarray, left: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of `least` words or more in order, and the common prefix of each with the next.
+
+    words are those of all segments in a row, left how many words of its segment
+    start at each.  Both together are the tree: its internal nodes of depth d
+    are the longest intervals whose common prefixes are d or more, with one of d.
+    """
+    rank = np.unique(words, return_inverse=True)[1].astype(np.int64) + 1
+    depth, deepest = 1, int(left.max(initial=0))
+    while depth < deepest:  # a rank tells the first `depth` words apart; 0 is the end of a segment
+        then = np.zeros(len(rank), np.int64)
+        then[:-depth] = np.where(left[:-depth] > depth, rank[depth:], 0)
+        kinds, rank = np.unique(rank * (len(rank) + 1) + then, return_inverse=True)
+        rank = rank.astype(np.int64) + 1
+        depth *= 2
+        if len(kinds) == len(rank):
+            break
+    at = np.flatnonzero(left >= least)
+    at = at[np.argsort(rank[at], kind="stable")]
+    common = np.zeros(max(len(at) - 1, 0), np.int64)
+    alike, depth = np.arange(len(common)), 0
+    while len(alike):
+        alike = alike[np.minimum(left[at[alike]], left[at[alike + 1]]) > depth]
+        alike = alike[words[at[alike] + depth] == words[at[alike + 1] + depth]]
+        depth += 1
+        common[alike] = depth
+    return at, common
+
+
+def deep_nodes(common: np.ndarray, least: int) -> np.ndarray:
+    """For each suffix in order the number of the topmost node of depth `least` or more that it is below."""
+    return np.concatenate(([0], np.cumsum(common < least)))
+
+
+def _repeated(groups: int, window: int):
+    """Of a group of suffixes the documents to tell: those below a deep node but the least."""
+
+    def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        part = key[0].as_py()
+        if part < 0:
+            h, doc = _open(table)
+            return _told(np.full(len(h), -1 - part), h, doc)
+        docs = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("doc").to_pylist()])
+        sizes = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("size").to_pylist()])
+        codec = pa.Codec("zstd")
+        data = b"".join(codec.decompress(w, n, asbytes=True) for w, n in zip(table.column("words").to_pylist(), table.column("bytes").to_pylist(), strict=True))
+        offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        texts = pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        block = next(blocks(texts, block_bytes=1 << 62))
+        row = block.row_of_word()
+        left = block.bounds[row + 1] - np.arange(len(row))
+        at, common = suffix_tree(block.hashes, left, window)
+        node, doc = deep_nodes(common, window), docs[row[at]]
+        start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+        told = doc > np.minimum.reduceat(doc, start)[node]
+        h, _ = sequences(block, window)
+        h, doc, _ = _unique(h[at[told]], doc[told])
+        return _told(_group(doc, groups), h, doc)
 
     return answer
 
 
 def _ask_anchors(window: int, groups: int, parts: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mail = _Mail(groups, lambda h: ((h >> _U(24)) % _U(parts)).astype(np.int64), keep_two=True)
+        mail = _Mail(groups, parts)
         for batch in batches:
             ids = batch.column("id").to_numpy()
             for block in blocks(batch.column("text")):
@@ -150,8 +211,7 @@ def _ask_anchors(window: int, groups: int, parts: int):
                 row = block.first + block.row_of_word()[: len(anchor)]
                 new = ok.copy()
                 new[1:] &= (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | ~ok[:-1]
-                anchor = anchor[new]
-                mail.add(anchor, ids[row[new]], anchor)
+                mail.add(anchor[new], ids[row[new]])
                 if mail.held >= _FLUSH:
                     yield from mail.flush()
         yield from mail.flush()
@@ -159,19 +219,19 @@ def _ask_anchors(window: int, groups: int, parts: int):
     return ask
 
 
-def _prefix_cells(block: Block) -> list[np.ndarray]:
-    return [(sequences(block, level)[0] % _U(CELLS)).astype(np.int64) for level in LEVELS]
+def _count_anchors(window: int, cells: int):
+    """How many suffixes have an anchor, by cell of anchors."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.int64)
+        for batch in batches:
+            for block in blocks(batch.column(0)):
+                anchor, ok = _anchors(block, window)
+                total += np.bincount((anchor[ok] % _U(cells)).astype(np.int64), minlength=cells)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["cell", "n"])
 
-def _count_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((len(LEVELS), CELLS), np.int64)
-    for batch in batches:
-        for block in blocks(batch.column(0)):
-            for i, cells in enumerate(_prefix_cells(block)):
-                total[i] += np.bincount(cells, minlength=CELLS)
-    total = total.ravel()
-    cells = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
+    return count
 
 
 def _member(h: np.ndarray, row: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -196,33 +256,76 @@ def _replies(table: pa.Table, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(h, many), order[at.astype(np.int64)]
 
 
-def _ask_windows(window: int, groups: int, parts: int, limit: int, counts):
-    """Suffixes whose anchor is shared, by the group of their prefix."""
+def _segments(part: np.ndarray, doc: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
+    """One row for each part: the documents, sizes and compressed texts of its segments."""
+    by = np.argsort(part, kind="stable")
+    cut = np.flatnonzero(np.concatenate(([True], part[by][1:] != part[by][:-1], [True])))
+    codec, rows = pa.Codec("zstd", compression_level=1), []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        own = [texts[i] for i in by[a:b].tolist()]
+        data = b"".join(own)
+        rows.append((int(part[by[a]]), b"", doc[by[a:b]].tobytes(), np.array([len(x) for x in own], np.int32).tobytes(), codec.compress(data, asbytes=True), len(data)))
+    return _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+    types = [("part", pa.int32()), ("h", pa.binary()), ("doc", pa.binary()), ("size", pa.binary()), ("words", pa.binary()), ("bytes", pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, types, strict=True)], names=[n for n, _ in types])
 
-    def ask(docs: pa.Table, answers: pa.Table) -> pa.Table:
+
+def _deal_suffixes(window: int, groups: int, parts: int, limit: int, counts):
+    """Suffixes whose anchor is shared, as segments of text, by the group of their prefix.
+
+    Of equal windows in this group of documents the least document's is dealt,
+    the others are answered here.
+    """
+
+    def deal(docs: pa.Table, answers: pa.Table) -> pa.Table:
         weight = counts.value
-        mail = _Mail(groups, lambda p: (mix(p) % _U(parts)).astype(np.int64), keep_two=False)
         ids = docs.column("id").to_numpy()
         known = _replies(answers, ids)
+        held: list[tuple[Block, np.ndarray, np.ndarray, np.ndarray]] = []  # block, places, window hashes, documents
         for block in blocks(docs.column("text")) if len(known[0]) else ():
             anchor, ok = _anchors(block, window)
             row = block.first + block.row_of_word()[: len(anchor)]
             inside = (known[1] >= block.first) & (known[1] < block.first + block.rows)
             keep = np.flatnonzero(ok & _member(anchor, row, (known[0][inside], known[1][inside])))
-            if not len(keep):
+            if len(keep):
+                held.append((block, keep, sequences(block, window)[0][keep], ids[row[keep]]))
+        if not held:
+            return pa.Table.from_batches([_batch([])])
+        h, doc = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+        by = np.lexsort((doc, h))
+        first = np.concatenate(([True], h[by][1:] != h[by][:-1]))
+        least = doc[by][np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]
+        asks = np.zeros(len(by), bool)
+        asks[by[first]] = True
+        later = by[doc[by] != least]
+        part_of, doc_of, texts, at = [], [], [], 0
+        for block, keep, hashes, owner in held:
+            own = asks[at : at + len(keep)]
+            at += len(keep)
+            place, hashes, owner = keep[own], hashes[own], owner[own]
+            if not len(place):
                 continue
-            h, _ = sequences(block, window)
-            h, row = h[keep], row[keep]
-            prefix = h.copy()
-            for level in reversed(LEVELS):
-                own = sequences(block, level)[0][keep]
-                few = weight[LEVELS.index(level)][(own % _U(CELLS)).astype(np.int64)] <= limit
-                prefix[few] = own[few]
-            mail.add(h, ids[row], prefix)
-        out = list(mail.flush())
-        return pa.Table.from_batches(out) if out else pa.table({"part": pa.array([], pa.int32())} | _EMPTY)
-
-    return ask
+            anchor = _anchors(block, window)[0][place]
+            many = weight[(anchor % _U(len(weight))).astype(np.int64)] > limit
+            prefix = mix(np.where(many, hashes, anchor))
+            new = np.concatenate(([True], (place[1:] != place[:-1] + 1) | (prefix[1:] != prefix[:-1])))
+            begin, end = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(place)) - 1
+            raw = block.data.tobytes()
+            texts += [raw[a:b] + b" " for a, b in zip(block.start[place[begin]].tolist(), block.end[place[end] + window - 1].tolist(), strict=True)]
+            part_of.append((prefix[begin] % _U(parts)).astype(np.int64))
+            doc_of.append(owner[begin])
+        out = [_segments(np.concatenate(part_of), np.concatenate(doc_of), texts)]
+        if len(later):
+            h, doc, _ = _unique(h[later], doc[later])
+            told = _parcels(-1 - _group(doc, groups), h, doc).to_pydict()
+            out.append(_batch([(*x, b"", b"", 0) for x in zip(told["part"], told["h"], told["doc"], strict=True)]))
+        return pa.Table.from_batches(out)
+
+    return deal
 
 
 def _remove(window: int, columns: list[str], rejoin: bool):
@@ -272,7 +375,7 @@ def _remove(window: int, columns: list[str], rejoin: bool):
     return remove
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", rejoin: bool = True, group_rows: int = 2000, group_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", rejoin: bool = True, group_rows: int = 2000, group_bytes: int = 4 << 20, most_suffixes: int = 1000) -> DataFrame:
     """docs' columns and n_words, n_removed, kept and passages.
 
     Words are runs of other than ASCII white space.  Every word is removed that
@@ -281,6 +384,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     rest, joined by one space (without rejoin, a text that loses nothing is kept as
     it is); passages are the removed ranges of words.  A null text has no words; a null id is no document's
     neighbour and keeps everything; rows of one id are parts of one document.
+    Anchors that at least most_suffixes windows have (more in large inputs) get
+    longer prefixes.  Words are compared by 64-bit hashes each, so a false match
+    needs two words of one hash in otherwise equal windows; only within a group
+    of documents are windows compared by one hash.
     Columns of docs that have the names of the new ones are replaced.
     """
     spark = docs.sparkSession
@@ -296,19 +403,20 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         *(F.col(c).alias(o) for c, o in zip(columns, own, strict=True) if c != text_col),
     )
     named = keyed.where(F.col("id") != _NONE)
-    cells = named.select("text").mapInArrow(_count_prefixes, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    weight = np.zeros(len(LEVELS) * CELLS, np.int64)
+    size_of = min(max(1 << (16 * parts - 1).bit_length(), LEAST_CELLS), MOST_CELLS)
+    cells = named.select("text").mapInArrow(_count_anchors(window, size_of), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    weight = np.zeros(size_of, np.int64)
     weight[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    weight = weight.reshape(len(LEVELS), CELLS)
-    limit = max(1000, int(weight[0].sum() // parts))
-    counts = spark.sparkContext.broadcast(weight)  # CELLS values a level, whatever the input
+    total = int(weight.sum())
+    limit = max(most_suffixes, total // parts, 8 * total // size_of)
+    counts = spark.sparkContext.broadcast(weight)  # at most MOST_CELLS values, whatever the input
 
     def grouped(df: DataFrame):
         return df.groupBy("grp")
 
-    anchors = named.select("id", "grp", "text").mapInArrow(_ask_anchors(window, groups, parts), _PART).groupBy("part").applyInArrow(_answers(groups, False), _REPLY)
-    suffixes = grouped(keyed).cogroup(grouped(anchors)).applyInArrow(_ask_windows(window, groups, parts, limit, counts), _PART)
-    repeats = suffixes.groupBy("part").applyInArrow(_answers(groups, True), _REPLY)
+    anchors = named.select("id", "grp", "text").mapInArrow(_ask_anchors(window, groups, parts), _PART).groupBy("part").applyInArrow(_sharing(groups), _REPLY)
+    suffixes = grouped(keyed).cogroup(grouped(anchors)).applyInArrow(_deal_suffixes(window, groups, parts, limit, counts), _SEGMENTS)
+    repeats = suffixes.groupBy("part").applyInArrow(_repeated(groups, window), _REPLY)
     others = [o for c, o in zip(columns, own, strict=True) if c != text_col]
     fields = ", ".join([*(f"{o} {keyed.schema[o].dataType.simpleString()}" for o in others), "n_words long, n_removed long, kept string, passages array<struct<start:long,end:long>>"])
     done = grouped(keyed).cogroup(grouped(repeats)).applyInArrow(_remove(window, others, rejoin), fields)

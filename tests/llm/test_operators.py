@@ -194,6 +194,30 @@ def test_substring_dedup(spark):
     assert got == brute.substring_dedup(dict(docs))
 
 
+def test_substring_dedup_long_prefixes(spark):
+    draw = random.Random(4)
+    often = "b c d e f g h i j k l m n o p"
+    docs = [(i, " ".join(f"x{draw.randrange(9)}" for _ in range(draw.randrange(9))) + f" {often} " + " ".join(f"x{draw.randrange(9)}" for _ in range(draw.randrange(30)))) for i in range(400)]
+    got = digests(substring_dedup.remove_repeats(table(spark, docs), group_rows=20, most_suffixes=1))
+    assert got == brute.substring_dedup(dict(docs))
+
+
+def test_suffix_tree():
+    draw = random.Random(2)
+    for least in (1, 3, 5):
+        texts = [[draw.randrange(3) for _ in range(draw.randrange(1, 25))] for _ in range(30)]
+        suffixes = sorted((t[i:], n, i) for n, t in enumerate(texts) for i in range(len(t)) if len(t) - i >= least)
+        symbols = np.array([x for t in texts for x in t], np.uint64) * np.uint64(77)
+        left = np.array([len(t) - i for t in texts for i in range(len(t))])
+        at, common = substring_dedup.suffix_tree(symbols, left, least)
+        ordered = [(symbols[a : a + left[a]] // np.uint64(77)).tolist() for a in at.tolist()]
+        assert ordered == [s for s, _, _ in suffixes]
+        assert common.tolist() == [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(ordered, ordered[1:])]
+        node = substring_dedup.deep_nodes(common, least).tolist()
+        heads = sorted({tuple(s[:least]) for s in ordered})
+        assert [heads[n] for n in node] == [tuple(s[:least]) for s in ordered]
+
+
 def test_substring_dedup_awkward(spark):
     text = " ".join(f"w{i}" for i in range(30))
     df = table(spark, [(1, text), (1, text), (None, text), (2, "pre " + text + " post"), (3, None)])
