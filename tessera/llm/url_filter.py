@@ -2,23 +2,27 @@
 
 Both models are variable-order Markov models over the characters of host and
 path, smoothed by interpolating each order with the one below.  Their counts
-live in hashed tables of a fixed size, summed over all URLs that a rule
-decides.  The threshold on the length-normalised difference of the two
+are exact, grouped over all URLs that a rule decides; a context is kept if it
+is seen often enough, so the order varies with what the corpus can tell, up to
+four bytes.  The threshold on the length-normalised difference of the two
 log-likelihoods is calibrated on those URLs, each scored by the model of the
 half that it isn't in.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDERS = 5
-CELLS = 1 << 15
+SYMBOL = 9  # bits of a byte plus 1; 0 is what comes before a text
+KEPT = 256  # of all bytes counted, a context needs their root over this
 BINS = 400
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,53 +59,83 @@ def ruled(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "pag
     return urls.select("page_id", "host", "path", "fit.rule", F.col("fit.verdict").alias("ruled"))
 
 
-def _cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram cells, context cells) of each order and byte, and the rows' offsets; digits count as 0."""
-    from tessera.llm.words import mix, text_bytes
+def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The gram (order, bytes before, byte; exact) of each order and byte, and the rows' offsets; digits count as 0."""
+    from tessera.llm.words import text_bytes
 
     raw, offsets = text_bytes(column)
-    raw = np.where((raw >= 48) & (raw <= 57), np.uint8(48), raw).astype(np.uint64)
+    symbol = np.where((raw >= 48) & (raw <= 57), 48, raw.astype(np.int64)) + 1
     place = np.arange(len(raw)) - np.repeat(offsets[:-1], np.diff(offsets))
-    grams, contexts = np.zeros((ORDERS, len(raw)), np.int64), np.zeros((ORDERS, len(raw)), np.int64)
-    context = np.zeros(len(raw), np.uint64)
+    found = np.zeros((ORDERS, len(raw)), np.int64)
+    before = np.zeros(len(raw), np.int64)
     for order in range(ORDERS):
         if order:
-            before = np.zeros(len(raw), np.uint64)
-            before[order:] = raw[:-order] + np.uint64(1)
-            before[place < order] = 0
-            context = context * np.uint64(257) + before
-        contexts[order] = (mix(context + np.uint64(order << 48)) % np.uint64(CELLS)).astype(np.int64)
-        grams[order] = (mix(context * np.uint64(257) + raw + np.uint64((order + 8) << 48)) % np.uint64(CELLS)).astype(np.int64)
-    return grams, contexts, offsets
+            shifted = np.zeros(len(raw), np.int64)
+            shifted[order:] = symbol[:-order]
+            shifted[place < order] = 0
+            before |= shifted << (SYMBOL * (order - 1))
+        found[order] = (order << (SYMBOL * ORDERS)) | (before << SYMBOL) | symbol
+    return found, offsets
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums by cell; a cell's key holds half, class, order, kind and place."""
-    total = np.zeros(4 * ORDERS * 2 * CELLS, np.int64)
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        half, accepted = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        grams, contexts, offsets = _cells(batch.column(0))
-        which = np.repeat(half * 2 + accepted, np.diff(offsets))
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often a gram is in URLs of a half and class (which: twice the half, plus 1 if accepted)."""
+    for batch in _slices(batches):
+        found, offsets = grams(batch.column(0))
+        which = np.repeat(batch.column(1).to_numpy() * 2 + batch.column(2).to_numpy(), np.diff(offsets))
         for order in range(ORDERS):
-            for kind, cells in enumerate((grams, contexts)):
-                total += np.bincount(((which * ORDERS + order) * 2 + kind) * CELLS + cells[order], minlength=len(total))
-    cells = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
+            key, n = np.unique(found[order] * 4 + which, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key >> 2), pa.array(key & 3), pa.array(n.astype(np.int64))], names=["gram", "which", "n"])
+
+
+@dataclass
+class Counts:
+    """Grams in order and how often each is in each class; the same of their contexts."""
+
+    gram: np.ndarray
+    n: np.ndarray
+    context: np.ndarray
+    total: np.ndarray
 
+    @staticmethod
+    def of(gram: np.ndarray, n: np.ndarray) -> Counts:
+        context, first = np.unique(gram >> SYMBOL, return_index=True)
+        return Counts(gram, n, context, np.add.reduceat(n, first, axis=0) if len(first) else n)
 
-def log_ratio(column: pa.Array, tables: np.ndarray, weight: float) -> np.ndarray:
+
+def _at(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
+def chances(found: np.ndarray, counts: Counts, weight: float) -> np.ndarray:
+    """P(byte | bytes before it) by class, for each column of grams; a context not kept leaves the order below."""
+    p = np.full((found.shape[1], counts.n.shape[1]), 1 / 256)
+    if not len(counts.gram):
+        return p
+    for order in range(ORDERS):
+        at, seen = _at(counts.gram, found[order])
+        n = np.where(seen[:, None], counts.n[at], 0)
+        at, seen = _at(counts.context, found[order] >> SYMBOL)
+        total = np.where(seen[:, None], counts.total[at], 0)
+        p = (n + weight * p) / (total + weight)
+    return p
+
+
+def log_ratio(column: pa.Array, counts: Counts, weight: float) -> np.ndarray:
     """Mean over a text's bytes of log P(accepted) - log P(rejected); 0 for an empty text.
 
-    tables: counts by class, order and kind (grams, contexts).
+    counts: of rejected and of accepted URLs.
     """
-    grams, contexts, offsets = _cells(column)
-    logs = []
-    for counts in tables:
-        p = np.full(grams.shape[1], 1 / 256)
-        for order in range(ORDERS):
-            p = (counts[order, 0][grams[order]] + weight * p) / (np.maximum(counts[order, 1][contexts[order]], counts[order, 0][grams[order]]) + weight)
-        logs.append(np.log(p))
-    summed = np.concatenate(([0.0], np.cumsum(logs[1] - logs[0])))
+    found, offsets = grams(column)
+    logs = np.log(chances(found, counts, weight))
+    summed = np.concatenate(([0.0], np.cumsum(logs[:, 1] - logs[:, 0])))
     return (summed[offsets[1:]] - summed[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)
 
 
@@ -112,28 +146,34 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str
     against the calibrated threshold.  A null or malformed URL has an empty
     host and path and a score of 0.  If the rules decide no URL, or all alike,
     nothing can be learned: scores are then 0 and every other URL is allowed.
-    Repeated rows give repeated results; other columns are not read.  Counts
-    come to the driver as tables of a fixed size (some 10 MB).
+    Repeated rows give repeated results; other columns are not read.  Kept
+    contexts are those with at least the root of all counted bytes over KEPT
+    (all, in small inputs), so at most some 1,300 times that root are kept;
+    their grams, 40 bytes each, come to the driver and are broadcast.
     """
     spark = pages.sparkSession
     urls = ruled(pages, rules, id_col, url_col).select("page_id", "host", "path", F.concat("host", "path").alias("chars"), "rule", "ruled")
     half = F.pmod(F.xxhash64("chars"), F.lit(2))
     decided = urls.where(F.col("ruled").isNotNull()).select("chars", half.alias("half"), (F.col("ruled") == "allow").cast("long").alias("accepted"))
-    cells = decided.mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    flat = np.zeros(4 * ORDERS * 2 * CELLS)
-    flat[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    by_half = flat.reshape(2, 2, ORDERS, 2, CELLS)
-    seen = by_half[:, :, 0, 1].sum(axis=-1)
-    learned = bool((seen.sum(axis=0) > 0).all())
-    held = spark.sparkContext.broadcast(by_half.astype(np.float32))
+    size = decided.agg(F.coalesce(F.sum(F.octet_length("chars")), F.lit(0))).first()[0]
+    context = F.shiftright("gram", SYMBOL)
+    by_gram = decided.mapInArrow(_count, "gram long, which long, n long").groupBy("gram").agg(*(F.sum(F.when(F.col("which") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(4)))
+    every = F.sum(F.expr("n0 + n1 + n2 + n3")).over(Window.partitionBy(context))  # 257 grams of a context at most
+    kept = by_gram.withColumn("seen", every).where(F.col("seen") >= math.isqrt(size) // KEPT).drop("seen").toArrow().sort_by("gram")
+    n = np.stack([kept.column(f"n{i}").to_numpy() for i in range(4)], axis=1).astype(float).reshape(-1, 2, 2)
+    gram = kept.column("gram").to_numpy()
+    learned = bool((n.sum(axis=(0, 1)) > 0).all())
+    held = spark.sparkContext.broadcast((gram, n))
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        gram, n = held.value
+        others = [Counts.of(gram, n[:, 1 - h]) for h in (0, 1)]
+        for batch in _slices(batches):
             halves = batch.column(1).to_numpy()
             score = np.zeros(len(batch))
             for h in (0, 1):
                 own = np.flatnonzero(halves == h)
-                score[own] = log_ratio(batch.column(0).take(pa.array(own)), held.value[1 - h], weight)
+                score[own] = log_ratio(batch.column(0).take(pa.array(own)), others[h], weight)
             yield pa.RecordBatch.from_arrays([pa.array(np.clip((score + 4) / 8 * BINS, 0, BINS - 1).astype(np.int64)), batch.column(2)], names=["bin", "accepted"])
 
     threshold = 0.0
@@ -149,10 +189,11 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str
         threshold = float((flat_top[0] + flat_top[-1]) / 2 / BINS * 8 - 4)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = held.value.sum(axis=0)
-        for batch in batches:
+        gram, n = held.value
+        counts = Counts.of(gram, n.sum(axis=1))
+        for batch in _slices(batches):
             column = batch.column(batch.schema.names.index("chars"))
-            score = log_ratio(column, tables, weight) if learned else np.zeros(len(batch))
+            score = log_ratio(column, counts, weight) if learned else np.zeros(len(batch))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
 
     scored = urls.mapInArrow(judge, "page_id long, host string, path string, chars string, rule string, ruled string, score double")

@@ -376,6 +376,53 @@ def test_url_models(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string"), Q.URL_RULES).isEmpty()
 
 
+def plain_scores(decided, asked, kept, weight=4.0):
+    """Scores of asked texts by models of decided ones: (text, accepted)."""
+    fold = lambda text: re.sub(rb"[0-9]", b"0", text.encode())
+    n, total, both = Counter(), Counter(), Counter()
+    for text, accepted in decided:
+        raw = fold(text)
+        for i, order in ((i, o) for i in range(len(raw)) for o in range(5)):
+            context = (order, b"\0" * (order - i) + raw[max(0, i - order) : i])
+            n[accepted, context, raw[i]] += 1
+            total[accepted, context] += 1
+            both[context] += 1
+    for text in asked:
+        raw, score = fold(text), 0.0
+        for i in range(len(raw)):
+            p = [1 / 256, 1 / 256]
+            for order in range(5):
+                context = (order, b"\0" * (order - i) + raw[max(0, i - order) : i])
+                if both[context] >= kept:
+                    p = [(n[c, context, raw[i]] + weight * p[c]) / (total[c, context] + weight) for c in (0, 1)]
+            score += math.log(p[1]) - math.log(p[0])
+        yield score / max(len(raw), 1)
+
+
+@pytest.mark.parametrize("root_over", [256, 8])
+def test_url_scores(spark, monkeypatch, root_over):
+    monkeypatch.setattr(url_filter, "KEPT", root_over)
+    pages = [(r["page_id"], r["url"]) for r in spark.read.parquet(f"{DATA}/pages.parquet").orderBy("page_id").limit(300).collect()]
+    pages += [(9001, "http://new.org/ünï/42"), (9002, None), (9003, "x://"), (9004, "http://new.org/" + "ab" * 4000)]
+    rows = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), Q.URL_RULES).collect()
+    decided = [(r["host"] + r["path"], int(r["verdict"] == "allow")) for r in rows if r["rule"]]
+    kept = math.isqrt(sum(len(t.encode()) for t, _ in decided)) // root_over
+    assert (root_over == 8) == (kept > 1)
+    want = plain_scores(decided, [r["host"] + r["path"] for r in rows], kept)
+    assert [r["score"] for r in rows] == pytest.approx(list(want), abs=1e-9)
+
+
+def test_url_chances_add_up():
+    found, _ = url_filter.grams(pa.array(["abcabd", "zabc", "é1"]))
+    gram, n = np.unique(found, return_counts=True)
+    counts = url_filter.Counts.of(gram, np.stack([n, n * 2], axis=1))
+    whole = np.zeros(2)
+    for byte in range(256):
+        asked = (found[:, 2:3] >> url_filter.SYMBOL << url_filter.SYMBOL) | (byte + 1)
+        whole += url_filter.chances(asked, counts, 4.0)[0]
+    assert whole == pytest.approx([1, 1])
+
+
 # 8
 
 
