@@ -4,7 +4,9 @@ Long texts are cut into overlapping chunks that are pre-tokenised in parallel.
 The split pattern looks only to the right, so once two neighbours have a
 pre-token boundary in common they agree from there on: the first common
 boundary in the overlap is where they are stitched, and the piece between two
-stitches is encoded by itself.  Decoding concatenates the ids' raw bytes.
+stitches is encoded by itself.  A text of one chunk has nothing to stitch, one
+of some chunks is stitched where it is read, and the chunks of a very long one
+are dealt over the cluster.  Decoding concatenates the ids' raw bytes.
 """
 
 from __future__ import annotations
@@ -79,13 +81,41 @@ def _codes(ids: list[int], enc: tiktoken.Encoding, digest: bool) -> tuple[int, b
     return len(ids), raw, back
 
 
-def _short(ranks_path: str, pattern: str, digest: bool):
+def _begins(length: int, size: int, overlap: int) -> range:
+    """Where the chunks of a text begin; the last is the first that reaches the end."""
+    return range(0, max(1, length - overlap), size)
+
+
+def _ends(begin: int, chunk: str, last: bool, size: int, overlap: int, pattern: str) -> tuple[list[int], list[int]]:
+    """Pre-token boundaries near a chunk's begin, and those it shares with the next, as places in the whole text."""
+    at = boundaries(chunk, pattern)
+    sure = at if last else at[:-2]  # what the cut may have changed
+    return [begin + x for x in sure if x < overlap], [begin + x for x in sure if x >= size]
+
+
+def stitched(text: str, pattern: str, size: int, overlap: int) -> list[str]:
+    """The pieces between the stitches of a text's chunks; the text itself where two chunks have no common boundary."""
+    begins, starts, shared = _begins(len(text), size, overlap), [0], []
+    for begin in begins if len(begins) > 1 else ():
+        head, tail = _ends(begin, text[begin : begin + size + overlap], begin == begins[-1], size, overlap, pattern)
+        if begin:
+            common = set(head).intersection(shared)
+            if not common:
+                return [text]
+            starts.append(min(common))
+        shared = tail
+    return [text[a:b] for a, b in zip(starts, [*starts[1:], None], strict=True)]
+
+
+def _near(ranks_path: str, pattern: str, digest: bool, size: int, overlap: int):
+    """Codes of texts whose chunks are stitched within the task."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks_path, pattern)
         for batch in batches:
             for at in range(0, len(batch), 512):
                 rows = batch.slice(at, 512)
-                out = [_codes(enc.encode_ordinary(x or ""), enc, digest) for x in rows.column(1).to_pylist()]
+                out = [_codes([i for piece in stitched(x or "", pattern, size, overlap) for i in enc.encode_ordinary(piece)], enc, digest) for x in rows.column(1).to_pylist()]
                 n, ids, back = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
@@ -99,7 +129,7 @@ def _chunks(size: int, overlap: int):
         for batch in batches:
             for i in range(len(batch)):
                 row, doc_id, text = (batch.column(c)[i].as_py() for c in range(3))
-                begins = range(0, max(1, len(text)), size)
+                begins = _begins(len(text), size, overlap)
                 for at in range(0, len(begins), 64):
                     own = begins[at : at + 64]
                     n = len(own)
@@ -136,10 +166,9 @@ def _marks(pattern: str, overlap: int):
         for batch in batches:
             head, tail = [], []
             for begin, size, last, text in zip(*(batch.column(c).to_pylist() for c in ("begin", "size", "last", "chunk")), strict=True):
-                at = boundaries(text, pattern)
-                sure = at if last else at[:-2]  # what the cut may have changed
-                head.append([begin + x for x in sure if x < overlap])
-                tail.append([begin + x for x in sure if x >= size])
+                near, shared = _ends(begin, text, last, size, overlap, pattern)
+                head.append(near)
+                tail.append(shared)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64()))], names=[*batch.schema.names, "head", "tail"])
 
     return mark
@@ -158,20 +187,22 @@ def _pieces(ranks_path: str, pattern: str):
     return encode
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, long_chars: int = 65536, chunk_chars: int = 16384, overlap: int = 1024) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, long_chars: int = 65536, chunk_chars: int = 16384, overlap: int = 1024, near_chars: int = 2048, near_overlap: int = 256) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every row: ids as little-endian unsigned
     32-bit integers and the bytes that they decode to; with digest their SHA-256
     in lowercase hex as strings instead.
 
     A null text counts as empty and has no ids; a null id stays null; repeated
     rows give repeated results; other columns are not read.  Texts of over
-    long_chars characters go by chunks, dealt over the cluster; a long text
-    whose chunks have no common boundary in an overlap (one word longer than
-    it, say) is encoded as one piece.
+    long_chars characters go by chunks of chunk_chars, dealt over the cluster,
+    others by chunks of near_chars within a task; a text whose chunks have no
+    common boundary in an overlap (one word longer than it, say) is encoded as
+    one piece.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     is_long = F.length("text") > long_chars
-    short = texts.where(~is_long).mapInArrow(_short(ranks_path, pattern, digest), CODES)
+    near = _near(ranks_path, pattern, digest, near_chars, near_overlap)
+    short = texts.where(~is_long).mapInArrow(near, CODES)
 
     whole = texts.where(is_long).withColumn("row", F.xxhash64("doc_id", "text"))
     whole = whole.groupBy("row", "doc_id", "text").agg(F.count("*").alias("copies"))
@@ -189,7 +220,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     done = done.withColumn("copy", F.explode(F.expr("sequence(1, cast(copies as int))"))).select("doc_id", "n_tokens", "ids", "decoded")
     rest = whole.join(cut.where(~F.col("joined")).select("row").distinct(), "row", "left_semi")
     rest = rest.withColumn("copy", F.explode(F.expr("sequence(1, cast(copies as int))"))).select("doc_id", "text")
-    result = short.union(done).union(rest.mapInArrow(_short(ranks_path, pattern, digest), CODES))
+    result = short.union(done).union(rest.mapInArrow(near, CODES))
     return result.withColumns({"ids": F.col("ids").cast("string"), "decoded": F.col("decoded").cast("string")}) if digest else result
 
 

@@ -306,7 +306,7 @@ def whole(text, ranks):
     return enc.encode_ordinary(text or "")
 
 
-@pytest.mark.parametrize("sizes", [{}, {"long_chars": 300, "chunk_chars": 100, "overlap": 40}])
+@pytest.mark.parametrize("sizes", [{}, {"long_chars": 300, "chunk_chars": 100, "overlap": 40}, {"near_chars": 60, "near_overlap": 30}])
 def test_bpe(spark, sizes):
     docs = [d for d in awkward() if d[0] != 30] + [(None, "null id"), (9, "twice " * 100), (9, "twice " * 100), (50, "<|endoftext|> " * 40)] + [(1000 + i, t) for i, t in sample(spark, 60)]
     rows = bpe.encode(table(spark, docs), RANKS, public_tokenizers.PATTERN, **sizes).collect()
@@ -326,6 +326,18 @@ def test_bpe_parts():
             assert [i for p in pieces for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text or "")
 
 
+def test_bpe_stitches():
+    enc = bpe.encoding(RANKS, public_tokenizers.PATTERN)
+    many = 0
+    for _, text in awkward():
+        for size, overlap in ((20, 12), (50, 30), (1000, 100)):
+            pieces = bpe.stitched(text or "", public_tokenizers.PATTERN, size, overlap)
+            many += len(pieces) > 1
+            assert "".join(pieces) == (text or "")
+            assert [i for p in pieces for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text or "")
+    assert many > 3
+
+
 def test_bpe_empty(spark):
     assert bpe.encode(table(spark, [(1, "a")]).limit(0), RANKS, public_tokenizers.PATTERN).isEmpty()
 
