@@ -82,12 +82,10 @@ class Index:
         self.doc = doc[order]
         self.weight = tf[order] * (K1 + 1) / (tf[order] + norm[self.doc])
 
-    def neighbours(self, seed: int, query_terms: int) -> np.ndarray:
+    def neighbours(self, seed: int) -> np.ndarray:
         """Documents of a positive score, best first, ties to the smaller place."""
         own = np.searchsorted(self.known, self.terms[seed])
         own = own[self.idf[own] > 0]
-        if len(own) > query_terms:
-            own = own[np.argsort(-self.idf[own], kind="stable")[:query_terms]]
         if not len(own):
             return own
         size = self.df[own]
@@ -160,7 +158,7 @@ def _kind(largest: int) -> str:
     return "<u2" if largest < 1 << 16 else "<u4"
 
 
-def _packed(window: int, query_terms: int, least_gap: int, kind: str):
+def _packed(window: int, least_gap: int, kind: str):
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("tokens", "ascending"), ("crcs", "ascending"), ("rest", "ascending")])
         ids = table.column("doc_id").to_pylist()
@@ -171,7 +169,7 @@ def _packed(window: int, query_terms: int, least_gap: int, kind: str):
         sizes = np.array([len(rests[i]) for i in left], np.int64)
         found = [np.unique(rests[i], return_counts=True) for i in left]
         index = Index([f[0] for f in found], [f[1] for f in found], sizes.astype(float))
-        windows = fill(sizes, lambda seed: index.neighbours(seed, query_terms), window, least_gap)
+        windows = fill(sizes, index.neighbours, window, least_gap)
         first = int(key[0].as_py()) << 40
         flat = []
         for d, own in enumerate(crcs):
@@ -193,7 +191,7 @@ def _packed(window: int, query_terms: int, least_gap: int, kind: str):
     return pack
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, window: int = 1024, end_id: int = 0, shard_rows: int = 1000, query_terms: int = 32, least_gap: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, pattern: str, window: int = 1024, end_id: int = 0, shard_rows: int = 1000, least_gap: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents.
 
     A document is its ids, with those of ADDED where their strings occur, and
@@ -201,13 +199,13 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, window: int = 1024, end
     one token.  Full windows are cut from a document's start; gaps of up to
     least_gap tokens stay.  Repeated rows and null ids are packed like others;
     other columns are not read.  A shard holds about shard_rows documents; a
-    seed asks its query_terms terms of highest weight.
+    seed asks all its terms.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = texts.mapInArrow(_tokenised(ranks_path, pattern, window, end_id), "one long, two long, doc_id long, tokens long, crcs binary, rest binary")
     rows = stored(rows, "tokens")
     kind = _kind(max(bpe.encoding(ranks_path, pattern).max_token_value, end_id, *ADDED.values()))
-    return sharded(rows, shard_rows).groupBy("shard").applyInArrow(_packed(window, query_terms, least_gap, kind), PIECES)
+    return sharded(rows, shard_rows).groupBy("shard").applyInArrow(_packed(window, least_gap, kind), PIECES)
 
 
 def sharded(rows: DataFrame, shard_rows: int) -> DataFrame:

@@ -582,7 +582,7 @@ def test_bm25_scores(spark):
     idf = {t: max(0.0, math.log((len(docs) - n + 0.5) / (n + 0.5))) for t in range(60) if (n := sum(t in d for d in docs))}
     for seed in range(50):
         score = [sum(idf[t] * d.count(t) * (packing.K1 + 1) / (d.count(t) + packing.K1 * (1 - packing.B + packing.B * len(d) / mean)) for t in set(docs[seed]) if t in d) for d in docs]
-        ranked = index.neighbours(seed, 1000).tolist()
+        ranked = index.neighbours(seed).tolist()
         assert sorted(ranked) == [i for i, x in enumerate(score) if x > 0]
         assert all(score[a] >= score[b] - 1e-9 for a, b in zip(ranked, ranked[1:]))
 
@@ -618,6 +618,6 @@ def test_packing_prefers_neighbours():
         terms.append(np.unique([t * 100 + draw.randrange(40) for _ in range(30)]).astype(np.uint32))
     sizes = np.full(64, 200)
     index = packing.Index(terms, [np.ones(len(t), np.uint8) for t in terms], sizes.astype(float))
-    windows = packing.fill(sizes, lambda seed: index.neighbours(seed, 32), 1024, 30)
+    windows = packing.fill(sizes, index.neighbours, 1024, 30)
     alike = [where[m[0]] == where[w[0][0]] for w in windows[:8] for m in w[1:]]
     assert sum(alike) / len(alike) > 0.8 and len(topics) == 8
