@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, embedding_dedup, jaccard_join, lm_scoring, packing, quality, substring_dedup, topk_search, toxicity, url_filter
+from tessera.llm import bpe, divergence, embedding_dedup, jaccard_join, lm_scoring, packing, quality, substring_dedup, topk_search, toxicity, url_filter, warc, whitening
 
 #: The rules that op7 is asked to apply.
 URL_RULES = [
@@ -72,6 +72,18 @@ def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_exact_top_k_search": op1_exact_top_k_search,
@@ -84,6 +96,9 @@ def queries() -> dict:
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_retrieval_packing": op10_retrieval_packing,
+        "op11_warc": op11_warc,
+        "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_source_divergence_audit": op13_source_divergence_audit,
         "url_rule_columns": url_rule_columns,
     }
 
@@ -142,6 +157,54 @@ ORACLES = {
         )
         select s.doc_id, cast(len(own) as bigint) as n_shingles, coalesce(component_id, s.doc_id) as component_id
         from s left join least_of using (doc_id)""",
+    "op11_warc": """
+        with p as (
+          select page_id, encode(coalesce(html, '')) as payload, sha1(coalesce(html, '')) as hex from pages
+        ), d as (
+          select page_id, payload, cast(octet_length(payload) as bigint) as payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+              1 + ((cast('0x' || substr(hex, 1 + 5 * (i // 4), 5) as integer) >> (15 - 5 * (i % 4))) & 31), 1)), '') as payload_digest
+          from p
+        ), t as (
+          select *, max(page_id) over (partition by payload) as top from d
+        )
+        select page_id, payload_bytes, payload_digest, case when page_id = top then 'response' else 'revisit' end as record_type,
+          case when page_id <> top then top end as refers_to from t""",
+    "op13_source_divergence_audit": r"""
+        with d as (
+          select row_number() over () as n, coalesce(lang, '') as lang, coalesce(source, '') as source,
+            regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents
+        ), occ as (
+          select n, lang, source, translate(unnest(terms), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from d
+        ), kept as (
+          select lang, term from occ group by all having count(distinct n) >= 10
+        ), cnt as (
+          select lang, source, term, count(*) as c from occ join kept using (lang, term) group by all
+        ), grp as (
+          select distinct lang, source from d
+        ), v as (
+          select lang, coalesce(n_terms, 0) as v from (select distinct lang from d) left join (select lang, count(*) as n_terms from kept group by lang) using (lang)
+        ), tot as (
+          select g.lang, g.source, coalesce(sum(c), 0) as t from grp g left join cnt using (lang, source) group by all
+        ), share as (
+          select g.lang, g.source, k.term, coalesce(c, 0) as c, 1 + (1000000000::hugeint * (coalesce(c, 0) + 2)) // (t + 2 * v) as p
+          from grp g join kept k using (lang) join tot using (lang, source) join v using (lang) left join cnt using (lang, source, term)
+        ), lshare as (
+          select lang, term, 1 + (1000000000::hugeint * (c + 2)) // (t + 2 * v) as q
+          from (select lang, term, sum(c) as c from cnt group by all) join (select lang, sum(c) as t from cnt group by all) using (lang) join v using (lang)
+        ), far as (
+          select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+          from share a join share b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+        ), pair as (
+          select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(value, 0) as bigint) as value
+          from grp a join grp b on a.lang = b.lang and a.source <> b.source left join far f on f.lang = a.lang and f.source = a.source and f.item = b.source
+        ), mark as (
+          select lang, source, 'term' as part, term as item, cast(((p - q) * (p - q)) // (p + q) as bigint) as value
+          from share join lshare using (lang, term) where c > 0 and p > q
+        ), r as (
+          select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as "rank" from (select * from pair union all select * from mark)
+        )
+        select lang, source, part, item, value, "rank" from r where part = 'pair' or "rank" <= 10""",
     "url_rule_columns": """
         with p as (
           select page_id, case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages

@@ -32,7 +32,16 @@ def stored(df: DataFrame, what: str = "stage") -> DataFrame:
     """df written as Parquet to the shared folder and read again, which cuts its lineage."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.stored_at = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables as stored() returned them, once nothing that is still to run reads them."""
+    for table in tables:
+        at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
