@@ -116,9 +116,10 @@ def _total(rows: DataFrame, matrix_of, vector: str) -> Running | None:
 def tridiagonal(a: np.ndarray) -> tuple[list[float], list[float], np.ndarray]:
     """Diagonal, subdiagonal and the rows q of the basis with q a q^T tridiagonal, by reflections."""
     a, q = a.copy(), np.eye(len(a))
+    least = np.finfo(np.float64).eps ** 2 * np.abs(a).max(initial=0)  # what underflows when squared is nothing
     for k in range(len(a) - 2):
         u = a[k + 1 :, k].copy()
-        if not u[1:].any():
+        if np.abs(u[1:]).max() <= least:
             continue
         to = -math.copysign(float(np.linalg.norm(u)), u[0])
         u[0] -= to
@@ -145,12 +146,15 @@ def symmetric_qr(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     def gone(k: int) -> bool:
         return abs(below[k]) <= max(eps * (abs(diagonal[k]) + abs(diagonal[k + 1])), least)
 
-    end = len(diagonal) - 1
+    end, steps = len(diagonal) - 1, 0
     while end > 0:
         if gone(end - 1):
             below[end - 1] = 0.0
             end -= 1
             continue
+        steps += 1
+        if steps > 60 * len(diagonal):
+            raise ArithmeticError("the matrix holds no finite numbers, or the iteration doesn't converge")
         start = end - 1
         while start > 0 and not gone(start - 1):
             start -= 1
