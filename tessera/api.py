@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from tessera.functions import pixels as P
 from tessera.functions.selection import as_labels
 from tessera.operators import catalog, cost, layouts, regret, selecting
+from tessera.operators.regret_state import RegretState
 from tessera.operators.storage import Catalog
 from tessera.package import ship
 from tessera.sources import detections
 
+VIDEO = ("video", "metadata_id", "width", "height", "frame_rate", "gop_len", "n_frames")
 DEFAULTS = {"default_db_path": "labels.parquet", "catalog_path": "resources"}
 
 
@@ -171,7 +173,7 @@ class TileStore:
         self.spark = ship(spark)
         self.index = detections.open_index(spark, kind, path or DEFAULTS["default_db_path"])
         self.catalog = Catalog(spark, catalog_path or DEFAULTS["catalog_path"])
-        self.policies: dict[str, dict] = {}
+        self._states: dict[str, RegretState] = {}
 
     # detections
 
@@ -186,11 +188,12 @@ class TileStore:
     def _store(self, frames: DataFrame, video: str, layout_of, frame_rate: int, metadata_id: str | None) -> None:
         frames = frames.withColumn("video", F.lit(video))
         size = frames.agg(F.max("width").alias("w"), F.max("height").alias("h"), F.count("*").alias("n")).first()
+        about = dict(zip(VIDEO, (video, metadata_id or video, size["w"], size["h"], frame_rate, frame_rate, size["n"]), strict=True))
+        known = self.catalog.video(video)
+        if known:
+            self.catalog.check(known, about)
         gops = frames.select("video", F.expr(f"cast(frame div {frame_rate} as int)").alias("gop")).distinct()
-        version = self.catalog.version(video)
-        if not version:
-            self.catalog.register(video, metadata_id or video, size["w"], size["h"], frame_rate, size["n"])
-        self.catalog.write(frames, layout_of(gops, size["w"], size["h"]), frame_rate, version)
+        self.catalog.write(video, frames, layout_of(gops, size["w"], size["h"]), frame_rate, None if known else about)
 
     def store(self, frames: DataFrame, video: str, frame_rate: int = 30, metadata_id: str | None = None) -> None:
         """Frames (frame, width, height, pixels) under one tile."""
@@ -219,11 +222,11 @@ class TileStore:
     # selections
 
     def _wanted(self, video: str, metadata_id: str | None, label, first, last) -> DataFrame:
-        size = self.catalog.videos().where(F.col("video") == video).first()
+        size = self.catalog.video(video)
         rows = detections.pick(self.index.of(metadata_id or video), metadata_id or video, label, first, last)
         boxes = detections.boxes(rows, size["width"], size["height"]).withColumn("video", F.lit(video))
-        if video in self.policies:
-            self._log(video, label, first, last)
+        if state := self._regret(video):
+            state.ask(as_labels(label).labels(), first, first + 1 if first is not None and last is None else last)
         return boxes
 
     def _own(self, video: str) -> tuple[DataFrame, int]:
@@ -255,43 +258,53 @@ class TileStore:
 
     # re-tiling
 
+    def _regret(self, video: str) -> RegretState | None:
+        """The state of a video under a policy, as it was when this store first asked for it or changed it."""
+        if video not in self._states:
+            self._states[video] = RegretState(self.spark, self.catalog.folder("regret", video), video)
+        return self._states[video] if self._states[video].policy else None
+
     def activate_regret_based_tiling(self, video: str, metadata_id: str | None = None, threshold: float = 1.0) -> None:
-        self.policies[video] = {"metadata_id": metadata_id or video, "threshold": threshold, "log": [], "cleared": {}}
+        """Log this video's selections from now on, here and in later sessions."""
+        self._regret(video)
+        self._states[video].activate(metadata_id or video, threshold)
 
     def deactivate_regret_based_tiling(self, video: str) -> None:
-        self.policies.pop(video, None)
+        self._regret(video)
+        self._states[video].deactivate()
 
-    def _log(self, video: str, label, first: int | None, last: int | None) -> None:
-        log = self.policies[video]["log"]
-        stop = first + 1 if first is not None and last is None else last
-        log += [(len({r[0] for r in log}) + 1 if i == 0 else log[-1][0], name, first, stop) for i, name in enumerate(as_labels(label).labels())]
+    def _scored(self, video: str) -> int:
+        """Bring the costs of a video up to date; the newest query's number."""
+        state, size = self._states[video], self.catalog.video(video)
+        rows = self.index.of(state.policy["metadata_id"]).withColumn("video", F.lit(video))
+        return state.score(rows, self.gop_layouts(video), size["width"], size["height"], size["gop_len"])
 
     def regret(self, video: str) -> DataFrame:
         """(video, gop, layout_id, regret, disqualified) of the log since each group was re-tiled."""
-        policy, size = self.policies[video], self.catalog.videos().where(F.col("video") == video).first()
-        w, h, gop_len = size["width"], size["height"], size["gop_len"]
-        log = self.spark.createDataFrame([(i, video, label, a, b) for i, label, a, b in policy["log"]], "iteration int, video string, label string, first int, last int")
-        rows = self.index.of(policy["metadata_id"]).withColumn("video", F.lit(video))
-        current = self.gop_layouts(video)
-        made = regret.candidate_layouts(detections.boxes(rows), regret.candidates(log), current.select("video", "gop"), w, h, gop_len)
-        cleared = self.spark.createDataFrame([(video, g, i) for g, i in policy["cleared"].items()], "video string, gop int, iteration int")
-        policy["candidates"] = made
-        return regret.by_gop_and_layout(rows, log, current, made, w, h, gop_len, cleared)
+        state = self._regret(video)
+        if not state:
+            raise KeyError(f"{video} isn't under a policy")
+        self._scored(video)
+        return state.regret()
 
     def retile_based_on_regret(self, video: str) -> list[int]:
         """Re-tile the groups whose best candidate has gained enough; their numbers."""
-        policy = self.policies.get(video)
-        if not policy or not policy["log"]:
+        state = self._regret(video)
+        if not state or (newest := self._scored(video)) < 0:
             return []
-        size = self.catalog.videos().where(F.col("video") == video).first()
-        chosen = regret.decide(self.regret(video), size["width"], size["height"], size["gop_len"], policy["threshold"]).cache()
+        size = self.catalog.video(video)
+        chosen = regret.decide(state.regret(), size["width"], size["height"], size["gop_len"], state.policy["threshold"]).cache()
         gops = [r["gop"] for r in chosen.select("gop").orderBy("gop").collect()]  # groups of one video
         if gops:
-            self.catalog.retile(video, chosen.join(policy["candidates"], ["video", "gop", "layout_id"]).select("video", "gop", "layout"))
-            policy["cleared"].update({g: policy["log"][-1][0] for g in gops})
+            self.catalog.retile(video, chosen.join(state.candidates(), ["video", "gop", "layout_id"]).select("video", "gop", "layout"))
+            state.clear(gops, newest)
         chosen.unpersist()
         return gops
 
+    def scan_counters(self, video: str, label, first: int | None = None, last: int | None = None, metadata_id: str | None = None) -> DataFrame:
+        """(video, n_pixels, n_frames, n_bytes, n_tiles) that a selection decodes and reads."""
+        return selecting.scan_counters(self._wanted(video, metadata_id, label, first, last), self._own(video)[0], self.catalog.zones(), self.catalog.gop_len(video))
+
 
 def store_from_legacy(spark: SparkSession, path: str, catalog_path: str | None = None) -> TileStore:
     """A store over an index of corner-and-size rows."""

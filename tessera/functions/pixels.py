@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 IMAGE = "width int, height int, pixels binary"
+CHANNELS = 4  # bytes of a pixel
 
 
 def image(raw: bytes, width: int, height: int) -> np.ndarray:
@@ -95,6 +96,37 @@ def psnr(error: Column) -> Column:
     return F.when(error > 0, 10 * F.log10(255.0 * 255.0 / error))
 
 
+# The window's side and the constants that keep quotients finite.
+SSIM_SIDE, _C1, _C2 = 8, (0.01 * 255) ** 2, (0.03 * 255) ** 2
+
+
+def _window_sums(plane: np.ndarray, side: int) -> np.ndarray:
+    """Sums of every side x side window, from a summed-area table: whole numbers stay exact."""
+    table = np.zeros((plane.shape[0] + 1, plane.shape[1] + 1), plane.dtype)
+    table[1:, 1:] = plane.cumsum(axis=0).cumsum(axis=1)
+    return table[side:, side:] - table[:-side, side:] - table[side:, :-side] + table[:-side, :-side]
+
+
+def structural_similarity(one: np.ndarray, two: np.ndarray, side: int = SSIM_SIDE) -> float:
+    """Mean structural similarity of two planes of bytes over all windows; smaller planes are one window."""
+    side = min(side, *one.shape)
+    a, b, n = one.astype(np.int64), two.astype(np.int64), side * side
+    sa, sb, saa, sbb, sab = (_window_sums(p, side) for p in (a, b, a * a, b * b, a * b))
+    va, vb, both = ((n * x - y * z) / (n * n) for x, y, z in ((saa, sa, sa), (sbb, sb, sb), (sab, sa, sb)))
+    ma, mb = sa / n, sb / n
+    return float((((2 * ma * mb + _C1) * (2 * both + _C2)) / ((ma * ma + mb * mb + _C1) * (va + vb + _C2))).mean())
+
+
+@F.pandas_udf(T.DoubleType())
+def ssim(one: pd.Series, two: pd.Series, width: pd.Series) -> pd.Series:
+    """Structural similarity of two RGBA images of a size and width: the mean over red, green and blue."""
+    out = []
+    for a, b, w in zip(one, two, width, strict=True):
+        p, q = (np.frombuffer(x, np.uint8).reshape(-1, int(w), CHANNELS) for x in (a, b))
+        out.append(sum(structural_similarity(p[..., c], q[..., c]) for c in range(3)) / 3)
+    return pd.Series(out, dtype=float)
+
+
 def synthetic(frames: DataFrame, width: int, height: int) -> DataFrame:
     """frames with width, height and pixels of value (x, y, frame, 255), all mod 256."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.schema)

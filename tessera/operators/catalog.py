@@ -9,17 +9,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+STRETCH = 4096  # positions among which runs are found together
 
-def newest(frames: DataFrame, layouts: DataFrame, gop_len: int) -> DataFrame:
-    """frames (video, frame, ...) with first_frame, version and layout of the newest range that holds them.
 
-    Ranges are spread over the groups of pictures they touch, which makes the
-    search an equi-join on (video, gop) with the exact range as a residual: a
-    long catalogue costs no more than its ranges are long.
+def with_blocks(ranges: DataFrame, first: str, last: str) -> DataFrame:
+    """ranges with a row for each aligned block (level, block) that makes up first to last, both included.
+
+    A block of level k is 2^k units long and starts at a multiple of that, so a
+    range of n units has at most 2 log2(n) of them: going up the levels, one
+    that sticks out at either end of what is left.
     """
-    ranges = layouts.withColumn("gop", F.explode(F.sequence(F.expr(f"first_frame div {gop_len}"), F.expr(f"last_frame div {gop_len}"))))
-    keyed = frames.withColumn("gop", F.expr(f"frame div {gop_len}"))
-    met = keyed.join(ranges, ["video", "gop"]).where(F.col("frame").between(F.col("first_frame"), F.col("last_frame")))
+    blocks = F.expr(
+        f"""flatten(transform(sequence(0, length(bin(cast({last} - {first} + 1 as bigint))) - 1), k -> transform(
+              filter(array(named_struct('low', -shiftright(-cast({first} as bigint), k), 'high', shiftright(cast({last} as bigint) + 1, k))), r -> r.low < r.high),
+              r -> filter(array(
+                named_struct('level', k, 'block', if(pmod(r.low, 2) = 1, r.low, null)),
+                named_struct('level', k, 'block', if(pmod(r.high, 2) = 1 and r.low + pmod(r.low, 2) < r.high, r.high - 1, null))), b -> b.block is not null))))"""
+    )
+    made = ranges.where(F.col(first) <= F.col(last)).withColumn("_cut", F.explode(F.flatten(blocks)))
+    return made.withColumns({"level": F.col("_cut.level"), "block": F.col("_cut.block")}).drop("_cut")
+
+
+def stabbed(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, first: str, last: str, unit: int = 1) -> DataFrame:
+    """points joined to the ranges (of equal keys) that hold them: first <= at <= last.
+
+    An equi-join: ranges are cut into aligned blocks of units, and a point asks
+    for the blocks of every level that it lies in, up to the highest level that
+    any range has.  A range of n units is 2 log2(n) rows at most.
+    """
+    cut = with_blocks(ranges.withColumns({"unit_first": F.expr(f"floor({first} / {unit})"), "unit_last": F.expr(f"floor({last} / {unit})")}), "unit_first", "unit_last").drop("unit_first", "unit_last")
+    most = ranges.agg(F.coalesce(F.max(F.expr(f"length(bin(cast(floor({last} / {unit}) - floor({first} / {unit}) + 1 as bigint))) - 1")), F.lit(0)).alias("most"))
+    asked = points.withColumn("level", F.explode(F.sequence(F.lit(0), most.scalar()))).withColumn("block", F.expr(f"shiftright(cast(floor({at} / {unit}) as bigint), level)"))
+    met = asked.join(cut, [*keys, "level", "block"]).drop("level", "block")
+    return met.where(F.col(at).between(F.col(first), F.col(last)))
+
+
+def newest(frames: DataFrame, layouts: DataFrame, gop_len: int) -> DataFrame:
+    """frames (video, frame, ...) with first_frame, version and layout of the newest range that holds them."""
+    met = stabbed(frames, layouts, ["video"], "frame", "first_frame", "last_frame", gop_len)
     found = F.max_by(F.struct("first_frame", "version", "layout"), F.struct("version", "first_frame", "last_frame")).alias("found")
     others = frames.columns
     return met.groupBy(*others).agg(found).select(*others, "found.*")
@@ -42,25 +69,44 @@ def next_version(layouts: DataFrame) -> DataFrame:
     return layouts.groupBy("video").agg((F.coalesce(F.max("version"), F.lit(-1)) + 1).alias("version"))
 
 
+def islands(rows: DataFrame, at: str, value: str | None = None) -> DataFrame:
+    """(video, first, last[, value]): runs of positions that follow each other and have one value.
+
+    Runs are found within stretches of STRETCH positions; only those that
+    touch a stretch's end meet in a window of their video, to be joined.
+    """
+
+    def marked(df: DataFrame, w: Window, first: str, last: str) -> DataFrame:
+        starts = F.lag(last).over(w).isNull() | (F.col(first) != F.lag(last).over(w) + 1)
+        if value:
+            starts = starts | (F.col(value) != F.lag(value).over(w))
+        return df.withColumn("island", F.sum(starts.cast("int")).over(w))
+
+    def joined(df: DataFrame, *keys: str) -> DataFrame:
+        kept = [F.first(value).alias(value)] if value else []
+        return df.groupBy("video", *keys, "island").agg(F.min("first").alias("first"), F.max("last").alias("last"), *kept).drop("island")
+
+    own = rows.select("video", F.col(at).alias("first"), F.col(at).alias("last"), *([value] if value else []))
+    own = own.withColumn("stretch", F.expr(f"cast(floor(first / {STRETCH}) as bigint)"))
+    parts = joined(marked(own, Window.partitionBy("video", "stretch").orderBy("first"), "first", "last"), "stretch")
+    open_ended = (F.pmod("first", F.lit(STRETCH)) == 0) | (F.pmod("last", F.lit(STRETCH)) == STRETCH - 1)
+    zoned = parts.withColumn("zone", F.when(~open_ended, F.col("stretch"))).drop("stretch")
+    return joined(marked(zoned, Window.partitionBy("video", "zone").orderBy("first"), "first", "last"), "zone").drop("zone")
+
+
 def ranges(frames: DataFrame) -> DataFrame:
     """(video, first_frame, last_frame, layout) from frames (video, frame, layout).
 
     A new range starts where the layout changes or a frame is missing, so equal
     layouts of neighbouring groups share one.
     """
-    w = Window.partitionBy("video").orderBy("frame")
-    starts = F.lag("frame").over(w).isNull() | (F.col("frame") != F.lag("frame").over(w) + 1) | (F.col("layout") != F.lag("layout").over(w))
-    island = frames.withColumn("starts", starts.cast("int")).withColumn("island", F.sum("starts").over(w))
-    return island.groupBy("video", "island").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.first("layout").alias("layout")).drop("island")
+    return islands(frames, "frame", "layout").withColumnsRenamed({"first": "first_frame", "last": "last_frame"}).select("video", "first_frame", "last_frame", "layout")
 
 
 def gop_ranges(gops: DataFrame, gop_len: int) -> DataFrame:
-    """ranges() for layouts given by group (video, gop, layout): a window over groups instead of frames."""
-    w = Window.partitionBy("video").orderBy("gop")
-    starts = F.lag("gop").over(w).isNull() | (F.col("gop") != F.lag("gop").over(w) + 1) | (F.col("layout") != F.lag("layout").over(w))
-    island = gops.withColumn("starts", starts.cast("int")).withColumn("island", F.sum("starts").over(w))
-    found = island.groupBy("video", "island").agg((F.min("gop") * gop_len).alias("first_frame"), ((F.max("gop") + 1) * gop_len - 1).alias("last_frame"), F.first("layout").alias("layout"))
-    return found.drop("island")
+    """ranges() for layouts given by group (video, gop, layout): islands of groups instead of frames."""
+    found = islands(gops, "gop", "layout")
+    return found.select("video", (F.col("first") * gop_len).alias("first_frame"), ((F.col("last") + 1) * gop_len - 1).alias("last_frame"), "layout")
 
 
 def read_ranges(frames: DataFrame, gop_len: int, whole: bool = False) -> DataFrame:
@@ -72,12 +118,22 @@ def read_ranges(frames: DataFrame, gop_len: int, whole: bool = False) -> DataFra
     return found.select("video", "gop", (F.col("gop") * gop_len).alias("first"), last.alias("last"))
 
 
+def read_flags(read: DataFrame) -> DataFrame:
+    """read_ranges() with the flags of each group's packet: discontinuity where it doesn't go on from
+    the group before, end_of_stream at a video's last.
+
+    A group meets the one before it by number: no window over a whole video.
+    """
+    before = read.select("video", (F.col("gop") + 1).alias("gop"), (F.col("last") + 1).alias("goes_on"))
+    end = read.groupBy("video").agg(F.max("gop").alias("end"))
+    met = read.join(before, ["video", "gop"], "left").join(end, "video")
+    goes_on = F.coalesce(F.col("goes_on") == F.col("first"), F.lit(False))
+    return met.select(*read.columns, (~goes_on).alias("discontinuity"), (F.col("gop") == F.col("end")).alias("end_of_stream"))
+
+
 def runs(frames: DataFrame) -> DataFrame:
     """Contiguous runs (video, first, last) of frames, for files in which every frame is a key."""
-    w = Window.partitionBy("video").orderBy("frame")
-    distinct = frames.select("video", "frame").distinct()
-    island = distinct.withColumn("island", F.col("frame") - F.row_number().over(w))
-    return island.groupBy("video", "island").agg(F.min("frame").alias("first"), F.max("frame").alias("last")).drop("island")
+    return islands(frames.select("video", "frame").distinct(), "frame")
 
 
 def joined_intervals(intervals: DataFrame, keys: list[str]) -> DataFrame:

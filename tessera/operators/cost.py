@@ -16,12 +16,14 @@ def touched(boxes: DataFrame, layouts: DataFrame, gop_len: int, keys: tuple[str,
     """(video, gop, keys..., tile_no, width, height, last) of tiles that boxes touch.
 
     layouts has (video, gop, layout, keys...); boxes may have further columns
-    named in by_gop's keys.
+    named in by_gop's keys, and wanted, an array of the layout_ids to look at.
     """
-    own = [c for c in keys if c in boxes.columns]
+    own = [c for c in (*keys, "wanted") if c in boxes.columns]
     at = boxes.select("video", F.expr(f"frame div {gop_len}").cast("int").alias("gop"), "frame", "box", *own)
     grids = layouts.withColumn("layout", G.with_edges(F.col("layout")))
-    hits = at.join(grids, ["video", "gop"]).select("video", "gop", *keys, "frame", F.explode(G.tiles_hit(F.col("box"), F.col("layout"))).alias("t"))
+    met = at.join(grids, ["video", "gop"])
+    met = met.where(F.array_contains("wanted", F.col("layout_id"))) if "wanted" in own else met
+    hits = met.select("video", "gop", *keys, "frame", F.explode(G.tiles_hit(F.col("box"), F.col("layout"))).alias("t"))
     return hits.groupBy("video", "gop", *keys, F.col("t.tile_no").alias("tile_no")).agg(F.max("frame").alias("last"), F.first("t.width").alias("width"), F.first("t.height").alias("height"))
 
 
@@ -36,9 +38,10 @@ def of_queries(detections: DataFrame, queries: DataFrame, layouts: DataFrame, go
     """by_gop for every row of queries (query_id, video, label, first, last, ...).
 
     A null first asks for every frame; last is exclusive.  One plan serves the
-    whole log: queries meet detections by video and label.
+    whole log: queries meet detections by video and label.  With a column
+    wanted, a query is scored under the layout_ids in it only.
     """
-    asked = queries.select("query_id", "video", "label", "first", "last")
+    asked = queries.select("query_id", "video", "label", "first", "last", *(c for c in queries.columns if c == "wanted"))
     inside = F.col("first").isNull() | ((F.col("frame") >= F.col("first")) & (F.col("frame") < F.col("last")))
     wanted = detections.join(asked, ["video", "label"]).where(inside).withColumn("box", G.box("x1", "y1", "x2", "y2"))
     return by_gop(wanted, layouts, gop_len, ("query_id", *keys))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import geometry as G
 from tessera.operators import cost
@@ -37,8 +39,8 @@ def uniform(rows, columns, width: Column, height: Column) -> Column:
     return F.struct(uniform_sizes(columns, G.coded(width), width).alias("widths"), uniform_sizes(rows, G.coded(height), height).alias("heights"))
 
 
-def cut_around(intervals: list[tuple[int, int]], least: int, whole: int) -> list[int]:
-    """Sizes along an axis with cuts between intervals, where none is crossed.
+def cut_around(spans: list[tuple], least: int, whole: int) -> list[int]:
+    """Sizes along an axis with cuts between intervals (start, end[, how many there are]), where none is crossed.
 
     Intervals are visited by (start, end).  A cut may go before an interval, at
     its start rounded down to a step from the last cut, or after it, at its end
@@ -46,9 +48,13 @@ def cut_around(intervals: list[tuple[int, int]], least: int, whole: int) -> list
     cut must leave `least` to either side, lie strictly inside no other
     interval and not before the rounded end of the interval before.
     """
-    spans = sorted(intervals)
-    starts, ends = [s for s, _ in spans], sorted(e for _, e in spans)
-    points = Counter(s for s, e in spans if s == e)
+    spans = sorted((s[0], s[1], s[2] if len(s) > 2 else 1) for s in spans)
+    starts, ends = [s for s, _, _ in spans], sorted((e, n) for _, e, n in spans)
+    begun, ended = [0, *accumulate(n for _, _, n in spans)], [0, *accumulate(n for _, n in ends)]
+    ends = [e for e, _ in ends]
+    points: Counter[int] = Counter()
+    for s, e, n in spans:
+        points[s] += n if s == e else 0
     cuts: list[int] = []
     reached: int | None = None
 
@@ -56,13 +62,15 @@ def cut_around(intervals: list[tuple[int, int]], least: int, whole: int) -> list
         return cuts[-1] if cuts else 0
 
     def crossed(at: int, own: int) -> bool:
-        others = bisect_left(starts, at) - bisect_right(ends, at) + points[at]
+        others = begun[bisect_left(starts, at)] - ended[bisect_right(ends, at)] + points[at]
         return others - (spans[own][0] < at < spans[own][1]) > 0
 
     def free(at: int) -> bool:
         return reached is None or at >= reached
 
-    for i, (start, end) in enumerate(spans):
+    def visit(i: int, following: int | None) -> int:
+        """Make the cuts around an interval, given where the next one starts; where this one's end comes to."""
+        start, end, _ = spans[i]
         before = last() + (start - last()) // STEP * STEP
         if before - last() >= least and not crossed(before, i) and free(before):
             if whole - before >= least:
@@ -76,34 +84,48 @@ def cut_around(intervals: list[tuple[int, int]], least: int, whole: int) -> list
                 if not crossed(after, i) and free(after):
                     cuts.append(after)
             elif beyond >= end and free(beyond) and whole - beyond >= least:
-                following = spans[i + 1][0] - beyond >= least if i + 1 < len(spans) else last() < end
-                if following:
+                if following - beyond >= least if following is not None else last() < end:
                     cuts.append(beyond)
-        reached = after
+        return after
+
+    for i, (start, _, n) in enumerate(spans):
+        following = spans[i + 1][0] if i + 1 < len(spans) else None
+        k = 0
+        while k < n:
+            state = len(cuts), reached
+            reached = visit(i, following if k + 1 == n else start)
+            # equal intervals follow each other; once one changes nothing, only the last can
+            k = n - 1 if (len(cuts), reached) == state and k + 1 < n else k + 1
     return [b - a for a, b in zip([0, *cuts], [*cuts, whole], strict=True)]
 
 
-def _sizes(least: int):
-    @F.pandas_udf("array<int>")
-    def sizes(spans: pd.Series, whole: pd.Series) -> pd.Series:
-        return pd.Series([cut_around([(s["start"], s["end"]) for s in own], least, int(n)) for own, n in zip(spans, whole, strict=True)])
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _sizes(spans: pd.Series, least: pd.Series, whole: pd.Series) -> pd.Series:
+    return pd.Series([cut_around([(s["start"], s["end"], s["n"]) for s in own], int(m), int(n)) for own, m, n in zip(spans, least, whole, strict=True)])
 
-    return sizes
 
+def coverage(boxes: DataFrame, gop_len: int) -> DataFrame:
+    """(video, gop, axis, start, end, n): how often each interval occurs among a group's boxes along x (0) and y (1).
 
-def around_detections(boxes: DataFrame, width: int, height: int, gop_len: int) -> DataFrame:
-    """(video, gop, layout) for each group of pictures that has boxes.
-
-    A group's boxes meet in one row; they are those of one second of video.
+    Counts add up, so they are summed before the shuffle; a group has at most
+    as many rows as there are intervals of whole pixels, however many its boxes.
     """
 
-    def spans(start: str, size: str) -> Column:
+    def span(axis: int, start: str, size: str) -> Column:
         low = F.col(f"box.{start}")
-        return F.collect_list(F.struct(low.alias("start"), (low + F.col(f"box.{size}")).alias("end")))
+        return F.struct(F.lit(axis).alias("axis"), low.alias("start"), (low + F.col(f"box.{size}")).alias("end"))
+
+    rows = boxes.select("video", F.expr(f"frame div {gop_len}").cast("int").alias("gop"), F.explode(F.array(span(0, "x", "width"), span(1, "y", "height"))).alias("s"))
+    return rows.groupBy("video", "gop", "s.axis", "s.start", "s.end").agg(F.count("*").alias("n"))
 
-    gops = boxes.groupBy("video", F.expr(f"frame div {gop_len}").cast("int").alias("gop")).agg(spans("x", "width").alias("xs"), spans("y", "height").alias("ys"))
-    layout = F.struct(_sizes(LEAST_WIDTH)("xs", F.lit(width)).alias("widths"), _sizes(LEAST_HEIGHT)("ys", F.lit(height)).alias("heights"))
-    return gops.select("video", "gop", layout.alias("layout"))
+
+def around_detections(boxes: DataFrame, width: int, height: int, gop_len: int) -> DataFrame:
+    """(video, gop, layout) for each group of pictures that has boxes."""
+    spans = coverage(boxes, gop_len).groupBy("video", "gop", "axis").agg(F.collect_list(F.struct("start", "end", "n")).alias("spans"))
+    is_x = F.col("axis") == 0
+    sized = spans.select("video", "gop", "axis", _sizes("spans", F.when(is_x, LEAST_WIDTH).otherwise(LEAST_HEIGHT), F.when(is_x, width).otherwise(height)).alias("sizes"))
+    both = sized.groupBy("video", "gop").agg(F.max(F.when(is_x, F.col("sizes"))).alias("widths"), F.max(F.when(~is_x, F.col("sizes"))).alias("heights"))
+    return both.select("video", "gop", F.struct("widths", "heights").alias("layout"))
 
 
 def filled(layouts: DataFrame, gops: DataFrame, width: int, height: int) -> DataFrame:

@@ -54,7 +54,16 @@ def by_gop_and_layout(detections: DataFrame, log: DataFrame, current: DataFrame,
     A candidate that ever decodes USEFUL of the untiled pixels or more is
     disqualified for the group.
     """
-    asked = log.withColumnRenamed("iteration", "query_id")
+    met = _scored(detections, log.withColumnRenamed("iteration", "query_id"), current, candidate, width, height, gop_len)
+    if cleared is not None:
+        old = cleared.select("video", "gop", F.col("iteration").alias("cleared"))
+        met = met.join(old, ["video", "gop"], "left").where(F.col("cleared").isNull() | (F.col("query_id") > F.col("cleared")))
+    gain = saved(F.col("base_pixels") - F.col("own_pixels"), F.col("base_tiles") - F.col("own_tiles"))
+    return met.groupBy("video", "gop", "layout_id").agg(F.sum(gain).alias("regret"), F.bool_or("useless").alias("disqualified"))
+
+
+def _scored(detections: DataFrame, asked: DataFrame, current: DataFrame, candidate: DataFrame, width: int, height: int, gop_len: int) -> DataFrame:
+    """(video, gop, query_id, layout_id, own_pixels, own_tiles, base_pixels, base_tiles, useless) of queries that touch a group."""
     # all layouts in one pass over the detections: 0 the candidates, 1 the current one, 2 a single tile
     untiled = current.select("video", "gop", F.lit("").alias("layout_id"), F.lit(2).alias("kind"), layouts.single(F.lit(width), F.lit(height)).alias("layout"))
     known = current.select("video", "gop", F.lit("").alias("layout_id"), F.lit(1).alias("kind"), "layout")
@@ -67,12 +76,25 @@ def by_gop_and_layout(detections: DataFrame, log: DataFrame, current: DataFrame,
 
     met = costs.withColumns({"base_pixels": of(1, "pixels"), "base_tiles": of(1, "tiles"), "whole_pixels": of(2, "pixels")}).withColumnsRenamed({"pixels": "own_pixels", "tiles": "own_tiles"})
     met = met.where("kind = 0 and base_pixels is not null and whole_pixels is not null")
-    if cleared is not None:
-        old = cleared.select("video", "gop", F.col("iteration").alias("cleared"))
-        met = met.join(old, ["video", "gop"], "left").where(F.col("cleared").isNull() | (F.col("query_id") > F.col("cleared")))
-    gain = saved(F.col("base_pixels") - F.col("own_pixels"), F.col("base_tiles") - F.col("own_tiles"))
-    useless = F.col("own_pixels") >= F.lit(layouts.USEFUL) * F.col("whole_pixels")
-    return met.groupBy("video", "gop", "layout_id").agg(F.sum(gain).alias("regret"), F.bool_or(useless).alias("disqualified"))
+    return met.withColumn("useless", F.col("own_pixels") >= F.lit(layouts.USEFUL) * F.col("whole_pixels"))
+
+
+def by_shape(detections: DataFrame, log: DataFrame, current: DataFrame, candidate: DataFrame, width: int, height: int, gop_len: int, cleared: DataFrame) -> DataFrame:
+    """(video, gop, layout_id, pixels, tiles, regret, disqualified): by_gop_and_layout() for long logs.
+
+    Queries that ask alike share their costs, so work grows with the shapes and
+    only counts with the log; pixels and tiles are what they would have spared.
+    """
+    shape = F.to_json(F.struct("video", "label", "first", "last")).alias("query_id")
+    shapes = log.select(shape, "video", "label", "first", "last").distinct()
+    met = _scored(detections, shapes, current, candidate, width, height, gop_len)
+    old = cleared.select("video", "gop", F.col("iteration").alias("cleared"))
+    touched = met.select("video", "gop", "query_id").distinct().join(old, ["video", "gop"], "left")
+    n = touched.join(log.select(shape, "iteration"), "query_id").where(F.col("cleared").isNull() | (F.col("iteration") > F.col("cleared"))).groupBy("video", "gop", "query_id").agg(F.count("*").alias("n"))
+    summed = met.join(n, ["video", "gop", "query_id"]).groupBy("video", "gop", "layout_id").agg(
+        F.sum(F.col("n") * (F.col("base_pixels") - F.col("own_pixels"))).alias("pixels"), F.sum(F.col("n") * (F.col("base_tiles") - F.col("own_tiles"))).alias("tiles"), F.bool_or("useless").alias("disqualified")
+    )
+    return summed.select("video", "gop", "layout_id", "pixels", "tiles", saved(F.col("pixels"), F.col("tiles")).alias("regret"), "disqualified")
 
 
 def decide(regret: DataFrame, width: int, height: int, gop_len: int, threshold: float = 1.0) -> DataFrame:

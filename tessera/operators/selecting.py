@@ -81,3 +81,18 @@ def counters(boxes: DataFrame, layouts: DataFrame, gop_len: int) -> DataFrame:
     n = (F.col("last") - F.col("first") + 1).cast("bigint")
     spans = decoded(boxes, layouts, gop_len)
     return spans.groupBy("video").agg(F.sum(n * F.col("width") * F.col("height")).alias("n_pixels"), F.sum(n).alias("n_frames"), F.count_distinct("first_frame", "version", "tile_no").alias("n_tiles"))
+
+
+def with_bytes(spans: DataFrame, zones: DataFrame) -> DataFrame:
+    """decoded() with n_bytes of each span, by what zones (video, version, gop, tile_no, n_frames, n_bytes) say of its frames."""
+    n = (F.col("last") - F.col("first") + 1).cast("bigint")
+    own = zones.select("video", "version", "gop", "tile_no", "n_frames", F.col("n_bytes").alias("zone_bytes"))
+    met = spans.withColumn("gop", F.col("gop").cast("int")).join(own, ["video", "version", "gop", "tile_no"], "left")
+    return met.withColumn("n_bytes", F.expr("zone_bytes div n_frames") * n).drop("n_frames", "zone_bytes")
+
+
+def scan_counters(boxes: DataFrame, layouts: DataFrame, zones: DataFrame, gop_len: int) -> DataFrame:
+    """(video, n_pixels, n_frames, n_bytes, n_tiles): counters() and the bytes that are read for them."""
+    spans = decoded(boxes, layouts, gop_len)
+    n_bytes = with_bytes(spans, zones).groupBy("video").agg(F.sum("n_bytes").alias("n_bytes"))
+    return counters(boxes, layouts, gop_len).join(n_bytes, "video").select("video", "n_pixels", "n_frames", "n_bytes", "n_tiles")

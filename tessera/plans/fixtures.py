@@ -6,7 +6,7 @@ Spark and in SQL: four videos of 300 frames, three labels in clusters.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WIDTH, HEIGHT, GOP, FRAMES, VIDEOS = 1920, 1080, 30, 300, 4
@@ -32,13 +32,13 @@ LOG = [
 CANDIDATES = {"A": ([288, 1632], [192, 888]), "A_R": ([288, 1152, 480], [192, 576, 312]), "R": ([1440, 480], [768, 312])}
 
 
-def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def detections(spark: SparkSession, sf_dir: str, video: Column | None = None) -> DataFrame:
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     left = F.when(F.col("label") == "A", 64).when(F.col("label") == "N", 768).otherwise(1472) + F.col("l_partkey") % 97
     top = F.when(F.col("label") == "A", 64).when(F.col("label") == "N", 416).otherwise(768) + F.col("l_suppkey") % 53
     rows = lineitem.withColumn("label", F.col("l_returnflag"))
     return rows.select(
-        F.concat(F.lit("v"), (F.col("l_suppkey") % VIDEOS).cast("string")).alias("video"),
+        (F.concat(F.lit("v"), (F.col("l_suppkey") % VIDEOS).cast("string")) if video is None else video).alias("video"),
         "label",
         (F.col("l_orderkey") % FRAMES).cast("int").alias("frame"),
         left.cast("int").alias("x1"),
@@ -108,6 +108,25 @@ ALL_LAYOUTS_SQL = """lay as (
   from lineitem
 ), """ + _grid_sql("grid", "lay", "video, first_frame, last_frame, version")
 
+
+def long_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of 1 to 1,000,000 frames of every row of lineitem: an order is a video, a line a version."""
+    first = (F.col("l_partkey") * 7919 + F.col("l_linenumber") * 104_729) % 500_000
+    length = 1 + (F.col("l_suppkey") * 999_983 + F.col("l_partkey") * 15_485_863) % 1_000_000
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("video"),
+        first.cast("int").alias("first_frame"),
+        (first + length - 1).cast("int").alias("last_frame"),
+        (F.col("l_linenumber") - 1).cast("int").alias("version"),
+    )
+
+
+LONG_RANGES_SQL = """far as (
+  select 'o' || cast(l_orderkey as varchar) as video, cast((l_partkey * 7919 + l_linenumber * 104729) % 500000 as integer) as first_frame,
+    cast((l_partkey * 7919 + l_linenumber * 104729) % 500000 + (l_suppkey * 999983 + l_partkey * 15485863) % 1000000 as integer) as last_frame,
+    cast(l_linenumber - 1 as integer) as version
+  from lineitem)"""
+
 #: The newest range of each frame of each video.
 STAB_SQL = """stab as (
   select video, frame, first_frame, version from (
@@ -164,3 +183,48 @@ def cost_sql(name: str, grid: str, key: str = "") -> str:
     from box b join log q on b.video = q.video and b.label = q.label and (q.first is null or (b.frame >= q.first and b.frame < q.last))
     join {grid} g on {MEET} group by all) group by all
 )"""
+
+
+def supplier_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """detections() with a video for each supplier, so that videos grow with the tables."""
+    return detections(spark, sf_dir, F.concat(F.lit("s"), F.col("l_suppkey").cast("string")))
+
+
+def supplier_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RANGES for each supplier's video."""
+    ranges = [F.struct(F.lit(a).alias("first_frame"), F.lit(b).alias("last_frame"), F.lit(n).alias("version"), F.struct(F.array(*map(F.lit, w)).alias("widths"), F.array(*map(F.lit, h)).alias("heights")).alias("layout")) for a, b, n, w, h in RANGES]
+    videos = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("video"), F.explode(F.array(*ranges)).alias("r"))
+    return videos.select("video", "r.*")
+
+
+SUPPLIER_DETECTIONS_SQL = DETECTIONS_SQL.replace("concat('v', cast(l_suppkey % 4 as varchar))", "concat('s', cast(l_suppkey as varchar))")
+SUPPLIER_LAYOUTS_SQL = LAYOUTS_SQL.replace("'v' || cast(v as varchar)", "'s' || cast(v as varchar)").replace("range(4) as vs(v)", "(select s_suppkey from supplier) as vs(v)")
+
+
+def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query of every order: (iteration, video, label, first, last)."""
+    first = 30 * (F.col("o_custkey") % 10)
+    label = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").otherwise("R")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("iteration"),
+        F.concat(F.lit("v"), (F.col("o_custkey") % VIDEOS).cast("string")).alias("video"),
+        label.alias("label"),
+        first.cast("int").alias("first"),
+        (first + 15 + 15 * (F.col("o_orderkey") % 4)).cast("int").alias("last"),
+    )
+
+
+def order_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video, gop, iteration): groups re-tiled after a query, from the customers."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return rows.groupBy(F.concat(F.lit("v"), (F.col("c_custkey") % VIDEOS).cast("string")).alias("video"), (F.col("c_custkey") % 7).cast("int").alias("gop")).agg(F.max(F.col("c_custkey") * 20).alias("iteration"))
+
+
+ORDER_LOG_SQL = """asks as (
+  select o_orderkey as iteration, 'v' || cast(o_custkey % 4 as varchar) as video, case o_orderstatus when 'F' then 'A' when 'O' then 'N' else 'R' end as label,
+    cast(30 * (o_custkey % 10) as integer) as first, cast(30 * (o_custkey % 10) + 15 + 15 * (o_orderkey % 4) as integer) as last from orders
+), log as (
+  select distinct concat_ws('/', video, label, first, last) as query_id, video, label, first, last from asks
+), cleared as (
+  select 'v' || cast(c_custkey % 4 as varchar) as video, cast(c_custkey % 7 as integer) as gop, max(c_custkey * 20) as iteration from customer group by all
+)"""

@@ -81,11 +81,6 @@ def rects_for_frames(spark, sf_dir):
     return _rects(_boxes(spark, sf_dir, "v0", "A", 15, 20))
 
 
-@query(_det("select distinct 'w' as video, label, frame, x1, y1, x2, y2 from det where frame < 40"))
-def legacy_wh_view(spark, sf_dir):
-    return D.from_legacy(D.to_legacy(X.detections(spark, sf_dir).where("frame < 40")), "w")
-
-
 @query(_det("select video, label, count(*) as n, count(distinct frame) as n_frames from det group by all"))
 def bulk_insert_counts(spark, sf_dir):
     return X.detections(spark, sf_dir).groupBy("video", "label").agg(F.count("*").alias("n"), F.count_distinct("frame").alias("n_frames"))
@@ -100,59 +95,6 @@ def point_hits_and_area(spark, sf_dir):
 
 # Layouts
 
-_UNIFORM = [(2, 2), (3, 4), (5, 7)]
-
-
-@query(
-    """with n(rows, cols) as (values (2, 2), (3, 4), (5, 7)), axis as (
-      select rows, cols, 'width' as axis, cols as parts, 1920 as coded, 1920 as shown from n union all select rows, cols, 'height', rows, 1088, 1080 from n)
-    select cast(rows as integer) as n_rows, cast(cols as integer) as n_cols, axis, cast(i as integer) as i,
-      cast(least((i + 1) * coded // parts, shown) - least(i * coded // parts, shown) as integer) as size
-    from axis, unnest(range(parts)) as r(i)"""
-)
-def uniform_layout_dims(spark, sf_dir):
-    n = spark.createDataFrame(_UNIFORM, "n_rows int, n_cols int")
-    made = n.withColumn("layout", layouts.uniform(F.col("n_rows"), F.col("n_cols"), F.lit(X.WIDTH), F.lit(X.HEIGHT)))
-    axes = F.explode(F.array(F.struct(F.lit("width").alias("axis"), F.col("layout.widths").alias("s")), F.struct(F.lit("height").alias("axis"), F.col("layout.heights").alias("s"))))
-    return made.select("n_rows", "n_cols", axes.alias("a")).select("n_rows", "n_cols", "a.axis", F.posexplode("a.s").alias("i", "size"))
-
-
-@query(f'with {X.LAYOUTS_SQL} select video, first_frame, version, tile_no, "row", col, tx as x, ty as y, tw as width, th as height from grid')
-def tile_rects(spark, sf_dir):
-    return layouts.exploded(X.layouts(spark)).drop("last_frame")
-
-
-@query(
-    f"""with {X.LAYOUTS_SQL} select video, first_frame, version, cast(list_sum(widths) as integer) as total_width, cast(list_sum(heights) as integer) as total_height,
-      cast(ceil(list_sum(widths) / 32.0) * 32 as integer) as coded_width, cast(ceil(list_sum(heights) / 32.0) * 32 as integer) as coded_height,
-      list_max(widths) as largest_width, list_max(heights) as largest_height, cast(len(widths) * len(heights) as integer) as n_tiles from lay"""
-)
-def layout_totals(spark, sf_dir):
-    return layouts.totals(X.layouts(spark)).drop("last_frame")
-
-
-@query(
-    f"""with {X.LAYOUTS_SQL} select video, min(first_frame) as first_frame, max(last_frame) as last_frame, count(*) as n_ranges, max(version) as version,
-      max(list_max(widths)) as largest_width, max(list_max(heights)) as largest_height from lay group by video"""
-)
-def catalog_extent(spark, sf_dir):
-    return catalog.extent(X.layouts(spark))
-
-
-@query(f"with {X.LAYOUTS_SQL} select video, max(version) + 1 as version from lay group by video")
-def next_tile_version(spark, sf_dir):
-    return catalog.next_version(X.layouts(spark))
-
-
-def _frames(spark: SparkSession) -> DataFrame:
-    return X.gops(spark).select("video", F.explode(F.sequence(F.col("gop") * X.GOP, F.col("gop") * X.GOP + X.GOP - 1)).alias("frame"))
-
-
-@query(f"with {X.LAYOUTS_SQL}, {X.STAB_SQL} select * from stab")
-def layout_stab_latest_version(spark, sf_dir):
-    return catalog.newest(_frames(spark), X.layouts(spark), X.GOP).drop("layout")
-
-
 @query(
     f"""with {X.DETECTIONS_SQL}, {X.LAYOUTS_SQL}, {X.STAB_SQL}, f as (
       select distinct s.video, s.frame, l.widths, l.heights from stab s join lay l using (video, first_frame, version) join det d on d.video = s.video and d.frame = s.frame and d.label = 'N'
@@ -175,27 +117,6 @@ def tile_frames_with_objects(spark, sf_dir):
     return selecting.tile_frames(_boxes(spark, sf_dir, None, "A"), X.layouts(spark), X.GOP)
 
 
-@query(_det("select video, frame // 30 as gop, frame // 30 * 30 as first, max(frame) as last from det where label = 'A' and frame % 7 < 3 group by video, frame // 30"))
-def gop_read_ranges(spark, sf_dir):
-    frames = D.pick(X.detections(spark, sf_dir), None, "A").where("frame % 7 < 3")
-    return _as_int(catalog.read_ranges(frames, X.GOP), "gop", "first", "last")
-
-
-@query(_det("select distinct video, frame // 30 as gop, frame // 30 * 30 as first, frame // 30 * 30 + 29 as last from det where label = 'R' and frame % 50 = 3"))
-def gop_read_whole(spark, sf_dir):
-    frames = D.pick(X.detections(spark, sf_dir), None, "R").where("frame % 50 = 3")
-    return _as_int(catalog.read_ranges(frames, X.GOP, whole=True), "gop", "first", "last")
-
-
-@query(
-    _det(""", f as (select distinct video, frame from det where label = 'N' and frame % 5 <> 2), i as (
-      select *, frame - row_number() over (partition by video order by frame) as island from f)
-    select video, min(frame) as first, max(frame) as last from i group by video, island""")
-)
-def contiguous_runs(spark, sf_dir):
-    return catalog.runs(D.pick(X.detections(spark, sf_dir), None, "N").where("frame % 5 <> 2"))
-
-
 def _as_int(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("int") for n in names})
 
@@ -246,16 +167,6 @@ _SPAN = """, span as (
     ), dec as (select *, greatest(gop * 30, first_frame) as first from span)"""
 
 
-@query(
-    _hits("b.label = 'R' and b.frame % 40 = 21")
-    + _SPAN
-    + " select video, first_frame, version, cast(tile_no as integer) as tile_no, cast(f as integer) as frame, tw as width, th as height from dec, unnest(range(first, last + 1)) as u(f)"
-)
-def select_tiles_with_prefix(spark, sf_dir):
-    boxes = _boxes(spark, sf_dir, None, "R").where("frame % 40 = 21")
-    return selecting.whole_tiles(boxes, X.layouts(spark), X.GOP, include_prefix=True)
-
-
 @query(f"""with {X.DETECTIONS_SQL}, {X.LAYOUTS_SQL}, {X.STAB_SQL}
     select distinct s.video, s.first_frame, s.version, s.frame, cast(len(widths) * len(heights) as integer) as n_tiles
     from det d join stab s using (video, frame) join lay l on l.video = s.video and l.first_frame = s.first_frame and l.version = s.version where d.label = 'R' and d.frame >= 30 and d.frame < 200""")
@@ -385,19 +296,18 @@ def fine_layout_dims(spark, sf_dir):
     return known.select("video", "gop", axes.alias("a")).select("video", "gop", "a.axis", F.posexplode("a.s").alias("i", "size"))
 
 
-@query()
-def merged_rectangles(spark, sf_dir):
-    return merging.merged(_boxes(spark, sf_dir, None, ["A", "N", "R"]))
-
-
 @query(
-    f"""with {X.LAYOUTS_SQL}, p as (select x, y from (values (0, 0), (959, 544), (960, 543), (1919, 1079), (1920, 0)) as v(x, y))
-    select g.video, g.first_frame, g.version, p.x, p.y, cast(g.tile_no as integer) as tile_no from grid g, p where p.x >= tx and p.x < tx + tw and p.y >= ty and p.y < ty + th"""
+    _det(""", m as (
+      select video, frame, list_sort(list(distinct {'x1': x, 'y1': y, 'x2': x + w, 'y2': y + h})) as b, false as done from box group by video, frame
+      union all
+      select video, frame, nb, nb = b from (select video, frame, b, list_sort(list_distinct(list_transform(list_transform(b, lambda p: list_filter(b, lambda q: p.x1 < q.x2 and q.x1 < p.x2 and p.y1 < q.y2 and q.y1 < p.y2)),
+        lambda own: {'x1': list_min(list_transform(own, lambda q: q.x1)), 'y1': list_min(list_transform(own, lambda q: q.y1)),
+          'x2': list_max(list_transform(own, lambda q: q.x2)), 'y2': list_max(list_transform(own, lambda q: q.y2))}))) as nb from m where not done)
+    ), r as (select video, frame, unnest(b) as u from m where done)
+    select video, frame, u.x1 as x, u.y1 as y, u.x2 - u.x1 as width, u.y2 - u.y1 as height from r""").replace("with det", "with recursive det", 1)
 )
-def tile_for_point(spark, sf_dir):
-    points = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in [(0, 0), (959, 544), (960, 543), (1919, 1079), (1920, 0)])))
-    asked = X.layouts(spark).withColumn("p", points).select("video", "first_frame", "version", "layout", "p.*")
-    return asked.withColumn("tile_no", G.tile_at(F.col("layout"), F.col("x"), F.col("y"))["tile_no"]).where("tile_no is not null").drop("layout")
+def merged_rectangles(spark, sf_dir):
+    return merging.merged(_boxes(spark, sf_dir, None, ["A", "N", "R"]))
 
 
 # Regret
@@ -439,43 +349,30 @@ def retile_gop_frames(spark, sf_dir):
     return frames.join(chosen, ["video", "gop"], "left_semi").select("video", "frame")
 
 
+
 @query(
-    f"""with {X.LOG_SQL}, f as (select video, label, min(query_id) as since from log group by all),
-      s as (select f.video, f.label, string_agg(g.label, '_' order by g.label) as so_far from f join f g on g.video = f.video and (g.since, g.label) <= (f.since, f.label) group by f.video, f.label)
-    select video, label as layout_id from s union select video, so_far from s"""
+    f"""with {X.DETECTIONS_SQL}, {X.UNIFORM_SQL}, {X.CANDIDATES_SQL}, {X.ORDER_LOG_SQL}, wgrid as (select 0 as tile_no, 0 as tx, 0 as ty, 1920 as tw, 1080 as th),
+      {X.cost_sql('own', 'cgrid', 'layout_id')}, {X.cost_sql('base', 'ugrid')}, {X.cost_sql('whole', 'wgrid')}, n as (
+        select t.query_id, t.video, t.gop, count(*) as n from (select distinct query_id, video, gop from whole) t join log l using (query_id)
+        join asks a on a.video = l.video and a.label = l.label and a.first = l.first and a.last = l.last left join cleared c on c.video = t.video and c.gop = t.gop
+        where c.iteration is null or a.iteration > c.iteration group by all
+      ), r as (
+        select o.video, o.gop, o.layout_id, cast(sum(n * (b.pixels - o.pixels)) as bigint) as pixels, cast(sum(n * (b.tiles - o.tiles)) as bigint) as tiles, bool_or(o.pixels >= 0.8 * w.pixels) as disqualified
+        from own o join base b using (video, gop, query_id) join whole w using (video, gop, query_id) join n using (video, gop, query_id) group by all)
+    select video, gop, layout_id, pixels, tiles, round(1.608e-06 * pixels + 1.703e-01 * tiles, 3) as regret, disqualified from r"""
 )
-def regret_candidates(spark, sf_dir):
-    return regret.candidates(X.query_log(spark)).select("video", "layout_id")
-
-
-@query("select cast(w as integer) as width, cast(h as integer) as height, round(3.206e-06 * w * h * 30 + 2.592, 6) as seconds from (values (1920, 1080), (3840, 2160), (320, 240)) as s(w, h)")
-def encode_cost(spark, sf_dir):
-    sizes = spark.createDataFrame([(1920, 1080), (3840, 2160), (320, 240)], "width int, height int")
-    return sizes.withColumn("seconds", F.round(regret.encode_cost(F.col("width"), F.col("height"), X.GOP), 6))
-
-
-# Pixels
+def regret_of_order_log(spark, sf_dir):
+    found = regret.by_shape(X.detections(spark, sf_dir), X.order_log(spark, sf_dir), X.gop_layouts(spark, *_UNI), X.candidates(spark), X.WIDTH, X.HEIGHT, X.GOP, X.order_cleared(spark, sf_dir))
+    return found.withColumn("regret", F.round("regret", 3))
 
 
 @query(
-    """with p as (select l_orderkey as k, l_linenumber as n, cast(16 + l_partkey % 220 as double) - 16 as y, cast(l_suppkey % 256 as double) - 128 as u, cast(l_orderkey % 256 as double) - 128 as v from lineitem where l_orderkey % 5 = 0),
-      m as (select 255.0 / 219 as s, 0.2126::double as wr, 0.0722::double as wb)
-    select k, n, cast(floor(least(greatest(s * y + s * 2 * (1 - wr) * v, 0), 255)) as integer) as r,
-      cast(floor(least(greatest(s * y - s * 2 * wb * (1 - wb) / (1 - wb - wr) * u - s * 2 * wr * (1 - wr) / (1 - wb - wr) * v, 0), 255)) as integer) as g,
-      cast(floor(least(greatest(s * y + s * 2 * (1 - wb) * u, 0), 255)) as integer) as b from p, m"""
+    f"""with {X.ORDER_LOG_SQL}, f as (select video, label, min(iteration) as since from asks group by all),
+      s as (select f.video, f.label, string_agg(g.label, '_' order by g.label) as so_far from f join f g on g.video = f.video and (g.since, g.label) <= (f.since, f.label) group by f.video, f.label)
+    select video, label as layout_id from s union select video, so_far from s"""
 )
-def nv12_to_rgba_scalar(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 5 = 0")
-    y, u, v = (16 + F.col("l_partkey") % 220).cast("double"), (F.col("l_suppkey") % 256).cast("double"), (F.col("l_orderkey") % 256).cast("double")
-    r, g, b = P.rgb(y, u, v)
-    return rows.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), r.alias("r"), g.alias("g"), b.alias("b"))
-
-
-@query(f"with {X.LAYOUTS_SQL} select video, first_frame, version, cast(tile_no as integer) as tile_no, cast(floor(8000000 * (cast(tw as bigint) * th) / (1920 * 1080)) as bigint) as bits_per_second from grid")
-def tile_bitrate_share(spark, sf_dir):
-    tiles = layouts.exploded(X.layouts(spark))
-    share = F.floor(F.lit(8_000_000) * (F.col("width").cast("bigint") * F.col("height")) / F.lit(X.WIDTH * X.HEIGHT))
-    return tiles.select("video", "first_frame", "version", "tile_no", share.cast("bigint").alias("bits_per_second"))
+def regret_candidates_all(spark, sf_dir):
+    return regret.candidates(X.order_log(spark, sf_dir)).select("video", "layout_id")
 
 
 # The same over all rows of the tables: no rows are left out, and layouts grow with lineitem
@@ -577,6 +474,23 @@ def layout_stab_latest_version_all(spark, sf_dir):
     return catalog.newest(frames, known, X.GOP).drop("layout")
 
 
+@query(
+    f"""with {X.LONG_RANGES_SQL}, f as (
+      select distinct video, cast(first_frame + (last_frame - first_frame) // 4 * k as integer) as frame from far, range(5) as r(k)
+    ), s as (
+      select f.video, f.frame, l.first_frame, l.last_frame, l.version, row_number() over (partition by f.video, f.frame order by l.version desc, l.first_frame desc) as n
+      from f join far l on l.video = f.video and f.frame between l.first_frame and l.last_frame)
+    select video, frame, first_frame, last_frame, version from s where n = 1"""
+)
+def layout_stab_long_ranges(spark, sf_dir):
+    known = X.long_ranges(spark, sf_dir)
+    steps = F.explode(F.sequence(F.lit(0), F.lit(4)))
+    frames = known.withColumn("k", steps).select("video", F.expr("cast(first_frame + (last_frame - first_frame) div 4 * k as int)").alias("frame")).distinct()
+    met = catalog.stabbed(frames, known, ["video"], "frame", "first_frame", "last_frame", X.GOP)
+    best = F.max(F.struct("version", "first_frame", "last_frame")).alias("b")
+    return met.groupBy("video", "frame").agg(best).select("video", "frame", "b.first_frame", "b.last_frame", "b.version")
+
+
 @query(
     f"""with {X.ALL_LAYOUTS_SQL}, p as (select x, y from (values (0, 0), (959, 544), (960, 543), (1919, 1079), (1920, 0)) as v(x, y))
     select g.video, g.first_frame, g.version, p.x, p.y, cast(g.tile_no as integer) as tile_no from grid g, p where p.x >= tx and p.x < tx + tw and p.y >= ty and p.y < ty + th"""
@@ -607,3 +521,41 @@ _FINE = ([96] * 20, [54] * 20)
 def tiles_touched_in_fine_grid(spark, sf_dir):
     boxes = _boxes(spark, sf_dir, None, ["A", "N", "R"])
     return cost.touched(boxes, X.gop_layouts(spark, *_FINE), X.GOP)
+
+
+# Grids of every row, videos of every supplier
+
+
+@query(
+    """with n as (
+      select l_orderkey as k, l_linenumber as n, 1 + l_linenumber as n_rows, 1 + l_suppkey % 7 as n_cols, 64 + 2 * (l_partkey % 900) as width, 48 + 2 * (l_suppkey % 500) as height from lineitem
+    ), axis as (
+      select k, n, 'width' as axis, n_cols as parts, width as shown from n union all select k, n, 'height', n_rows, height from n)
+    select k, n, axis, cast(i as integer) as i,
+      cast(least((i + 1) * (cast(ceil(shown / 32.0) as bigint) * 32) // parts, shown) - least(i * (cast(ceil(shown / 32.0) as bigint) * 32) // parts, shown) as integer) as size
+    from axis, unnest(range(parts)) as r(i)"""
+)
+def uniform_layout_dims_all(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    width, height = (64 + 2 * (F.col("l_partkey") % 900)).cast("int"), (48 + 2 * (F.col("l_suppkey") % 500)).cast("int")
+    made = rows.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), layouts.uniform((1 + F.col("l_linenumber")).cast("int"), (1 + F.col("l_suppkey") % 7).cast("int"), width, height).alias("layout"))
+    axes = F.explode(F.array(F.struct(F.lit("width").alias("axis"), F.col("layout.widths").alias("s")), F.struct(F.lit("height").alias("axis"), F.col("layout.heights").alias("s"))))
+    return made.select("k", "n", axes.alias("a")).select("k", "n", "a.axis", F.posexplode("a.s").alias("i", "size"))
+
+
+@query(f"""with {X.SUPPLIER_DETECTIONS_SQL}, {X.SUPPLIER_LAYOUTS_SQL}, {X.STAB_SQL}
+    select distinct g.video, g.first_frame, g.version, cast(g.tile_no as integer) as tile_no, b.frame from box b join stab s using (video, frame)
+    join grid g on g.video = s.video and g.first_frame = s.first_frame and g.version = s.version and {X.MEET}""")
+def tile_frames_by_supplier(spark, sf_dir):
+    boxes = D.boxes(D.pick(X.supplier_detections(spark, sf_dir), None, ["A", "N", "R"]))
+    return selecting.tile_frames(boxes, X.supplier_layouts(spark, sf_dir), X.GOP)
+
+
+@query(
+    X.SUPPLIER_DETECTIONS_SQL.replace("det as", "with det as", 1)
+    + """, r as (select video, cast(frame // 30 as integer) as gop, cast(frame // 30 * 30 as integer) as first, max(frame) as last from det group by video, frame // 30)
+    select r.video, r.gop, r.first, r.last, p.gop is null as discontinuity, r.gop = max(r.gop) over (partition by r.video) as end_of_stream
+    from r left join r p on p.video = r.video and p.gop = r.gop - 1 and p.last + 1 = r.first"""
+)
+def gop_read_flags_by_supplier(spark, sf_dir):
+    return _as_int(catalog.read_flags(catalog.read_ranges(X.supplier_detections(spark, sf_dir), X.GOP)), "gop", "first", "last")

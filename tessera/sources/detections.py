@@ -81,8 +81,27 @@ class DetectionIndex:
         """Append rows as one write: all of them become visible, or none."""
         if not isinstance(rows, DataFrame):
             rows = self.spark.createDataFrame(list(rows), SCHEMA)
+        self._write(rows, self.path, "append")
+
+    def _write(self, rows: DataFrame, path: str, mode: str) -> None:
         rows = rows.select(*(F.col(f.name).cast(f.dataType) for f in SCHEMA))
-        rows.repartitionByRange("video", "label", "frame").sortWithinPartitions("video", "label", "frame").write.mode("append").partitionBy("video").parquet(self.path)
+        rows.repartitionByRange("video", "label", "frame").sortWithinPartitions("video", "label", "frame").write.mode(mode).partitionBy("video").parquet(path)
+
+    def add_once(self, rows: DataFrame, staged: str) -> None:
+        """Append rows that may be given again under the same name: written to staged, which is kept, and moved from there."""
+        java = self.spark._jvm.org.apache.hadoop.fs
+        at, index = java.Path(staged), java.Path(self.path)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(java.Path(at, "_SUCCESS")):
+            self._write(rows, staged, "overwrite")
+        for folder in fs.listStatus(at):
+            name = folder.getPath().getName()
+            if folder.isDirectory() and name.startswith("video="):
+                into = java.Path(index, name)
+                fs.mkdirs(into)
+                for file in fs.listStatus(folder.getPath()):
+                    if not file.getPath().getName().startswith((".", "_")) and not fs.rename(file.getPath(), java.Path(into, file.getPath().getName())):
+                        raise OSError(f"could not move {file.getPath()}")
 
 
 class MemoryIndex:

@@ -1,7 +1,9 @@
 """Detections and queries as streams: keyed state over frames instead of wall-clock time.
 
 A group of pictures is a window over frame numbers; detections that arrive
-late for a group still count, as every batch is merged by key.
+late for a group still count, as every batch is merged by key.  So there is no
+watermark, and state grows with the number of keys: of groups and labels in
+gop_activity, of labels in label_extent.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tessera.sources.detections import SCHEMA
+from tessera.sources.detections import SCHEMA, DetectionIndex
 
 
 def read_detections(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -19,9 +21,17 @@ def read_detections(spark: SparkSession, path: str, files_per_batch: int = 100)
 
 
 def into_index(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Append a stream to an index; the sink's log makes each batch count once."""
-    rows = stream.select(*(F.col(f.name).cast(f.dataType) for f in SCHEMA))
-    return rows.writeStream.format("parquet").partitionBy("video").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    """Add a stream to an index, each batch once; rows added otherwise, before or later, stay in it.
+
+    A batch is written beside the index first.  Its files are moved there when
+    all of them stand, and a batch that is repeated after a failure only moves
+    what is left.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        DetectionIndex(batch.sparkSession, path).add_once(batch, f"{checkpoint}/batches/{number}")
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).outputMode("append")
 
 
 def gop_activity(stream: DataFrame, gop_len: int) -> DataFrame:
