@@ -97,7 +97,8 @@ class Catalog:
         gop = F.expr(f"cast(frame div {gop_len} as int)").alias("gop")
         placed = catalog.newest(frames.select("video", "frame"), spans, gop_len)
         write_id = uuid.uuid4().hex
-        whole = frames.join(placed, ["video", "frame"]).select("video", "first_frame", gop, "frame", "width", "pixels", G.tiles(F.col("layout")).alias("tiles"))
+        # every frame has a layout, and an outer join never broadcasts its left side, the pixels
+        whole = frames.join(placed, ["video", "frame"], "left").select("video", "first_frame", gop, "frame", "width", "pixels", G.tiles(F.col("layout")).alias("tiles"))
         tiles = P.cut(whole).select("video", F.lit(write_id).alias("write_id"), "first_frame", "gop", "tile_no", "frame", "x", "y", "width", "height", "pixels")
         # in order of tiles, so that statistics of pages prune the read of some tiles
         tiles = tiles.sortWithinPartitions("video", "first_frame", "tile_no", "frame").write.mode("append").partitionBy("video", "write_id")
@@ -172,7 +173,7 @@ class Catalog:
     def retile(self, video: str, layouts: DataFrame) -> int:
         """Write the groups of layouts (video, gop, layout) anew, as the next version."""
         gop_len = self.gop_len(video)
-        wanted = layouts.select("video", F.explode(F.sequence(F.col("gop") * gop_len, (F.col("gop") + 1) * gop_len - 1)).cast("int").alias("frame"))
+        wanted = layouts.select("video", F.explode(F.sequence(F.col("gop") * gop_len, (F.col("gop") + 1) * gop_len - 1)).alias("frame"))
         return self.write(video, self.frames(video, wanted), layouts, gop_len)
 
     def tile_pixels(self, places: DataFrame) -> DataFrame:

@@ -478,7 +478,7 @@ def layout_stab_latest_version_all(spark, sf_dir):
     f"""with {X.LONG_RANGES_SQL}, f as (
       select distinct video, cast(first_frame + (last_frame - first_frame) // 4 * k as integer) as frame from far, range(5) as r(k)
     ), s as (
-      select f.video, f.frame, l.first_frame, l.last_frame, l.version, row_number() over (partition by f.video, f.frame order by l.version desc, l.first_frame desc) as n
+      select f.video, f.frame, l.first_frame, l.last_frame, l.version, row_number() over (partition by f.video, f.frame order by l.version desc, l.first_frame desc, l.last_frame desc) as n
       from f join far l on l.video = f.video and f.frame between l.first_frame and l.last_frame)
     select video, frame, first_frame, last_frame, version from s where n = 1"""
 )
