@@ -261,7 +261,11 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, chunk:
     pairs = scored.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     both = F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item"))))
     pairs = pairs.select("lang", both.alias("s"), "value").select("lang", "s.source", F.lit("pair").alias("part"), "s.item", "value")
-    ranked = pairs.unionByName(scored.where("part = 'term'"))
-    order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), F.asc("item"))
-    found = ranked.withColumn("rank", F.row_number().over(order)).where(F.expr(f"part = 'pair' or rank <= {top}"))
+    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))
+
+    def ranked(df: DataFrame) -> DataFrame:
+        return df.withColumn("rank", F.row_number().over(order))
+
+    # apart, so that each task hands on no more than the best terms of a group
+    found = ranked(pairs).unionByName(ranked(scored.where("part = 'term'")).where(F.col("rank") <= top))
     return found.select(*(F.col(c).cast("string").alias(c) for c in ("lang", "source")), "part", F.col("item").cast("string").alias("item"), "value", "rank")
