@@ -17,7 +17,7 @@ from tessera.operators import catalog, cost, layouts, regret, selecting
 from tessera.operators.regret_state import RegretState
 from tessera.operators.storage import Catalog
 from tessera.package import ship
-from tessera.sources import detections
+from tessera.sources import detections, spatial  # noqa: F401  spatial makes its kind known
 
 VIDEO = ("video", "metadata_id", "width", "height", "frame_rate", "gop_len", "n_frames")
 DEFAULTS = {"default_db_path": "labels.parquet", "catalog_path": "resources"}
@@ -247,6 +247,10 @@ class TileStore:
         met = self.catalog.tile_pixels(self.select_places(video, label, first, last, metadata_id, include_gop_prefix))
         return met.select("video", "frame", "label", "tile_no", "x", "y", "width", "height", P.crop("pixels", "tile_width", "left", "top", "width", "height").alias("pixels"))
 
+    def images(self, *asked, **options) -> Images:
+        """select(), one image at a time."""
+        return Images(self.select(*asked, **options))
+
     @_overloaded
     def select_tiles(self, video: str, label, first: int | None = None, last: int | None = None, metadata_id: str | None = None, include_gop_prefix: bool = False) -> DataFrame:
         boxes = self._wanted(video, metadata_id, label, first, last)

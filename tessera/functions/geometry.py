@@ -107,6 +107,13 @@ def with_edges(g: Column) -> Column:
     return F.struct(g["widths"].alias("widths"), g["heights"].alias("heights"), edges(g["widths"]).alias("xs"), edges(g["heights"]).alias("ys"))
 
 
+def _tile(g: Column, row: Column, col: Column) -> Column:
+    """A tile by row and column, of a grid with_edges."""
+    return F.struct(
+        (row * F.size(g["widths"]) + col).alias("tile_no"), row.alias("row"), col.alias("col"), F.get(g["xs"], col).alias("x"), F.get(g["ys"], row).alias("y"), F.get(g["widths"], col).alias("width"), F.get(g["heights"], row).alias("height")
+    )
+
+
 def tiles_hit(b: Column, g: Column) -> Column:
     """The tiles that a box intersects, of a grid with_edges.
 
@@ -119,18 +126,19 @@ def tiles_hit(b: Column, g: Column) -> Column:
         beyond = F.least(F.size(F.filter(at, lambda e: e < end)), F.size(at) - 1)
         return F.when(beyond > first, F.sequence(first, beyond - 1)).otherwise(F.array().cast("array<int>"))
 
-    def tile(row: Column, col: Column) -> Column:
-        return F.struct(
-            (row * F.size(g["widths"]) + col).alias("tile_no"), row.alias("row"), col.alias("col"), F.get(g["xs"], col).alias("x"), F.get(g["ys"], row).alias("y"), F.get(g["widths"], col).alias("width"), F.get(g["heights"], row).alias("height")
-        )
-
     columns = covered(g["xs"], b["x"], right(b))
-    return F.flatten(F.transform(covered(g["ys"], b["y"], bottom(b)), lambda row: F.transform(columns, lambda col: tile(row, col))))
+    return F.flatten(F.transform(covered(g["ys"], b["y"], bottom(b)), lambda row: F.transform(columns, lambda col: _tile(g, row, col))))
+
+
+def tile_at(g: Column, x: Column, y: Column) -> Column:
+    """The tile of a point, or null outside the grid, of a grid with_edges: its row and column are counted from the edges."""
 
+    def begun(at: Column, point: Column) -> Column:
+        return F.size(F.filter(at, lambda e: e <= point)) - 1
 
-def tile_at(g: Column, x, y) -> Column:
-    """The tile of a point, or null outside the grid."""
-    return F.get(F.filter(tiles(g), lambda t: contains_point(t, x, y)), F.lit(0))
+    col, row = begun(g["xs"], x), begun(g["ys"], y)
+    inside = (col >= 0) & (col < F.size(g["widths"])) & (row >= 0) & (row < F.size(g["heights"]))
+    return F.when(inside, _tile(g, row, col))
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -497,7 +497,8 @@ def layout_stab_long_ranges(spark, sf_dir):
 )
 def tile_for_point_all(spark, sf_dir):
     points = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in [(0, 0), (959, 544), (960, 543), (1919, 1079), (1920, 0)])))
-    asked = X.all_layouts(spark, sf_dir).withColumn("p", points).select("video", "first_frame", "version", "layout", "p.*")
+    known = X.all_layouts(spark, sf_dir).withColumn("layout", G.with_edges(F.col("layout")))
+    asked = known.withColumn("p", points).select("video", "first_frame", "version", "layout", "p.*")
     return asked.withColumn("tile_no", G.tile_at(F.col("layout"), F.col("x"), F.col("y"))["tile_no"]).where("tile_no is not null").drop("layout")
 
 

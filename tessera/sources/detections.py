@@ -149,6 +149,11 @@ class LegacyIndex(DetectionIndex):
 KINDS = {"xy": DetectionIndex, "memory": MemoryIndex, "legacy": LegacyIndex}
 
 
+def register_kind(name: str, kind: type) -> None:
+    """Let stores open indexes of a kind of one's own: a class over (spark, path) with rows, of, add and add_bulk."""
+    KINDS[name] = kind
+
+
 def open_index(spark: SparkSession, kind: str = "xy", path: str = "labels.parquet"):
-    """An index of a kind: xy, memory or legacy."""
+    """An index of a kind: xy, memory, legacy, spatial, or one that was registered."""
     return KINDS[kind](spark, path)
