@@ -11,7 +11,8 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    con.execute(f"create view lineitem as select * from '{DATA}/lineitem.parquet'")
+    for name in ("lineitem", "orders", "customer", "supplier"):
+        con.execute(f"create view {name} as select * from '{DATA}/{name}.parquet'")
     return con
 
 
