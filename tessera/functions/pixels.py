@@ -117,6 +117,13 @@ def structural_similarity(one: np.ndarray, two: np.ndarray, side: int = SSIM_SID
     return float((((2 * ma * mb + _C1) * (2 * both + _C2)) / ((ma * ma + mb * mb + _C1) * (va + vb + _C2))).mean())
 
 
+@F.pandas_udf(T.DoubleType())
+def plane_ssim(one: pd.Series, two: pd.Series, width: pd.Series) -> pd.Series:
+    """Structural similarity of two planes of bytes, given as arrays of numbers by row."""
+    planes = zip(*(([np.asarray(v, np.uint8) for v in c]) for c in (one, two)), width, strict=True)
+    return pd.Series([structural_similarity(a.reshape(-1, int(w)), b.reshape(-1, int(w))) for a, b, w in planes], dtype=float)
+
+
 @F.pandas_udf(T.DoubleType())
 def ssim(one: pd.Series, two: pd.Series, width: pd.Series) -> pd.Series:
     """Structural similarity of two RGBA images of a size and width: the mean over red, green and blue."""

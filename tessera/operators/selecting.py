@@ -30,6 +30,11 @@ def tile_frames(boxes: DataFrame, layouts: DataFrame, gop_len: int) -> DataFrame
     return hits(boxes, layouts, gop_len).select(*RANGE, F.col("t.tile_no").alias("tile_no"), "frame").distinct()
 
 
+def tile_boxes(boxes: DataFrame, layouts: DataFrame, gop_len: int, id_col: str) -> DataFrame:
+    """(video, first_frame, version, tile_no, frame, id_col): which boxes each tile holds a part of."""
+    return hits(boxes, layouts, gop_len).select(*RANGE, F.col("t.tile_no").alias("tile_no"), "frame", id_col)
+
+
 def decoded(boxes: DataFrame, layouts: DataFrame, gop_len: int) -> DataFrame:
     """(video, first_frame, version, tile_no, gop, first, last, width, height): what is decoded
     of each tile, from a group's first frame (or the range's, if later) to the last wanted."""

@@ -75,6 +75,18 @@ class Catalog:
     def video(self, video: str):
         return self.videos().where(F.col("video") == video).first()
 
+    def probe(self) -> DataFrame:
+        """(video, codec, width, height, frame_rate, gop_len, n_frames, n_bytes, bits_per_second) of what is stored, all versions.
+
+        A frame that is stored in several versions counts in each of them.
+        """
+        frames = F.expr("n_frames * 1d")
+        tiles = self.zones().groupBy("video", "version", "gop").agg(F.max("n_frames").alias("n_frames"), F.sum("n_bytes").alias("n_bytes"))
+        sizes = tiles.groupBy("video").agg(F.sum("n_frames").alias("n_frames"), F.sum("n_bytes").alias("n_bytes"))
+        met = self.videos().drop("n_frames").join(sizes, "video")
+        rate = F.floor(F.col("n_bytes") * 8 * F.col("frame_rate") / frames).cast("bigint")
+        return met.select("video", F.lit("raw").alias("codec"), "width", "height", "frame_rate", "gop_len", "n_frames", "n_bytes", rate.alias("bits_per_second"))
+
     def version(self, video: str) -> int:
         """The version that the next write of a video gets, if no other comes first."""
         return lines.next_number(self.spark, self.folder("commits", video))

@@ -32,7 +32,7 @@ LOG = [
 CANDIDATES = {"A": ([288, 1632], [192, 888]), "A_R": ([288, 1152, 480], [192, 576, 312]), "R": ([1440, 480], [768, 312])}
 
 
-def detections(spark: SparkSession, sf_dir: str, video: Column | None = None) -> DataFrame:
+def detections(spark: SparkSession, sf_dir: str, video: Column | None = None, *extra: Column) -> DataFrame:
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     left = F.when(F.col("label") == "A", 64).when(F.col("label") == "N", 768).otherwise(1472) + F.col("l_partkey") % 97
     top = F.when(F.col("label") == "A", 64).when(F.col("label") == "N", 416).otherwise(768) + F.col("l_suppkey") % 53
@@ -45,6 +45,7 @@ def detections(spark: SparkSession, sf_dir: str, video: Column | None = None) ->
         top.cast("int").alias("y1"),
         (left + 16 + F.col("l_quantity").cast("int")).cast("int").alias("x2"),
         (top + 16 + 8 * F.col("l_linenumber")).cast("int").alias("y2"),
+        *extra,
     )
 
 
@@ -185,9 +186,9 @@ def cost_sql(name: str, grid: str, key: str = "") -> str:
 )"""
 
 
-def supplier_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def supplier_detections(spark: SparkSession, sf_dir: str, *extra: Column) -> DataFrame:
     """detections() with a video for each supplier, so that videos grow with the tables."""
-    return detections(spark, sf_dir, F.concat(F.lit("s"), F.col("l_suppkey").cast("string")))
+    return detections(spark, sf_dir, F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), *extra)
 
 
 def supplier_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -560,3 +560,36 @@ def tile_frames_by_supplier(spark, sf_dir):
 )
 def gop_read_flags_by_supplier(spark, sf_dir):
     return _as_int(catalog.read_flags(catalog.read_ranges(X.supplier_detections(spark, sf_dir), X.GOP)), "gop", "first", "last")
+
+
+@query(f"""with {X.SUPPLIER_DETECTIONS_SQL.replace("select concat(", "select l_orderkey * 8 + l_linenumber as box_id, concat(", 1).replace("select video, label, frame, x1 - x1", "select box_id, video, label, frame, x1 - x1", 1)}, {X.SUPPLIER_LAYOUTS_SQL}, {X.STAB_SQL}
+    select g.video, g.first_frame, g.version, cast(g.tile_no as integer) as tile_no, b.frame, b.box_id from box b join stab s using (video, frame)
+    join grid g on g.video = s.video and g.first_frame = s.first_frame and g.version = s.version and {X.MEET}""")
+def tile_box_ids_by_supplier(spark, sf_dir):
+    rows = X.supplier_detections(spark, sf_dir, (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("box_id"))
+    return selecting.tile_boxes(D.boxes(rows), X.supplier_layouts(spark, sf_dir), X.GOP, "box_id")
+
+
+# Two planes of 12 x 12 for each supplier, of sums over its lines
+@query(
+    """with c as (
+      select l_suppkey as k, cast(l_partkey % 12 as integer) as x, cast(l_orderkey % 12 as integer) as y, cast(sum(l_quantity) as bigint) % 256 as a, cast(sum(l_quantity + l_linenumber) as bigint) % 256 as b from lineitem group by all
+    ), p as (
+      select s.k, s.x, s.y, cast(coalesce(a, 0) as double) as a, cast(coalesce(b, 0) as double) as b
+      from (select k, x, y from (select distinct l_suppkey as k from lineitem), range(12) as xs(x), range(12) as ys(y)) s left join c on c.k = s.k and c.x = s.x and c.y = s.y
+    ), w as (
+      select k, u, v, avg(a) as ma, avg(b) as mb, avg(a * a) - avg(a) * avg(a) as va, avg(b * b) - avg(b) * avg(b) as vb, avg(a * b) - avg(a) * avg(b) as ab
+      from p, range(5) as us(u), range(5) as vs(v) where x between u and u + 7 and y between v and v + 7 group by k, u, v)
+    select k as supplier, round(avg((2 * ma * mb + 6.5025) * (2 * ab + 58.5225) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225))), 6) as similarity from w group by k"""
+)
+def plane_similarity_by_supplier(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    cells = rows.groupBy(F.col("l_suppkey").alias("supplier"), (F.col("l_orderkey") % 12 * 12 + F.col("l_partkey") % 12).cast("int").alias("at")).agg(
+        (F.sum("l_quantity").cast("bigint") % 256).alias("a"), (F.sum(F.col("l_quantity") + F.col("l_linenumber")).cast("bigint") % 256).alias("b")
+    )
+    known = cells.groupBy("supplier").agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("a", "b")))).alias("cells"))  # 144 of them at most
+
+    def plane(name: str):
+        return F.transform(F.sequence(F.lit(0), F.lit(143)), lambda i: F.coalesce(F.try_element_at("cells", i)[name], F.lit(0)).cast("int"))
+
+    return known.select("supplier", F.round(P.plane_ssim(plane("a"), plane("b"), F.lit(12)), 6).alias("similarity"))

@@ -136,6 +136,11 @@ def test_bytes_are_those_stored(spark, store, frames):
     assert (r["n_frames"], r["n_pixels"], r["n_bytes"], r["n_tiles"]) == (12, 12 * 32 * 32, 12 * 32 * 32 * 4, 1)
 
 
+    seen = store.catalog.probe().first()
+    assert (seen["codec"], seen["width"], seen["frame_rate"], seen["n_frames"]) == ("raw", W, GOP, 20)
+    assert (seen["n_bytes"], seen["bits_per_second"]) == (20 * W * H * 4, W * H * 4 * 8 * GOP)
+
+
 def test_rows_of_a_stream_and_others_share_an_index(spark, tmp_path):
     D.DetectionIndex(spark, f"{tmp_path}/in").add_bulk([("v", "fish", f, 1, 1, 5, 5) for f in range(10)] + [("w x/y", "cat", 1, 1, 1, 2, 2)])
     index = D.DetectionIndex(spark, f"{tmp_path}/out")
