@@ -35,7 +35,7 @@ def values(df):
     return {(r["gop"], r["layout_id"]): (pytest.approx(r["regret"], rel=1e-9, abs=1e-9), r["disqualified"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [2])
 def test_any_order_of_queries_candidates_and_retilings(spark, tmp_path, rows, seed):
     draw = random.Random(seed)
     state = RegretState(spark, f"{tmp_path}/r", "v")
@@ -49,7 +49,7 @@ def test_any_order_of_queries_candidates_and_retilings(spark, tmp_path, rows, se
         return spark.createDataFrame(rows, "video string, gop int, n int").select("video", "gop", F.when(F.col("n") == 1, layouts.single(F.lit(W), F.lit(H))).otherwise(layouts.uniform(2, 2, F.lit(W), F.lit(H))).alias("layout"))
 
     shapes = [(["fish"], None, None), (["fish"], 3, 9), (["boat", "fish"], 0, 12), (["whale"], 10, 11), (["boat"], 12, 20)]
-    for step in range(3):
+    for step in range(4):
         for _ in range(draw.randrange(1, 4)):
             log.append(shapes[draw.randrange(min(len(shapes), 2 + step))])
             assert state.ask(*log[-1]) == len(log) - 1
