@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HITS = "query_id long, vec_id long, score long"
+MOST = 1 << 62  # integer components must stay below it
 
 
 def usable(vector: str | Column) -> Column:
@@ -48,21 +49,45 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return place[np.lexsort((ids[place], -scores[place]))][:k]
 
 
+def reach(rows: np.ndarray) -> int:
+    """The largest absolute component; an error if it has no exact place in 64 bits."""
+    most = max(int(rows.max(initial=0)), -int(rows.min(initial=0)))
+    if most >= MOST:
+        raise ValueError("a component times the scale is 2^62 or more")
+    return most
+
+
+def wide_scores(query: np.ndarray, postings: list, rows: int) -> np.ndarray:
+    """Scores whose sums may pass 64 bits on the way, in whole numbers of any size; an error if one ends beyond."""
+    scores = np.zeros(rows, object)
+    for term in np.flatnonzero(query):
+        own, weight = postings[term]
+        scores[own] += int(query[term]) * weight.astype(object)
+    if any(not -(1 << 63) <= x < 1 << 63 for x in scores.tolist()):
+        raise ValueError("a score has no place in 64 bits")
+    return scores.astype(np.int64)
+
+
 def _search(k: int):
     def block(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         ids, asked = candidates.column("id").to_numpy(), queries.column("id").to_numpy()
         weights = matrix(candidates.column("terms"), np.int64)
-        postings = []
+        postings, most = [], reach(weights)
         for column in weights.T:
             rows = np.flatnonzero(column)
             postings.append((rows, column[rows]))
         out: tuple[list, list, list] = ([], [], [])
         scores = np.empty(len(ids), np.int64)
-        for own, query in zip(asked, matrix(queries.column("terms"), np.int64), strict=True):
-            scores[:] = 0
-            for term in np.flatnonzero(query[: len(postings)]):
-                rows, weight = postings[term]
-                scores[rows] += query[term] * weight
+        asking = matrix(queries.column("terms"), np.int64)
+        narrow = reach(asking) * most * len(postings) < 1 << 63
+        for own, query in zip(asked, asking[:, : len(postings)], strict=True):
+            if narrow:
+                scores[:] = 0
+                for term in np.flatnonzero(query):
+                    rows, weight = postings[term]
+                    scores[rows] += query[term] * weight
+            else:
+                scores = wide_scores(query, postings, len(ids))
             other = np.flatnonzero(ids != own)
             top = other[best(scores[other], ids[other], k)]
             out[0].append(np.full(len(top), own))
@@ -83,7 +108,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int
     unequal length the shorter is filled with zeros.  A query never meets rows
     of its own id; of several query rows of one id the least vector is asked,
     and repeated candidate rows are candidates each.  Fewer than k candidates
-    give fewer ranks.  Other columns, whatever their names, are not read.
+    give fewer ranks.  Scores are exact: a component times the scale of 2^62 or
+    more, or a score beyond 64 bits, is an error.  Other columns, whatever their names, are not read.
     """
 
     def clean(df: DataFrame) -> DataFrame:
