@@ -8,7 +8,9 @@ and more of them are the larger the corpus is; the others share one leaf, below
 which a byte model, counted on all of their occurrences, spells them out to the
 end of the word.  So every word's probability given both sides is normalised.
 Every task trains a copy, in numpy, on all positions of its share of the
-documents; Spark averages the copies, and a further round goes on from there.
+documents, and passes on what it moved: rows that its words never asked stay
+with it.  Spark adds the moves up in a tree of groups, a row's average is over
+the copies that moved it, and a further round goes on from there.
 A document's score is the sum of its words' conditional log-probabilities.
 """
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import stored
+from tessera.llm.shared import discard, stored
 from tessera.llm.words import PLAIN, Block, blocks
 
 OTHERS = 1024  # rows that the rarer words share, as neighbours
@@ -36,9 +38,11 @@ AFTER = 50  # steps that the first positions of a later round stand for in their
 ROUNDS = 2
 END = 32  # the byte before and after a word
 SMOOTH = 2.0
-_FIXED = 1 << 11  # parameters are averaged as 16-bit fixed-point numbers, so that sums don't depend on their order
-_CHUNK = 1 << 14  # parameters in a row
-_BUCKETS = 256
+_FIXED = 1 << 11  # moves are added up as 16-bit fixed-point numbers, so that sums don't depend on their order
+_CHUNK = 1 << 10  # rows of parameters whose moves travel together
+_FAN = 256  # tasks, or groups of them, whose moves one group adds up
+_LEVELS = 3  # so there may be _FAN ** 3 tasks
+_MOVES = "chunk long, part long, who binary, value binary, weight binary"
 _MERGE = 1 << 20  # distinct words that a task counts at once
 _U = np.uint64
 
@@ -67,7 +71,7 @@ def _order(ids: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's counts of its words, by bucket; a word may come several times."""
+    """A task's counts of its words; a word may come several times."""
     keys, counts = np.zeros(0, _U), np.zeros(0, np.int64)
     waiting: list[np.ndarray] = []
 
@@ -75,12 +79,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counted(np.concatenate([keys[:0], *waiting]))
         return summed(np.concatenate((keys, own[0])), np.concatenate((counts, own[1])))
 
-    def flush() -> pa.RecordBatch:
-        place = (keys >> _U(56)).astype(np.int64)  # keys are in order, and so are buckets
-        cut = np.searchsorted(place, np.arange(_BUCKETS + 1))
-        used = [b for b in range(_BUCKETS) if cut[b] < cut[b + 1]]
-        parts = [[x[cut[b] : cut[b + 1]].tobytes() for b in used] for x in (keys, counts)]
-        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(p, pa.binary()) for p in parts)], names=["bucket", "words", "counts"])
+    def flush() -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(keys), 1 << 16):
+            own = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[own].view(np.int64)), pa.array(counts[own])], names=["word", "n"])
 
     for batch in batches:
         for block in blocks(batch.column(0), fold=True, apart=PLAIN):
@@ -89,16 +91,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys, counts = merged()
                 waiting.clear()
         if len(keys) > _MERGE:
-            yield flush()
+            yield from flush()
             keys, counts = keys[:0], counts[:0]
     keys, counts = merged()
-    yield flush()
-
-
-def _add_counts(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("words", _U), ("counts", np.int64))]
-    words, counts = summed(*parts)
-    return pa.table({"word": words.view(np.int64), "n": counts})
+    yield from flush()
 
 
 @dataclass
@@ -125,11 +121,11 @@ def vocabulary_of(texts: DataFrame, floor: int | None = None) -> Vocabulary:
     The counts of all words are a stored table; only the vocabulary comes to
     the driver, of which there can't be more than 8 times that root.
     """
-    counts = texts.mapInArrow(_count, "bucket int, words binary, counts binary").groupBy("bucket").applyInArrow(_add_counts, "word long, n long")
-    counts = stored(counts, "words")
+    counts = stored(texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     if floor is None:
         floor = max(4, int((counts.agg(F.sum("n")).first()[0] or 0) ** 0.5 / 8))
     found = counts.where(F.col("n") >= floor).toArrow()
+    discard(counts)
     words, n = found.column("word").to_numpy().view(_U), found.column("n").to_numpy()
     order = np.lexsort((words, -n))
     ids = np.empty(len(words), np.int32)
@@ -159,15 +155,27 @@ class Network:
     def parts(self) -> list[np.ndarray]:
         return [self.rows, self.bias, self.nodes]
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts()])
+    def copy(self) -> Network:
+        return Network(*(p.copy() for p in self.parts()))
 
-    def load(self, flat: np.ndarray) -> Network:
-        at = 0
-        for p in self.parts():
-            p[...] = flat[at : at + p.size].reshape(p.shape)
-            at += p.size
-        return self
+    def tables(self) -> list[np.ndarray]:
+        """The parameters as tables of rows; a row is what one word, edge or node asks."""
+        return [self.rows.reshape(-1, HIDDEN), self.bias.reshape(1, HIDDEN), self.nodes]
+
+    def moves(self, start: Network) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(chunk, rows of it, how far they moved) of every row that isn't where start has it."""
+        limit = (1 << 15) - 1
+        for number, (own, old) in enumerate(zip(self.tables(), start.tables(), strict=True)):
+            for at in range(0, len(own), _CHUNK):
+                moved = np.clip(np.round((own[at : at + _CHUNK] - old[at : at + _CHUNK]) * _FIXED), -limit, limit).astype("<i2")
+                who = np.flatnonzero(moved.any(axis=1))
+                if len(who):
+                    yield number << 40 | at, who.astype("<u2"), moved[who]
+
+    def move(self, chunk: int, who: np.ndarray, total: np.ndarray, weight: np.ndarray) -> None:
+        """Move rows of a chunk by the average of moves whose weighted sum is total."""
+        table = self.tables()[chunk >> 40]
+        table[(chunk & (1 << 40) - 1) + who] += (total / (weight[:, None] * float(_FIXED))).astype(np.float32)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         total = self.bias + self.rows[0].take(context[:, 0], axis=0)
@@ -293,14 +301,12 @@ class Model:
 
 
 def _trained(held, later: bool):
-    """A copy's parameters (chunk, value, weight) after all positions of a task, and the
-    counts of its rare words' bytes (chunk below 0)."""
+    """What a copy has moved after all positions of a task, each row with the number of
+    those positions as its weight, and the counts of its rare words' bytes (chunk below 0)."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, flat = held.value
-        network, seen = Network.start(len(vocabulary)), Network.start(len(vocabulary))
-        if later:
-            network.load(flat)
+        vocabulary, start = held.value
+        network, seen = start.copy(), start.copy()
         for p in seen.parts():
             p[...] = 1e-8
         trained, waiting = 0, 0
@@ -339,26 +345,40 @@ def _trained(held, later: bool):
             trained += learn()
         if not trained:
             return
-        limit = (1 << 15) - 1
-        values = np.clip(np.round(network.flat() * _FIXED), -limit, limit).astype("<i2")
-        rows = [(i // _CHUNK, values[i : i + _CHUNK].tobytes(), trained) for i in range(0, len(values), _CHUNK)]
+        rows = [(chunk, who.tobytes(), moved.tobytes(), np.full(len(who), trained, "<i8").tobytes()) for chunk, who, moved in network.moves(start)]
         for part in np.unique(keys >> 20).tolist():
             own = keys >> 20 == part
-            rows.append((-1 - part, np.concatenate((keys[own], counts[own])).astype("<i8").tobytes(), 0))
-        chunk, value, weight = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(value, pa.binary()), pa.array(weight, pa.int64())], names=["chunk", "value", "weight"])
+            rows.append((-1 - part, keys[own].astype("<i8").tobytes(), b"", counts[own].astype("<i8").tobytes()))
+        for at in range(0, len(rows), 64):
+            columns = zip(*rows[at : at + 64], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["chunk", "who", "value", "weight"])
 
     return train
 
 
-def _averaged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    chunk, values, weights = key[0].as_py(), table.column("value").to_pylist(), table.column("weight").to_pylist()
-    if chunk < 0:
-        both = [np.frombuffer(v, "<i8").reshape(2, -1) for v in values]
-        total = np.concatenate(summed(np.concatenate([b[0] for b in both]), np.concatenate([b[1] for b in both])))
-    else:
-        total = sum(np.frombuffer(v, "<i2").astype(np.int64) * w for v, w in zip(values, weights, strict=True)) / (sum(weights) * _FIXED)
-    return pa.table({"chunk": pa.array([chunk], pa.int64()), "value": pa.array([total.tobytes()], pa.binary()), "weight": pa.array([sum(weights)], pa.int64())})
+def _added(first: bool):
+    """Add up the moves of a chunk, which at first are unweighted, or the counts of bytes."""
+
+    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        chunk, part = (k.as_py() for k in key)
+        parts = [table.column(c).to_pylist() for c in ("who", "value", "weight")]
+        if chunk < 0:
+            who, weight = summed(*(np.frombuffer(b"".join(x), "<i8") for x in (parts[0], parts[2])))
+            value = b""
+        else:
+            width = HIDDEN + 1 if chunk >> 40 == 2 else HIDDEN
+            total, weights = np.zeros((_CHUNK, width), np.int64), np.zeros(_CHUNK, np.int64)
+            for own, moved, n in zip(*parts, strict=True):
+                own, n = np.frombuffer(own, "<u2"), np.frombuffer(n, "<i8")
+                moved = np.frombuffer(moved, "<i2" if first else "<i8").astype(np.int64).reshape(-1, width)
+                total[own] += moved * n[:, None] if first else moved
+                weights[own] += n
+            who = np.flatnonzero(weights).astype("<u2")
+            value, weight = total[who].tobytes(), weights[who]
+        binary = [pa.array([x], pa.binary()) for x in (who.tobytes(), value, weight.astype("<i8").tobytes())]
+        return pa.Table.from_arrays([pa.array([chunk], pa.int64()), pa.array([part // _FAN], pa.int64()), *binary], names=["chunk", "part", "who", "value", "weight"])
+
+    return add
 
 
 def fit(docs: DataFrame, text_col: str = "text", floor: int | None = None, rounds: int = ROUNDS) -> Model:
@@ -366,30 +386,31 @@ def fit(docs: DataFrame, text_col: str = "text", floor: int | None = None, round
 
     Each round has its share of the documents, by a hash of the text, and
     starts from the average of the round before; so every position is trained
-    on once.  A copy weighs as many positions as it trained on.  Without words
-    the network is the untrained one.
+    on once.  A copy weighs as many positions as it trained on, for the rows
+    that it moved.  Without words the network is the untrained one.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"))
     vocabulary = vocabulary_of(texts, floor)
-    flat = Network.start(len(vocabulary)).flat()
+    network = Network.start(len(vocabulary))
     keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     done = False
     for turn in range(rounds):
-        held = spark.sparkContext.broadcast((vocabulary, flat))  # grows with the root of the corpus
+        held = spark.sparkContext.broadcast((vocabulary, network))  # grows with the root of the corpus
         share = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn)
-        copies = share.mapInArrow(_trained(held, done), "chunk long, value binary, weight long")
-        found = copies.groupBy("chunk").applyInArrow(_averaged, "chunk long, value binary, weight long").toArrow().sort_by("chunk")
-        values: list[np.ndarray] = []
-        for chunk, value in zip(found.column("chunk").to_pylist(), found.column("value").to_pylist(), strict=True):
+        moves = share.mapInArrow(_trained(held, done), "chunk long, who binary, value binary, weight binary")
+        moves = moves.withColumn("part", F.floor(F.spark_partition_id() / _FAN))
+        for level in range(_LEVELS):
+            moves = moves.groupBy("chunk", "part").applyInArrow(_added(level == 0), _MOVES)
+        found = moves.toArrow()
+        for chunk, who, value, weight in zip(*(found.column(c).to_pylist() for c in ("chunk", "who", "value", "weight")), strict=True):
+            weight = np.frombuffer(weight, np.int64)
             if chunk < 0:
-                own = np.frombuffer(value, np.int64).reshape(2, -1)
-                keys, counts = summed(np.concatenate((keys, own[0])), np.concatenate((counts, own[1])))
+                keys, counts = summed(np.concatenate((keys, np.frombuffer(who, np.int64))), np.concatenate((counts, weight)))
             else:
-                values.append(np.frombuffer(value, np.float64))
-        if values:
-            flat, done = np.concatenate(values).astype(np.float32), True
-    return Model(vocabulary, Network.start(len(vocabulary)).load(flat), Speller(keys, counts))
+                network.move(chunk, np.frombuffer(who, "<u2").astype(np.int64), np.frombuffer(value, np.int64).reshape(len(weight), -1), weight)
+                done = True
+    return Model(vocabulary, network, Speller(keys, counts))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **fitting) -> DataFrame:

@@ -99,6 +99,18 @@ def test_top_k(spark):
     assert topk_search.exact_top_k(df, df.limit(0)).isEmpty()
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(20, [3e9, 2.0**40]), (1, [2.0**40, -3e9]), (2, [2.0**40, -3e9 + 1]), (3, [-1.0, 2.0]), (4, [5.0, 0.0])]  # sums that pass 64 bits on the way
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_search.exact_top_k(df.where("vec_id <> 20"), df.where("vec_id = 20"))
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    want = sorted((-sum(a * b for a, b in zip(whole[20], whole[i])), i) for i in (1, 2, 3, 4))
+    assert [(r["vec_id"], r["score"]) for r in got.orderBy("rank").collect()] == [(i, -s) for s, i in want]
+    for v in ([1e30, 1.0], [2.0**40, 2.0**40]):  # a component, then a score, without a place in 64 bits
+        with pytest.raises(Exception, match="64 bits|2\\^62"):
+            topk_search.exact_top_k(df, spark.createDataFrame([(40, v)], df.schema)).collect()
+
+
 # 2
 
 
@@ -168,6 +180,87 @@ def test_lm_beats_unigram_and_bigram_and_ranks_bad_documents_low(spark):
     assert (good[:, None] > bad[None, :]).mean() > 0.6  # bad documents of repeated lines are easy to predict, so not near 1
 
 
+def test_lm_step_is_the_gradient():
+    """One step on a few positions moves each row against the numeric gradient of their mean -log P, by Adagrad's rule."""
+    draw = np.random.default_rng(3)
+    net = lm_scoring.Network.start(6)
+    net.nodes[...] = draw.normal(0, 0.5, net.nodes.shape)
+    token = np.sort(draw.integers(0, 7, 12)).astype(np.int32)
+    context = draw.integers(-1, 7, (12, len(lm_scoring.OFFSETS))).astype(np.int32)
+    wide = lm_scoring.Network(*(p.astype(np.float64) for p in net.parts()))
+
+    def loss():
+        h = np.tanh(wide.bias + sum(wide.rows[j][context[:, j]] for j in range(context.shape[1])))
+        h, total = np.column_stack([h, np.ones(len(h))]), 0.0
+        for one, t in zip(h, token.tolist(), strict=True):
+            node = 1
+            for bit in f"{t:0{net.depth}b}":
+                z = wide.nodes[node] @ one
+                total += np.log1p(np.exp(-z if bit == "1" else z))
+                node = 2 * node + int(bit)
+        return total / len(token)
+
+    after, seen = net.copy(), net.copy()
+    for p in seen.parts():
+        p[...] = 1e-8
+    after.step(context, token, seen)
+    for before, now, free in zip(net.parts(), after.parts(), wide.parts(), strict=True):
+        for at in draw.permutation(before.size)[:200].tolist():
+            at = np.unravel_index(at, before.shape)
+            old = free[at]
+            free[at] = old + 1e-5
+            up = loss()
+            free[at] = old - 1e-5
+            slope = (up - loss()) / 2e-5
+            free[at] = old
+            assert now[at] - before[at] == pytest.approx(-lm_scoring.RATE * slope / (np.sqrt(slope * slope + 1e-8) + 1e-6), abs=2e-3)
+
+
+def test_lm_averages_only_what_copies_moved():
+    """Sums over three levels are those of a plain loop, and rows that no copy moved stay."""
+    draw = np.random.default_rng(4)
+    start = lm_scoring.Network.start(3000)
+    copies, rows = [], []
+    for n in range(7):
+        own = start.copy()
+        for p, size in zip(own.tables(), (400, 1, 300), strict=True):
+            p[draw.choice(len(p), size, replace=False)] += draw.normal(0, 0.2, (size, p.shape[1]))
+        copies.append((own, 10 + n))
+        rows += [(chunk, n // 3, who.tobytes(), moved.tobytes(), np.full(len(who), 10 + n, "<i8").tobytes()) for chunk, who, moved in own.moves(start)]
+    assert sum(len(r[2]) // 2 for r in rows) == 7 * 701
+    for first in (True, False):
+        groups = {}
+        for r in rows:
+            groups.setdefault((r[0], r[1] if first else 0), []).append(r)
+        rows = []
+        for key, own in groups.items():
+            made = lm_scoring._added(first)(tuple(map(pa.scalar, key)), pa.table({n: [r[i] for r in own] for i, n in enumerate(("chunk", "part", "who", "value", "weight"))}))
+            rows += [tuple(r.values()) for r in made.to_pylist()]
+    got = start.copy()
+    for chunk, _, who, value, weight in rows:
+        weight = np.frombuffer(weight, np.int64)
+        got.move(chunk, np.frombuffer(who, "<u2").astype(np.int64), np.frombuffer(value, np.int64).reshape(len(weight), -1), weight)
+    for i, (table, old) in enumerate(zip(got.tables(), start.tables(), strict=True)):
+        moved = np.stack([(c.tables()[i] != old).any(axis=1) * n for c, n in copies])
+        far = sum((c.tables()[i] - old) * n for c, n in copies)
+        want = old + far / np.maximum(moved.sum(axis=0), 1)[:, None]
+        assert np.abs(table - want).max() < 1e-3
+        still = moved.sum(axis=0) == 0
+        assert (table[still] == old[still]).all() and (i == 1 or still.any())
+
+
+def test_lm_awkward(spark):
+    docs = awkward()
+    long = " ".join(f"v{i % 977} common" for i in range(300_000))
+    df = table(spark, docs + [(50, long), (None, "a b"), (10, docs[0][1])])
+    by = {}
+    for r in lm_scoring.score(df).collect():
+        by.setdefault(r["doc_id"], []).append(r)
+    assert sum(map(len, by.values())) == len(docs) + 3 and by[10][0] == by[10][1]
+    assert by[50][0]["n_tokens"] == 600_000 and all(np.isfinite(r["log_prob"]) and r["log_prob"] <= 0 for x in by.values() for r in x)
+    assert all(by[i][0]["mean_log_prob"] is None for i in (20, 21, 22))
+
+
 def test_lm_vocabulary_grows_and_rare_words_differ(spark):
     docs = [(i, f"{'a b c d ' * 40}w{i % 20}") for i in range(400)] + [(1000, "zqxing"), (1001, "abcing"), (1002, "\ud55c\uae00 zqxing")]
     df = table(spark, docs)
