@@ -481,40 +481,45 @@ def test_url_models(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string"), Q.URL_RULES).isEmpty()
 
 
-def plain_scores(decided, asked, kept, weight=4.0):
+def plain_scores(decided, asked, weight=4.0):
     """Scores of asked texts by models of decided ones: (text, accepted)."""
     fold = lambda text: re.sub(rb"[0-9]", b"0", text.encode())
-    n, total, both = Counter(), Counter(), Counter()
+    n, total = Counter(), Counter()
     for text, accepted in decided:
         raw = fold(text)
         for i, order in ((i, o) for i in range(len(raw)) for o in range(5)):
             context = (order, b"\0" * (order - i) + raw[max(0, i - order) : i])
             n[accepted, context, raw[i]] += 1
             total[accepted, context] += 1
-            both[context] += 1
     for text in asked:
         raw, score = fold(text), 0.0
         for i in range(len(raw)):
             p = [1 / 256, 1 / 256]
             for order in range(5):
                 context = (order, b"\0" * (order - i) + raw[max(0, i - order) : i])
-                if both[context] >= kept:
-                    p = [(n[c, context, raw[i]] + weight * p[c]) / (total[c, context] + weight) for c in (0, 1)]
+                p = [(n[c, context, raw[i]] + weight * p[c]) / (total[c, context] + weight) for c in (0, 1)]
             score += math.log(p[1]) - math.log(p[0])
         yield score / max(len(raw), 1)
 
 
-@pytest.mark.parametrize("root_over", [256, 8])
-def test_url_scores(spark, monkeypatch, root_over):
-    monkeypatch.setattr(url_filter, "KEPT", root_over)
+@pytest.mark.parametrize("spread", [4, 4096])
+def test_url_scores(spark, monkeypatch, spread):
+    """Scores by a plain loop; broadcast and joined counts give the same rows, also where one URL is a third of all."""
+    monkeypatch.setattr(url_filter, "SPREAD", spread)
     pages = [(r["page_id"], r["url"]) for r in spark.read.parquet(f"{DATA}/pages.parquet").orderBy("page_id").limit(300).collect()]
-    pages += [(9001, "http://new.org/ünï/42"), (9002, None), (9003, "x://"), (9004, "http://new.org/" + "ab" * 4000)]
-    rows = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), Q.URL_RULES).collect()
+    pages += [(9001, "http://new.org/ünï/42"), (9002, None), (9003, "x://"), (9004, "http://new.org/" + "ab" * 4000), (None, "http://r.com/x")]
+    pages += [(10_000 + i, "http://hot.com/en/1") for i in range(150)]
+    df = spark.createDataFrame([(i, u, "", "", 0.0, 0, 0) for i, u in pages], "page_id long, url string, rule string, verdict string, score double, a int, gram int")
+    key = lambda r: (r["page_id"] is None, r["page_id"], r["score"])
+    rows = sorted(url_filter.filter_urls(df, Q.URL_RULES).collect(), key=key)
     decided = [(r["host"] + r["path"], int(r["verdict"] == "allow")) for r in rows if r["rule"]]
-    kept = math.isqrt(sum(len(t.encode()) for t, _ in decided)) // root_over
-    assert (root_over == 8) == (kept > 1)
-    want = plain_scores(decided, [r["host"] + r["path"] for r in rows], kept)
+    want = plain_scores(decided, [r["host"] + r["path"] for r in rows])
     assert [r["score"] for r in rows] == pytest.approx(list(want), abs=1e-9)
+    monkeypatch.setattr(url_filter, "GRAM_BYTES", 0)
+    joined = sorted(url_filter.filter_urls(df, Q.URL_RULES).collect(), key=key)
+    assert [tuple(r)[:5] for r in joined] == [tuple(r)[:5] for r in rows]
+    assert [r["score"] for r in joined] == pytest.approx([r["score"] for r in rows], abs=1e-12)
+    assert url_filter.filter_urls(df.limit(0), Q.URL_RULES).isEmpty()
 
 
 def test_url_chances_add_up():
