@@ -10,31 +10,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
+from tessera.operators.spread import meet
 
 
-def touched(boxes: DataFrame, layouts: DataFrame, gop_len: int, keys: tuple[str, ...] = ()) -> DataFrame:
+def touched(boxes: DataFrame, layouts: DataFrame, gop_len: int, keys: tuple[str, ...] = (), split: bool | None = None) -> DataFrame:
     """(video, gop, keys..., tile_no, width, height, last) of tiles that boxes touch.
 
     layouts has (video, gop, layout, keys...); boxes may have further columns
     named in by_gop's keys, and wanted, an array of the layout_ids to look at.
+    split deals crowded groups over several tasks (spread.meet).
     """
     own = [c for c in (*keys, "wanted") if c in boxes.columns]
     at = boxes.select("video", F.expr(f"frame div {gop_len}").cast("int").alias("gop"), "frame", "box", *own)
     grids = layouts.withColumn("layout", G.with_edges(F.col("layout")))
-    met = at.join(grids, ["video", "gop"])
+    met = meet(at, grids, ["video", "gop"], split)
     met = met.where(F.array_contains("wanted", F.col("layout_id"))) if "wanted" in own else met
     hits = met.select("video", "gop", *keys, "frame", F.explode(G.tiles_hit(F.col("box"), F.col("layout"))).alias("t"))
     return hits.groupBy("video", "gop", *keys, F.col("t.tile_no").alias("tile_no")).agg(F.max("frame").alias("last"), F.first("t.width").alias("width"), F.first("t.height").alias("height"))
 
 
-def by_gop(boxes: DataFrame, layouts: DataFrame, gop_len: int, keys: tuple[str, ...] = ()) -> DataFrame:
+def by_gop(boxes: DataFrame, layouts: DataFrame, gop_len: int, keys: tuple[str, ...] = (), split: bool | None = None) -> DataFrame:
     """(video, gop, keys..., pixels, tiles) of the groups that boxes touch."""
     n = F.col("last") - F.col("gop") * gop_len + 1
-    tiles = touched(boxes, layouts, gop_len, keys)
+    tiles = touched(boxes, layouts, gop_len, keys, split)
     return tiles.groupBy("video", "gop", *keys).agg(F.sum(F.col("width").cast("bigint") * F.col("height") * n).alias("pixels"), F.sum(n.cast("bigint")).alias("tiles"))
 
 
-def of_queries(detections: DataFrame, queries: DataFrame, layouts: DataFrame, gop_len: int, keys: tuple[str, ...] = ()) -> DataFrame:
+def of_queries(detections: DataFrame, queries: DataFrame, layouts: DataFrame, gop_len: int, keys: tuple[str, ...] = (), split: bool | None = None) -> DataFrame:
     """by_gop for every row of queries (query_id, video, label, first, last, ...).
 
     A null first asks for every frame; last is exclusive.  One plan serves the
@@ -43,8 +45,8 @@ def of_queries(detections: DataFrame, queries: DataFrame, layouts: DataFrame, go
     """
     asked = queries.select("query_id", "video", "label", "first", "last", *(c for c in queries.columns if c == "wanted"))
     inside = F.col("first").isNull() | ((F.col("frame") >= F.col("first")) & (F.col("frame") < F.col("last")))
-    wanted = detections.join(asked, ["video", "label"]).where(inside).withColumn("box", G.box("x1", "y1", "x2", "y2"))
-    return by_gop(wanted, layouts, gop_len, ("query_id", *keys))
+    wanted = meet(detections, asked, ["video", "label"], split).where(inside).withColumn("box", G.box("x1", "y1", "x2", "y2"))
+    return by_gop(wanted, layouts, gop_len, ("query_id", *keys), split)
 
 
 def of_workload(per_query: DataFrame, queries: DataFrame) -> DataFrame:

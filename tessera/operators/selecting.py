@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
 from tessera.operators import catalog
+from tessera.operators.spread import meet
 
 RANGE = ["video", "first_frame", "version"]
 
 
-def hits(boxes: DataFrame, layouts: DataFrame, gop_len: int) -> DataFrame:
-    """boxes with a row for each tile of their frame's newest layout that they touch."""
+def hits(boxes: DataFrame, layouts: DataFrame, gop_len: int, split: bool | None = None) -> DataFrame:
+    """boxes with a row for each tile of their frame's newest layout that they touch;
+    split deals crowded frames over several tasks (spread.meet)."""
     placed = placed_frames(boxes.select("video", "frame").distinct(), layouts, gop_len)
-    met = boxes.join(placed.withColumn("layout", G.with_edges(F.col("layout"))), ["video", "frame"])
+    met = meet(boxes, placed.withColumn("layout", G.with_edges(F.col("layout"))), ["video", "frame"], split)
     return met.withColumn("t", F.explode(G.tiles_hit(F.col("box"), F.col("layout")))).withColumn("n_tiles", G.n_tiles(F.col("layout"))).drop("layout")
 
 
@@ -30,9 +32,9 @@ def tile_frames(boxes: DataFrame, layouts: DataFrame, gop_len: int) -> DataFrame
     return hits(boxes, layouts, gop_len).select(*RANGE, F.col("t.tile_no").alias("tile_no"), "frame").distinct()
 
 
-def tile_boxes(boxes: DataFrame, layouts: DataFrame, gop_len: int, id_col: str) -> DataFrame:
+def tile_boxes(boxes: DataFrame, layouts: DataFrame, gop_len: int, id_col: str, split: bool | None = None) -> DataFrame:
     """(video, first_frame, version, tile_no, frame, id_col): which boxes each tile holds a part of."""
-    return hits(boxes, layouts, gop_len).select(*RANGE, F.col("t.tile_no").alias("tile_no"), "frame", id_col)
+    return hits(boxes, layouts, gop_len, split).select(*RANGE, F.col("t.tile_no").alias("tile_no"), "frame", id_col)
 
 
 def decoded(boxes: DataFrame, layouts: DataFrame, gop_len: int) -> DataFrame:

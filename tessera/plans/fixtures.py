@@ -199,6 +199,15 @@ def supplier_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SUPPLIER_DETECTIONS_SQL = DETECTIONS_SQL.replace("concat('v', cast(l_suppkey % 4 as varchar))", "concat('s', cast(l_suppkey as varchar))")
+def crowded_detections(spark: SparkSession, sf_dir: str, *extra: Column) -> DataFrame:
+    """supplier_detections() in which a third of all rows is in one frame."""
+    hot = F.col("l_suppkey") % 3 == 0
+    video = F.when(hot, "s1").otherwise(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")))
+    rows = detections(spark, sf_dir, video, hot.alias("hot"), *extra)
+    return rows.withColumn("frame", F.when(F.col("hot"), 7).otherwise(F.col("frame"))).drop("hot")
+
+
+CROWDED_DETECTIONS_SQL = DETECTIONS_SQL.replace("concat('v', cast(l_suppkey % 4 as varchar))", "if(l_suppkey % 3 = 0, 's1', concat('s', cast(l_suppkey as varchar)))").replace("l_orderkey % 300 as integer", "if(l_suppkey % 3 = 0, 7, l_orderkey % 300) as integer")
 SUPPLIER_LAYOUTS_SQL = LAYOUTS_SQL.replace("'v' || cast(v as varchar)", "'s' || cast(v as varchar)").replace("range(4) as vs(v)", "(select s_suppkey from supplier) as vs(v)")
 
 

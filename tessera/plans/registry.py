@@ -570,6 +570,31 @@ def tile_box_ids_by_supplier(spark, sf_dir):
     return selecting.tile_boxes(D.boxes(rows), X.supplier_layouts(spark, sf_dir), X.GOP, "box_id")
 
 
+@query(f"""with {X.CROWDED_DETECTIONS_SQL.replace("select if(", "select l_orderkey * 8 + l_linenumber as box_id, if(", 1).replace("select video, label, frame, x1 - x1", "select box_id, video, label, frame, x1 - x1", 1)}, {X.SUPPLIER_LAYOUTS_SQL}, {X.STAB_SQL}
+    select g.video, g.first_frame, g.version, cast(g.tile_no as integer) as tile_no, b.frame, b.box_id from box b join stab s using (video, frame)
+    join grid g on g.video = s.video and g.first_frame = s.first_frame and g.version = s.version and {X.MEET}""")
+def tile_box_ids_of_a_crowded_frame(spark, sf_dir):
+    rows = X.crowded_detections(spark, sf_dir, (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("box_id"))
+    return selecting.tile_boxes(D.boxes(rows), X.supplier_layouts(spark, sf_dir), X.GOP, "box_id", split=True)
+
+
+@query(f"""with {X.CROWDED_DETECTIONS_SQL}, log as (
+      select row_number() over (order by v, l) as query_id, 's' || cast(v as varchar) as video, l as label, null as first, null as last from (select s_suppkey as v from supplier), (values ('A'), ('N'), ('R')) as ls(l)
+    ), grid as (
+      select 's' || cast(s_suppkey as varchar) as video, r * 2 + c as tile_no, c * 960 as tx, r * 544 as ty, 960 as tw, if(r = 0, 544, 536) as th from supplier, range(2) as rs(r), range(2) as cs(c)
+    ), hit as (
+      select b.video, b.frame // 30 as gop, b.label, g.tile_no, tw, th, max(b.frame) as last from box b join log q on b.video = q.video and b.label = q.label join grid g on g.video = b.video and {X.MEET} group by all)
+    select video, label, cast(gop as integer) as gop, cast(sum(cast(tw as bigint) * th * (last - gop * 30 + 1)) as bigint) as pixels, cast(sum(last - gop * 30 + 1) as bigint) as tiles from hit group by video, label, gop""")
+def cost_of_crowded_groups(spark, sf_dir):
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("video"))
+    none = F.lit(None).cast("int")
+    asked = suppliers.withColumn("label", F.explode(F.array(*map(F.lit, "ANR")))).select(F.concat_ws("/", "video", "label").alias("query_id"), "video", "label", none.alias("first"), none.alias("last"))
+    grid = F.struct(F.array(*map(F.lit, _UNI[0])).alias("widths"), F.array(*map(F.lit, _UNI[1])).alias("heights"))
+    grids = suppliers.select("video", F.explode(F.sequence(F.lit(0), F.lit(X.FRAMES // X.GOP - 1))).alias("gop"), grid.alias("layout"))
+    found = cost.of_queries(X.crowded_detections(spark, sf_dir), asked, grids, X.GOP, split=True)
+    return found.select("video", F.split_part("query_id", F.lit("/"), F.lit(2)).alias("label"), "gop", "pixels", "tiles")
+
+
 # Two planes of 12 x 12 for each supplier, of sums over its lines
 @query(
     """with c as (
