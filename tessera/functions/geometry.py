@@ -81,6 +81,11 @@ def edges(sizes: Column) -> Column:
     return F.aggregate(sizes, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
 
 
+def before(sizes: Column, i: Column) -> Column:
+    """Where tile i begins along an axis."""
+    return total(F.slice(sizes, F.lit(1), i))
+
+
 def coded(size: Column) -> Column:
     return (F.ceil(size / ALIGN) * ALIGN).cast("int")
 

@@ -151,9 +151,18 @@ def by_gop(frames: DataFrame, layouts: DataFrame, gop_len: int) -> DataFrame:
 
 
 def exploded(layouts: DataFrame) -> DataFrame:
-    """A row for each tile: the other columns and tile_no, row, col, x, y, width, height."""
+    """A row for each tile: the other columns and tile_no, row, col, x, y, width, height.
+
+    Rows and columns are exploded one after the other, so that no tile is made
+    before it is a row; edges are worked out only where x or y is asked for.
+    """
     others = [c for c in layouts.columns if c != "layout"]
-    return layouts.select(*others, F.explode(G.tiles(F.col("layout"))).alias("t")).select(*others, "t.*")
+    known = layouts.select(*others, F.col("layout.widths").alias("widths"), F.col("layout.heights").alias("heights"))
+    rows = known.select(*others, "widths", "heights", F.posexplode("heights").alias("row", "height"))
+    tiles = rows.select(*others, "widths", "heights", "row", "height", F.posexplode("widths").alias("col", "width"))
+    number = F.col("row") * F.size("widths") + F.col("col")
+    x, y = G.before(F.col("widths"), F.col("col")), G.before(F.col("heights"), F.col("row"))
+    return tiles.select(*others, number.alias("tile_no"), "row", "col", x.alias("x"), y.alias("y"), "width", "height")
 
 
 def totals(layouts: DataFrame) -> DataFrame:
