@@ -469,9 +469,9 @@ def next_tile_version_all(spark, sf_dir):
     select video, frame, first_frame, version from s where n = 1"""
 )
 def layout_stab_latest_version_all(spark, sf_dir):
-    known = X.all_layouts(spark, sf_dir)
-    frames = known.select("video", (F.col("first_frame") + F.col("version")).alias("frame")).distinct()
-    return catalog.newest(frames, known, X.GOP).drop("layout")
+    known = X.all_layouts(spark, sf_dir).drop("layout").repartition("video")  # frames come from ranges: both are dealt at once
+    frames = known.select("video", (F.col("first_frame") + F.col("version")).alias("frame"))
+    return catalog.newest(frames, known, X.GOP, ("first_frame", "version"))
 
 
 @query(
@@ -483,12 +483,10 @@ def layout_stab_latest_version_all(spark, sf_dir):
     select video, frame, first_frame, last_frame, version from s where n = 1"""
 )
 def layout_stab_long_ranges(spark, sf_dir):
-    known = X.long_ranges(spark, sf_dir)
+    known = X.long_ranges(spark, sf_dir).repartition("video")  # frames come from ranges: both are dealt at once
     steps = F.explode(F.sequence(F.lit(0), F.lit(4)))
-    frames = known.withColumn("k", steps).select("video", F.expr("cast(first_frame + (last_frame - first_frame) div 4 * k as int)").alias("frame")).distinct()
-    met = catalog.stabbed(frames, known, ["video"], "frame", "first_frame", "last_frame", X.GOP)
-    best = F.max(F.struct("version", "first_frame", "last_frame")).alias("b")
-    return met.groupBy("video", "frame").agg(best).select("video", "frame", "b.first_frame", "b.last_frame", "b.version")
+    frames = known.withColumn("k", steps).select("video", F.expr("cast(first_frame + (last_frame - first_frame) div 4 * k as int)").alias("frame"))
+    return catalog.newest(frames, known, X.GOP, ("first_frame", "last_frame", "version"))
 
 
 @query(
