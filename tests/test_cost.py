@@ -50,3 +50,11 @@ def test_a_box_meets_layouts_once_for_all_queries(spark):
     joins = [line for line in plans[0]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
     assert len(joins) >= 2 and "query_id" not in "".join(joins[1:])  # queries meet tiles, in the topmost join
     assert plans[0].count() == 500 * 2 * 2
+
+
+def test_only_wanted_layouts_are_scored(spark):
+    boxes, queries, grids = tables(spark)
+    asked = queries.withColumn("wanted", F.when(F.col("query_id") == "q2", F.array(F.lit("one"))).otherwise(F.array(F.lit("one"), F.lit("four"))))
+    every = cost.of_queries(boxes, queries, grids, 10, ("layout_id",)).where("query_id <> 'q2' or layout_id = 'one'")
+    got = cost.of_queries(boxes, asked, grids, 10, ("layout_id",))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, every.collect()))
