@@ -4,7 +4,9 @@ A document's set is its distinct shingles.  In one total order, rare shingles
 first, two sets of Jaccard similarity t or more share a shingle of their
 prefixes.  Documents of the same prefix and size form one group; prefixes
 index groups, so that group pairs are found and filtered by size before their
-members are expanded and verified exactly.  Equal sets are one member.
+members are expanded and verified exactly.  Equal sets are one member.  Only
+pairs whose sketches leave similarity possible have their sets shuffled; a
+sketch tells whether the members in each of its cells are odd in number.
 
 Long postings, which near copies of one text make, are not paired: members are
 verified against a few pivots, and only what is still in different components
@@ -35,7 +37,8 @@ PAIRED = 4  # pairs a row of long postings may make on average before pivots thi
 SALTS = 16  # parts of one token's rows
 PIVOT_BYTES = 16 << 20  # of pivots' sets that may be broadcast; beyond, both sides of a pair are shuffled
 BITS = 1 << 26
-BINS = 128
+CELLS_EACH = 2  # cells of a sketch for each member of its set, at least
+MOST_CELLS = 1 << 18
 MOST_SENT = 1 << 20  # endpoints of pairs that may be broadcast (24 bytes each); beyond, both sides are shuffled
 _FLUSH = 1 << 20
 _NONE = -(1 << 63)
@@ -99,9 +102,37 @@ def _weights(texts: DataFrame, k: int) -> np.ndarray:
     return weight.ravel()
 
 
-def histogram(own: np.ndarray) -> bytes:
-    """Counts of a set's members by BINS cells, up to 255 each."""
-    return np.minimum(np.bincount((own >> _U(56) & _U(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+def sketch_bytes(n: int) -> int:
+    """Length of the sketch of n members: a power of two, 8 at least."""
+    return min(max(64, 1 << (CELLS_EACH * n - 1).bit_length() if n else 0), MOST_CELLS) // 8
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """A bit for each cell of hashes: whether an odd number of members is in it."""
+    cells = 8 * sketch_bytes(len(own))
+    odd = np.bincount((own & _U(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Rows of sketches as those of fewer cells."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Of each pair of sketches the cells that differ: at least so many members have only one of both sets."""
+    wide = np.array([(len(a), len(b)) for a, b in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(x), np.int64)
+    for p, q in np.unique(wide, axis=0).tolist():
+        at = np.flatnonzero((wide[:, 0] == p) & (wide[:, 1] == q))
+        step = max(1, _FLUSH // max(p, q))
+        for part in (at[i : i + step] for i in range(0, len(at), step)):
+            a, b = (_folded(np.frombuffer(b"".join([s[i] for i in part]), _U).reshape(len(part), -1), min(p, q) // 8) for s in (x, y))
+            out[part] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _entries(k: int, percent: int, order, buckets: int):
@@ -134,7 +165,7 @@ def _entries(k: int, percent: int, order, buckets: int):
                 for row, own in row_sets(block, k):
                     n = len(own)
                     ids[row], sizes[row] = set_id(own), n
-                    bins.append(histogram(own))
+                    bins.append(sketch(own))
                     if not n:
                         continue
                     prefix = own[np.argsort(weight[(own % _U(CELLS)).astype(np.int64)], kind="stable")[: n - (n * percent + 99) // 100 + 1]]
@@ -177,8 +208,11 @@ def _postings(percent: int):
 
     def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         profile = table.filter(pc.equal(table.column("kind"), 0))
-        bins = [x[i : i + BINS] for x in profile.column("bins").to_pylist() for i in range(0, len(x), BINS)]
-        out = [_rows(0, *(_joined(profile.column(c), kind) for c, kind in (("b", _U), ("c", _U), ("d", np.int32), ("a", np.int64), ("key", np.int64))), bins)]
+        ids, groups, sizes, docs, keys = (_joined(profile.column(c), kind) for c, kind in (("b", _U), ("c", _U), ("d", np.int32), ("a", np.int64), ("key", np.int64)))
+        ends = np.cumsum([sketch_bytes(n) for n in sizes.tolist()]).tolist()
+        sketches = b"".join(profile.column("bins").to_pylist())
+        bins = [sketches[i:j] for i, j in zip([0, *ends], ends)]
+        out = [_rows(0, ids, groups, sizes, docs, keys, bins)]
         entry = table.filter(pc.equal(table.column("kind"), 1))
         token, group, size = _joined(entry.column("a"), _U), _joined(entry.column("b"), _U), _joined(entry.column("c"), np.int32)
         by = np.lexsort((group, token))
@@ -221,16 +255,14 @@ def _sets(k: int, wanted):
 
 
 def _likely(percent: int):
-    """Pairs whose histograms leave similarity possible: they differ by no more than the sets may."""
+    """Pairs whose sketches leave similarity possible: they differ by no more than the sets may."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             n, x, y = (batch.column(batch.schema.names.index(c)) for c in ("both", "x", "y"))
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in (x, y))
-            apart = np.abs(x - y).sum(axis=1).astype(np.int64)
-            ok = apart * (100 + percent) <= (100 - percent) * n.to_numpy()  # |difference| <= (1 - t) / (1 + t) of both sizes
+            ok = apart(x.to_pylist(), y.to_pylist()) * (100 + percent) <= (100 - percent) * n.to_numpy()  # |difference| <= (1 - t) / (1 + t) of both sizes
             yield batch.filter(pa.array(ok)).select(_PAIR)
 
     return keep
@@ -238,17 +270,17 @@ def _likely(percent: int):
 
 def _crossing(percent: int):
     """Of a long posting, or two of its blocks: likely pairs of different components,
-    each in the least of the long postings that it shares only."""
+    each in the least of the long postings that it shares only (tokens: a member's lesser ones)."""
 
     def cross(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        token, one, two = (k.as_py() for k in key)
+        _, one, two = (k.as_py() for k in key)
         u, n, rep, component, block = (table.column(c).to_numpy() for c in ("u", "n", "r", "component", "block"))
-        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        bins = table.column("bins").to_pylist()
         tokens = table.column("tokens").combine_chunks()
         owner, flat = np.repeat(np.arange(len(u)), np.diff(tokens.offsets.to_numpy())), tokens.flatten().to_numpy()
-        known, place = np.unique(flat[flat < token], return_inverse=True)
+        known, place = np.unique(flat, return_inverse=True)
         lower = np.zeros((len(u), len(known)), np.float32)
-        lower[owner[flat < token], place] = 1
+        lower[owner, place] = 1
         left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
         found = [np.zeros((0, 2), np.int64)]
         for at in range(0, len(left), 64):
@@ -258,8 +290,8 @@ def _crossing(percent: int):
             if one == two:
                 ok &= i[:, None] < right
             x, y = np.nonzero(ok)
-            apart = np.abs(bins[i[x]] - bins[right[y]]).sum(axis=1).astype(np.int64)
-            fits = apart * (100 + percent) <= (100 - percent) * (n[i[x]].astype(np.int64) + n[right[y]])
+            differ = apart([bins[a] for a in i[x]], [bins[b] for b in right[y]])
+            fits = differ * (100 + percent) <= (100 - percent) * (n[i[x]].astype(np.int64) + n[right[y]])
             found.append(np.stack((i[x[fits]], right[y[fits]]), axis=1))
         pair = np.concatenate(found)
         swap = rep[pair[:, 0]] > rep[pair[:, 1]]
@@ -323,8 +355,17 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     found = stored(found, "postings")
     profiles = found.where("kind = 0").select(F.when(F.col("doc") != _NONE, F.col("doc")).alias("doc_id"), F.col("a").alias("u"), F.col("b").alias("g"), "n", "key", "bins")
     units = stored(profiles.where("n > 0 and doc_id is not null").groupBy("u").agg(F.min("g").alias("g"), F.min("n").alias("n"), F.min("doc_id").alias("r"), F.min("bins").alias("bins")), "units")
-    groups = units.groupBy("g").agg(F.count("*").alias("members"))
-    plain, crowded = units.join(groups.where(F.col("members") <= SHORT), "g"), units.join(groups.where(F.col("members") > SHORT), "g", "left_semi")
+
+    def sent(asked: DataFrame) -> DataFrame:
+        return F.broadcast(asked) if asked.count() <= MOST_SENT else asked
+
+    # sketches of only those units that may be in a pair are shuffled
+    pairs = stored(found.where("kind = 1").select(F.col("a").alias("g1"), F.col("b").alias("g2")).distinct(), "groups")
+    groups = stored(units.groupBy("g").agg(F.count("*").alias("members")).where("members > 1"), "groups")
+    met = stored(pairs.select(F.col("g1").alias("g")).union(pairs.select("g2")).union(groups.select("g")).distinct(), "groups")
+    near = units.join(sent(met), "g", "left_semi").join(sent(groups), "g", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    near = stored(near, "units")
+    plain, crowded = near.where(F.col("members") <= SHORT), near.where(F.col("members") > SHORT)
 
     def side(members: DataFrame, i: int) -> DataFrame:
         return members.select(*(F.col(c).alias(f"{c}{i}") for c in ("g", "u", "n", "r", "bins")))
@@ -333,7 +374,6 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
         kept = candidates.where(_sized(percent)).select(*_PAIR, (F.col("n1") + F.col("n2")).cast("long").alias("both"), F.col("bins1").alias("x"), F.col("bins2").alias("y"))
         return kept.mapInArrow(_likely(percent), _PAIRS)
 
-    pairs = stored(found.where("kind = 1").select(F.col("a").alias("g1"), F.col("b").alias("g2")).distinct(), "groups")
     big = crowded.select("g").distinct()
     across = pairs.join(side(plain, 1), "g1").join(side(plain, 2), "g2")
     several = plain.where("members > 1")
@@ -358,10 +398,9 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
         bitmap[(row["at"] - 1) * 4096 : row["at"] * 4096] = row["bits"]
     marked = spark.sparkContext.broadcast(bytes(bitmap))
     candidates = texts.where("doc_id is not null").select(_bit(F.col("doc_id")).alias("h"), "text")
-    asked = wanted.select("u")
-    if wanted.count() <= MOST_SENT:
-        asked = F.broadcast(asked)
+    asked = sent(wanted.select("u"))
     sets = stored(candidates.mapInArrow(_sets(k, marked), "u long, own binary").join(asked, "u", "left_semi"), "sets")
+    sketches = stored(units.select("u", "bins").join(sent(long.select("u").distinct()), "u", "left_semi"), "sketches")
 
     def verified(candidates: DataFrame) -> DataFrame:
         """Links among pairs: both sets of a pair are shuffled."""
@@ -382,23 +421,28 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
         own = sets.select(F.col("u").alias("u2"), F.col("own").alias("y")).join(F.broadcast(candidates), "u2")
         return linked(own.join(F.broadcast(pivots.select(F.col("u").alias("u1"), F.col("own").alias("x"))), "u1").select(*_PAIR, "x", "y"))
 
-    # each member and its least likely partner first: what these links join needs no other pair
-    ordered = first.select(*(F.when(_node(1) < _node(2), F.col(f"{c}{i}")).otherwise(F.col(f"{c}{3 - i}")).alias(f"{c}{i}") for c in "ur" for i in (1, 2))).distinct()
-    star = ordered.groupBy("u2", "r2").agg(F.min(_node(1)).alias("p")).select("p.u", "u2", "p.r", "r2").toDF(*_PAIR)
-    links = verified(stored(star, "star"))
-    known = components(links)
-
-    def component(i: int | str) -> DataFrame:
+    def component(known: DataFrame, i: int | str) -> DataFrame:
         return known.select("node.*", F.col("component").alias(f"c{i}")).select(F.col("u").alias(f"u{i}"), f"c{i}")
 
-    rest = ordered.join(component(1), "u1", "left").join(component(2), "u2", "left").where(F.coalesce("c1", _node(1)) != F.coalesce("c2", _node(2)))
-    links = links.union(verified(stored(rest.join(star, ["u1", "u2"], "left_anti").select(_PAIR), "pairs")))
-    worth = True  # whether the round before linked a fair part of its pairs
+    def settled(candidates: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """links and those among candidates that join components; components after the first half of these.
+
+        Each member and its least likely partner come first: what these links join needs no other pair.
+        """
+        ordered = candidates.select(*(F.when(_node(1) < _node(2), F.col(f"{c}{i}")).otherwise(F.col(f"{c}{3 - i}")).alias(f"{c}{i}") for c in "ur" for i in (1, 2))).distinct()
+        star = stored(ordered.groupBy("u2", "r2").agg(F.min(_node(1)).alias("p")).select("p.u", "u2", "p.r", "r2").toDF(*_PAIR), "star")
+        links = verified(star) if links is None else links.union(verified(star))
+        known = components(links)
+        rest = ordered.join(component(known, 1), "u1", "left").join(component(known, 2), "u2", "left").where(F.coalesce("c1", _node(1)) != F.coalesce("c2", _node(2)))
+        return links.union(verified(stored(rest.join(star, ["u1", "u2"], "left_anti").select(_PAIR), "pairs"))), known
+
+    links, known = settled(first)
+    members, worth = sketches.count(), True  # whether the round before linked a fair part of the members
     for turn in range(ROUNDS + 1):
         if long.isEmpty():
             break
         known = components(links) if turn else known
-        long = long.select("token", "u", "n", "r").join(component(""), "u", "left").withColumn("c", F.coalesce("c", _node()))
+        long = long.select("token", "u", "n", "r").join(component(known, ""), "u", "left").withColumn("c", F.coalesce("c", _node()))
         split = long.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
         long = stored(_of_token(long, split), "long")
         runs = long.groupBy("token", "c").count().groupBy("token").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own"))
@@ -406,12 +450,12 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
         last = turn == ROUNDS or not worth or crossings <= 2 * PAIRED * rows
         if last:
             blocks_of = long.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-            dealt = _of_token(long, blocks_of).join(units.select("u", "bins"), "u").withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
-            dealt = dealt.join(long.groupBy("u").agg(F.collect_set("token").alias("tokens")), "u")
-            dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+            dealt = _of_token(long, blocks_of).withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
+            dealt = dealt.join(sketches.join(long.groupBy("u").agg(F.collect_set("token").alias("tokens")), "u"), "u")
+            dealt = dealt.withColumn("tokens", F.expr("filter(tokens, t -> t < token)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
             dealt = dealt.select("token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "u", "n", "r", F.col("c.u").alias("component"), "bins", "tokens")
             fresh = dealt.groupBy("token", "one", "two").applyInArrow(_crossing(percent), _PAIRS).distinct()
-            links = links.union(verified(stored(fresh, "pairs")))
+            links, _ = settled(stored(fresh, "pairs"), links)
             break
         # pivots are picked by a hash of the unit, so that tokens of the same members pick the same
         member = F.struct("u", "n", "r", "c")
@@ -421,10 +465,10 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
         crossing = _of_token(long, pivots).withColumnsRenamed({c: f"{c}2" for c in ("u", "n", "r", "c")}).where((F.col("c1") != F.col("c2")) & _sized(percent))
         fresh = crossing.select("u1", "u2", "r1", "r2", "n1", "n2").distinct()
         for i in (1, 2):
-            fresh = fresh.join(units.select(F.col("u").alias(f"u{i}"), F.col("bins").alias(f"bins{i}")), f"u{i}")
+            fresh = fresh.join(sketches.select(F.col("u").alias(f"u{i}"), F.col("bins").alias(f"bins{i}")), f"u{i}")
         fresh = stored(likely(fresh), "pairs")
         new = verified_with(fresh)
-        worth = new.count() * 5 >= fresh.count()
+        worth = new.count() * 20 >= members
         links = links.union(new)
 
     label = components(links).select("node.*", F.col("component.r").alias("least"), (F.col("node") == F.col("component")).alias("first"))

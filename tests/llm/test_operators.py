@@ -601,6 +601,48 @@ def test_jaccard_join(spark, short, paired, sent, monkeypatch):
     assert got == brute.jaccard_join(dict(docs))
 
 
+@pytest.mark.parametrize("changes", [3, 5])  # any two copies link, or hardly any (a Jaccard similarity of some 0.82 or 0.71)
+def test_jaccard_pairs_of_near_copies(spark, changes, monkeypatch):
+    """Sets are shuffled for about as many pairs as there are documents, not for all pairs of a long posting."""
+    draw, base = random.Random(21), [f"w{i}" for i in range(300)]
+    docs = []
+    for i in range(120):
+        own = list(base)
+        for at in range(changes):
+            own[draw.randrange(280 * at // changes + 5, 280 * (at + 1) // changes - 5)] = f"own{i}x{at}"
+        docs.append((i, " ".join(own)))
+    pairs, real = spark.sparkContext.accumulator(0), jaccard_join._similar
+
+    def counting(percent):
+        verify = real(percent)
+
+        def count(batches):
+            for batch in batches:
+                pairs.add(len(batch))
+                yield from verify(iter([batch]))
+
+        return count
+
+    monkeypatch.setattr(jaccard_join, "_similar", counting)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link(table(spark, docs)).collect()}
+    assert got == brute.jaccard_join(dict(docs))
+    assert len({c for _, c in got.values()}) == 1 if changes == 3 else len({c for _, c in got.values()}) > 110
+    assert (119 if changes == 3 else 0) <= pairs.value <= 240
+
+
+def test_jaccard_sketches():
+    draw = np.random.default_rng(5)
+    for n in (0, 1, 40, 700, 5000):
+        own = np.unique(draw.integers(0, 1 << 63, n, np.uint64))
+        for m in (0, n // 10, n // 4):
+            other = np.unique(np.concatenate((own[m:], draw.integers(0, 1 << 63, 2 * m, np.uint64))))
+            x, y = jaccard_join.sketch(own), jaccard_join.sketch(other)
+            assert len(x) == jaccard_join.sketch_bytes(len(own)) and len(y) == jaccard_join.sketch_bytes(len(other))
+            true = len(np.setxor1d(own, other))
+            assert 0.6 * true <= jaccard_join.apart([x], [y])[0] == jaccard_join.apart([x, y], [y, x])[1] <= true
+
+
 def test_jaccard_awkward(spark):
     df = table(spark, [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (2, "A B C D E F"), (9, None)])
     rows = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard_join.link(df).collect())
