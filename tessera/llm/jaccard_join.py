@@ -455,7 +455,8 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
             dealt = dealt.withColumn("tokens", F.expr("filter(tokens, t -> t < token)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
             dealt = dealt.select("token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "u", "n", "r", F.col("c.u").alias("component"), "bins", "tokens")
             fresh = dealt.groupBy("token", "one", "two").applyInArrow(_crossing(percent), _PAIRS).distinct()
-            links, _ = settled(stored(fresh, "pairs"), links)
+            fresh = stored(fresh, "pairs")
+            links = links.union(verified(fresh)) if fresh.count() <= members else settled(fresh, links)[0]
             break
         # pivots are picked by a hash of the unit, so that tokens of the same members pick the same
         member = F.struct("u", "n", "r", "c")
